@@ -1 +1,406 @@
-QUERIES = {}
+"""Queries of the analysis operators: name -> (spark, sf_dir) -> DataFrame, all over whole tables."""
+
+from __future__ import annotations
+
+import uuid
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from seqloom.common import checkpointed, ensure_checkpoint_dir, table
+from seqloom.constants import TOP_ROWS
+from seqloom.functions import seq
+from seqloom.functions.dust import dust_udf
+from seqloom.operators import adjudicate, align, evidence, gate, grouping, sampling
+from seqloom.plans import run
+from seqloom.sources import fasta as fasta_source
+from seqloom.sources import fastq as fastq_source
+from seqloom.sources import index as index_source
+from seqloom.sources import report
+from seqloom.streaming import sample as streaming
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+#: Fragments of the one sample over all runs.
+BOTTOM_K = 2048
+
+
+def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    QUERIES[f.__name__] = f
+    return f
+
+
+def _records(spark: SparkSession, d: str) -> DataFrame:
+    return grouping.panel_records(table(spark, d, "fasta"))
+
+
+def _groups(spark: SparkSession, d: str) -> DataFrame:
+    return grouping.reference_groups(_records(spark, d).filter("not is_host"))
+
+
+def _fragments(spark: SparkSession, d: str) -> DataFrame:
+    return gate.fragments_once(table(spark, d, "fragments"))
+
+
+def _scratch(spark: SparkSession) -> str:
+    ensure_checkpoint_dir(spark)
+    return f"{spark.sparkContext.getCheckpointDir()}/{uuid.uuid4().hex}"
+
+
+# ---- k-mers and the gate
+
+
+@query
+def kmer_canonical(spark: SparkSession, d: str) -> DataFrame:
+    return seq.with_kmers(_records(spark, d), ["rec_ordinal"], "sequence")
+
+
+@query
+def target_kmer_set(spark: SparkSession, d: str) -> DataFrame:
+    return gate.target_kmers(_records(spark, d))
+
+
+@query
+def kmer_semi_join(spark: SparkSession, d: str) -> DataFrame:
+    return gate.kmer_hits(gate.read_ends(_fragments(spark, d)), gate.target_kmers(_records(spark, d)))
+
+
+@query
+def panel_hit_rank(spark: SparkSession, d: str) -> DataFrame:
+    """Panel records ranked by the fragments that share a k-mer with them."""
+    reads = seq.with_kmers(gate.read_ends(_fragments(spark, d)), ["ordinal"], "sequence").select("ordinal", "kmer").distinct()
+    panel = seq.with_kmers(_records(spark, d).filter("not is_host"), ["rec_ordinal", "id"], "sequence").select("rec_ordinal", "id", "kmer").distinct()
+    hits = panel.join(reads, "kmer").groupBy("rec_ordinal", "id").agg(F.count_distinct("ordinal").alias("fragments"), F.count(F.lit(1)).alias("kmer_hits"))
+    return hits.withColumn("place", F.row_number().over(Window.orderBy(F.desc("fragments"), F.desc("kmer_hits"), "id", "rec_ordinal")))
+
+
+@query
+def bloom_summary(spark: SparkSession, d: str) -> DataFrame:
+    return gate.bloom_summary(gate.target_kmers(_records(spark, d)))
+
+
+@query
+def bloom_probe(spark: SparkSession, d: str) -> DataFrame:
+    """Fragments with a k-mer that the filter lets pass, and how many of these k-mers are truly in the panel."""
+    kmers = checkpointed(gate.target_kmers(_records(spark, d)))
+    ends = seq.with_kmers(gate.read_ends(_fragments(spark, d)), ["ordinal"], "sequence").select("ordinal", "kmer")
+    rows = gate.bloom_filtered(ends, kmers).join(kmers.select("kmer", F.lit(1).alias("held")), "kmer", "left")
+    return rows.groupBy("ordinal").agg(F.count(F.lit(1)).alias("passed"), F.count("held").alias("held"))
+
+
+@query
+def dust_intervals(spark: SparkSession, d: str) -> DataFrame:
+    return gate.read_ends(_fragments(spark, d)).select("ordinal", "mate", F.inline(dust_udf("sequence")))
+
+
+def _states(spark: SparkSession, d: str, masked: bool) -> DataFrame:
+    ends = gate.read_ends(_fragments(spark, d))
+    return gate.gate_states(ends, gate.kmer_hits(ends, gate.target_kmers(_records(spark, d))), masked)
+
+
+@query
+def gate_state_unmasked(spark: SparkSession, d: str) -> DataFrame:
+    return _states(spark, d, False)
+
+
+@query
+def gate_verdict_unmasked(spark: SparkSession, d: str) -> DataFrame:
+    return gate.gate_verdicts(_fragments(spark, d), _states(spark, d, False))
+
+
+@query
+def gate_verdict(spark: SparkSession, d: str) -> DataFrame:
+    return gate.gate_verdicts(_fragments(spark, d), _states(spark, d, True))
+
+
+@query
+def gate_counts(spark: SparkSession, d: str) -> DataFrame:
+    rows = gate.gate_verdicts(_fragments(spark, d), _states(spark, d, False)).join(_fragments(spark, d).select("ordinal", "run_id"), "ordinal")
+    return rows.groupBy("run_id", "verdict").agg(F.count(F.lit(1)).alias("fragments"))
+
+
+# ---- panel groups and names
+
+
+@query
+def revcomp(spark: SparkSession, d: str) -> DataFrame:
+    return _records(spark, d).select("rec_ordinal", seq.reverse_complement("sequence").alias("reverse_complement"), F.sha2(seq.canonical_strand("sequence"), 256).alias("digest"))
+
+
+@query
+def reference_groups(spark: SparkSession, d: str) -> DataFrame:
+    return _groups(spark, d).withColumn("member_ids", F.array_join("member_ids", ";"))
+
+
+@query
+def group_ledger(spark: SparkSession, d: str) -> DataFrame:
+    return grouping.group_ledger(_groups(spark, d))
+
+
+@query
+def contig_union(spark: SparkSession, d: str) -> DataFrame:
+    return grouping.contigs(_records(spark, d), _groups(spark, d))
+
+
+@query
+def read_id_normalize(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "fragments").select("ordinal", "piece_no", seq.normalized_read_id("id").alias("read_id"))
+
+
+@query
+def sample_id(spark: SparkSession, d: str) -> DataFrame:
+    """Sample names of files that would hold the runs' reads."""
+    files = table(spark, d, "fragments").select("run_id", F.when(F.col("r2").isNull(), "_1").otherwise("_R1").alias("end")).distinct()
+    return files.select("run_id", "end", seq.sample_id(F.concat(F.lit("reads/"), "run_id", "end", F.lit(".fastq.gz"))).alias("sample_id"))
+
+
+@query
+def duplicate_ids(spark: SparkSession, d: str) -> DataFrame:
+    """Ids that repeat within a source: what a strict reader refuses."""
+    return _records(spark, d).groupBy("source", "id").agg(F.count(F.lit(1)).alias("records")).filter("records > 1")
+
+
+@query
+def input_census(spark: SparkSession, d: str) -> DataFrame:
+    rows = _fragments(spark, d).groupBy("run_id").agg(F.count(F.lit(1)).alias("fragments"), F.count("r2").alias("paired"))
+    return rows.withColumn("input_mode", F.when(F.col("paired") == 0, "SE").when(F.col("paired") == F.col("fragments"), "PE").otherwise("MIXED"))
+
+
+# ---- sampling
+
+
+def _keyed(spark: SparkSession, d: str) -> DataFrame:
+    return sampling.keyed(table(spark, d, "fragments"))
+
+
+def _verdicts(spark: SparkSession, d: str) -> DataFrame:
+    return checkpointed(gate_verdict_unmasked(spark, d))
+
+
+@query
+def bottom_k_sample(spark: SparkSession, d: str) -> DataFrame:
+    return sampling.bottom_k(_keyed(spark, d), BOTTOM_K)
+
+
+@query
+def screen_sample(spark: SparkSession, d: str) -> DataFrame:
+    return sampling.screen(_keyed(spark, d), table(spark, d, "sampling_design"), _verdicts(spark, d))
+
+
+@query
+def full_sample(spark: SparkSession, d: str) -> DataFrame:
+    return sampling.full(_keyed(spark, d), table(spark, d, "sampling_design"), _verdicts(spark, d))
+
+
+@query
+def mode_containment(spark: SparkSession, d: str) -> DataFrame:
+    """Per run: passing fragments of the screen sample, and how many of these the full sample holds: all."""
+    keyed, design, verdicts = _keyed(spark, d), table(spark, d, "sampling_design"), _verdicts(spark, d)
+    screened = sampling.screen(keyed, design, verdicts).filter("verdict = 'Pass'").select("ordinal", "run_id")
+    held = sampling.full(keyed, design, verdicts).select("ordinal", F.lit(1).alias("held"))
+    return screened.join(held, "ordinal", "left").groupBy("run_id").agg(F.count(F.lit(1)).alias("screen_passed"), F.count("held").alias("in_full"))
+
+
+@query
+def sampling_design(spark: SparkSession, d: str) -> DataFrame:
+    return sampling.design_scalars(table(spark, d, "sampling_design"), _keyed(spark, d), _verdicts(spark, d))
+
+
+# ---- adjudication of the given hits
+
+
+@query
+def usable_hits(spark: SparkSession, d: str) -> DataFrame:
+    return adjudicate.usable_hits(table(spark, d, "hits")).select("ordinal", "mate", "role", "target_group_ordinal", "alignment_score", "query_length", "supplementary", "ratio")
+
+
+@query
+def best_hits(spark: SparkSession, d: str) -> DataFrame:
+    return adjudicate.best_hits(table(spark, d, "hits")).select("ordinal", "mate", "hits", "best_host", "best_target")
+
+
+@query
+def host_confounding(spark: SparkSession, d: str) -> DataFrame:
+    return adjudicate.best_hits(table(spark, d, "hits")).filter("confounded").select("ordinal", "mate")
+
+
+@query
+def split_groups(spark: SparkSession, d: str) -> DataFrame:
+    hits = table(spark, d, "hits")
+    return adjudicate.tied_groups(hits, adjudicate.best_hits(hits))
+
+
+@query
+def adjudicated(spark: SparkSession, d: str) -> DataFrame:
+    rows = adjudicate.fragment_evidence(table(spark, d, "hits"))
+    return rows.select("ordinal", "kind", *[F.array_join(c, ";").alias(c) for c in ("groups", "split_groups", "discordant_groups")])
+
+
+@query
+def discordant(spark: SparkSession, d: str) -> DataFrame:
+    rows = adjudicate.fragment_evidence(table(spark, d, "hits"))
+    return rows.select("ordinal", F.explode("discordant_groups").alias("group_ordinal"))
+
+
+# ---- aggregation
+
+
+def _evidence(spark: SparkSession, d: str) -> DataFrame:
+    run_of = _fragments(spark, d).select("ordinal", "run_id")
+    return adjudicate.fragment_evidence(table(spark, d, "hits")).join(run_of, "ordinal")
+
+
+def _intervals(spark: SparkSession, d: str) -> DataFrame:
+    hits, groups = table(spark, d, "hits"), table(spark, d, "reference_groups")
+    rows = adjudicate.supporting_intervals(hits, adjudicate.fragment_evidence(hits), groups)
+    return rows.join(_fragments(spark, d).select("ordinal", "run_id"), "ordinal")
+
+
+@query
+def run_counters(spark: SparkSession, d: str) -> DataFrame:
+    return evidence.run_counters(_evidence(spark, d), ["run_id"])
+
+
+@query
+def supporting_intervals(spark: SparkSession, d: str) -> DataFrame:
+    return _intervals(spark, d)
+
+
+@query
+def coverage_union(spark: SparkSession, d: str) -> DataFrame:
+    return evidence.coverage_union(_intervals(spark, d), ["run_id", "group_ordinal"])
+
+
+@query
+def occupied_windows(spark: SparkSession, d: str) -> DataFrame:
+    return evidence.occupied_windows(coverage_union(spark, d), table(spark, d, "reference_groups"), ["run_id", "group_ordinal"])
+
+
+@query
+def group_evidence(spark: SparkSession, d: str) -> DataFrame:
+    return run.evidence_by_run(table(spark, d, "hits"), table(spark, d, "fragments"), table(spark, d, "reference_groups"))
+
+
+@query
+def group_labels(spark: SparkSession, d: str) -> DataFrame:
+    rows = evidence.labelled(group_evidence(spark, d), table(spark, d, "reference_groups"))
+    return rows.select("run_id", "group_ordinal", "evidence_status", "attribution_status", "integration_status")
+
+
+@query
+def given_evidence(spark: SparkSession, d: str) -> DataFrame:
+    """The given evidence rows, repeated ones once, summed by panel group."""
+    rows = table(spark, d, "group_evidence").distinct()
+    counts = ("supporting_selected_fragments", "host_confounded_fragments", "cross_group_ambiguous_fragments", "split_events", "discordant_fragments")
+    return rows.groupBy("group_ordinal").agg(F.count_distinct("run_id").alias("runs"), *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in counts])
+
+
+# ---- estimates and reports
+
+
+def _estimates(spark: SparkSession, d: str) -> DataFrame:
+    verdicts = _verdicts(spark, d)
+    scalars = checkpointed(sampling.design_scalars(table(spark, d, "sampling_design"), _keyed(spark, d), verdicts))
+    # the given hits are of all fragments; a group's support can exceed a sample, which has no interval then
+    return run.estimates(group_evidence(spark, d), scalars, table(spark, d, "reference_groups"))
+
+
+@query
+def abundance_score(spark: SparkSession, d: str) -> DataFrame:
+    return _estimates(spark, d).select("run_id", "group_ordinal", "fraction", "estimated_fragments", "sampling_target_score")
+
+
+@query
+def interval_report(spark: SparkSession, d: str) -> DataFrame:
+    return _estimates(spark, d).select("run_id", "group_ordinal", "population", "selected", "supporting_selected_fragments", "lower_count", "upper_count")
+
+
+@query
+def ranked_report_numeric(spark: SparkSession, d: str) -> DataFrame:
+    rows = evidence.ranked(group_evidence(spark, d), table(spark, d, "reference_groups"), ["run_id"])
+    return rows.select("run_id", "group_ordinal", "representative_id", "support_rank", "supporting_selected_fragments", "total_target_support_fragments", "supported_reference_groups", "target_support_share_pct")
+
+
+@query
+def top_rows(spark: SparkSession, d: str) -> DataFrame:
+    """The short list of each run."""
+    return ranked_report_numeric(spark, d).filter(F.col("support_rank") <= TOP_ROWS).select("run_id", "support_rank", "group_ordinal")
+
+
+@query
+def report_text(spark: SparkSession, d: str) -> DataFrame:
+    return report.report_rows(_estimates(spark, d).withColumn("input_mode", F.lit("SE/PE")))
+
+
+# ---- alignment and whole runs
+
+
+@query
+def diagonal_chain(spark: SparkSession, d: str) -> DataFrame:
+    records = _records(spark, d)
+    contigs = records.select(F.concat(F.lit("rec_"), "rec_ordinal").alias("name"), "sequence")
+    return align.diagonal_chains(gate.read_ends(_fragments(spark, d)), contigs)
+
+
+@query
+def aligned_hits(spark: SparkSession, d: str) -> DataFrame:
+    records = _records(spark, d)
+    groups = checkpointed(_groups(spark, d))
+    return align.align(gate.read_ends(_fragments(spark, d)), checkpointed(grouping.contigs(records, groups)))
+
+
+def _run(spark: SparkSession, d: str, mode: str | None) -> DataFrame:
+    rows = run.analyse(table(spark, d, "fasta"), table(spark, d, "fragments"), table(spark, d, "sampling_design"), mode)
+    return rows.withColumn("member_ids", F.array_join("member_ids", ";"))
+
+
+@query
+def run_screen(spark: SparkSession, d: str) -> DataFrame:
+    return _run(spark, d, "screen")
+
+
+@query
+def run_full(spark: SparkSession, d: str) -> DataFrame:
+    return _run(spark, d, "full")
+
+
+# ---- sources, sinks, streams
+
+
+@query
+def fasta_roundtrip(spark: SparkSession, d: str) -> DataFrame:
+    """Records with unique ids written as FASTA and read again."""
+    path = _scratch(spark)
+    firsts = _records(spark, d).groupBy("id").agg(F.min(F.struct("description", "sequence")).alias("x")).select("id", "x.*")
+    fasta_source.write_fasta(firsts, path)
+    return fasta_source.read_fasta(spark, path).select("id", "description", "sequence")
+
+
+@query
+def fastq_roundtrip(spark: SparkSession, d: str) -> DataFrame:
+    """First ends written as FASTQ and read again."""
+    path = _scratch(spark)
+    rows = _fragments(spark, d).select(F.concat(F.lit("fragment-"), "ordinal").alias("id"), "r1").filter("r1 is not null")
+    fastq_source.write_fastq(rows, "r1", path)
+    files = spark.read.text(path).select("_metadata.file_path").distinct()
+    paths = ",".join(sorted(r.file_path.removeprefix("file://").replace("file:", "") for r in files.collect()))
+    return fastq_source.read_fastq(spark, paths).select("id", "sequence")
+
+
+@query
+def index_roundtrip(spark: SparkSession, d: str) -> DataFrame:
+    """The index of the panel, built, verified and read again."""
+    path = _scratch(spark)
+    index_source.build_index(_records(spark, d), path)
+    _, tables = index_source.load_index(spark, path)
+    return tables["groups"].select("group_ordinal", "target_group_id", "representative_id", "representative_length")
+
+
+@query
+def stream_bottom_k(spark: SparkSession, d: str) -> DataFrame:
+    return streaming.stream_bottom_k(streaming.stream_table(spark, d, "fragments"), table(spark, d, "sampling_design"))
+
+
+@query
+def stream_window_counts(spark: SparkSession, d: str) -> DataFrame:
+    return streaming.stream_window_counts(streaming.stream_table(spark, d, "fragments"))
