@@ -12,7 +12,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -23,7 +22,10 @@ from seqloom.llm.recompression import Fingerprints, mix, parse
 ROUNDS = 4
 #: Occurrences of one anchor handled in one task; the segments of a more frequent one are aggregated first.
 HOT = 100_000
-_SEGMENT = "key long, tbl byte, rec long, pos int, n int, seg binary"
+#: place holds, from its top: 1 bit of tbl, 1 bit for letters other than ACGT, 31 bits of pos, 30 bits of the length; one
+#: column instead of three, and half of the anchor's fingerprint as key, make the shuffled rows a third smaller.
+_SEGMENT = "key int, rec long, place long, seg binary"
+_POS_BITS, _LENGTH_BITS = 31, 30
 _TWO_BITS = np.full(27, 255, dtype=np.uint8)
 _TWO_BITS[[1, 3, 7, 20]] = [0, 1, 2, 3]  # A, C, G, T
 _LETTERS = np.array([1, 3, 7, 20], dtype=np.uint8)
@@ -43,6 +45,26 @@ def _coded(column: pa.StringArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return codes, begin, length.astype(np.int64)
 
 
+def _place(tbl: int, pos: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """n is negative for letters other than ACGT, as in _packed."""
+    odd = (n < 0).astype(np.int64)
+    return (np.int64(tbl) << 62) | (odd << 61) | (pos.astype(np.int64) << _LENGTH_BITS) | np.abs(n).astype(np.int64)
+
+
+def _placed(place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """tbl, pos and n of _place."""
+    n = place & ((1 << _LENGTH_BITS) - 1)
+    return place >> 62, (place >> _LENGTH_BITS) & ((1 << _POS_BITS) - 1), np.where((place >> 61) & 1, -n, n)
+
+
+def _placed_columns(rows: DataFrame) -> DataFrame:
+    """The same as columns."""
+    n = F.col("place").bitwiseAND(F.lit((1 << _LENGTH_BITS) - 1))
+    odd = F.shiftright("place", 61).bitwiseAND(F.lit(1)) == 1
+    pos = F.shiftright("place", _LENGTH_BITS).bitwiseAND(F.lit((1 << _POS_BITS) - 1))
+    return rows.withColumns({"tbl": F.shiftright("place", 62).cast("byte"), "pos": pos, "n": F.when(odd, -n).otherwise(n).cast("int")})
+
+
 def _ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
     """start[0], start[0] + 1, ... of each of the ranges, one after the other."""
     total = np.cumsum(size)
@@ -208,7 +230,7 @@ def record_segments(records: DataFrame, tbl: int, rec: str, text: str, span: int
             of = np.searchsorted(begin, at, "right") - 1
             n, seg = _packed(codes, at, windows + span - 1)
             rec = batch.column("rec").to_numpy()[of]
-            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(np.full(len(key), tbl, dtype=np.int8)), pa.array(rec), pa.array((at - begin[of]).astype(np.int32)), pa.array(n), seg], ["key", "tbl", "rec", "pos", "n", "seg"])
+            yield pa.RecordBatch.from_arrays([pa.array((key >> np.uint64(32)).astype(np.uint32).view(np.int32)), pa.array(rec), pa.array(_place(tbl, at - begin[of], n)), seg], ["key", "rec", "place", "seg"])
 
     return rows.mapInArrow(cut, _SEGMENT)
 
@@ -240,9 +262,16 @@ def covered_spans(base: DataFrame, others: DataFrame | None, span: int, hot: int
     count as one, so rows repeated in `others` come out once.
     """
     all_rows = materialized(base if others is None else base.unionByName(others))
-    often = all_rows.groupBy("key").agg(F.count(F.lit(1)).alias("k")).filter(F.col("k") > hot).select("key")
-    often = materialized(often)
-    many = [r.key for r in often.limit(4097).collect()]  # an empty list nearly always; beyond 4096 the table itself is joined
+    # Keys are counted by bucket first, a bucket holding hot / 4 rows on average: only rows of overfull buckets are counted by key.
+    buckets = max(1 << 16, 4 * all_rows.count() // hot)
+    bucket = F.pmod("key", F.lit(buckets))
+    full = all_rows.groupBy(bucket.alias("bucket")).agg(F.count(F.lit(1)).alias("k")).filter(F.col("k") > hot).select("bucket")
+    full = materialized(full)
+    many: list[int] = []
+    if not full.isEmpty():
+        often = all_rows.select("key", bucket.alias("bucket")).join(full, "bucket").groupBy("key").agg(F.count(F.lit(1)).alias("k")).filter(F.col("k") > hot).select("key")
+        often = materialized(often)
+        many = [r.key for r in often.limit(4097).collect()]  # beyond 4096 the table itself is joined
     if not many:
         cold, warm = all_rows, None
     elif len(many) <= 4096:
@@ -252,7 +281,8 @@ def covered_spans(base: DataFrame, others: DataFrame | None, span: int, hot: int
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in _frames(batches):
-            key, tbl, rec, pos = (t.column(c).to_numpy() for c in ("key", "tbl", "rec", "pos"))
+            key, rec = t.column("key").to_numpy(), t.column("rec").to_numpy()
+            tbl, pos, n = _placed(t.column("place").to_numpy())
             is_base = tbl == 0
             # keys without a base row, or with a single row in all, cover nothing
             head = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
@@ -261,15 +291,15 @@ def covered_spans(base: DataFrame, others: DataFrame | None, span: int, hot: int
             if not live.any():
                 continue
             key, is_base, rec, pos, tbl = key[live], is_base[live], rec[live], pos[live], tbl[live]
-            n, seg = t.column("n").to_numpy()[live], t.column("seg").filter(pa.array(live))
+            n, seg = n[live], t.column("seg").filter(pa.array(live))
             low, high = np.where(is_base, rec, _NONE_LOW), np.where(is_base, rec, _NONE_HIGH)
-            of, place, low, high = shared_windows(key.view(np.uint64), n, seg, low, high, span)
+            of, place, low, high = shared_windows(key.astype(np.int64).view(np.uint64), n, seg, low, high, span)
             seg_of, start, end = _spans(of, place, np.where(is_base[of], low < high, low <= high), span)
-            yield pa.RecordBatch.from_arrays([pa.array(tbl[seg_of]), pa.array(rec[seg_of]), pa.array(pos[seg_of] + start), pa.array(pos[seg_of] + end)], ["tbl", "rec", "a", "b"])
+            yield pa.RecordBatch.from_arrays([pa.array(tbl[seg_of].astype(np.int8)), pa.array(rec[seg_of]), pa.array(pos[seg_of] + start), pa.array(pos[seg_of] + end)], ["tbl", "rec", "a", "b"])
 
     found = cold.repartition(F.col("key")).sortWithinPartitions("key").mapInArrow(find, "tbl byte, rec long, a long, b long")
     if warm is not None:
-        found = found.unionByName(_hot_spans(warm, span))
+        found = found.unionByName(_hot_spans(_placed_columns(warm), span))
     return _merged(found)
 
 
@@ -291,7 +321,7 @@ def _hot_spans(rows: DataFrame, span: int) -> DataFrame:
             take = pa.array(of)
             yield pa.RecordBatch.from_arrays([b.column("key").take(take), pa.array(h.view(np.int64)), b.column("n").take(take), b.column("seg").take(take), b.column("low").take(take), b.column("high").take(take), pa.array((at - begin[of]).astype(np.int32))], ["key", "window", "n", "seg", "low", "high", "place"])
 
-    each = kinds.mapInArrow(windows, "key long, window long, n int, seg binary, low long, high long, place int")
+    each = kinds.mapInArrow(windows, "key int, window long, n int, seg binary, low long, high long, place int")
     held = each.groupBy("key", "window").agg(F.min("low").alias("least"), F.max("high").alias("most")).filter("least is not null")
     each = each.select("key", "window", "n", "seg", "place").join(held, ["key", "window"])
     each = each.select("key", "n", "seg", "place", (F.col("least") < F.col("most")).alias("twice"))
