@@ -13,6 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,6 +21,8 @@ from seqloom.common import letters, materialized
 from seqloom.llm.recompression import Fingerprints, mix, parse
 
 ROUNDS = 4
+#: Letters parsed at once in a task.
+PORTION = 1 << 20
 #: Occurrences of one anchor handled in one task; the segments of a more frequent one are aggregated first.
 HOT = 100_000
 #: place holds, from its top: 1 bit of tbl, 1 bit for letters other than ACGT, 31 bits of pos, 30 bits of the length; one
@@ -217,20 +220,41 @@ def _spans(of: np.ndarray, place: np.ndarray, covered: np.ndarray, span: int) ->
     return of[head], place[head], place[np.append(head[1:], len(of)) - 1] + span
 
 
-def record_segments(records: DataFrame, tbl: int, rec: str, text: str, span: int, rounds: int = ROUNDS) -> DataFrame:
+def _portions(batches: Iterator[pa.RecordBatch], span: int, portion: int) -> Iterator[tuple[np.ndarray, pa.Array, int]]:
+    """Record numbers, texts and the place of the first letter, portion letters or so at a time.
+
+    A longer record comes in pieces that overlap by span - 1 letters: each window lies in one piece, and its anchor
+    depends on the window's own letters alone, so cutting changes nothing.
+    """
+    for batch in batches:
+        rec, column = batch.column("rec").to_numpy(), batch.column("letters")
+        ends = np.cumsum(pc.binary_length(column).to_numpy())
+        start = 0
+        while start < len(ends):
+            before = ends[start - 1] if start else 0
+            if ends[start] - before > portion:
+                text = column[start].as_py()
+                for first in range(0, len(text) - span + 1, portion):
+                    yield rec[start : start + 1], pa.array([text[first : first + portion + span - 1]]), first
+                start += 1
+            else:
+                stop = int(np.searchsorted(ends, before + portion, "right"))
+                yield rec[start:stop], column.slice(start, stop - start), 0
+                start = stop
+
+
+def record_segments(records: DataFrame, tbl: int, rec: str, text: str, span: int, rounds: int = ROUNDS, portion: int = PORTION) -> DataFrame:
     """The segments of each record with at least `span` letters. tbl 0 is the base, in which others look for their spans."""
     rows = records.select(F.col(rec).cast("long").alias("rec"), letters(text).alias("letters")).filter((F.length("letters") >= span) & F.col("rec").isNotNull())
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            codes, begin, length = _coded(batch.column("letters"))
+        for rec, column, first in _portions(batches, span, portion):
+            codes, begin, length = _coded(column)
             key, at, windows = segments(codes, begin, length, span, rounds)
             of = np.searchsorted(begin, at, "right") - 1
             n, seg = _packed(codes, at, windows + span - 1)
-            rec = batch.column("rec").to_numpy()[of]
-            yield pa.RecordBatch.from_arrays([pa.array((key >> np.uint64(32)).astype(np.uint32).view(np.int32)), pa.array(rec), pa.array(_place(tbl, at - begin[of], n)), seg], ["key", "rec", "place", "seg"])
+            rec = rec[of]
+            yield pa.RecordBatch.from_arrays([pa.array((key >> np.uint64(32)).astype(np.uint32).view(np.int32)), pa.array(rec), pa.array(_place(tbl, at - begin[of] + first, n)), seg], ["key", "rec", "place", "seg"])
 
     return rows.mapInArrow(cut, _SEGMENT)
 

@@ -48,13 +48,13 @@ def corpus(seed=1):
     return list(enumerate(base)), list(enumerate(reads))
 
 
-@pytest.mark.parametrize("hot", [repeats.HOT, 3])
-def test_spans_equal_brute_force(spark, hot):
+@pytest.mark.parametrize(("hot", "portion"), [(repeats.HOT, 1 << 20), (3, 1 << 20), (repeats.HOT, 150)])
+def test_spans_equal_brute_force(spark, hot, portion):
     base, reads = corpus()
     spelled = [(k, s.lower()[:9] + "- \n" + s[9:], "x", "y") for k, s in base] + [(900, None, "x", "y")]
     b = spark.createDataFrame(spelled, "k long, sequence string, key string, seg string").repartition(3)
     r = spark.createDataFrame([*reads, *reads[:30], (901, None), (902, "")], "k long, r1 string")
-    got = repeats.covered_spans(repeats.record_segments(b, 0, "k", "sequence", SPAN), repeats.record_segments(r, 1, "k", "r1", SPAN), SPAN, hot=hot)
+    got = repeats.covered_spans(repeats.record_segments(b, 0, "k", "sequence", SPAN, portion=portion), repeats.record_segments(r, 1, "k", "r1", SPAN, portion=portion), SPAN, hot=hot)
     rows = [(x.tbl, x.rec, x.span_start, x.span_end) for x in got.collect()]
     assert len(rows) == len(set(rows)) and set(rows) == brute(base, reads)
 
