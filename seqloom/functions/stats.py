@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -123,6 +124,16 @@ def decimal_text_udf(x: pd.Series, places: pd.Series) -> pd.Series:
     return pd.Series([None if pd.isna(v) else decimal_text(v, int(p)) for v, p in zip(x, places, strict=True)])
 
 
+def shortest_text(x: float) -> str:
+    """The shortest decimals that read back as x, never with an exponent."""
+    return np.format_float_positional(x, trim="-")
+
+
+@F.pandas_udf(T.StringType())
+def shortest_text_udf(x: pd.Series) -> pd.Series:
+    return pd.Series([None if pd.isna(v) else shortest_text(v) for v in x])
+
+
 @F.pandas_udf(T.StringType())
 def outward_lower_udf(x: pd.Series) -> pd.Series:
     return pd.Series([None if pd.isna(v) else outward_percent(v, False) for v in x])

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from seqloom.constants import GAP_EXTEND, GAP_OPEN, KMER, MATCH, MIN_COVERED, MIN_HITS, MIN_SCORE, MISMATCH
+from seqloom.functions.dust import dust_udf
 from seqloom.functions.seq import reverse_complement, with_kmers
 
 #: Diagonals to either side of a chain's that the alignment may visit.
@@ -22,13 +23,18 @@ def both_strands(ends: DataFrame) -> DataFrame:
     return ends.select("ordinal", "mate", F.inline(F.array(F.struct(F.lit("+").alias("strand"), up.alias("sequence")), F.struct(F.lit("-").alias("strand"), reverse_complement(up).alias("sequence")))))
 
 
-def diagonal_chains(ends: DataFrame, contigs: DataFrame, k: int = KMER, min_hits: int = MIN_HITS, min_covered: int = MIN_COVERED) -> DataFrame:
+def diagonal_chains(ends: DataFrame, contigs: DataFrame, k: int = KMER, min_hits: int = MIN_HITS, min_covered: int = MIN_COVERED, masked: bool = False) -> DataFrame:
     """(ordinal, mate, strand, name, diagonal, seeds, covered): seeds of one end on one diagonal of a contig, if they are enough.
 
     A seed is a k-mer of the oriented read at the same distance (diagonal = contig place - read place) in the contig;
     covered is the union length of the seeds on the read. Pairs of read and contig without a common k-mer never meet.
+    masked: no seed starts in a low-complexity stretch of the read; such k-mers meet themselves at very many places.
     """
     reads = with_kmers(both_strands(ends), ["ordinal", "mate", "strand"], "sequence", k, canonical=False)
+    if masked:
+        masks = both_strands(ends).filter(F.length("sequence") >= k).select("ordinal", "mate", "strand", dust_udf("sequence").alias("mask")).filter(F.size("mask") > 0)
+        inside = F.exists("mask", lambda m: (m.start <= F.col("pos")) & (F.col("pos") < m.end))
+        reads = reads.join(masks, ["ordinal", "mate", "strand"], "left").filter(~F.coalesce(inside, F.lit(False))).drop("mask")
     refs = with_kmers(contigs, ["name"], "sequence", k, canonical=False).select("name", F.col("pos").alias("at"), "kmer")
     seeds = reads.join(refs, "kmer").select("ordinal", "mate", "strand", "name", (F.col("at") - F.col("pos")).alias("diagonal"), "pos")
     keys = ["ordinal", "mate", "strand", "name", "diagonal"]
@@ -100,11 +106,11 @@ def banded_local(reads: list[str], refs: list[str], diagonals: np.ndarray, band:
 def align(ends: DataFrame, contigs: DataFrame, min_score: int = MIN_SCORE) -> DataFrame:
     """Hits (ordinal, mate, role, target_group_ordinal, alignment_score, query_length, query_start, query_end, target_start, target_end, supplementary).
 
-    Each end meets host and target contigs alike. The diagonal with the most seeds of an end, strand and contig leads
+    Each end meets host and target contigs alike, by seeds outside of its low-complexity stretches. The diagonal with the most seeds of an end, strand and contig leads
     the alignment. A hit is supplementary if it overlaps the end's best hit by less than half of its own read range.
     """
     best = F.max(F.struct("covered", "seeds", (-F.abs("diagonal")).alias("near"), "diagonal"))
-    places = diagonal_chains(ends, contigs).groupBy("ordinal", "mate", "strand", "name").agg(best.alias("b")).select("ordinal", "mate", "strand", "name", "b.diagonal")
+    places = diagonal_chains(ends, contigs, masked=True).groupBy("ordinal", "mate", "strand", "name").agg(best.alias("b")).select("ordinal", "mate", "strand", "name", "b.diagonal")
     rows = places.join(both_strands(ends), ["ordinal", "mate", "strand"]).join(contigs.select("name", "role", "target_group_ordinal", F.col("sequence").alias("ref")), "name")
     # only the stretch of the contig that the band can reach travels to the task
     start = F.greatest(F.col("diagonal") - BAND, F.lit(0))

@@ -33,7 +33,8 @@ def read_ends(fragments: DataFrame) -> DataFrame:
 def kmer_hits(ends: DataFrame, kmers: DataFrame, k: int = KMER) -> DataFrame:
     """(ordinal, mate, pos): places of the ends' k-mers that are in the panel (left semi-join).
 
-    Distinct k-mers of the reads are looked up once each: a k-mer that a third of all reads hold is one row there.
+    Each panel k-mer is one row, so no read k-mer multiplies; one that very many reads hold makes a skewed partition of
+    the reads' side, which adaptive execution splits.
     """
     return with_kmers(ends, ["ordinal", "mate"], "sequence", k).join(kmers.select("kmer"), "kmer", "left_semi").select("ordinal", "mate", "pos")
 

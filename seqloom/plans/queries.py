@@ -5,7 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seqloom.common import checkpointed, ensure_checkpoint_dir, table
@@ -71,7 +71,9 @@ def panel_hit_rank(spark: SparkSession, d: str) -> DataFrame:
     reads = seq.with_kmers(gate.read_ends(_fragments(spark, d)), ["ordinal"], "sequence").select("ordinal", "kmer").distinct()
     panel = seq.with_kmers(_records(spark, d).filter("not is_host"), ["rec_ordinal", "id"], "sequence").select("rec_ordinal", "id", "kmer").distinct()
     hits = panel.join(reads, "kmer").groupBy("rec_ordinal", "id").agg(F.count_distinct("ordinal").alias("fragments"), F.count(F.lit(1)).alias("kmer_hits"))
-    return hits.withColumn("place", F.row_number().over(Window.orderBy(F.desc("fragments"), F.desc("kmer_hits"), "id", "rec_ordinal")))
+    down = hits.withColumns({"_f": -F.col("fragments"), "_k": -F.col("kmer_hits")})
+    rows = grouping.dense_ordinals(down, ["_f", "_k", "id", "rec_ordinal"], "n")
+    return rows.select(*hits.columns, (F.col("n") + 1).cast("int").alias("place"))
 
 
 @query

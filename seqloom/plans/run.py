@@ -35,23 +35,34 @@ def estimates(counted: DataFrame, scalars: DataFrame, groups: DataFrame) -> Data
 
 
 def analyse(fasta: DataFrame, fragments: DataFrame, design: DataFrame, mode: str | None = None, masked: bool = True) -> DataFrame:
-    """estimates() of every run of `design` from records and reads; mode screen or full for all, or null for each run's own.
-
-    screen samples and then gates, full gates and then samples: the two differ in what the sample stands for.
-    """
+    """estimates() of every run of `design` from records and reads; mode screen or full for all, or null for each run's own."""
     records = grouping.panel_records(fasta)
     groups = checkpointed(grouping.reference_groups(records.filter("not is_host")))
     contigs = checkpointed(grouping.contigs(records, groups))
+    return analyse_indexed(groups, contigs, gate.target_kmers(records), fragments, design, mode, masked)[0]
+
+
+def analyse_indexed(groups: DataFrame, contigs: DataFrame, kmers: DataFrame, fragments: DataFrame, design: DataFrame, mode: str | None = None, masked: bool = True) -> tuple[DataFrame, DataFrame]:
+    """The same from an index's tables; and the runs' figures (design_scalars with passed, aligned_fragments and input_mode).
+
+    screen samples and then gates, full gates and then samples: the two differ in what the sample stands for.
+    """
     reads = checkpointed(gate.fragments_once(fragments))
-    verdicts = checkpointed(gate.gate(reads, gate.target_kmers(records), masked))
+    verdicts = checkpointed(gate.gate(reads, kmers, masked))
     keyed = sampling.keyed(fragments)
     design = design.withColumn("mode", F.lower(F.lit(mode) if mode else F.col("mode")))
     passing = keyed.join(verdicts.filter("verdict = 'Pass'").select("ordinal"), "ordinal", "left_semi")
-    first = sampling.bottom_k_by_run(keyed, design.filter("mode = 'screen'")).join(verdicts.filter("verdict = 'Pass'").select("ordinal"), "ordinal", "left_semi")
-    chosen = first.unionByName(sampling.bottom_k_by_run(passing, design.filter("mode = 'full'"))).select("ordinal")
-    selected = checkpointed(reads.join(chosen, "ordinal"))
+    first = sampling.bottom_k_by_run(keyed, design.filter("mode = 'screen'")).join(verdicts, "ordinal")
+    sampled = first.select("ordinal", "run_id", "verdict").unionByName(sampling.bottom_k_by_run(passing, design.filter("mode = 'full'")).select("ordinal", "run_id", F.lit("Pass").alias("verdict")))
+    sampled = checkpointed(sampled)
+    selected = checkpointed(reads.join(sampled.filter("verdict = 'Pass'").select("ordinal"), "ordinal"))
     hits = checkpointed(align(gate.read_ends(selected), contigs))
-    return estimates(evidence_by_run(hits, reads, groups), sampling.design_scalars(design, keyed, verdicts), groups).withColumn("input_mode", F.lit("SE/PE"))
+    kinds = reads.groupBy("run_id").agg(F.when(F.count("r2") == 0, "SE").when(F.count("r2") == F.count(F.lit(1)), "PE").otherwise("MIXED").alias("input_mode"))
+    passed = sampled.groupBy("run_id").agg(F.count_if(F.col("verdict") == "Pass").alias("passed"), F.count_if(F.col("verdict") == "NotEvaluable").alias("not_evaluable"))
+    found = evidence.run_counters(adjudicate.fragment_evidence(hits).join(reads.select("ordinal", "run_id"), "ordinal"), ["run_id"])
+    scalars = sampling.design_scalars(design, keyed, verdicts).join(kinds, "run_id", "left").join(passed, "run_id", "left").join(found, "run_id", "left")
+    scalars = checkpointed(scalars.fillna(0, ["passed", "not_evaluable", "aligned_fragments", "unassigned_fragments"]))
+    return estimates(evidence_by_run(hits, reads, groups), scalars, groups), scalars
 
 
 def evidence_by_run(hits: DataFrame, fragments: DataFrame, groups: DataFrame) -> DataFrame:

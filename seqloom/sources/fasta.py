@@ -22,7 +22,7 @@ def read_fasta(spark: SparkSession, path: str) -> DataFrame:
     body = F.when(first, F.substring("value", F.lit(2), F.length("value"))).otherwise(F.col("value"))
     # a later part of a file begins behind "\n>"; a file's own first part must begin with ">"
     stray = (F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)) == 0) & (F.col("_block") == 0) & ~first
-    raw = raw.withColumn("_body", F.when(stray & (F.trim("value") != ""), F.raise_error(F.concat(F.lit("text before the first header in "), "source"))).otherwise(body)).filter(F.trim("_body") != "")
+    raw = raw.withColumn("_body", F.when(stray & F.col("value").rlike(r"\S"), F.raise_error(F.concat(F.lit("text before the first header in "), "source"))).otherwise(body)).filter(F.col("_body").rlike(r"\S"))
     header = F.substring_index(F.regexp_replace("_body", "\r", "\n"), "\n", 1)
     rest = F.substring(F.col("_body"), F.length(header) + 1, F.length("_body"))
     sequence = F.upper(F.regexp_replace(rest, r"\s", ""))

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import hashlib
 import json
-import os
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -44,6 +43,11 @@ def build_index(records: DataFrame, path: str, k: int = KMER) -> dict:
     return manifest
 
 
+def index_digest(manifest: dict) -> str:
+    """SHA-256 of the manifest's canonical text."""
+    return hashlib.sha256(json.dumps(manifest, sort_keys=True).encode()).hexdigest()
+
+
 def load_index(spark: SparkSession, path: str, verify: bool = True) -> tuple[dict, dict[str, DataFrame]]:
     """The manifest and the tables; a wrong contract, missing or unknown fields, other contents, or contigs that don't match the groups are errors that ask for a rebuild."""
     rows = spark.read.text(f"{path}/manifest").collect() if _exists(spark, f"{path}/manifest") else []

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seqloom.constants import TOP_ROWS
-from seqloom.functions.stats import decimal_text_udf, outward_lower_udf, outward_upper_udf
+from seqloom.functions.stats import decimal_text_udf, outward_lower_udf, outward_upper_udf, shortest_text_udf
 
 # The report's columns in order.
 COLUMNS = (
@@ -52,7 +52,7 @@ def report_rows(estimates: DataFrame) -> DataFrame:
         "selected_fragments": F.col("selected"),
         "total_target_support_fragments": F.col("total_target_support_fragments"),
         "supported_reference_groups": F.col("supported_reference_groups"),
-        "sampling_target_score": pct("sampling_target_score", 17),
+        "sampling_target_score": shortest_text_udf("sampling_target_score"),
     }
     return estimates.select("run_id", *[c.cast("string").alias(n) for n, c in text.items()])
 
@@ -93,6 +93,12 @@ def atomic_write(path: str, data: bytes) -> None:
     os.replace(part, path)
 
 
+def write_failure(out: str, error: Exception, began: float) -> None:
+    """perf.json alone, with the error."""
+    os.makedirs(out)
+    atomic_write(f"{out}/perf.json", json.dumps({"status": "ERROR", "error": str(error)[:2000], "seconds": time.time() - began}).encode())
+
+
 def write_report(estimates: DataFrame, run: dict, out: str, began: float | None = None) -> dict:
     """report.csv, report.html and perf.json of one run in the new folder `out`; on failure perf.json alone, with the error.
 
@@ -100,7 +106,7 @@ def write_report(estimates: DataFrame, run: dict, out: str, began: float | None
     """
     os.makedirs(out)
     began = began or time.time()
-    perf = {"status": "SUCCESS", "error": None}
+    perf = {"status": "SUCCESS", "error": None, **{k: v for k, v in run.items() if isinstance(v, int | float | str)}}
     try:
         rows = [r.asDict() for r in report_rows(estimates.filter(F.col("run_id") == run["run_id"])).orderBy(F.col("support_rank").cast("int")).collect()]
         csv = csv_bytes(rows, run)
