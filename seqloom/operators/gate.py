@@ -9,7 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from seqloom.constants import KMER, MIN_COVERED, MIN_HITS
+from seqloom.common import checkpointed
+from seqloom.constants import ALPHABET, KMER, MIN_COVERED, MIN_HITS
 from seqloom.functions.dust import dust_udf
 from seqloom.functions.seq import with_kmers
 
@@ -19,6 +20,11 @@ def target_kmers(records: DataFrame, k: int = KMER) -> DataFrame:
     return with_kmers(records.filter("not is_host"), ["rec_ordinal"], "sequence", k).select("rec_ordinal", "kmer").distinct().groupBy("kmer").agg(F.count(F.lit(1)).alias("records"))
 
 
+def panel_kmers(records: DataFrame, k: int = KMER) -> DataFrame:
+    """(kmer): the distinct k-mers alone, in one shuffle; all that the gate needs."""
+    return with_kmers(records.filter("not is_host"), [], "sequence", k).select("kmer").distinct()
+
+
 def fragments_once(fragments: DataFrame) -> DataFrame:
     """(ordinal, run_id, r1, r2): a redelivered fragment counts once. Rows with a null ordinal are left out."""
     return fragments.filter("ordinal is not null").groupBy("ordinal").agg(F.min("run_id").alias("run_id"), F.min("r1").alias("r1"), F.min("r2").alias("r2"))
@@ -47,17 +53,20 @@ def gate_states(ends: DataFrame, hits: DataFrame, masked: bool, k: int = KMER) -
     """
     before = F.lag("pos").over(Window.partitionBy("ordinal", "mate").orderBy("pos"))
     rows = hits.withColumn("new", F.least(F.lit(k), F.coalesce(F.col("pos") - before, F.lit(k))))
-    valid = with_kmers(ends, ["ordinal", "mate"], "sequence", k)
+    # an end is evaluable if it has a k-mer of IUPAC letters; only masked ends need a look at each of them
+    has_kmer = F.upper("sequence").rlike(f"[{ALPHABET}]{{{k}}}")
+    whole = ends.select("ordinal", "mate", has_kmer.alias("evaluable"))
     if masked:
-        masks = ends.filter(F.length("sequence") >= k).select("ordinal", "mate", dust_udf("sequence").alias("mask")).filter(F.size("mask") > 0)
+        masks = checkpointed(ends.filter(has_kmer).select("ordinal", "mate", "sequence", dust_udf("sequence").alias("mask")).filter(F.size("mask") > 0))
         inside = F.coalesce(F.exists("mask", lambda m: (m.start <= F.col("pos")) & (F.col("pos") < m.end)), F.lit(False))
-        rows = rows.join(masks, ["ordinal", "mate"], "left").withColumn("open", ~inside)
-        valid = valid.join(masks, ["ordinal", "mate"], "left").filter(~inside)
+        rows = rows.join(masks.drop("sequence"), ["ordinal", "mate"], "left").withColumn("open", ~inside)
+        open_ = with_kmers(masks, ["ordinal", "mate", "mask"], "sequence", k).filter(~inside).groupBy("ordinal", "mate").agg(F.lit(True).alias("open_kmer"))
+        seen = masks.select("ordinal", "mate", F.lit(True).alias("masked")).join(open_, ["ordinal", "mate"], "left")
+        whole = whole.join(seen, ["ordinal", "mate"], "left").select("ordinal", "mate", F.when(F.col("masked"), F.coalesce("open_kmer", F.lit(False))).otherwise(F.col("evaluable")).alias("evaluable"))
     else:
         rows = rows.withColumn("open", F.lit(True))
     per = rows.groupBy("ordinal", "mate").agg(F.count(F.lit(1)).alias("hits"), F.sum("new").alias("covered"), F.bool_or("open").alias("present"))
-    open_ = valid.groupBy("ordinal", "mate").agg(F.lit(True).alias("evaluable"))
-    out = ends.select("ordinal", "mate").join(per, ["ordinal", "mate"], "left").join(open_, ["ordinal", "mate"], "left")
+    out = whole.join(per, ["ordinal", "mate"], "left")
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
     no = lambda c: F.coalesce(c, F.lit(False)).alias(c)
     chain = (F.coalesce("hits", F.lit(0)) >= MIN_HITS) & (F.coalesce("covered", F.lit(0)) >= MIN_COVERED)

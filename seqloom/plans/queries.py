@@ -62,7 +62,7 @@ def target_kmer_set(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def kmer_semi_join(spark: SparkSession, d: str) -> DataFrame:
-    return gate.kmer_hits(gate.read_ends(_fragments(spark, d)), gate.target_kmers(_records(spark, d)))
+    return gate.kmer_hits(gate.read_ends(_fragments(spark, d)), gate.panel_kmers(_records(spark, d)))
 
 
 @query
@@ -78,13 +78,13 @@ def panel_hit_rank(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def bloom_summary(spark: SparkSession, d: str) -> DataFrame:
-    return gate.bloom_summary(gate.target_kmers(_records(spark, d)))
+    return gate.bloom_summary(gate.panel_kmers(_records(spark, d)))
 
 
 @query
 def bloom_probe(spark: SparkSession, d: str) -> DataFrame:
     """Fragments with a k-mer that the filter lets pass, and how many of these k-mers are truly in the panel."""
-    kmers = checkpointed(gate.target_kmers(_records(spark, d)))
+    kmers = checkpointed(gate.panel_kmers(_records(spark, d)))
     ends = seq.with_kmers(gate.read_ends(_fragments(spark, d)), ["ordinal"], "sequence").select("ordinal", "kmer")
     rows = gate.bloom_filtered(ends, kmers).join(kmers.select("kmer", F.lit(1).alias("held")), "kmer", "left")
     return rows.groupBy("ordinal").agg(F.count(F.lit(1)).alias("passed"), F.count("held").alias("held"))
@@ -97,7 +97,7 @@ def dust_intervals(spark: SparkSession, d: str) -> DataFrame:
 
 def _states(spark: SparkSession, d: str, masked: bool) -> DataFrame:
     ends = gate.read_ends(_fragments(spark, d))
-    return gate.gate_states(ends, gate.kmer_hits(ends, gate.target_kmers(_records(spark, d))), masked)
+    return gate.gate_states(ends, gate.kmer_hits(ends, gate.panel_kmers(_records(spark, d))), masked)
 
 
 @query
