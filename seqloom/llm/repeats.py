@@ -319,7 +319,13 @@ def covered_spans(base: DataFrame, others: DataFrame | None, span: int, hot: int
             low, high = np.where(is_base, rec, _NONE_LOW), np.where(is_base, rec, _NONE_HIGH)
             of, place, low, high = shared_windows(key.astype(np.int64).view(np.uint64), n, seg, low, high, span)
             seg_of, start, end = _spans(of, place, np.where(is_base[of], low < high, low <= high), span)
-            yield pa.RecordBatch.from_arrays([pa.array(tbl[seg_of].astype(np.int8)), pa.array(rec[seg_of]), pa.array(pos[seg_of] + start), pa.array(pos[seg_of] + end)], ["tbl", "rec", "a", "b"])
+            tbl, rec, start, end = tbl[seg_of], rec[seg_of], pos[seg_of] + start, pos[seg_of] + end
+            # a record delivered again has all its segments here, at the same keys: one of each goes on
+            order = np.lexsort((end, start, rec, tbl))
+            tbl, rec, start, end = tbl[order], rec[order], start[order], end[order]
+            new = np.ones(len(rec), dtype=bool)
+            new[1:] = (rec[1:] != rec[:-1]) | (start[1:] != start[:-1]) | (end[1:] != end[:-1]) | (tbl[1:] != tbl[:-1])
+            yield pa.RecordBatch.from_arrays([pa.array(tbl[new].astype(np.int8)), pa.array(rec[new]), pa.array(start[new]), pa.array(end[new])], ["tbl", "rec", "a", "b"])
 
     found = cold.repartition(F.col("key")).sortWithinPartitions("key").mapInArrow(find, "tbl byte, rec long, a long, b long")
     if warm is not None:
@@ -350,7 +356,7 @@ def _hot_spans(rows: DataFrame, span: int) -> DataFrame:
     each = each.select("key", "window", "n", "seg", "place").join(held, ["key", "window"])
     each = each.select("key", "n", "seg", "place", (F.col("least") < F.col("most")).alias("twice"))
     answer = rows.select("key", "n", "seg", "tbl", "rec", "pos").join(each, ["key", "n", "seg"]).filter((F.col("tbl") != 0) | F.col("twice"))
-    return answer.select("tbl", "rec", (F.col("pos") + F.col("place")).cast("long").alias("a"), (F.col("pos") + F.col("place") + span).cast("long").alias("b"))
+    return answer.select("tbl", "rec", (F.col("pos") + F.col("place")).cast("long").alias("a"), (F.col("pos") + F.col("place") + span).cast("long").alias("b")).distinct()
 
 
 def _merged(found: DataFrame) -> DataFrame:
