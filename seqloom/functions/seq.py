@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
+from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from seqloom.constants import ALPHABET, COMPLEMENT, FORWARD_CODE, KMER, REVERSE_CODE
 
-_PIECE = 100
-
 
 def _col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
@@ -30,30 +34,60 @@ def canonical_kmer(c: Column | str) -> Column:
     return F.least(F.translate(c, ALPHABET, FORWARD_CODE), F.translate(F.reverse(c), ALPHABET, REVERSE_CODE))
 
 
-def with_kmers(df: DataFrame, keep: list[str], text: str, k: int = KMER, canonical: bool = True) -> DataFrame:
+_FORWARD, _REVERSE = np.full(256, ord("-"), dtype=np.uint8), np.full(256, ord("-"), dtype=np.uint8)
+for _table, _digits in ((_FORWARD, FORWARD_CODE), (_REVERSE, REVERSE_CODE)):
+    _table[np.frombuffer(ALPHABET.encode(), dtype=np.uint8)] = np.frombuffer(_digits.encode(), dtype=np.uint8)
+#: Windows encoded at once in a task.
+_PORTION = 1 << 18
+
+
+def _encoded(texts: pa.StringArray, k: int, canonical: bool, only: Callable[[np.ndarray], np.ndarray] | None = None) -> Iterator[tuple[np.ndarray, np.ndarray, pa.Array]]:
+    """The text's number, the place and the code of each k-mer, some at a time; texts hold one byte a character."""
+    offsets = np.frombuffer(texts.buffers()[1], dtype=np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
+    raw = np.frombuffer(texts.buffers()[2], dtype=np.uint8)
+    forward, backward = _FORWARD[raw], _REVERSE[raw]
+    odd = np.concatenate([[0], np.cumsum(forward == ord("-"))])
+    begin, count = offsets[:-1], np.diff(offsets) - k + 1
+    ends = np.cumsum(count)
+    for low in range(0, int(ends[-1]), _PORTION):
+        n = np.arange(low, min(low + _PORTION, int(ends[-1])))
+        of = np.searchsorted(ends, n, "right")
+        pos = n - (ends[of] - count[of])
+        at = begin[of] + pos
+        good = odd[at + k] == odd[at]
+        of, pos, at = of[good], pos[good], at[good]
+        code = np.ascontiguousarray(sliding_window_view(forward, k)[at]).view(f"S{k}").ravel()
+        if canonical and len(code):
+            other = np.ascontiguousarray(sliding_window_view(backward, k)[at][:, ::-1]).view(f"S{k}").ravel()
+            code = np.where(other < code, other, code)
+        if only is not None and len(code):
+            chosen = only(code)
+            of, pos, code = of[chosen], pos[chosen], code[chosen]
+        places = np.arange(0, k * len(code) + 1, k, dtype=np.int32)
+        yield of, pos, pa.Array.from_buffers(pa.string(), len(code), [None, pa.py_buffer(places), pa.py_buffer(np.ascontiguousarray(code))])
+
+
+def with_kmers(df: DataFrame, keep: list[str], text: str, k: int = KMER, canonical: bool = True, only: Callable[[np.ndarray], np.ndarray] | None = None) -> DataFrame:
     """keep columns, pos (0-based) and kmer: every canonical k-mer of IUPAC letters in `text`, any case.
 
     Not canonical: the k-mers of the given strand only, in the same code.
     Another character ends all k-mers that would hold it. Null texts and texts shorter than k give no row.
-    Long texts are cut into pieces that overlap by k - 1 first, so the work stays linear in their length.
+    Arrow batches are encoded as arrays, some 0.2 million k-mers at a time, however long a text is. `only` picks, from an
+    array of codes, those to keep, before they become rows.
     """
-    text_ = F.regexp_replace(F.upper(text), f"[^{ALPHABET}]", "-")
-    df = df.select(*keep, text_.alias("_t")).filter(F.length("_t") >= k)
-
-    def piece(i: Column) -> Column:
-        p = F.substring(F.col("_t"), i * _PIECE + 1, F.lit(_PIECE + k - 1))
-        return F.struct((i * _PIECE).alias("base"), F.translate(p, ALPHABET, FORWARD_CODE).alias("f"), F.translate(F.reverse(p), ALPHABET, REVERSE_CODE).alias("r"))
-
-    pieces = F.explode(F.transform(F.sequence(F.lit(0), F.expr(f"cast((length(_t) - {k}) div {_PIECE} as int)")), piece))
-    df = df.select(*keep, pieces.alias("_p")).select(*keep, F.col("_p.base").alias("_base"), F.col("_p.f").alias("_f"), F.col("_p.r").alias("_r"))
-    n = F.length("_f")
-
-    def both(i: Column) -> Column:
-        forward = F.substring(F.col("_f"), i, F.lit(k))
-        return F.least(forward, F.substring(F.col("_r"), n - (k - 2) - i, F.lit(k))) if canonical else forward
-
-    df = df.select(*keep, "_base", F.posexplode(F.transform(F.sequence(F.lit(1), n - (k - 1)), both)).alias("_i", "kmer"))
-    return df.filter(~F.contains("kmer", F.lit("-"))).select(*keep, (F.col("_base") + F.col("_i")).cast("int").alias("pos"), "kmer")
+    df = df.select(*keep, F.regexp_replace(F.upper(text), f"[^{ALPHABET}]", "-").alias("_t")).filter(F.length("_t") >= k)
+
+    def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            for of, pos, kmer in _encoded(batch.column(batch.num_columns - 1), k, canonical, only):
+                rows = pa.array(of)
+                kept = [batch.column(i).take(rows) for i in range(batch.num_columns - 1)]
+                yield pa.RecordBatch.from_arrays([*kept, pa.array(pos.astype(np.int32)), kmer], [*keep, "pos", "kmer"])
+
+    fields = [df.schema[c] for c in keep] + [T.StructField("pos", T.IntegerType()), T.StructField("kmer", T.StringType())]
+    return df.mapInArrow(explode, T.StructType(fields))
 
 
 def normalized_read_id(c: Column | str) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -39,10 +39,13 @@ def read_ends(fragments: DataFrame) -> DataFrame:
 def kmer_hits(ends: DataFrame, kmers: DataFrame, k: int = KMER) -> DataFrame:
     """(ordinal, mate, pos): places of the ends' k-mers that are in the panel (left semi-join).
 
-    Each panel k-mer is one row, so no read k-mer multiplies; one that very many reads hold makes a skewed partition of
-    the reads' side, which adaptive execution splits.
+    The Bloom filter of the panel drops most k-mers of the reads inside the task that makes them, so that about the true
+    hits are shuffled to the exact join. Each panel k-mer is one row there, so no read k-mer multiplies; one that very
+    many reads hold makes a skewed partition of the reads' side, which adaptive execution splits.
     """
-    return with_kmers(ends, ["ordinal", "mate"], "sequence", k).join(kmers.select("kmer"), "kmer", "left_semi").select("ordinal", "mate", "pos")
+    kmers = checkpointed(kmers.select("kmer"))
+    reads = with_kmers(ends, ["ordinal", "mate"], "sequence", k, only=bloom_test(kmers))
+    return reads.join(kmers, "kmer", "left_semi").select("ordinal", "mate", "pos")
 
 
 def gate_states(ends: DataFrame, hits: DataFrame, masked: bool, k: int = KMER) -> DataFrame:
@@ -89,6 +92,7 @@ def gate(fragments: DataFrame, kmers: DataFrame, masked: bool = True) -> DataFra
 # ---- the probabilistic filter, for a bounded first look
 
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
+_MULTIPLIERS = np.random.default_rng(41).integers(1, 1 << 63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 HASHES = 4
 #: Bits of the filter's largest edition, 32 MB; it is only ever broadcast up to this.
 MOST_BITS = 1 << 28
@@ -99,9 +103,12 @@ def bloom_bits(kmers: int) -> int:
     return min(MOST_BITS, max(64, 1 << (16 * max(1, kmers) - 1).bit_length()))
 
 
-def bloom_places(kmers: pd.Series, bits: int) -> np.ndarray:
-    """The HASHES bit places of each k-mer, by double hashing of its digest's halves; a row a k-mer."""
-    h = pd.util.hash_array(kmers.to_numpy(dtype=object)).astype(np.uint64)
+def bloom_places(codes: np.ndarray, bits: int) -> np.ndarray:
+    """The HASHES bit places of each k-mer code (fixed-length bytes), by double hashing; a row a k-mer."""
+    letters = np.ascontiguousarray(codes).view(np.uint8).reshape(len(codes), -1)
+    h = letters.astype(np.uint64) @ _MULTIPLIERS[: letters.shape[1]]
+    h = (h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+    h ^= h >> np.uint64(29)
     h2 = (h ^ _GOLDEN) * np.uint64(0xD6E8FEB86659FD93)
     h2 = (h2 ^ (h2 >> np.uint64(32))) | np.uint64(1)
     return (h[:, None] + np.arange(HASHES, dtype=np.uint64)[None, :] * h2[:, None]) & np.uint64(bits - 1)
@@ -112,8 +119,11 @@ def bloom_words(kmers: DataFrame, bits: int) -> DataFrame:
 
     def places(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            p = np.unique(bloom_places(pdf["kmer"], bits).ravel())
-            yield pd.DataFrame({"word": (p >> np.uint64(6)).astype(np.int64), "value": (np.uint64(1) << (p & np.uint64(63))).view(np.int64)})
+            if len(pdf):
+                p = np.unique(bloom_places(np.array(pdf["kmer"], dtype="S"), bits).ravel())
+                word, first = np.unique(p >> np.uint64(6), return_index=True)
+                value = np.bitwise_or.reduceat(np.uint64(1) << (p & np.uint64(63)), first)
+                yield pd.DataFrame({"word": word.astype(np.int64), "value": value.view(np.int64)})
 
     return kmers.select("kmer").mapInPandas(places, "word long, value long").groupBy("word").agg(F.bit_or("value").alias("value"))
 
@@ -127,22 +137,21 @@ def bloom_summary(kmers: DataFrame) -> DataFrame:
     return rows.select(F.lit(n).cast("long").alias("inserted"), F.lit(bits).cast("long").alias("bits"), F.lit(HASHES).alias("hashes"), "fill", F.pow("fill", F.lit(float(HASHES))).alias("false_positive_rate"))
 
 
-def bloom_filtered(ends_kmers: DataFrame, kmers: DataFrame) -> DataFrame:
-    """Rows of ends_kmers whose kmer may be in kmers: no true hit is lost. The broadcast filter is at most 32 MB.
+def bloom_test(kmers: DataFrame) -> Callable[[np.ndarray], np.ndarray]:
+    """Whether each of an array of codes may be in kmers (all of one length): no true one is missed.
 
-    A panel of so many k-mers that this many bits would fill up passes more rows, never fewer.
+    The broadcast filter is at most 32 MB. A panel of so many k-mers that this many bits fill up lets more through,
+    never less. An empty panel lets nothing through.
     """
-    spark = kmers.sparkSession
     bits = bloom_bits(kmers.count())
     words = np.zeros(bits // 64, dtype=np.int64)
-    for r in bloom_words(kmers, bits).toPandas().itertuples():
-        words[r.word] = r.value
-    held = spark.sparkContext.broadcast(words)
+    found = bloom_words(kmers, bits).toArrow()
+    words[found.column("word").to_numpy()] = found.column("value").to_numpy()
+    held = kmers.sparkSession.sparkContext.broadcast(words)
 
-    @F.pandas_udf("boolean")
-    def may_contain(k: pd.Series) -> pd.Series:
-        p = bloom_places(k, bits)
+    def test(codes: np.ndarray) -> np.ndarray:
+        p = bloom_places(codes, bits)
         w = held.value.view(np.uint64)[(p >> np.uint64(6)).astype(np.int64)]
-        return pd.Series(((w >> (p & np.uint64(63))) & np.uint64(1)).all(axis=1))
+        return ((w >> (p & np.uint64(63))) & np.uint64(1)).all(axis=1)
 
-    return ends_kmers.filter(may_contain("kmer"))
+    return test

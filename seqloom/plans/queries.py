@@ -68,7 +68,8 @@ def kmer_semi_join(spark: SparkSession, d: str) -> DataFrame:
 @query
 def panel_hit_rank(spark: SparkSession, d: str) -> DataFrame:
     """Panel records ranked by the fragments that share a k-mer with them."""
-    reads = seq.with_kmers(gate.read_ends(_fragments(spark, d)), ["ordinal"], "sequence").select("ordinal", "kmer").distinct()
+    kmers = checkpointed(gate.panel_kmers(_records(spark, d)))
+    reads = seq.with_kmers(gate.read_ends(_fragments(spark, d)), ["ordinal"], "sequence", only=gate.bloom_test(kmers)).select("ordinal", "kmer").distinct()
     panel = seq.with_kmers(_records(spark, d).filter("not is_host"), ["rec_ordinal", "id"], "sequence").select("rec_ordinal", "id", "kmer").distinct()
     hits = panel.join(reads, "kmer").groupBy("rec_ordinal", "id").agg(F.count_distinct("ordinal").alias("fragments"), F.count(F.lit(1)).alias("kmer_hits"))
     down = hits.withColumns({"_f": -F.col("fragments"), "_k": -F.col("kmer_hits")})
@@ -85,8 +86,8 @@ def bloom_summary(spark: SparkSession, d: str) -> DataFrame:
 def bloom_probe(spark: SparkSession, d: str) -> DataFrame:
     """Fragments with a k-mer that the filter lets pass, and how many of these k-mers are truly in the panel."""
     kmers = checkpointed(gate.panel_kmers(_records(spark, d)))
-    ends = seq.with_kmers(gate.read_ends(_fragments(spark, d)), ["ordinal"], "sequence").select("ordinal", "kmer")
-    rows = gate.bloom_filtered(ends, kmers).join(kmers.select("kmer", F.lit(1).alias("held")), "kmer", "left")
+    ends = seq.with_kmers(gate.read_ends(_fragments(spark, d)), ["ordinal"], "sequence", only=gate.bloom_test(kmers)).select("ordinal", "kmer")
+    rows = ends.join(kmers.select("kmer", F.lit(1).alias("held")), "kmer", "left")
     return rows.groupBy("ordinal").agg(F.count(F.lit(1)).alias("passed"), F.count("held").alias("held"))
 
 
