@@ -21,22 +21,22 @@ from seqloom.common import checkpointed, letters
 
 
 def canonical_fasta(fasta: DataFrame) -> DataFrame:
-    """(tbl, canon, key): the letters of each record; rows without any letter, or with a null, are left out."""
-    return fasta.select(F.lit("fasta").alias("tbl"), letters("sequence").alias("canon"), F.col("rec_ordinal").cast("long").alias("key")).filter(F.length("canon") > 0)
+    """(tbl, canon, key): the letters of each record; rows without any letter, with a null sequence or a null key are left out."""
+    return fasta.select(F.lit("fasta").alias("tbl"), letters("sequence").alias("canon"), F.col("rec_ordinal").cast("long").alias("key")).filter((F.length("canon") > 0) & F.col("key").isNotNull())
 
 
 def canonical_groups(groups: DataFrame) -> DataFrame:
     """(tbl, canon, key): the id and the sorted set of member ids, lower-cased, only a-z and 0-9 kept.
 
     Packed elements are split at ; and , first. Elements that are null, or empty once cleaned, are no members.
-    A row with a null in either column is left out; an empty member list is an ordinary (empty) set.
+    A row with a null in either column, or a null key, is left out; an empty member list is an ordinary (empty) set.
     """
     clean = lambda c: F.regexp_replace(F.lower(c), "[^a-z0-9]", "")
     parts = F.flatten(F.transform(F.filter("member_ids", lambda m: m.isNotNull()), lambda m: F.split(m, "[;,]")))
     members = F.array_sort(F.array_distinct(F.filter(F.transform(parts, clean), lambda m: m != "")))
     canon = F.concat(clean(F.col("target_group_id")), F.lit("|"), F.array_join(members, ","))
     rows = groups.filter(F.col("target_group_id").isNotNull() & F.col("member_ids").isNotNull())
-    return rows.select(F.lit("reference_groups").alias("tbl"), canon.alias("canon"), F.col("group_ordinal").cast("long").alias("key"))
+    return rows.select(F.lit("reference_groups").alias("tbl"), canon.alias("canon"), F.col("group_ordinal").cast("long").alias("key")).filter("key is not null")
 
 
 def _runs(batch: pa.RecordBatch, last: tuple | None, start: int | None) -> tuple[np.ndarray, tuple, int]:

@@ -97,14 +97,16 @@ def leaks(documents: DataFrame, items: DataFrame, words: int = WORDS, block_char
     """(doc_id, item_id, longest, word_offset): documents that share `words` or more consecutive words with an item.
 
     longest is the length in words of the longest verbatim match, word_offset its (first) place in the document.
-    Null texts and texts with fewer words match nothing. Repeated doc_ids give a row for each row that matches.
+    Null texts, rows with a null id, and texts with fewer words match nothing. Repeated doc_ids give a row for each row
+    that matches.
     """
-    sizes = items.filter("text is not null").select("item_id", F.length("text").alias("n"))
+    items = items.filter("text is not null and item_id is not null")
+    sizes = items.select("item_id", F.length("text").alias("n"))
     total = sizes.agg(F.sum("n")).first()[0] or 0
     blocks = -(-total // block_chars) or 1
     out = None
     for b in range(blocks):
-        mine = items.filter("text is not null").filter(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b)
+        mine = items.filter(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b)
         tests = documents.sparkSession.sparkContext.broadcast(_Tests([(r.item_id, r.text) for r in mine.select("item_id", "text").orderBy("item_id").collect()], words))
 
         def search(batches: Iterator[pa.RecordBatch], tests=tests) -> Iterator[pa.RecordBatch]:
@@ -112,7 +114,7 @@ def leaks(documents: DataFrame, items: DataFrame, words: int = WORDS, block_char
                 found = tests.value.search(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist())
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in found], ["doc_id", "item_id", "longest", "word_offset"])
 
-        part = documents.select("doc_id", "text").filter("text is not null").mapInArrow(search, "doc_id long, item_id long, longest long, word_offset long")
+        part = documents.select("doc_id", "text").filter("text is not null and doc_id is not null").mapInArrow(search, "doc_id long, item_id long, longest long, word_offset long")
         out = part if out is None else out.unionByName(part)
     return out
 

@@ -32,7 +32,7 @@ def ledger_sample(fragments: DataFrame, ledger: DataFrame, rate: float = GROWTH_
     piece counts as piece -1 and a null run as a run of its own. Rows with a null ordinal are no fragments.
     """
     once = fragments.filter(F.col("ordinal").isNotNull()).groupBy("ordinal").agg(F.min("run_id").alias("run_id"), F.min(F.coalesce("piece_no", F.lit(-1))).alias("piece_no"))
-    all_rows = once.join(ledger, "ordinal", "left")
+    all_rows = once.join(ledger.select("ordinal", "key"), "ordinal", "left")
     kept = all_rows.filter(F.col("key").isNotNull()).select("ordinal", "run_id", "piece_no", F.lit("ledger").alias("origin"), F.col("key").alias("priority"))
     unseen = all_rows.filter(F.col("key").isNull()).select("ordinal", "run_id", "piece_no", F.sha2(F.concat(F.lit(f"{seed}|"), F.col("ordinal").cast("string")), 256).alias("priority"))
     quotas = all_rows.groupBy("run_id", "piece_no").agg((F.ceil(F.count(F.lit(1)) * F.lit(float(rate))) - F.count("key")).alias("quota")).filter("quota > 0")

@@ -13,7 +13,7 @@ from seqloom.llm.tokens import encoder, vocabulary_path
 def test_packing_keeps_everything(spark):
     rng = random.Random(1)
     sizes = [rng.choice([0, 1, 7, 100, 512, 513, 1024, 1500, 5000, rng.randrange(1, 600)]) for _ in range(700)]
-    rows = [(i, n, 1) for i, n in enumerate(sizes)] + [(1000, None, 1)] + [(7, sizes[7], 1)] * 300
+    rows = [(i, n, 1) for i, n in enumerate(sizes)] + [(1000, None, 1)] + [(7, sizes[7], 1)] * 300 + [(None, 5, 1)]
     df = spark.createDataFrame(rows, "doc_id long, n_tokens long, shard int")
     got = packing.pack(df, 512, neighbourhood=100).collect()
     whole = sum(n or 0 for _, n, _ in rows)
@@ -72,9 +72,9 @@ def test_leaks_equal_brute_force(spark):
             a, n = rng.randrange(0, len(own)), rng.choice([5, 11, 12, 13, 60])
             body += own[a : a + n] + phrase(5)
         docs.append((i, rng.choice([" ", "\\n", "\\\\n# ", ", ", "\r\n"]).join(body)))
-    docs += [(100, None), (101, ""), (102, "a b"), (0, docs[1][1])]
+    docs += [(100, None), (101, ""), (102, "a b"), (0, docs[1][1]), (None, docs[1][1])]
     want = {}
-    for d, t in docs:
+    for d, t in docs[:-1]:
         own = words(t or "")
         for k, item in enumerate(items):
             w = words(" ".join(item))
@@ -83,13 +83,13 @@ def test_leaks_equal_brute_force(spark):
                 best = max(n for i in range(len(own)) for j in range(len(w)) for n in [next((x for x in range(min(len(own) - i, len(w) - j)) if own[i + x] != w[j + x]), min(len(own) - i, len(w) - j))])
                 want.setdefault((d, k), set()).add(best)
     texts = spark.createDataFrame([(*d, 5) for d in docs], "doc_id long, text string, item_id int")
-    tests = spark.createDataFrame([(k, " ".join(i)) for k, i in enumerate(items)] + [(90, "too short"), (91, None)], "item_id long, text string")
+    tests = spark.createDataFrame([(k, " ".join(i)) for k, i in enumerate(items)] + [(90, "too short"), (91, None), (None, " ".join(items[0]))], "item_id long, text string")
     for block in (leakage.BLOCK_CHARS, 900):
         got = leakage.leaks(texts, tests, block_chars=block).collect()
         assert {(r.doc_id, r.item_id) for r in got} == set(want)
         assert all(r.longest in want[r.doc_id, r.item_id] for r in got)
     found = leakage.leaks(texts, tests)
-    assert {r.doc_id for r in leakage.without_leaks(texts, found).collect()} == {d for d, _ in docs} - {d for d, _ in want}
+    assert {r.doc_id for r in leakage.without_leaks(texts.filter("doc_id is not null"), found).collect()} == {d for d, _ in docs if d is not None} - {d for d, _ in want}
     assert leakage.leaks(texts.filter("false"), tests).count() == 0 and leakage.leaks(texts, tests.filter("false")).count() == 0
 
 
@@ -117,7 +117,7 @@ TEXTS = [
 def test_splitting_round_trip(spark, limit, overlap):
     enc = encoder(vocabulary_path())
     texts = [t if t is None else t.encode("utf-8", "replace").decode() for t in TEXTS]
-    df = spark.createDataFrame([(i, t, 1) for i, t in enumerate(texts)], "doc_id long, text string, piece_no int")
+    df = spark.createDataFrame([(i, t, 1) for i, t in enumerate(texts)] + [(None, "word " * 200, 1)], "doc_id long, text string, piece_no int")
     got = {}
     for r in splitting.split_long(df, limit, overlap).collect():
         got.setdefault(r.doc_id, []).append(r)
