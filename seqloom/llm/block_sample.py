@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from seqloom.common import checkpointed
+from seqloom.common import bottom_k_per_group, checkpointed
 
 SEED = 20250301
 
@@ -92,6 +92,7 @@ def block_sample(fragments: DataFrame, design: DataFrame, seed: int = SEED) -> D
         if drawn.join(got, "run_id", "left").filter(F.coalesce("got", F.lit(0)) < F.col("capacity")).isEmpty():
             break
         rate *= 2
-    rank = F.row_number().over(Window.partitionBy("run_id").orderBy("draw"))
-    chosen = accepted.join(drawn.select("run_id", "capacity"), "run_id").withColumn("rank", rank).filter("rank <= capacity")
+    # The first `capacity` accepting draws: ranges of 65536 draws are counted, and only the one that holds the cut is ranked.
+    ranged = accepted.join(drawn.select("run_id", "capacity"), "run_id").withColumn("place", F.lpad(F.hex("draw"), 16, "0"))
+    chosen = bottom_k_per_group(ranged, ["run_id"], "place", "ordinal", "capacity", digits=12)
     return whole.unionByName(chosen.select("run_id", "ordinal", "draw"))
