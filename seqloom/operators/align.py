@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -12,9 +12,12 @@ from pyspark.sql import functions as F
 from seqloom.constants import GAP_EXTEND, GAP_OPEN, KMER, MATCH, MIN_COVERED, MIN_HITS, MIN_SCORE, MISMATCH
 from seqloom.functions.dust import dust_udf
 from seqloom.functions.seq import reverse_complement, with_kmers
+from seqloom.operators import gate
 
 #: Diagonals to either side of a chain's that the alignment may visit.
 BAND = 12
+#: Bits a contig k-mer below which a filter of bounded size would let nearly all through.
+FILTER_BITS = 4
 
 
 def both_strands(ends: DataFrame) -> DataFrame:
@@ -23,19 +26,36 @@ def both_strands(ends: DataFrame) -> DataFrame:
     return ends.select("ordinal", "mate", F.inline(F.array(F.struct(F.lit("+").alias("strand"), up.alias("sequence")), F.struct(F.lit("-").alias("strand"), reverse_complement(up).alias("sequence")))))
 
 
+def _masked_strands(ends: DataFrame, k: int) -> DataFrame:
+    """both_strands() of ends of k letters or more, with the low-complexity mask of each; it is symmetric, so one strand's is mirrored."""
+    rows = ends.filter(F.length("sequence") >= k).select("ordinal", "mate", F.upper("sequence").alias("up"), dust_udf("sequence").alias("mask"))
+    size = F.length("up")
+    mirrored = F.transform("mask", lambda m: F.struct((size - m.end).alias("start"), (size - m.start).alias("end")))
+    strand = lambda name, text, mask: F.struct(F.lit(name).alias("strand"), text.alias("sequence"), mask.alias("mask"))
+    return rows.select("ordinal", "mate", F.inline(F.array(strand("+", F.col("up"), F.col("mask")), strand("-", reverse_complement("up"), mirrored))))
+
+
+def _prefilter(contigs: DataFrame, refs: DataFrame, k: int) -> Callable[[np.ndarray], np.ndarray] | None:
+    """A test that drops most k-mers no contig holds; none where the contigs are too long for a bounded filter to tell."""
+    most = contigs.agg(F.coalesce(F.sum(F.greatest(F.length("sequence") - (k - 1), F.lit(0)).cast("long")), F.lit(0))).first()[0]
+    return gate.bloom_test(refs.select("kmer"), most) if most * FILTER_BITS <= gate.MOST_BITS else None
+
+
 def diagonal_chains(ends: DataFrame, contigs: DataFrame, k: int = KMER, min_hits: int = MIN_HITS, min_covered: int = MIN_COVERED, masked: bool = False) -> DataFrame:
     """(ordinal, mate, strand, name, diagonal, seeds, covered): seeds of one end on one diagonal of a contig, if they are enough.
 
     A seed is a k-mer of the oriented read at the same distance (diagonal = contig place - read place) in the contig;
     covered is the union length of the seeds on the read. Pairs of read and contig without a common k-mer never meet.
+    Read k-mers that a Bloom filter of the contigs rules out are dropped in the task that makes them, before the shuffle.
     masked: no seed starts in a low-complexity stretch of the read; such k-mers meet themselves at very many places.
     """
-    reads = with_kmers(both_strands(ends), ["ordinal", "mate", "strand"], "sequence", k, canonical=False)
+    refs = with_kmers(contigs, ["name"], "sequence", k, canonical=False).select("name", F.col("pos").alias("at"), "kmer")
+    only = _prefilter(contigs, refs, k)
     if masked:
-        masks = both_strands(ends).filter(F.length("sequence") >= k).select("ordinal", "mate", "strand", dust_udf("sequence").alias("mask")).filter(F.size("mask") > 0)
         inside = F.exists("mask", lambda m: (m.start <= F.col("pos")) & (F.col("pos") < m.end))
-        reads = reads.join(masks, ["ordinal", "mate", "strand"], "left").filter(~F.coalesce(inside, F.lit(False))).drop("mask")
-    refs = with_kmers(contigs, ["name"], "sequence", k, canonical=False).select("name", F.col("pos").alias("at"), "kmer")
+        reads = with_kmers(_masked_strands(ends, k), ["ordinal", "mate", "strand", "mask"], "sequence", k, canonical=False, only=only).filter(~inside).drop("mask")
+    else:
+        reads = with_kmers(both_strands(ends), ["ordinal", "mate", "strand"], "sequence", k, canonical=False, only=only)
     seeds = reads.join(refs, "kmer").select("ordinal", "mate", "strand", "name", (F.col("at") - F.col("pos")).alias("diagonal"), "pos")
     keys = ["ordinal", "mate", "strand", "name", "diagonal"]
     before = F.lag("pos").over(Window.partitionBy(*keys).orderBy("pos"))

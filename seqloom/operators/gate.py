@@ -137,13 +137,15 @@ def bloom_summary(kmers: DataFrame) -> DataFrame:
     return rows.select(F.lit(n).cast("long").alias("inserted"), F.lit(bits).cast("long").alias("bits"), F.lit(HASHES).alias("hashes"), "fill", F.pow("fill", F.lit(float(HASHES))).alias("false_positive_rate"))
 
 
-def bloom_test(kmers: DataFrame) -> Callable[[np.ndarray], np.ndarray]:
+def bloom_test(kmers: DataFrame, count: int | None = None) -> Callable[[np.ndarray], np.ndarray]:
     """Whether each of an array of codes may be in kmers (all of one length): no true one is missed.
 
+    count: the number of kmers or more, where it is known; else they are counted.
+
     The broadcast filter is at most 32 MB. A panel of so many k-mers that this many bits fill up lets more through,
     never less. An empty panel lets nothing through.
     """
-    bits = bloom_bits(kmers.count())
+    bits = bloom_bits(kmers.count() if count is None else count)
     words = np.zeros(bits // 64, dtype=np.int64)
     found = bloom_words(kmers, bits).toArrow()
     words[found.column("word").to_numpy()] = found.column("value").to_numpy()

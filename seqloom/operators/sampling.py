@@ -28,6 +28,12 @@ def keyed(fragments: DataFrame) -> DataFrame:
     return rows.withColumn("key", priority_key("id", "ordinal"))
 
 
+def keyed_reads(fragments: DataFrame) -> DataFrame:
+    """(ordinal, run_id, r1, r2, id, key): keyed() and the fragment's reads, in one shuffle."""
+    once = [F.min("run_id").alias("run_id"), F.min("r1").alias("r1"), F.min("r2").alias("r2"), F.min(F.coalesce(normalized_read_id("id"), F.lit(""))).alias("id")]
+    return fragments.filter("ordinal is not null").groupBy("ordinal").agg(*once).withColumn("key", priority_key("id", "ordinal"))
+
+
 def bottom_k(rows: DataFrame, k: int, key: str = "key", tie: str = "ordinal") -> DataFrame:
     """The k rows of the smallest (key, tie); all of them if there are fewer. No row passes through the driver.
 
@@ -57,10 +63,10 @@ def design_scalars(design: DataFrame, rows: DataFrame, verdicts: DataFrame) -> D
     """(run_id, mode, precision, input_fragments, population, selected, selection_probability, expected_support) of each run.
 
     The population is counted, never taken from what a run declared: all its fragments in screen mode, those that pass
-    in full mode. selection_probability is 0 for an empty population; expected_support is null then. An unknown
+    in full mode; runs in screen mode need no verdicts. selection_probability is 0 for an empty population; expected_support is null then. An unknown
     precision has no expected support either.
     """
-    per = rows.select("ordinal", "run_id").join(verdicts, "ordinal").groupBy("run_id").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("verdict") == "Pass").alias("passed"))
+    per = rows.select("ordinal", "run_id").join(verdicts, "ordinal", "left").groupBy("run_id").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("verdict") == "Pass").alias("passed"))
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("long")
     d = design.select("run_id", F.lower("mode").alias("mode"), F.lower("precision").alias("precision"), "capacity").join(per, "run_id", "left")
     d = d.withColumn("input_fragments", zero("n")).withColumn("population", F.when(F.col("mode") == "full", zero("passed")).otherwise(zero("n")))

@@ -45,20 +45,25 @@ def analyse(fasta: DataFrame, fragments: DataFrame, design: DataFrame, mode: str
 def analyse_indexed(groups: DataFrame, contigs: DataFrame, kmers: DataFrame, fragments: DataFrame, design: DataFrame, mode: str | None = None, masked: bool = True) -> tuple[DataFrame, DataFrame]:
     """The same from an index's tables; and the runs' figures (design_scalars with passed, aligned_fragments and input_mode).
 
-    screen samples and then gates, full gates and then samples: the two differ in what the sample stands for.
+    screen samples and then gates, full gates and then samples: the two differ in what the sample stands for. So the gate
+    sees the sample alone in screen mode and all fragments of a run in full mode; passed and not_evaluable count over these.
     """
-    reads = checkpointed(gate.fragments_once(fragments))
-    verdicts = checkpointed(gate.gate(reads, kmers, masked))
-    keyed = sampling.keyed(fragments)
+    reads = checkpointed(sampling.keyed_reads(fragments))
+    keyed = reads.select("ordinal", "run_id", "id", "key")
     design = design.withColumn("mode", F.lower(F.lit(mode) if mode else F.col("mode")))
+    by_full = design.filter("mode = 'full' and run_id is not null").select("run_id").distinct()
+    screened = sampling.bottom_k_by_run(keyed, design.filter("mode = 'screen'")).select("ordinal", "run_id")
+    screened = checkpointed(screened.join(by_full, "run_id", "left_anti"))
+    gated = reads.join(screened.select("ordinal"), "ordinal", "left_semi").unionByName(reads.join(by_full, "run_id", "left_semi").select(reads.columns))
+    verdicts = checkpointed(gate.gate(gated, kmers, masked))
     passing = keyed.join(verdicts.filter("verdict = 'Pass'").select("ordinal"), "ordinal", "left_semi")
-    first = sampling.bottom_k_by_run(keyed, design.filter("mode = 'screen'")).join(verdicts, "ordinal")
-    sampled = first.select("ordinal", "run_id", "verdict").unionByName(sampling.bottom_k_by_run(passing, design.filter("mode = 'full'")).select("ordinal", "run_id", F.lit("Pass").alias("verdict")))
-    sampled = checkpointed(sampled)
-    selected = checkpointed(reads.join(sampled.filter("verdict = 'Pass'").select("ordinal"), "ordinal"))
+    drawn = sampling.bottom_k_by_run(passing, design.filter("mode = 'full'"))
+    sampled = screened.select("ordinal").unionByName(drawn.select("ordinal"))
+    sampled = sampled.join(verdicts.filter("verdict = 'Pass'").select("ordinal"), "ordinal", "left_semi")
+    selected = checkpointed(reads.join(sampled, "ordinal", "left_semi"))
     hits = checkpointed(align(gate.read_ends(selected), contigs))
     kinds = reads.groupBy("run_id").agg(F.when(F.count("r2") == 0, "SE").when(F.count("r2") == F.count(F.lit(1)), "PE").otherwise("MIXED").alias("input_mode"))
-    passed = sampled.groupBy("run_id").agg(F.count_if(F.col("verdict") == "Pass").alias("passed"), F.count_if(F.col("verdict") == "NotEvaluable").alias("not_evaluable"))
+    passed = verdicts.join(keyed.select("ordinal", "run_id"), "ordinal").groupBy("run_id").agg(F.count_if(F.col("verdict") == "Pass").alias("passed"), F.count_if(F.col("verdict") == "NotEvaluable").alias("not_evaluable"))
     found = evidence.run_counters(adjudicate.fragment_evidence(hits).join(reads.select("ordinal", "run_id"), "ordinal"), ["run_id"])
     scalars = sampling.design_scalars(design, keyed, verdicts).join(kinds, "run_id", "left").join(passed, "run_id", "left").join(found, "run_id", "left")
     scalars = checkpointed(scalars.fillna(0, ["passed", "not_evaluable", "aligned_fragments", "unassigned_fragments"]))

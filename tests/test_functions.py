@@ -7,7 +7,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from seqloom.functions import dust, seq, stats
+from seqloom.functions import dust, registry, seq, stats
 from seqloom.sources import report
 
 
@@ -137,3 +137,13 @@ def test_names(spark):
 
 def test_all_mates_of_verdict_columns():
     assert len(report.COLUMNS) == 24 and len(set(itertools.chain(report.COLUMNS))) == 24
+
+
+def test_functions_by_name_in_sql(spark):
+    registry.register_functions(spark)
+    r = spark.sql("SELECT revcomp('acgtm') AS rc, canonical_kmer('TTTT') AS c, kmers('acgXacgt', 3) AS k, kmers('AC', 3) AS none, kmers(CAST(NULL AS STRING), 3) AS lost, dust_intervals(repeat('A', 200)) AS d").first()
+    assert (r.rc, r.c, r.none, r.lost) == ("KACGT", "0000", [], None)
+    assert [tuple(x) for x in r.k] == [(0, "012"), (4, "012"), (5, "012")]  # CGT is ACG on the other strand
+    assert [tuple(x) for x in r.d] == [(0, 200)]
+    r = spark.sql("SELECT hypergeom_interval(1000, 100, 10, 0.05D) AS i, sample_capacity(20560L, 'standard') AS n, sample_capacity(0L, 'standard') AS no, outward_pct_lower(1.0D) AS lo, outward_pct_upper(1.0D) AS hi").first()
+    assert (tuple(r.i), r.n, r.no, r.lo, r.hi) == ((51, 173), 1_292_678, None, "99.9999999999", "100")

@@ -149,6 +149,11 @@ def test_nothing_found_and_failure(spark, panel, home):
     assert row["sample_id"] == "short" and row["input_fragments"] == "100" and row["reference_id"] == ""
     with open(f"{home}/out_none/perf.json") as f:
         assert json.load(f)["reason_codes"] == "TARGET_KMER_NOT_EVALUABLE_INPUT_FRAGMENTS=100"
+    # full mode gates all fragments: it counts those it can't evaluate although none is sampled
+    cli.run(spark, put(f"{home}/some.fq", fq([TARGET[:20]] * 5 + [TARGET[:120]] * 3)), None, panel, f"{home}/out_some", "full")
+    with open(f"{home}/out_some/perf.json") as f:
+        figures = json.load(f)
+    assert figures["reason_codes"] == "TARGET_KMER_NOT_EVALUABLE_INPUT_FRAGMENTS=5" and figures["passed"] == figures["selected"] == 3
     with pytest.raises(Exception):  # noqa: B017
         cli.run(spark, put(f"{home}/cut.fq", "@a\nAC\n"), None, panel, f"{home}/out_bad")
     assert os.listdir(f"{home}/out_bad") == ["perf.json"]
