@@ -51,8 +51,10 @@ def stream_bottom_k(fragments: DataFrame, design: DataFrame, trigger: dict | Non
 
 
 def stream_window_counts(fragments: DataFrame, width: str = "6 hours", delay: str = "7 days") -> DataFrame:
-    """(run_id, window_start, fragments, reads): arrivals by run and window of arrival time, once each window is closed or the stream ends.
+    """(run_id, window_start, fragments, reads): arrivals by run and window of arrival time, once the watermark has closed the window.
 
+    Windows of the last `delay` before the newest arrival are still open when the given pieces are used up: they stay in
+    the stream's state, as later pieces may add to them, and are no rows of the result.
     Rows later than `delay` behind the newest are dropped by the watermark, as are rows without an arrival time. A
     fragment delivered again within the watermark, at the same time, counts once.
     """
