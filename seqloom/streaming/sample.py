@@ -50,20 +50,30 @@ def stream_bottom_k(fragments: DataFrame, design: DataFrame, trigger: dict | Non
     return spark.read.parquet(f"{home}/state-{max(done)}")
 
 
-def stream_window_counts(fragments: DataFrame, width: str = "6 hours", delay: str = "7 days") -> DataFrame:
-    """(run_id, window_start, fragments, reads): arrivals by run and window of arrival time, once the watermark has closed the window.
+def stream_window_counts(fragments: DataFrame, width: str = "6 hours") -> DataFrame:
+    """(run_id, window_start, fragments, reads): arrivals of all pieces of the stream by run and window of arrival time.
 
-    Windows of the last `delay` before the newest arrival are still open when the given pieces are used up: they stay in
-    the stream's state, as later pieces may add to them, and are no rows of the result.
-    Rows later than `delay` behind the newest are dropped by the watermark, as are rows without an arrival time. A
-    fragment delivered again within the watermark, at the same time, counts once.
+    Equal to the counts over the whole table, however its rows are ordered and its files batched: no watermark drops a
+    late row or holds back a window. A fragment delivered again at the same time counts once, at another time again;
+    rows without an arrival time are in no window. Each batch writes its own arrivals, once each, under its number, so
+    one replayed after a failure counts once; arrivals that repeat between batches are merged where they are counted.
     """
     spark = fragments.sparkSession
     ensure_checkpoint_dir(spark)
     home = f"{spark.sparkContext.getCheckpointDir()}/stream-{uuid.uuid4().hex}"
-    rows = fragments.withColumn("arrived_at", F.col("arrived_at").cast("timestamp")).filter("arrived_at is not null").withWatermark("arrived_at", delay).dropDuplicatesWithinWatermark(["ordinal", "arrived_at"])
-    counts = rows.groupBy("run_id", F.window("arrived_at", width)).agg(F.count(F.lit(1)).alias("fragments"), F.sum(F.when(F.col("r2").isNull(), 1).otherwise(2)).alias("reads"))
-    out = counts.select("run_id", F.col("window.start").alias("window_start"), "fragments", "reads")
-    query = out.writeStream.outputMode("append").format("parquet").option("path", f"{home}/out").option("checkpointLocation", f"{home}/log").trigger(availableNow=True).start()
+    rows = fragments.withColumn("arrived_at", F.col("arrived_at").cast("timestamp")).filter("arrived_at is not null").select("ordinal", "arrived_at", "run_id", F.col("r2").isNotNull().alias("paired"))
+
+    def once(arrivals: DataFrame) -> DataFrame:
+        return arrivals.groupBy("ordinal", "arrived_at").agg(F.min("run_id").alias("run_id"), F.bool_or("paired").alias("paired"))
+
+    done: list[int] = []
+
+    def keep(batch: DataFrame, number: int) -> None:
+        once(batch).write.mode("overwrite").parquet(f"{home}/arrivals/batch={number}")
+        done.append(number)
+
+    query = rows.writeStream.foreachBatch(keep).option("checkpointLocation", f"{home}/log").trigger(availableNow=True).start()
     query.awaitTermination()
-    return spark.read.schema(out.schema).parquet(f"{home}/out")
+    arrivals = spark.read.schema(rows.schema).parquet(f"{home}/arrivals/batch=*") if done else spark.createDataFrame([], rows.schema)
+    counts = once(arrivals).groupBy("run_id", F.window("arrived_at", width)).agg(F.count(F.lit(1)).alias("fragments"), F.sum(F.when(F.col("paired"), 2).otherwise(1)).alias("reads"))
+    return counts.select("run_id", F.col("window.start").alias("window_start"), "fragments", "reads")

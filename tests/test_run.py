@@ -170,3 +170,19 @@ def test_stream_equals_batch(spark, data):
     for d in (data, os.path.dirname(folder)):
         stream = streaming.stream_table(spark, d, "fragments", files_per_batch=2)
         assert {(r.ordinal, r.key) for r in streaming.stream_bottom_k(stream, design).collect()} == batch
+
+
+def test_window_counts_are_whole(spark, data):
+    """Seven unordered files in batches of two, and one file: the same as a plain group-by over all rows."""
+    folder = tempfile.mkdtemp() + "/fragments.parquet"
+    table(spark, data, "fragments").orderBy(F.desc("arrived_at")).coalesce(1).write.option("maxRecordsPerFile", 160).parquet(folder)
+    assert len([f for f in os.listdir(folder) if f.endswith(".parquet")]) > 4
+    table(spark, data, "fragments").createOrReplaceTempView("all_fragments")
+    plain = """select run_id, floor(unix_seconds(at) / 21600) as w, count(*) as fragments, sum(ends) as reads from
+      (select ordinal, cast(arrived_at as timestamp) as at, min(run_id) as run_id, max(if(r2 is null, 1, 2)) as ends from all_fragments where arrived_at is not null group by 1, 2) group by 1, 2"""
+    want = {tuple(r) for r in spark.sql(plain).collect()}
+    for d in (data, os.path.dirname(folder)):
+        got = streaming.stream_window_counts(streaming.stream_table(spark, d, "fragments", files_per_batch=2))
+        assert {tuple(r) for r in got.select("run_id", F.floor(F.unix_seconds("window_start") / 21600), "fragments", "reads").collect()} == want
+    empty = streaming.stream_table(spark, data, "fragments").filter("false")
+    assert streaming.stream_window_counts(empty).count() == 0
