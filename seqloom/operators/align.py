@@ -6,7 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from seqloom.constants import GAP_EXTEND, GAP_OPEN, KMER, MATCH, MIN_COVERED, MIN_HITS, MIN_SCORE, MISMATCH
@@ -41,12 +41,11 @@ def _prefilter(contigs: DataFrame, refs: DataFrame, k: int) -> Callable[[np.ndar
     return gate.bloom_test(refs.select("kmer"), most) if most * FILTER_BITS <= gate.MOST_BITS else None
 
 
-def diagonal_chains(ends: DataFrame, contigs: DataFrame, k: int = KMER, min_hits: int = MIN_HITS, min_covered: int = MIN_COVERED, masked: bool = False) -> DataFrame:
-    """(ordinal, mate, strand, name, diagonal, seeds, covered): seeds of one end on one diagonal of a contig, if they are enough.
+def _seeds(ends: DataFrame, contigs: DataFrame, k: int, masked: bool) -> DataFrame:
+    """(ordinal, mate, strand, name, diagonal, pos): each k-mer of an oriented end that a contig holds, at each of its places there.
 
-    A seed is a k-mer of the oriented read at the same distance (diagonal = contig place - read place) in the contig;
-    covered is the union length of the seeds on the read. Pairs of read and contig without a common k-mer never meet.
-    Read k-mers that a Bloom filter of the contigs rules out are dropped in the task that makes them, before the shuffle.
+    Pairs of read and contig without a common k-mer never meet. Read k-mers that a Bloom filter of the contigs rules out
+    are dropped in the task that makes them, before the shuffle.
     masked: no seed starts in a low-complexity stretch of the read; such k-mers meet themselves at very many places.
     """
     refs = with_kmers(contigs, ["name"], "sequence", k, canonical=False).select("name", F.col("pos").alias("at"), "kmer")
@@ -56,22 +55,62 @@ def diagonal_chains(ends: DataFrame, contigs: DataFrame, k: int = KMER, min_hits
         reads = with_kmers(_masked_strands(ends, k), ["ordinal", "mate", "strand", "mask"], "sequence", k, canonical=False, only=only).filter(~inside).drop("mask")
     else:
         reads = with_kmers(both_strands(ends), ["ordinal", "mate", "strand"], "sequence", k, canonical=False, only=only)
-    seeds = reads.join(refs, "kmer").select("ordinal", "mate", "strand", "name", (F.col("at") - F.col("pos")).alias("diagonal"), "pos")
+    return reads.join(refs, "kmer").select("ordinal", "mate", "strand", "name", (F.col("at") - F.col("pos")).alias("diagonal"), "pos")
+
+
+def diagonal_chains(ends: DataFrame, contigs: DataFrame, k: int = KMER, min_hits: int = MIN_HITS, min_covered: int = MIN_COVERED, masked: bool = False) -> DataFrame:
+    """(ordinal, mate, strand, name, diagonal, seeds, covered): seeds of one end on one diagonal of a contig, if they are enough.
+
+    A seed is a k-mer of the oriented read at the same distance (diagonal = contig place - read place) in the contig;
+    covered is the union length of the seeds on the read.
+    """
+    seeds = _seeds(ends, contigs, k, masked)
     keys = ["ordinal", "mate", "strand", "name", "diagonal"]
     before = F.lag("pos").over(Window.partitionBy(*keys).orderBy("pos"))
     rows = seeds.withColumn("new", F.least(F.lit(k), F.coalesce(F.col("pos") - before, F.lit(k))))
     return rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("seeds"), F.sum("new").alias("covered")).filter((F.col("seeds") >= min_hits) & (F.col("covered") >= min_covered))
 
 
+def band_chains(ends: DataFrame, contigs: DataFrame, k: int = KMER, min_hits: int = MIN_HITS, min_covered: int = MIN_COVERED, masked: bool = False) -> DataFrame:
+    """(ordinal, mate, strand, name, diagonal, anchor): every place at which an alignment of an end with a contig must be tried.
+
+    A place is a run of seeds on one diagonal, anchor the read place of its first seed. A run ends where the best
+    alignment through it might, too: k * MATCH outweighs that many mismatches, so seeds less far apart are always joined.
+    It stands if its seeds are enough, alone or together with those of another run in the same order on read and
+    contig, whose diagonal is at most BAND away: the two sides of an insertion or a deletion.
+    """
+    keys = ["ordinal", "mate", "strand", "name"]
+    by_place = Window.partitionBy(*keys, "diagonal").orderBy("pos")
+    gap = F.col("pos") - F.lag("pos").over(by_place)
+    rows = _seeds(ends, contigs, k, masked).withColumn("gap", gap)
+    rows = rows.withColumn("run", F.sum(F.when(F.col("gap") <= k + k * MATCH // -MISMATCH, 0).otherwise(1)).over(by_place)).withColumn("new", F.least(F.lit(k), F.coalesce("gap", F.lit(k))))
+    runs = rows.groupBy(*keys, "diagonal", "run").agg(F.min("pos").alias("anchor"), F.max("pos").alias("last"), F.count(F.lit(1)).alias("seeds"), F.sum("new").alias("covered"))
+    runs = runs.groupBy(*keys).agg(F.collect_list(F.struct("diagonal", "anchor", "last", "seeds", "covered")).alias("runs"))
+
+    def stands(x: Column) -> Column:
+        def partner(y: Column) -> Column:
+            near = (F.abs(y.diagonal - x.diagonal) <= BAND) & (y.seeds + x.seeds >= min_hits)
+            ordered = (y.anchor - x.anchor) * (y.anchor + y.diagonal - x.anchor - x.diagonal) > 0
+            apart = F.greatest(x.anchor, y.anchor) - F.least(x.last, y.last) - k
+            union = F.greatest(x.last, y.last) + k - F.least(x.anchor, y.anchor) - F.greatest(apart, F.lit(0))
+            return near & ordered & (union >= min_covered)
+
+        return ((x.seeds >= min_hits) & (x.covered >= min_covered)) | F.exists("runs", partner)
+
+    return runs.select(*keys, F.inline(F.filter("runs", stands))).select(*keys, "diagonal", "anchor")
+
+
 _CODE = np.full(256, 9, dtype=np.uint8)
 for _i, _c in enumerate(b"ACGT"):
     _CODE[_c] = _i
 
 
-def banded_local(reads: list[str], refs: list[str], diagonals: np.ndarray, band: int = BAND) -> np.ndarray:
+def banded_local(reads: list[str], refs: list[str], diagonals: np.ndarray, band: int = BAND, anchors: np.ndarray | None = None) -> np.ndarray:
     """Best local alignments, all pairs at once: a row each of score, read start and end, reference start and end.
 
     Affine gaps; only cells within `band` of the given diagonal are visited. Letters other than ACGT never match.
+    anchors: read places, one a pair; the best alignment that goes through this place of the given diagonal, so that a
+    better one nearby doesn't hide it.
     """
     n, longest, width = len(reads), max(map(len, reads)), 2 * band + 1
     query = np.full((n, longest), 8, dtype=np.uint8)
@@ -91,6 +130,7 @@ def banded_local(reads: list[str], refs: list[str], diagonals: np.ndarray, band:
     f_begin = begin.copy()
     best = np.zeros((n, 3), dtype=np.int64)  # score, end cell, begin
     stay = np.full((n, 1), low, dtype=np.int32)
+    anchor = None if anchors is None else np.asarray(anchors, dtype=np.int64)[:, None]
     for i in range(longest):
         match = np.where(query[:, i : i + 1] == target[:, i : i + width], MATCH, MISMATCH).astype(np.int32)
         # a gap in the reference: the previous row, one cell to the right
@@ -99,7 +139,7 @@ def banded_local(reads: list[str], refs: list[str], diagonals: np.ndarray, band:
         go = right_f - GAP_EXTEND
         b_right, fb_right = np.hstack([begin[:, 1:], begin[:, -1:]]), np.hstack([f_begin[:, 1:], f_begin[:, -1:]])
         f, f_begin = np.maximum(open_, go), np.where(open_ >= go, b_right, fb_right)
-        fresh = h <= 0
+        fresh = h <= 0 if anchor is None else (h <= 0) & (i <= anchor)
         diagonal = np.where(fresh, 0, h) + match
         d_begin = np.where(fresh, (i << 12) + offset, begin)
         h, begin = np.maximum(diagonal, f), np.where(diagonal >= f, d_begin, f_begin)
@@ -113,10 +153,15 @@ def banded_local(reads: list[str], refs: list[str], diagonals: np.ndarray, band:
         moved = np.take_along_axis(begin, source, axis=1)
         begin = np.hstack([begin[:, :1], np.where(better, moved, begin[:, 1:])])
         h = np.maximum(h, e)
-        h = np.maximum(h, 0)
+        if anchor is None:
+            h = np.maximum(h, 0)
+        else:
+            h = np.where(i <= anchor, np.maximum(h, 0), np.maximum(h, low))
+            elsewhere = (i == anchor) & (offset != band)
+            h, f = np.where(elsewhere, low, h), np.where(i == anchor, low, np.maximum(f, low))
         cell = h.argmax(axis=1)
         score = h[np.arange(n), cell]
-        up = score > best[:, 0]
+        up = score > best[:, 0] if anchor is None else (score > best[:, 0]) & (i >= anchor[:, 0])
         best[up] = np.stack([score, (i << 12) + cell, begin[np.arange(n), cell]], axis=1)[up]
     q_end, t_end, q_start, t_start = best[:, 1] >> 12, best[:, 1] & 0xFFF, best[:, 2] >> 12, best[:, 2] & 0xFFF
     base = np.asarray(diagonals, dtype=np.int64) - band
@@ -126,11 +171,11 @@ def banded_local(reads: list[str], refs: list[str], diagonals: np.ndarray, band:
 def align(ends: DataFrame, contigs: DataFrame, min_score: int = MIN_SCORE) -> DataFrame:
     """Hits (ordinal, mate, role, target_group_ordinal, alignment_score, query_length, query_start, query_end, target_start, target_end, supplementary).
 
-    Each end meets host and target contigs alike, by seeds outside of its low-complexity stretches. The diagonal with the most seeds of an end, strand and contig leads
-    the alignment. A hit is supplementary if it overlaps the end's best hit by less than half of its own read range.
+    Each end meets host and target contigs alike, by seeds outside of its low-complexity stretches. Every chain of an
+    end and contig (band_chains) is aligned through its anchor; alignments of the same read and contig ranges are one hit.
+    A hit is supplementary if it overlaps the end's best hit by less than half of its own read range.
     """
-    best = F.max(F.struct("covered", "seeds", (-F.abs("diagonal")).alias("near"), "diagonal"))
-    places = diagonal_chains(ends, contigs, masked=True).groupBy("ordinal", "mate", "strand", "name").agg(best.alias("b")).select("ordinal", "mate", "strand", "name", "b.diagonal")
+    places = band_chains(ends, contigs, masked=True)
     rows = places.join(both_strands(ends), ["ordinal", "mate", "strand"]).join(contigs.select("name", "role", "target_group_ordinal", F.col("sequence").alias("ref")), "name")
     # only the stretch of the contig that the band can reach travels to the task
     start = F.greatest(F.col("diagonal") - BAND, F.lit(0))
@@ -140,17 +185,20 @@ def align(ends: DataFrame, contigs: DataFrame, min_score: int = MIN_SCORE) -> Da
         for whole in batches:
             for i in range(0, len(whole), 1000):
                 pdf = whole.iloc[i : i + 1000]
-                a = banded_local(list(pdf["sequence"]), list(pdf["ref"]), (pdf["diagonal"] - pdf["base"]).to_numpy())
+                a = banded_local(list(pdf["sequence"]), list(pdf["ref"]), (pdf["diagonal"] - pdf["base"]).to_numpy(), anchors=pdf["anchor"].to_numpy())
                 size = pdf["sequence"].str.len().to_numpy()
                 minus = (pdf["strand"] == "-").to_numpy()
-                out = pdf[["ordinal", "mate", "role", "target_group_ordinal"]].copy()
+                out = pdf[["ordinal", "mate", "strand", "name", "role", "target_group_ordinal"]].copy()
                 out["alignment_score"], out["query_length"] = a[:, 0], size
                 out["query_start"], out["query_end"] = np.where(minus, size - a[:, 2], a[:, 1]), np.where(minus, size - a[:, 1], a[:, 2])
                 out["target_start"], out["target_end"] = a[:, 3] + pdf["base"].to_numpy(), a[:, 4] + pdf["base"].to_numpy()
                 yield out[out["alignment_score"] >= min_score]
 
-    schema = "ordinal long, mate int, role string, target_group_ordinal long, alignment_score int, query_length int, query_start int, query_end int, target_start long, target_end long"
-    hits = rows.mapInPandas(extend, schema)
+    schema = "ordinal long, mate int, strand string, name string, role string, target_group_ordinal long, alignment_score int, query_length int, query_start int, query_end int, target_start long, target_end long"
+    # by end, as the window below needs them too; of anchors of one alignment the hit is the same
+    ranges = ["ordinal", "mate", "strand", "name", "query_start", "query_end", "target_start", "target_end"]
+    hits = rows.mapInPandas(extend, schema).repartition("ordinal", "mate").groupBy(*ranges).agg(*[F.max(c).alias(c) for c in ("role", "target_group_ordinal", "alignment_score", "query_length")])
+    hits = hits.select("ordinal", "mate", "role", "target_group_ordinal", "alignment_score", "query_length", "query_start", "query_end", "target_start", "target_end")
     order = Window.partitionBy("ordinal", "mate").orderBy(F.desc("alignment_score"), "role", "target_group_ordinal", "target_start", "query_start")
     hits = hits.withColumn("_first", F.first(F.struct("query_start", "query_end")).over(order))
     overlap = F.least("query_end", "_first.query_end") - F.greatest("query_start", "_first.query_start")

@@ -189,3 +189,33 @@ def test_alignment_of_reads(spark):
     assert got[0] == [("TARGET", 240, 0, 120, 5, 125, False)] and got[1] == [("HOST", 240, 0, 120, 7, 127, False)]
     assert got[2] == [("TARGET", 240, 0, 120, 200, 320, False)] and 3 not in got
     assert {(h[0], h[6]) for h in got[4]} == {("HOST", False), ("TARGET", True)}
+
+
+def aligned(spark, contigs, reads):
+    """The hits of each read as sorted (contig's group, score, read range, contig range)."""
+    refs = spark.createDataFrame([(f"target_{i}", "TARGET", i, c) for i, c in enumerate(contigs)], "name string, role string, target_group_ordinal long, sequence string")
+    ends = spark.createDataFrame([(i, 1, r) for i, r in enumerate(reads)], "ordinal long, mate int, sequence string")
+    got = {i: [] for i in range(len(reads))}
+    for r in align.align(ends, refs).collect():
+        got[r.ordinal].append((r.target_group_ordinal, r.alignment_score, r.query_start, r.query_end, r.target_start, r.target_end))
+    return {i: sorted(hits) for i, hits in got.items()}
+
+
+def test_every_chain_is_aligned(spark):
+    unit, a, b, short = xorshift(17, 100), xorshift(91, 300), xorshift(321, 300), xorshift(5, 10)
+    other = "".join("CGTA"["ACGT".index(c)] for c in a[60:90])  # no letter as in a
+    got = aligned(spark, [unit * 3, a + unit + b], [unit, a[40:100] + b[200:260], a[:60] + other + a[90:150]])
+    assert got[0] == [(0, 200, 0, 100, 0, 100), (0, 200, 0, 100, 100, 200), (0, 200, 0, 100, 200, 300), (1, 200, 0, 100, 300, 400)]  # copies within a contig
+    assert got[1] == [(1, 120, 0, 60, 40, 100), (1, 120, 60, 120, 600, 660)]  # two places of one contig
+    assert got[2] == [(1, 120, 0, 60, 0, 60), (1, 120, 90, 150, 90, 150)]  # two places on one diagonal
+    near = align.banded_local([short * 9] * 4, [short * 12] * 4, np.array([0, 10, 20, 30]), anchors=np.zeros(4))
+    assert near.tolist() == [[180, 0, 90, 10 * i, 10 * i + 90] for i in range(4)]  # copies nearer than the band
+
+
+def test_seeds_beside_an_indel_count_together(spark):
+    a = xorshift(91, 300)
+    read = a[100:121] + a[124:145]  # one seed to either side of a deletion: neither diagonal has two
+    gap = align.GAP_OPEN + 3 * align.GAP_EXTEND
+    (hit_,) = aligned(spark, [a], [read, a[100:121]])[0]
+    assert hit_ == (0, 84 - gap, 0, 42, 100, 145)
+    assert aligned(spark, [a], [a[100:121]])[0] == []
