@@ -302,15 +302,27 @@ def given_evidence(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _estimates(spark: SparkSession, d: str) -> DataFrame:
-    verdicts = _verdicts(spark, d)
-    scalars = checkpointed(sampling.design_scalars(table(spark, d, "sampling_design"), _keyed(spark, d), verdicts))
-    # the given hits are of all fragments; a group's support can exceed a sample, which has no interval then
-    return run.estimates(group_evidence(spark, d), scalars, table(spark, d, "reference_groups"))
+    """Estimates of each run from the given hits of its drawn sample alone, with the run's input_mode."""
+    verdicts, keyed, design = checkpointed(gate_verdict(spark, d)), _keyed(spark, d), table(spark, d, "sampling_design")
+    scalars = checkpointed(sampling.design_scalars(design, keyed, verdicts).join(input_census(spark, d).select("run_id", "input_mode"), "run_id", "left"))
+    hits = table(spark, d, "hits").join(checkpointed(run.drawn(keyed, design, verdicts)), "ordinal", "left_semi")
+    groups = table(spark, d, "reference_groups")
+    return run.estimates(run.evidence_by_run(hits, table(spark, d, "fragments"), groups), scalars, groups)
+
+
+SCORE = ("run_id", "group_ordinal", "fraction", "estimated_fragments", "sampling_target_score")
 
 
 @query
 def abundance_score(spark: SparkSession, d: str) -> DataFrame:
-    return _estimates(spark, d).select("run_id", "group_ordinal", "fraction", "estimated_fragments", "sampling_target_score")
+    """As its SQL has it: the given hits of all fragments over the sample's size, so a fraction may exceed 1. For estimates see sampled_abundance_score."""
+    scalars = checkpointed(sampling.design_scalars(table(spark, d, "sampling_design"), _keyed(spark, d), _verdicts(spark, d)))
+    return run.estimates(group_evidence(spark, d), scalars, table(spark, d, "reference_groups")).select(*SCORE)
+
+
+@query
+def sampled_abundance_score(spark: SparkSession, d: str) -> DataFrame:
+    return _estimates(spark, d).select(*SCORE)
 
 
 @query
@@ -332,7 +344,7 @@ def top_rows(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def report_text(spark: SparkSession, d: str) -> DataFrame:
-    return report.report_rows(_estimates(spark, d).withColumn("input_mode", F.lit("SE/PE")))
+    return report.report_rows(_estimates(spark, d))
 
 
 # ---- alignment and whole runs

@@ -70,6 +70,13 @@ def analyse_indexed(groups: DataFrame, contigs: DataFrame, kmers: DataFrame, fra
     return estimates(evidence_by_run(hits, reads, groups), scalars, groups), scalars
 
 
+def drawn(keyed: DataFrame, design: DataFrame, verdicts: DataFrame) -> DataFrame:
+    """(ordinal): the fragments that pass of each run's sample, drawn in the run's own mode; verdicts are of all fragments."""
+    design = design.withColumn("mode", F.lower("mode"))
+    screened = sampling.screen(keyed, design.filter("mode = 'screen'"), verdicts).filter("verdict = 'Pass'")
+    return screened.select("ordinal").unionByName(sampling.full(keyed, design.filter("mode = 'full'"), verdicts).select("ordinal"))
+
+
 def evidence_by_run(hits: DataFrame, fragments: DataFrame, groups: DataFrame) -> DataFrame:
     """group_evidence of hits by the run of their fragment."""
     run = fragments.filter("ordinal is not null").groupBy("ordinal").agg(F.min("run_id").alias("run_id"))

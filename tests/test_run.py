@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from seqloom import cli
 from seqloom.common import table
 from seqloom.operators import sampling
+from seqloom.plans import queries, run
 from seqloom.sources import fasta, fastq, index, report
 from seqloom.streaming import sample as streaming
 from tests.test_operators import xorshift
@@ -186,3 +187,23 @@ def test_window_counts_are_whole(spark, data):
         assert {tuple(r) for r in got.select("run_id", F.floor(F.unix_seconds("window_start") / 21600), "fragments", "reads").collect()} == want
     empty = streaming.stream_table(spark, data, "fragments").filter("false")
     assert streaming.stream_window_counts(empty).count() == 0
+
+
+def test_estimates_are_of_the_sample(spark, data):
+    """Support is counted within the drawn sample, so it never exceeds it and every group has an interval."""
+    keyed = sampling.keyed(table(spark, data, "fragments")).collect()
+    passed = {r.ordinal for r in queries.gate_verdict(spark, data).collect() if r.verdict == "Pass"}
+    sample = set()
+    for r in table(spark, data, "sampling_design").collect():
+        mode = r.mode.lower()
+        rows = sorted((x.key, x.ordinal) for x in keyed if x.run_id == r.run_id and (mode == "screen" or x.ordinal in passed))
+        sample |= {o for _, o in rows[: r.capacity]} & passed
+    hits = table(spark, data, "hits").filter(F.col("ordinal").isin(sorted(sample)))
+    counted = run.evidence_by_run(hits, table(spark, data, "fragments"), table(spark, data, "reference_groups"))
+    want = {(r.run_id, r.group_ordinal): r.supporting_selected_fragments for r in counted.collect() if r.supporting_selected_fragments}
+    rows = queries.interval_report(spark, data).collect()
+    assert want and {(r.run_id, r.group_ordinal): r.supporting_selected_fragments for r in rows} == want
+    for r in rows:
+        assert r.supporting_selected_fragments <= r.selected and r.supporting_selected_fragments <= r.lower_count <= r.upper_count <= r.population
+    modes = {r.run_id: r.input_mode for r in queries.input_census(spark, data).collect()}
+    assert {(r.sample_id, r.input_mode) for r in queries.report_text(spark, data).collect()} == {(r.run_id, modes[r.run_id]) for r in rows}
