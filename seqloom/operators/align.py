@@ -10,7 +10,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from seqloom.constants import GAP_EXTEND, GAP_OPEN, KMER, MATCH, MIN_COVERED, MIN_HITS, MIN_SCORE, MISMATCH
-from seqloom.functions.dust import dust_udf
 from seqloom.functions.seq import reverse_complement, with_kmers
 from seqloom.operators import gate
 
@@ -18,6 +17,8 @@ from seqloom.operators import gate
 BAND = 12
 #: Bits a contig k-mer below which a filter of bounded size would let nearly all through.
 FILTER_BITS = 4
+#: Letters of the longest period of a simple repeat, and the parts in which the places of such a k-mer are joined.
+PERIOD, PARTS = 6, 16
 
 
 def both_strands(ends: DataFrame) -> DataFrame:
@@ -26,13 +27,9 @@ def both_strands(ends: DataFrame) -> DataFrame:
     return ends.select("ordinal", "mate", F.inline(F.array(F.struct(F.lit("+").alias("strand"), up.alias("sequence")), F.struct(F.lit("-").alias("strand"), reverse_complement(up).alias("sequence")))))
 
 
-def _masked_strands(ends: DataFrame, k: int) -> DataFrame:
-    """both_strands() of ends of k letters or more, with the low-complexity mask of each; it is symmetric, so one strand's is mirrored."""
-    rows = ends.filter(F.length("sequence") >= k).select("ordinal", "mate", F.upper("sequence").alias("up"), dust_udf("sequence").alias("mask"))
-    size = F.length("up")
-    mirrored = F.transform("mask", lambda m: F.struct((size - m.end).alias("start"), (size - m.start).alias("end")))
-    strand = lambda name, text, mask: F.struct(F.lit(name).alias("strand"), text.alias("sequence"), mask.alias("mask"))
-    return rows.select("ordinal", "mate", F.inline(F.array(strand("+", F.col("up"), F.col("mask")), strand("-", reverse_complement("up"), mirrored))))
+def _simple(k: int) -> Column:
+    """Whether the column kmer repeats with a period of up to PERIOD letters: such k-mers meet themselves at very many places."""
+    return F.greatest(F.lit(False), F.lit(False), *[F.substring("kmer", 1, k - p) == F.substring("kmer", 1 + p, k - p) for p in range(1, min(PERIOD + 1, k))])
 
 
 def _prefilter(contigs: DataFrame, refs: DataFrame, k: int) -> Callable[[np.ndarray], np.ndarray] | None:
@@ -41,37 +38,36 @@ def _prefilter(contigs: DataFrame, refs: DataFrame, k: int) -> Callable[[np.ndar
     return gate.bloom_test(refs.select("kmer"), most) if most * FILTER_BITS <= gate.MOST_BITS else None
 
 
-def _seeds(ends: DataFrame, contigs: DataFrame, k: int, masked: bool) -> DataFrame:
+def _seeds(ends: DataFrame, contigs: DataFrame, k: int) -> DataFrame:
     """(ordinal, mate, strand, name, diagonal, pos): each k-mer of an oriented end that a contig holds, at each of its places there.
 
     Pairs of read and contig without a common k-mer never meet. Read k-mers that a Bloom filter of the contigs rules out
     are dropped in the task that makes them, before the shuffle.
-    masked: no seed starts in a low-complexity stretch of the read; such k-mers meet themselves at very many places.
+    Low-complexity stretches give seeds like all others. The places of a simple repeat's k-mer are spread over PARTS
+    parts, and the reads' k-mer is sent to each, so that no task joins all of them.
     """
     refs = with_kmers(contigs, ["name"], "sequence", k, canonical=False).select("name", F.col("pos").alias("at"), "kmer")
     only = _prefilter(contigs, refs, k)
-    if masked:
-        inside = F.exists("mask", lambda m: (m.start <= F.col("pos")) & (F.col("pos") < m.end))
-        reads = with_kmers(_masked_strands(ends, k), ["ordinal", "mate", "strand", "mask"], "sequence", k, canonical=False, only=only).filter(~inside).drop("mask")
-    else:
-        reads = with_kmers(both_strands(ends), ["ordinal", "mate", "strand"], "sequence", k, canonical=False, only=only)
-    return reads.join(refs, "kmer").select("ordinal", "mate", "strand", "name", (F.col("at") - F.col("pos")).alias("diagonal"), "pos")
+    reads = with_kmers(both_strands(ends), ["ordinal", "mate", "strand"], "sequence", k, canonical=False, only=only)
+    refs = refs.withColumn("part", F.when(_simple(k), F.pmod(F.hash("name", "at"), F.lit(PARTS))).otherwise(0))
+    reads = reads.withColumn("part", F.explode(F.when(_simple(k), F.array(*map(F.lit, range(PARTS)))).otherwise(F.array(F.lit(0)))))
+    return reads.join(refs, ["kmer", "part"]).select("ordinal", "mate", "strand", "name", (F.col("at") - F.col("pos")).alias("diagonal"), "pos")
 
 
-def diagonal_chains(ends: DataFrame, contigs: DataFrame, k: int = KMER, min_hits: int = MIN_HITS, min_covered: int = MIN_COVERED, masked: bool = False) -> DataFrame:
+def diagonal_chains(ends: DataFrame, contigs: DataFrame, k: int = KMER, min_hits: int = MIN_HITS, min_covered: int = MIN_COVERED) -> DataFrame:
     """(ordinal, mate, strand, name, diagonal, seeds, covered): seeds of one end on one diagonal of a contig, if they are enough.
 
     A seed is a k-mer of the oriented read at the same distance (diagonal = contig place - read place) in the contig;
     covered is the union length of the seeds on the read.
     """
-    seeds = _seeds(ends, contigs, k, masked)
+    seeds = _seeds(ends, contigs, k)
     keys = ["ordinal", "mate", "strand", "name", "diagonal"]
     before = F.lag("pos").over(Window.partitionBy(*keys).orderBy("pos"))
     rows = seeds.withColumn("new", F.least(F.lit(k), F.coalesce(F.col("pos") - before, F.lit(k))))
     return rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("seeds"), F.sum("new").alias("covered")).filter((F.col("seeds") >= min_hits) & (F.col("covered") >= min_covered))
 
 
-def band_chains(ends: DataFrame, contigs: DataFrame, k: int = KMER, min_hits: int = MIN_HITS, min_covered: int = MIN_COVERED, masked: bool = False) -> DataFrame:
+def band_chains(ends: DataFrame, contigs: DataFrame, k: int = KMER, min_hits: int = MIN_HITS, min_covered: int = MIN_COVERED) -> DataFrame:
     """(ordinal, mate, strand, name, diagonal, anchor): every place at which an alignment of an end with a contig must be tried.
 
     A place is a run of seeds on one diagonal, anchor the read place of its first seed. A run ends where the best
@@ -82,7 +78,7 @@ def band_chains(ends: DataFrame, contigs: DataFrame, k: int = KMER, min_hits: in
     keys = ["ordinal", "mate", "strand", "name"]
     by_place = Window.partitionBy(*keys, "diagonal").orderBy("pos")
     gap = F.col("pos") - F.lag("pos").over(by_place)
-    rows = _seeds(ends, contigs, k, masked).withColumn("gap", gap)
+    rows = _seeds(ends, contigs, k).withColumn("gap", gap)
     rows = rows.withColumn("run", F.sum(F.when(F.col("gap") <= k + k * MATCH // -MISMATCH, 0).otherwise(1)).over(by_place)).withColumn("new", F.least(F.lit(k), F.coalesce("gap", F.lit(k))))
     runs = rows.groupBy(*keys, "diagonal", "run").agg(F.min("pos").alias("anchor"), F.max("pos").alias("last"), F.count(F.lit(1)).alias("seeds"), F.sum("new").alias("covered"))
     runs = runs.groupBy(*keys).agg(F.collect_list(F.struct("diagonal", "anchor", "last", "seeds", "covered")).alias("runs"))
@@ -171,11 +167,11 @@ def banded_local(reads: list[str], refs: list[str], diagonals: np.ndarray, band:
 def align(ends: DataFrame, contigs: DataFrame, min_score: int = MIN_SCORE) -> DataFrame:
     """Hits (ordinal, mate, role, target_group_ordinal, alignment_score, query_length, query_start, query_end, target_start, target_end, supplementary).
 
-    Each end meets host and target contigs alike, by seeds outside of its low-complexity stretches. Every chain of an
+    Each end meets host and target contigs alike, by all of its seeds. Every chain of an
     end and contig (band_chains) is aligned through its anchor; alignments of the same read and contig ranges are one hit.
     A hit is supplementary if it overlaps the end's best hit by less than half of its own read range.
     """
-    places = band_chains(ends, contigs, masked=True)
+    places = band_chains(ends, contigs)
     rows = places.join(both_strands(ends), ["ordinal", "mate", "strand"]).join(contigs.select("name", "role", "target_group_ordinal", F.col("sequence").alias("ref")), "name")
     # only the stretch of the contig that the band can reach travels to the task
     start = F.greatest(F.col("diagonal") - BAND, F.lit(0))

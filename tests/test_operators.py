@@ -219,3 +219,10 @@ def test_seeds_beside_an_indel_count_together(spark):
     (hit_,) = aligned(spark, [a], [read, a[100:121]])[0]
     assert hit_ == (0, 84 - gap, 0, 42, 100, 145)
     assert aligned(spark, [a], [a[100:121]])[0] == []
+
+
+def test_low_complexity_is_aligned(spark):
+    short, a, b = xorshift(5, 10), xorshift(7, 50), xorshift(8, 50)
+    got = aligned(spark, [a + short * 12 + b, a + "AC" * 40 + b], [short * 9, "AC" * 30])
+    assert {(0, 180, 0, 90, 50 + 10 * i, 140 + 10 * i) for i in range(4)} <= set(got[0])
+    assert {(1, 120, 0, 60, 50 + 2 * i, 110 + 2 * i) for i in range(11)} <= set(got[1])
