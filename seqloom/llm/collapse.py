@@ -3,17 +3,17 @@
 Method: canonical records are range-partitioned and sorted (Spark's external sort), then each partition scans its
 adjacent rows, comparing full keys. The row key is part of the sort order, so that a key held by a third of all rows
 is spread over many partitions; the few runs that cross a partition's edge are joined up by one small record a
-partition (first key, last key, where its last run began).
+partition (digests of its first and last key, where its last run began).
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -40,57 +40,73 @@ def canonical_groups(groups: DataFrame) -> DataFrame:
 
 
 def _runs(batch: pa.RecordBatch, last: tuple | None, start: int | None) -> tuple[np.ndarray, tuple, int]:
-    """For each row the key of the first row of its run; `last` and `start` are the previous row's (tbl, canon) and run."""
-    tbl, canon, key = batch.column("tbl"), batch.column("canon"), batch.column("key").to_numpy()
+    """For each row the key of the first row of its run; `last` and `start` are the previous row's record and run.
+
+    The record is compared in full: by part (the partition it was sorted in), tbl and canon.
+    """
+    part, tbl, canon, key = batch.column("part").to_numpy(), batch.column("tbl"), batch.column("canon"), batch.column("key").to_numpy()
     n = batch.num_rows
     fresh = np.ones(n, dtype=bool)
     fresh[1:] = pc.or_(pc.not_equal(tbl[1:], tbl[: n - 1]), pc.not_equal(canon[1:], canon[: n - 1])).to_numpy(zero_copy_only=False)
-    fresh[0] = last is None or last != (tbl[0].as_py(), canon[0].as_py())
+    fresh[1:] |= part[1:] != part[:-1]
+    fresh[0] = last is None or last != (part[0], tbl[0].as_py(), canon[0].as_py())
     began = np.maximum.accumulate(np.where(fresh, np.arange(n), -1))
     out = np.where(began >= 0, key[began], start if start is not None else 0)
-    return out, (tbl[n - 1].as_py(), canon[n - 1].as_py()), int(out[-1])
+    return out, (int(part[n - 1]), tbl[n - 1].as_py(), canon[n - 1].as_py()), int(out[-1])
+
+
+def _digest(record: tuple) -> bytes:
+    """SHA-256 of a record's table and full key: what the driver sees of it."""
+    return hashlib.sha256(f"{record[1]}|{record[2]}".encode("utf-8", "replace")).digest()
 
 
 def _edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A small row a partition: digests of its first and last record, where its last run began, and whether it is one run."""
     first = last = start = None
     whole = True
     for b in batches:
         if b.num_rows:
-            first = first or (b.column("tbl")[0].as_py(), b.column("canon")[0].as_py())
+            first = first or (b.column("part")[0].as_py(), b.column("tbl")[0].as_py(), b.column("canon")[0].as_py())
             _, last, start = _runs(b, last, start)
             whole = whole and last == first
     if first:
-        yield pa.RecordBatch.from_pydict({"pid": [TaskContext.get().partitionId()], "first_tbl": [first[0]], "first_canon": [first[1]], "last_tbl": [last[0]], "last_canon": [last[1]], "start": [start], "whole": [whole]})
+        yield pa.RecordBatch.from_pydict({"part": pa.array([first[0]], pa.int32()), "first": [_digest(first)], "last": [_digest(last)], "start": pa.array([start], pa.int64()), "whole": [whole]})
 
 
 def copies(canon: DataFrame) -> DataFrame:
     """(tbl, representative, key) for each row of canon (tbl, canon, key); representative: the smallest equal key.
 
     canon must hold no nulls. Rows repeated byte for byte, key included, stay as many rows. An empty input gives none.
+    Rows are sorted by the digest of their key before the key of the row, so that the bounds of the ranges, which Spark
+    samples on the driver, stay small however long the texts are. A row keeps the number of the partition it was sorted
+    in as a column, so the result may be united, coalesced or filtered like any other.
     """
-    order = ["tbl", "canon", "key"]
-    rows = checkpointed(canon.repartitionByRange(*order).sortWithinPartitions(*order))
-    edges = rows.mapInArrow(_edges, "pid long, first_tbl string, first_canon string, last_tbl string, last_canon string, start long, whole boolean")
+    order = ["digest", "key"]
+    rows = canon.select("tbl", "canon", "key", F.unhex(F.sha2(F.concat("tbl", F.lit("|"), "canon"), 256)).alias("digest"))
+    rows = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+    rows = checkpointed(rows.select("tbl", "canon", "key", F.spark_partition_id().alias("part")))
+    edges = rows.mapInArrow(_edges, "part int, first binary, last binary, start long, whole boolean")
     carried: dict[int, int] = {}  # by partition: where the run began that reaches over its lower edge; one record a partition
     last, start = None, None
-    for e in sorted(edges.collect(), key=lambda e: e.pid):
-        reaches = last == (e.first_tbl, e.first_canon)
+    for e in sorted(edges.collect(), key=lambda e: e.part):  # two digests a partition
+        reaches = last == e.first
         if reaches:
-            carried[e.pid] = start
+            carried[e.part] = start
         start = start if reaches and e.whole else e.start
-        last = (e.last_tbl, e.last_canon)
+        last = e.last
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pid = TaskContext.get().partitionId()
-        last, start, first = None, None, True
-        for b in batches:
-            if not b.num_rows:
-                continue
-            if first and pid in carried:
-                last, start = (b.column("tbl")[0].as_py(), b.column("canon")[0].as_py()), carried[pid]
-            first = False
-            out, last, start = _runs(b, last, start)
-            yield pa.RecordBatch.from_arrays([b.column("tbl"), pa.array(out, pa.int64()), b.column("key")], ["tbl", "representative", "key"])
+        last, start = None, None
+        for whole in batches:
+            part = whole.column("part").to_numpy()
+            cut = np.flatnonzero(np.r_[True, part[1:] != part[:-1], True]) if len(part) else []
+            for i, j in zip(cut[:-1], cut[1:], strict=True):
+                b = whole.slice(i, j - i)
+                own = int(part[i])
+                if (last is None or last[0] != own) and own in carried:
+                    last, start = (own, b.column("tbl")[0].as_py(), b.column("canon")[0].as_py()), carried[own]
+                out, last, start = _runs(b, last, start)
+                yield pa.RecordBatch.from_arrays([b.column("tbl"), pa.array(out, pa.int64()), b.column("key")], ["tbl", "representative", "key"])
 
     return rows.mapInArrow(scan, "tbl string, representative long, key long")
 

@@ -50,3 +50,28 @@ def test_hot_key_over_many_partitions(spark):
 def test_empty(spark):
     df = spark.createDataFrame([], "rec_ordinal long, sequence string")
     assert collapse.redundant(collapse.canonical_fasta(df)).count() == 0
+
+
+def test_result_composes(spark):
+    """Unions, coalesced partitions and a run over all partitions give what the parts give alone."""
+    rows = [(i, "ACGT" if i % 3 else "ACG" + "ACGT"[i % 4] * (i % 7)) for i in range(3000)]
+    old = spark.conf.get("spark.sql.shuffle.partitions"), spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", 8)
+    try:
+        mixed = collapse.canonical_fasta(spark.createDataFrame(rows, "rec_ordinal long, sequence string"))
+        equal = collapse.canonical_fasta(spark.createDataFrame([(i, "acgt") for i in range(4000)], "rec_ordinal long, sequence string"))
+        first = {}
+        for i, t in sorted(rows):
+            first.setdefault(t, i)
+        want = sorted((first[t], i) for i, t in rows if first[t] != i)
+        pairs = lambda df: sorted((r.key_a, r.key_b) for r in df.collect())
+        a, b = collapse.redundant(mixed), collapse.redundant(equal)
+        assert pairs(a) == want and pairs(b) == [(0, i) for i in range(1, 4000)]
+        assert pairs(a.unionByName(b)) == sorted(want + [(0, i) for i in range(1, 4000)])
+        assert pairs(b.unionByName(b)) == sorted([(0, i) for i in range(1, 4000)] * 2)
+        assert pairs(a.coalesce(2)) == want and pairs(b.coalesce(1)) == [(0, i) for i in range(1, 4000)]
+        assert {r.representative: r.copies for r in collapse.collapsed(equal).coalesce(1).collect()} == {0: 4000}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old[0])
+        spark.conf.set("spark.sql.adaptive.enabled", old[1])
