@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -50,7 +51,20 @@ def p2_collapsed(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_sample(spark: SparkSession, d: str) -> DataFrame:
-    return ledger_sample.ledger_sample(table(spark, d, "fragments"), ledger_sample.ledger_keys(table(spark, d, "sample_keys")))
+    """The draw over all pieces; sample_keys is the ledger's first edition, the draw writes the next one."""
+    first = ledger_sample.ledger_keys(table(spark, d, "sample_keys"))
+    return ledger_sample.draw(table(spark, d, "fragments"), first, ledger_sample.ledger_folder(spark))
+
+
+def p3_grown(spark: SparkSession, d: str) -> DataFrame:
+    """Two draws with one ledger: of the earlier half of the pieces, then of all; early tells what the first one selected."""
+    fragments, first = table(spark, d, "fragments"), ledger_sample.ledger_keys(table(spark, d, "sample_keys"))
+    folder = f"{ledger_sample.ledger_folder(spark)}/grown-{uuid.uuid4().hex}"
+    half = fragments.agg(F.max("piece_no")).first()[0] or 0
+    early = ledger_sample.draw(fragments.filter(F.coalesce("piece_no", F.lit(-1)) * 2 <= half), first, folder)
+    late = ledger_sample.draw(fragments, first, folder)
+    rows = late.join(early.select("ordinal", F.lit(True).alias("early")), "ordinal", "full")
+    return rows.select("ordinal", "run_id", "origin", F.coalesce("early", F.lit(False)).alias("early"))
 
 
 def _spans(spark: SparkSession, d: str) -> DataFrame:
@@ -116,5 +130,5 @@ def p8_split_wide(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (p1_found, p1_groups, p2_found, p2_collapsed, p3_sample, p4_found, p4_shares, p5_sample, p6_pack, p6_pack_small, p7_found, p7_matches, p7_clean, p8_split, p8_split_wide)
+    for f in (p1_found, p1_groups, p2_found, p2_collapsed, p3_sample, p3_grown, p4_found, p4_shares, p5_sample, p6_pack, p6_pack_small, p7_found, p7_matches, p7_clean, p8_split, p8_split_wide)
 }

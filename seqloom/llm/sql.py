@@ -28,14 +28,23 @@ select tbl, a as key_a, key as key_b from firsts where key <> a"""
 
 P2_COLLAPSED = f"with {_CANON} select tbl, min(key) as representative, count(*) as copies from canon group by tbl, canon"
 
-P3_SAMPLE = """
-with once as (select ordinal, min(run_id) as run_id, min(coalesce(piece_no, -1)) as piece_no from fragments where ordinal is not null group by ordinal),
-ledger as (select ordinal, min(k) as key from (select ordinal, regexp_replace(lower(trim(key)), '^0x', '') as k from sample_keys) where regexp_matches(k, '^[0-9a-f]{32}$') group by ordinal),
-rows_ as (select once.*, key, sha256('seqloom-ledger-1|' || ordinal) as priority from once left join ledger using (ordinal)),
-ranked as (select *, row_number() over (partition by run_id, piece_no, key is null order by priority, ordinal) as r,
-  ceil(count(*) over w * 0.125::double) - count(key) over w as quota from rows_ window w as (partition by run_id, piece_no))
-select ordinal, run_id, piece_no, case when key is null then 'growth' else 'ledger' end as origin, coalesce(key, priority) as priority
-from ranked where key is not null or r <= quota"""
+_LEDGER = """ledger as (select ordinal, min(k) as key from (select ordinal, regexp_replace(lower(trim(key)), '^0x', '') as k from sample_keys) where regexp_matches(k, '^[0-9a-f]{32}$') group by ordinal)"""
+
+
+def _draw(name: str, rows: str, ledger: str) -> str:
+    """CTEs of a draw from `rows` of fragments with a ledger (ordinal, key, origin); `name` is the selection."""
+    return f"""{name}_once as (select ordinal, min(run_id) as run_id, min(coalesce(piece_no, -1)) as piece_no from {rows} where ordinal is not null group by ordinal),
+{name}_rows as (select o.*, l.key, l.origin, sha256('seqloom-ledger-1|' || ordinal) as priority from {name}_once o left join {ledger} l using (ordinal)),
+{name}_ranked as (select *, row_number() over (partition by run_id, piece_no, key is null order by priority, ordinal) as r,
+  ceil(count(*) over w * 0.125::double) - count(key) over w as quota from {name}_rows window w as (partition by run_id, piece_no)),
+{name} as (select ordinal, run_id, piece_no, coalesce(origin, 'growth') as origin, coalesce(key, priority) as priority from {name}_ranked where key is not null or r <= quota)"""
+
+
+P3_SAMPLE = f"with {_LEDGER}, first_ as (select *, 'ledger' as origin from ledger), {_draw('s', 'fragments', 'first_')} select * from s"
+P3_GROWN = f"""with {_LEDGER}, first_ as (select *, 'ledger' as origin from ledger),
+early_rows as (select * from fragments where coalesce(piece_no, -1) * 2 <= (select coalesce(max(piece_no), 0) from fragments)), {_draw('e', 'early_rows', 'first_')},
+second_ as (select ordinal, key, origin from first_ union all select ordinal, priority, origin from e where origin = 'growth'), {_draw('s', 'fragments', 'second_')}
+select s.ordinal, s.run_id, s.origin, e.ordinal is not null as early from s full join e on s.ordinal = e.ordinal"""
 
 P4_FOUND = f"""
 with f as ({_FASTA}), r as (select distinct ordinal, {_LETTERS.format('r1')} as s from fragments),
@@ -65,4 +74,4 @@ sums as (select tbl, rec_key, sum(span_end - span_start)::bigint as covered from
 select tbl, rec_key, n_letters, coalesce(covered, 0)::bigint as covered, case when n_letters > 0 then coalesce(covered, 0) / n_letters else 0.0::double end as share
 from sizes left join sums using (tbl, rec_key)"""
 
-SQL = {"p1_found": P1_FOUND, "p2_found": P2_FOUND, "p2_collapsed": P2_COLLAPSED, "p3_sample": P3_SAMPLE, "p4_found": P4_FOUND, "p4_shares": P4_SHARES, "p7_found": P7_FOUND, "p7_clean": P7_CLEAN}
+SQL = {"p1_found": P1_FOUND, "p2_found": P2_FOUND, "p2_collapsed": P2_COLLAPSED, "p3_sample": P3_SAMPLE, "p3_grown": P3_GROWN, "p4_found": P4_FOUND, "p4_shares": P4_SHARES, "p7_found": P7_FOUND, "p7_clean": P7_CLEAN}

@@ -55,12 +55,35 @@ def test_quota_is_filled_and_ledger_extends(spark):
     first = chosen(ledger_sample.ledger_sample(rows, none))
     assert len(first) == 10
     nxt = ledger_sample.extend_ledger(rows, none, tempfile.mkdtemp() + "/l1")
-    assert set(chosen(ledger_sample.ledger_sample(rows, nxt))) == set(first)  # nothing more is added
+    assert chosen(ledger_sample.ledger_sample(rows, nxt)) == first == chosen(ledger_sample.selected(rows, nxt))  # nothing more is added
     more = rows.unionByName(fragments(spark, [(i, f"f{i}", "a", 0) for i in range(80, 160)]))
     assert set(first) <= set(chosen(ledger_sample.ledger_sample(more, nxt)))  # even when the old piece itself grows
     assert ledger_sample.ledger_sample(rows.filter("false"), nxt).count() == 0
 
 
+def test_no_added_row_unseats_a_selected_fragment(spark):
+    """Redelivery under lower and higher pieces and other runs, more rows of old pieces, new pieces and runs: 0 lost."""
+    folder = tempfile.mkdtemp() + "/ledger"
+    rows = [(i, f"f{i}", "ab"[i % 2], 2 + i % 5) for i in range(1500)]
+    keys = ledger(spark, [(i, K) for i in range(0, 1500, 40)])
+    held = chosen(ledger_sample.draw(fragments(spark, rows), keys, folder))
+    assert len(held) > 150 and sum(o == "growth" for o, _ in held.values()) > 100
+    again = [
+        [(i, f"f{i}", "ab"[i % 2], 0) for i in range(0, 1500, 3)],
+        [(i, f"f{i}", "ab"[i % 2], 99) for i in range(0, 1500, 4)],
+        [(i, f"f{i}", "0", 1) for i in range(1, 1500, 5)] + [(i, f"f{i}", None, None) for i in range(1, 1500, 7)],
+        [(i, f"f{i}", "ab"[i % 2], 2 + i % 5) for i in range(2000, 2900)],
+        [(i, f"f{i}", "c", 1) for i in range(3000, 3200)],
+    ]
+    for more in again:
+        rows = rows + more
+        now = chosen(ledger_sample.draw(fragments(spark, rows).repartition(3), keys, folder))
+        assert held.items() <= now.items()
+        held = now
+    assert ledger_sample.latest_edition(spark, folder) == 6
+    assert chosen(ledger_sample.draw(fragments(spark, rows), keys, folder)) == held  # nothing new, nothing changes
+
+
 @pytest.fixture(scope="module")
 def stored(spark):
     path = tempfile.mkdtemp() + "/fragments.parquet"
