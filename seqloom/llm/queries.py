@@ -69,9 +69,7 @@ def p3_grown(spark: SparkSession, d: str) -> DataFrame:
 
 def _spans(spark: SparkSession, d: str) -> DataFrame:
     span = 2 * kmer_length(spark, d)
-    base = repeats.record_segments(table(spark, d, "fasta"), 0, "rec_ordinal", "sequence", span)
-    reads = repeats.record_segments(table(spark, d, "fragments"), 1, "ordinal", "r1", span)
-    rows = repeats.covered_spans(base, reads, span)
+    rows = repeats.shared_spans((table(spark, d, "fasta"), "rec_ordinal", "sequence"), (table(spark, d, "fragments"), "ordinal", "r1"), span)
     return rows.select(F.when(F.col("tbl") == 0, "fasta").otherwise("fragments").alias("tbl"), F.col("rec").alias("rec_key"), "span_start", "span_end")
 
 

@@ -1,15 +1,16 @@
 """Problem 4: long exact spans shared between records.
 
-Method: recompression (see recompression.py). In each window of `span` letters the interior symbol with the least
-hash is its anchor: equal windows have equal anchors, wherever they are. Neighbouring windows mostly share one, so
-that records fall into segments of windows of one anchor, and segments meet by the name of the anchor's context: long
-repeats are where the same high-level symbols recur. Within an anchor the windows are verified one by one.
+Method: recompression (see recompression.py). Spark rounds name runs and pairs globally (name_rounds). In each window of
+`span` letters the interior symbol with the least hash of its name is its anchor: equal windows have equal anchors,
+wherever they are. Neighbouring windows mostly share one, so that records fall into segments of windows of one anchor,
+and segments meet by the anchor's context: long repeats are where the same high-level symbols recur. Within an anchor
+the windows are verified letter by letter.
 Windows without an interior symbol (long runs and the like) are anchored by themselves.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -18,9 +19,16 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from seqloom.common import letters, materialized
-from seqloom.llm.recompression import Fingerprints, mix, parse
+from seqloom.llm.recompression import Fingerprints, Names, counted, mix, parse
 
 ROUNDS = 4
+#: Names given in one round, to the most frequent runs or pairs: what every task gets of a round has this bound. Rarer
+#: ones stay unnamed, in all records alike, which loses no span.
+NAMES = 1 << 16
+#: Bits of the largest filter of the base's keys, 32 MB.
+KEY_BITS = 28
+#: Segments a task verifies, on average.
+TASK_ROWS = 200_000
 #: Letters parsed at once in a task.
 PORTION = 1 << 20
 #: Occurrences of one anchor handled in one task; the segments of a more frequent one are aggregated first.
@@ -81,9 +89,9 @@ def _ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
     return out
 
 
-def segments(codes: np.ndarray, begin: np.ndarray, length: np.ndarray, span: int, rounds: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def segments(codes: np.ndarray, begin: np.ndarray, length: np.ndarray, span: int, names: Names) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Key, first window and number of windows of each segment; windows by their place in codes."""
-    name, _, low, high = parse(codes, rounds)
+    name, _, low, high = parse(codes, names)
     n = len(codes)
     rank = mix(name)
     prints = Fingerprints(codes)
@@ -134,11 +142,13 @@ def segments(codes: np.ndarray, begin: np.ndarray, length: np.ndarray, span: int
     key[named] = mix(prints.of(low[anchor[named]], high[anchor[named]]) + np.uint64(1))
     if named.all():
         return key, at, total
-    # windows without an anchor: one by one, and those that follow each other with equal letters together
+    # windows without an anchor: one by one, and those that follow each other with equal letters (within a run) together
     lone = _ranges(at[~named], total[~named])
     print_ = mix(prints.of(lone, lone + span))
+    change = np.append(np.flatnonzero(codes[1:] != codes[:-1]) + 1, n)
+    run_end = change[np.searchsorted(change, lone, "right")]
     cut = np.ones(len(lone), dtype=bool)
-    cut[1:] = (print_[1:] != print_[:-1]) | (lone[1:] != lone[:-1] + 1)
+    cut[1:] = (run_end[:-1] <= lone[:-1] + span) | (lone[1:] != lone[:-1] + 1)
     h = np.flatnonzero(cut)
     return np.concatenate([key[named], print_[h]]), np.concatenate([at[named], lone[h]]), np.concatenate([total[named], np.diff(np.append(h, len(lone)))])
 
@@ -186,19 +196,45 @@ def _unpacked(n: np.ndarray, seg: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return codes, begin[:-1]
 
 
+def _letter_words(codes: np.ndarray, span: int) -> tuple[np.ndarray, list[int]]:
+    """Words of up to 12 letters at each place, and the offsets at which they make up a window: equal words, equal letters."""
+    wide = np.concatenate([codes, np.zeros(12, dtype=np.uint8)]).astype(np.uint64)
+    if span < 12:
+        return wide, list(range(span))
+    two = (wide[:-1] << np.uint64(5)) | wide[1:]
+    four = (two[:-2] << np.uint64(10)) | two[2:]
+    eight = (four[:-4] << np.uint64(20)) | four[4:]
+    return (eight[: len(codes)] << np.uint64(20)) | four[8 : 8 + len(codes)], sorted({*range(0, span - 11, 12), span - 12})
+
+
 def shared_windows(key: np.ndarray, n: np.ndarray, seg: pa.Array, low: np.ndarray, high: np.ndarray, span: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Of each window of the segments: its segment, its place there, and the least and largest row of the base that holds it.
 
-    low and high: the same of each segment; low > high where no row of the base has it.
+    low and high: the same of each segment; low > high where no row of the base has it. Windows are brought together by
+    fingerprint, and compared by all their letters; should a fingerprint hold two different windows, all are sorted by
+    their letters instead.
     """
     codes, begin = _unpacked(n, seg)
     windows = np.abs(n).astype(np.int64) - span + 1
-    prints = Fingerprints(codes).windows(span)
     at = _ranges(begin, windows)
     of = np.repeat(np.arange(len(n)), windows)
-    h = mix(prints[at] + key[of])
+    h = mix(Fingerprints(codes).windows(span)[at] + key[of])
+    words, offsets = _letter_words(codes, span)
     order = np.argsort(h)
-    head = np.flatnonzero(np.concatenate([[True], h[order][1:] != h[order][:-1]]))
+
+    def other_letters(order: np.ndarray) -> np.ndarray:
+        x, out = at[order], np.zeros(len(order) - 1, dtype=bool)
+        for o in offsets:
+            w = words[x + o]
+            out |= w[1:] != w[:-1]
+        return out
+
+    new = h[order][1:] != h[order][:-1]
+    other = other_letters(order)
+    if (other & ~new).any():
+        order = np.lexsort([words[at + o] for o in offsets])
+        other = other_letters(order)
+    head = np.flatnonzero(np.concatenate([[True], other]))
     size = np.diff(np.append(head, len(h)))
     least, most = np.minimum.reduceat(low[of[order]], head), np.maximum.reduceat(high[of[order]], head)
     out_low, out_high = np.empty_like(h, dtype=np.int64), np.empty_like(h, dtype=np.int64)
@@ -243,20 +279,86 @@ def _portions(batches: Iterator[pa.RecordBatch], span: int, portion: int) -> Ite
                 start = stop
 
 
-def record_segments(records: DataFrame, tbl: int, rec: str, text: str, span: int, rounds: int = ROUNDS, portion: int = PORTION) -> DataFrame:
-    """The segments of each record with at least `span` letters. tbl 0 is the base, in which others look for their spans."""
-    rows = records.select(F.col(rec).cast("long").alias("rec"), letters(text).alias("letters")).filter((F.length("letters") >= span) & F.col("rec").isNotNull())
+def _lettered(records: DataFrame, rec: str, text: str, span: int) -> DataFrame:
+    """(rec, letters) of the records with at least `span` letters."""
+    return records.select(F.col(rec).cast("long").alias("rec"), letters(text).alias("letters")).filter((F.length("letters") >= span) & F.col("rec").isNotNull())
+
+
+def name_rounds(base: DataFrame, rec: str, text: str, span: int, rounds: int = ROUNDS, most: int = NAMES, portion: int = PORTION) -> Names:
+    """The names of a run round and of `rounds` pair rounds, counted over all base records; a Spark aggregation a round.
+
+    Only what occurs in the base needs a name, as every span that counts lies in a base record too. Each round names the
+    `most` most frequent runs or pairs.
+    """
+    rows = _lettered(base, rec, text, span)
+    names = Names()
+    for _ in range(rounds + 1):
+        held = base.sparkSession.sparkContext.broadcast(names)
+
+        def count(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
+            for _, column, _ in _portions(batches, span, portion):
+                code, n = counted(_coded(column)[0], held.value)
+                yield pa.RecordBatch.from_arrays([pa.array(code.view(np.int64)), pa.array(n, pa.int64())], ["code", "n"])
+
+        sums = rows.mapInArrow(count, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
+        chosen = sums.orderBy(F.desc("n"), "code").limit(most).select("code").collect()  # at most `most` numbers
+        following = Names()
+        following.tables, following.last = list(names.tables), names.last
+        following.add([r.code for r in chosen])
+        names = following
+    return names
+
+
+def key_test(base: DataFrame) -> Callable[[np.ndarray], np.ndarray]:
+    """Whether each of an array of keys may be one of base's segments: no true one is missed. A bitmap of at most 32 MB."""
+    rows = base.count()
+    bits = min(KEY_BITS, max(6, (16 * max(1, rows) - 1).bit_length()))
+    place = F.shiftrightunsigned("key", 32 - bits)
+    found = base.select(place.alias("p")).groupBy(F.shiftright("p", 6).alias("word")).agg(F.expr("bit_or(shiftleft(1L, p & 63))").alias("value")).toArrow()
+    words = np.zeros(1 << (bits - 6), dtype=np.int64)
+    words[found.column("word").to_numpy()] = found.column("value").to_numpy()
+    held = base.sparkSession.sparkContext.broadcast(words)
+
+    def test(keys: np.ndarray) -> np.ndarray:
+        p = keys.view(np.uint32) >> np.uint32(32 - bits)
+        return (held.value.view(np.uint64)[p >> np.uint32(6)] >> (p & np.uint32(63)).astype(np.uint64)) & np.uint64(1) == 1
+
+    return test
+
+
+def record_segments(records: DataFrame, tbl: int, rec: str, text: str, span: int, names: Names, only: Callable[[np.ndarray], np.ndarray] | None = None, portion: int = PORTION) -> DataFrame:
+    """The segments of each record with at least `span` letters. tbl 0 is the base, in which others look for their spans.
+
+    only: a test of keys; segments of others that it rules out hold no span of the base.
+    """
+    held = records.sparkSession.sparkContext.broadcast(names)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rec, column, first in _portions(batches, span, portion):
             codes, begin, length = _coded(column)
-            key, at, windows = segments(codes, begin, length, span, rounds)
+            key, at, windows = segments(codes, begin, length, span, held.value)
+            key = (key >> np.uint64(32)).astype(np.uint32).view(np.int32)
+            if only is not None:
+                may = only(key)
+                key, at, windows = key[may], at[may], windows[may]
             of = np.searchsorted(begin, at, "right") - 1
             n, seg = _packed(codes, at, windows + span - 1)
-            rec = rec[of]
-            yield pa.RecordBatch.from_arrays([pa.array((key >> np.uint64(32)).astype(np.uint32).view(np.int32)), pa.array(rec), pa.array(_place(tbl, at - begin[of] + first, n)), seg], ["key", "rec", "place", "seg"])
+            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(rec[of]), pa.array(_place(tbl, at - begin[of] + first, n)), seg], ["key", "rec", "place", "seg"])
+
+    return _lettered(records, rec, text, span).mapInArrow(cut, _SEGMENT)
 
-    return rows.mapInArrow(cut, _SEGMENT)
+
+def shared_spans(base: tuple[DataFrame, str, str], others: tuple[DataFrame, str, str] | None, span: int, rounds: int = ROUNDS, most: int = NAMES, portion: int = PORTION, hot: int = HOT) -> DataFrame:
+    """covered_spans() of records: base and others are (records, key, text); tbl 0 and 1 in the result.
+
+    Null texts and keys, and records of fewer than `span` letters, have no span.
+    """
+    names = name_rounds(*base, span, rounds, most, portion)
+    held = materialized(record_segments(base[0], 0, *base[1:], span, names, portion=portion))
+    if others is None:
+        return covered_spans(held, span, hot)
+    own = materialized(record_segments(others[0], 1, *others[1:], span, names, only=key_test(held), portion=portion))
+    return covered_spans(held.unionByName(own), span, hot)
 
 
 def _frames(batches: Iterator[pa.RecordBatch], most: int = 150_000) -> Iterator[pa.Table]:
@@ -278,16 +380,17 @@ def _frames(batches: Iterator[pa.RecordBatch], most: int = 150_000) -> Iterator[
         yield pa.Table.from_batches(held)
 
 
-def covered_spans(base: DataFrame, others: DataFrame | None, span: int, hot: int = HOT) -> DataFrame:
+def covered_spans(all_rows: DataFrame, span: int, hot: int = HOT) -> DataFrame:
     """(tbl, rec, span_start, span_end): the maximal covered stretches of each record.
 
-    base, others: record_segments() of them (tbl 0 and 1). A letter of a base record is covered by a window that another
-    base record holds too, a letter of one of the others by a window that any base record holds. Records of one number
-    count as one, so rows repeated in `others` come out once.
+    all_rows: record_segments() of the base (tbl 0) and others (tbl 1), as tables. A letter of a base record is covered
+    by a window that another base record holds too, a letter of one of the others by a window that any base record
+    holds. Records of one number count as one, so rows repeated in the others come out once.
     """
-    all_rows = materialized(base if others is None else base.unionByName(others))
+    many_rows = all_rows.count()
+    parts = max(2 * all_rows.sparkSession.sparkContext.defaultParallelism, -(-many_rows // TASK_ROWS))
     # Keys are counted by bucket first, a bucket holding hot / 4 rows on average: only rows of overfull buckets are counted by key.
-    buckets = max(1 << 16, 4 * all_rows.count() // hot)
+    buckets = max(1 << 16, 4 * many_rows // hot)
     bucket = F.pmod("key", F.lit(buckets))
     full = all_rows.groupBy(bucket.alias("bucket")).agg(F.count(F.lit(1)).alias("k")).filter(F.col("k") > hot).select("bucket")
     full = materialized(full)
@@ -327,10 +430,10 @@ def covered_spans(base: DataFrame, others: DataFrame | None, span: int, hot: int
             new[1:] = (rec[1:] != rec[:-1]) | (start[1:] != start[:-1]) | (end[1:] != end[:-1]) | (tbl[1:] != tbl[:-1])
             yield pa.RecordBatch.from_arrays([pa.array(tbl[new].astype(np.int8)), pa.array(rec[new]), pa.array(start[new]), pa.array(end[new])], ["tbl", "rec", "a", "b"])
 
-    found = cold.repartition(F.col("key")).sortWithinPartitions("key").mapInArrow(find, "tbl byte, rec long, a long, b long")
+    found = cold.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(find, "tbl byte, rec long, a long, b long")
     if warm is not None:
         found = found.unionByName(_hot_spans(_placed_columns(warm), span))
-    return _merged(found)
+    return _merged(found, parts)
 
 
 def _hot_spans(rows: DataFrame, span: int) -> DataFrame:
@@ -347,20 +450,22 @@ def _hot_spans(rows: DataFrame, span: int) -> DataFrame:
             count = np.abs(n).astype(np.int64) - span + 1
             at = _ranges(begin, count)
             of = np.repeat(np.arange(len(n)), count)
-            h = Fingerprints(codes).windows(span)[at]
+            width, window = _packed(codes, at, np.full(len(at), span))
             take = pa.array(of)
-            yield pa.RecordBatch.from_arrays([b.column("key").take(take), pa.array(h.view(np.int64)), b.column("n").take(take), b.column("seg").take(take), b.column("low").take(take), b.column("high").take(take), pa.array((at - begin[of]).astype(np.int32))], ["key", "window", "n", "seg", "low", "high", "place"])
+            yield pa.RecordBatch.from_arrays([b.column("key").take(take), pa.array(width), window, b.column("n").take(take), b.column("seg").take(take), b.column("low").take(take), b.column("high").take(take), pa.array((at - begin[of]).astype(np.int32))], ["key", "width", "window", "n", "seg", "low", "high", "place"])
 
-    each = kinds.mapInArrow(windows, "key int, window long, n int, seg binary, low long, high long, place int")
-    held = each.groupBy("key", "window").agg(F.min("low").alias("least"), F.max("high").alias("most")).filter("least is not null")
-    each = each.select("key", "window", "n", "seg", "place").join(held, ["key", "window"])
+    each = kinds.mapInArrow(windows, "key int, width int, window binary, n int, seg binary, low long, high long, place int")
+    letters_of = ["key", "width", "window"]  # the letters themselves, packed
+    held = each.groupBy(*letters_of).agg(F.min("low").alias("least"), F.max("high").alias("most")).filter("least is not null")
+    each = each.select(*letters_of, "n", "seg", "place").join(held, letters_of)
     each = each.select("key", "n", "seg", "place", (F.col("least") < F.col("most")).alias("twice"))
     answer = rows.select("key", "n", "seg", "tbl", "rec", "pos").join(each, ["key", "n", "seg"]).filter((F.col("tbl") != 0) | F.col("twice"))
     return answer.select("tbl", "rec", (F.col("pos") + F.col("place")).cast("long").alias("a"), (F.col("pos") + F.col("place") + span).cast("long").alias("b")).distinct()
 
 
-def _merged(found: DataFrame) -> DataFrame:
+def _merged(found: DataFrame, parts: int) -> DataFrame:
     """Overlapping and touching stretches of a record as one."""
+    found = found.repartition(parts, "tbl", "rec")
     order = Window.partitionBy("tbl", "rec").orderBy("a", "b")
     reach = F.max("b").over(order.rowsBetween(Window.unboundedPreceding, -1))
     rows = found.withColumn("new", F.when(F.col("a") <= reach, 0).otherwise(1))

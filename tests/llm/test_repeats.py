@@ -48,13 +48,13 @@ def corpus(seed=1):
     return list(enumerate(base)), list(enumerate(reads))
 
 
-@pytest.mark.parametrize(("hot", "portion"), [(repeats.HOT, 1 << 20), (3, 1 << 20), (repeats.HOT, 150)])
-def test_spans_equal_brute_force(spark, hot, portion):
+@pytest.mark.parametrize(("hot", "portion", "most"), [(repeats.HOT, 1 << 20, repeats.NAMES), (3, 1 << 20, 20), (repeats.HOT, 150, repeats.NAMES)])
+def test_spans_equal_brute_force(spark, hot, portion, most):
     base, reads = corpus()
     spelled = [(k, s.lower()[:9] + "- \n" + s[9:], "x", "y") for k, s in base] + [(900, None, "x", "y")]
     b = spark.createDataFrame(spelled, "k long, sequence string, key string, seg string").repartition(3)
     r = spark.createDataFrame([*reads, *reads[:30], (901, None), (902, "")], "k long, r1 string")
-    got = repeats.covered_spans(repeats.record_segments(b, 0, "k", "sequence", SPAN, portion=portion), repeats.record_segments(r, 1, "k", "r1", SPAN, portion=portion), SPAN, hot=hot)
+    got = repeats.shared_spans((b, "k", "sequence"), (r, "k", "r1"), SPAN, most=most, portion=portion, hot=hot)
     rows = [(x.tbl, x.rec, x.span_start, x.span_end) for x in got.collect()]
     assert len(rows) == len(set(rows)) and set(rows) == brute(base, reads)
 
@@ -64,13 +64,34 @@ def test_hot_anchor_of_other_letters(spark):
     s = "".join(rng.choice("ACGTN") for _ in range(120))
     base = [(i, s[rng.randrange(0, 20) : 100 + rng.randrange(0, 20)]) for i in range(60)]
     df = spark.createDataFrame(base, "k long, sequence string")
-    got = repeats.covered_spans(repeats.record_segments(df, 0, "k", "sequence", SPAN), None, SPAN, hot=10)
+    got = repeats.shared_spans((df, "k", "sequence"), None, SPAN, hot=10)
     assert {(x.tbl, x.rec, x.span_start, x.span_end) for x in got.collect()} == brute(base, [])
 
 
+@pytest.mark.parametrize("span", [512, 4096])
+def test_different_texts_of_equal_fingerprints_share_nothing(spark, span):
+    """A word of alternating parity and the same with its letters swapped: all fingerprints modulo 2**64 agree."""
+    word = "".join("AC"[i.bit_count() % 2] for i in range(span))
+    swapped = word.translate(str.maketrans("AC", "CA"))
+    for hot in (repeats.HOT, 1):
+        df = spark.createDataFrame([(0, word), (1, swapped)], "k long, sequence string")
+        assert repeats.shared_spans((df, "k", "sequence"), None, span, hot=hot).count() == 0
+        df = spark.createDataFrame([(0, word), (1, swapped), (2, "G" + swapped), (3, word + "T")], "k long, sequence string")
+        got = {(x.rec, x.span_start, x.span_end) for x in repeats.shared_spans((df, "k", "sequence"), None, span, hot=hot).collect()}
+        assert got == {(0, 0, span), (3, 0, span), (1, 0, span), (2, 1, span + 1)}
+
+
 def test_empty(spark):
     df = spark.createDataFrame([], "k long, sequence string")
-    assert repeats.covered_spans(repeats.record_segments(df, 0, "k", "sequence", SPAN), None, SPAN).count() == 0
+    assert repeats.shared_spans((df, "k", "sequence"), (df, "k", "sequence"), SPAN).count() == 0
+
+
+def names_of(texts, rounds=repeats.ROUNDS, most=repeats.NAMES):
+    codes, names = repeats._coded(pa.array(texts))[0], recompression.Names()
+    for _ in range(rounds + 1):
+        code, n = recompression.counted(codes, names)
+        names.add(code[np.argsort(-n, kind="stable")][:most].tolist())
+    return names
 
 
 def test_equal_substrings_have_equal_interior_symbols():
@@ -78,11 +99,12 @@ def test_equal_substrings_have_equal_interior_symbols():
     for alphabet in ("ACGT", "AC", "AAAC"):
         w = "".join(rng.choice(alphabet) for _ in range(150))
         found = []
-        for _ in range(6):
-            left, right = ("".join(rng.choice(alphabet) for _ in range(rng.randrange(0, 60))) for _ in range(2))
+        texts = [tuple("".join(rng.choice(alphabet) for _ in range(rng.randrange(0, 60))) for _ in range(2)) for _ in range(6)]
+        names = names_of([left + w + right for left, right in texts], most=40)
+        for left, right in texts:
             text = left + w + right
             codes = np.array([0, *[ord(c) - 64 for c in text], 0], dtype=np.uint8)
-            name, start, low, high = recompression.parse(codes, 4)
+            name, start, low, high = recompression.parse(codes, names)
             at = len(left) + 1
             inside = (low >= at) & (high <= at + len(w))
             found.append(list(zip(name[inside].tolist(), (start[inside] - at).tolist(), strict=True)))
@@ -94,7 +116,7 @@ def test_segments_hold_each_window_once():
     rng = random.Random(8)
     texts = ["".join(rng.choice("ACGT") for _ in range(n)) for n in (42, 43, 100, 500)] + ["A" * 90, "ACGTN" * 20]
     codes, begin, length = repeats._coded(pa.array(texts))
-    key, at, windows = repeats.segments(codes, begin, length, SPAN, repeats.ROUNDS)
+    key, at, windows = repeats.segments(codes, begin, length, SPAN, names_of(texts))
     seen = sorted(int(a) + i for a, n in zip(at, windows, strict=True) for i in range(n))
     assert seen == sorted(int(b) + i for b, n in zip(begin, length, strict=True) for i in range(n - SPAN + 1))
     n, seg = repeats._packed(codes, at, windows + SPAN - 1)
