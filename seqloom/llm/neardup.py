@@ -1,63 +1,82 @@
 """Problem 1: records that differ by a limited amount of editing.
 
-Method: a binary trie self-join. Each distinct text gets a bit string per trie: the bits of one min-hash of its set of
-substrings (`prefix_hashes` of them for very many rows), then a sketch of one-bit min-hashes, of which two texts of
-similarity J agree in (1 + J) / 2 on average. Spark splits every trie at the end of the min-hash bits, where no error
-is allowed, into subtries; within these, pairs of nodes are traversed together from the top, differing bits add up, and
-a pair of nodes is pruned once the Hamming error budget is exceeded. Several tries, each by another min-hash, make
-sure that no pair is lost: two texts of the least similarity 0.6 miss all 16 with a chance of 0.4**16 = 4e-7.
-A pair of leaves is reported by the first trie that has both, so no pair is shuffled twice; exact sets decide at last.
+Method: a binary trie self-join. 128 min-hashes of a text's set of substrings give it a sketch, one bit of each, of
+which two texts of similarity J agree in (1 + J) / 2 on average, and 32 tries: a leaf's path in a trie is the bits of
+two of the min-hashes, in which no error is allowed, and then the sketch. Spark splits every trie at the end of the two
+min-hashes; within such a subtrie pairs of nodes are traversed together from the top, differing bits add up, and a pair
+of nodes is pruned once the Hamming error budget is exceeded. A subtrie of too many leaves for one task is split
+further by its next bits, and each pair of its nodes within the budget is traversed on its own. Two texts of the least
+similarity 0.6 miss all 32 tries with a chance of 0.64**32 = 6e-7, of 0.7 with one of 4e-10. Exact sets decide at last.
+One setting serves all sizes.
 """
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seqloom.common import checkpointed, letters
+from seqloom.common import checkpointed, letters, materialized
 
 SUBSTRING, SIMILARITY = 11, 0.6
-SKETCH_BITS = 128
-#: Leaves of a subtrie handled in one task; a larger subtrie is joined tile by tile.
+SKETCH_BITS, TRIES = 128, 32
+#: Leaves of a subtrie handled in one task; a larger one is split by its next bits.
 TILE = 4096
+#: Leaves whose subtries are traversed together.
+FRAME = 1 << 16
 #: Pairs of nodes of a traversal held at once.
 FRONTIER = 1 << 20
-#: Above so many distinct texts one min-hash meets too many unrelated ones by chance; two are used then, in more tries.
-MANY = 2_000_000
+#: Letters signed at once: arrays of this size stay in a core's cache.
+PORTION = 1 << 15
 
 
-def substrings(text: str, k: int) -> np.ndarray:
-    """Sorted codes of the distinct substrings of k letters A to Z, five bits a letter (k up to 12)."""
-    b = np.frombuffer(text.encode("ascii"), dtype=np.uint8).astype(np.uint64) - np.uint64(64)
+def _codes(b: np.ndarray, k: int) -> np.ndarray:
+    """Codes of the substrings of k letters, five bits a letter (k up to 12), of a text as bytes A to Z."""
+    b = (b & np.uint8(31)).astype(np.uint64)
     n = len(b) - k + 1
-    if n <= 0:
-        return np.empty(0, dtype=np.uint64)
-    code = np.zeros(n, dtype=np.uint64)
-    for i in range(k):
+    code = np.zeros(max(n, 0), dtype=np.uint64)
+    for i in range(k if n > 0 else 0):
         code = (code << np.uint64(5)) | b[i : i + n]
-    return np.unique(code)
+    return code
+
+
+def substrings(text: str, k: int) -> np.ndarray:
+    """Sorted codes of the distinct substrings of k letters A to Z."""
+    return np.unique(_codes(np.frombuffer(text.encode("ascii"), dtype=np.uint8), k))
+
 
+_MULTIPLIERS = np.random.default_rng(11).integers(1, 1 << 63, SKETCH_BITS + 2, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
-def _multipliers(n: int, seed: int = 11) -> np.ndarray:
-    return np.random.default_rng(seed).integers(1, 1 << 63, n, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    x ^= x >> np.uint64(32)
+    return x
 
-def signature(codes: np.ndarray, prefixes: np.ndarray, bits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The min-hashes for the prefixes, and the sketch as bytes."""
-    mixed = (codes ^ (codes >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-    mixed ^= mixed >> np.uint64(32)
-    low = np.empty(len(prefixes) + len(bits), dtype=np.uint64)
-    for i, m in enumerate(np.concatenate([prefixes, bits])):
-        low[i] = (mixed * m).min()
-    low ^= low >> np.uint64(31)
-    low *= np.uint64(0x94D049BB133111EB)
-    low >>= np.uint64(32)
-    return low[: len(prefixes)], np.packbits((low[len(prefixes) :] & np.uint64(1)).astype(np.uint8))
+
+def signatures(texts: list[str], k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of texts with k letters or more: the subtrie of each in each trie, and the sketches as bytes; a row a text."""
+    lengths = np.array([len(t) for t in texts])
+    raw = np.frombuffer("".join(texts).encode("ascii"), dtype=np.uint8)
+    first = np.cumsum(lengths) - lengths
+    last = np.zeros(len(raw), dtype=bool)  # places at which a substring would run over the text's end
+    for i in range(1, k):
+        last[first + lengths - i] = True
+    mixed = _mixed(_codes(np.append(raw, np.zeros(k - 1, dtype=np.uint8)), k)[~last])
+    windows = lengths - k + 1
+    starts = np.cumsum(windows) - windows
+    low = np.empty((len(texts), SKETCH_BITS), dtype=np.uint64)
+    hashed = np.empty_like(mixed)
+    for i in range(SKETCH_BITS):
+        np.multiply(mixed, _MULTIPLIERS[i], out=hashed)
+        low[:, i] = np.minimum.reduceat(hashed, starts)
+    low = _mixed(low)
+    trees = _mixed(low[:, : 2 * TRIES : 2] * _MULTIPLIERS[-1] + low[:, 1 : 2 * TRIES : 2] * _MULTIPLIERS[-2] + np.arange(TRIES, dtype=np.uint64))
+    return trees, np.packbits((low >> np.uint64(40)).astype(np.uint8) & np.uint8(1), axis=1)
 
 
 def error_budget(similarity: float, bits: int = SKETCH_BITS) -> int:
@@ -159,94 +178,111 @@ def classes(records: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFra
     return firsts.select("cls", "letters"), rows.select("key", "h1", "h2").join(ids, ["h1", "h2"]).select("key", "cls")
 
 
-def similar_classes(texts: DataFrame, k: int = SUBSTRING, similarity: float = SIMILARITY, prefix_hashes: int | None = None, tries: int | None = None) -> DataFrame:
+def _portions(lengths: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """Ranges of texts of about `most` letters together."""
+    ends, i = np.cumsum(lengths), 0
+    while i < len(ends):
+        j = max(i + 1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + most, "right")))
+        yield i, j
+        i = j
+
+
+def trie_leaves(texts: DataFrame, k: int = SUBSTRING) -> DataFrame:
+    """(tree, cls, s0, s1): of each text (cls, letters) its leaf in each trie; tree is the subtrie, s0 and s1 the sketch."""
+
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            own, cls = b.column("letters").to_pylist(), b.column("cls").to_numpy()
+            for i, j in _portions(np.array([len(t) for t in own]), PORTION):
+                trees, sketch = signatures(own[i:j], k)
+                half = sketch.view(">u8").astype(np.uint64).view(np.int64)
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(0, (j - i) * TRIES + 1, TRIES, dtype=np.int32)), pa.array(trees.view(np.int64).ravel()))
+                yield pa.RecordBatch.from_arrays([pa.array(cls[i:j]), lists, pa.array(half[:, 0]), pa.array(half[:, 1])], ["cls", "trees", "s0", "s1"])
+
+    spread = texts.filter(F.length("letters") >= k).repartition(F.col("cls"))
+    signed = materialized(spread.mapInArrow(sign, "cls long, trees array<long>, s0 long, s1 long"))
+    return signed.select(F.explode("trees").alias("tree"), "cls", "s0", "s1")
+
+
+def split_hot(leaves: DataFrame, budget: int, tile: int) -> DataFrame:
+    """leaves (tree, cls, s0, s1) with a side: subtries of more than `tile` leaves split by their next bits.
+
+    A subtrie of n leaves is split by log2(n / tile) bits of the sketch. Each leaf goes to every pair of nodes that its
+    own node forms within the budget; the pair's differing bits count again when it is traversed. side is -1 within a
+    node, 0 and 1 for the two nodes of a pair.
+    """
+    hot = leaves.groupBy("tree").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > tile)
+    hot = materialized(hot.select(F.col("tree").alias("hot"), F.least(F.ceil(F.log2(F.col("n") / tile)), F.lit(30)).cast("int").alias("bits")))
+    if hot.isEmpty():
+        return leaves.withColumn("side", F.lit(-1))
+    rows = leaves.join(hot, leaves.tree == hot.hot, "left")
+    cold = rows.filter("hot is null").select("tree", "cls", "s0", "s1", F.lit(-1).alias("side"))
+    rows = rows.filter("hot is not null").withColumn("node", F.expr("shiftrightunsigned(s0, 64 - bits)"))
+    rows = rows.withColumn("other", F.explode(F.expr("sequence(0L, shiftleft(1L, bits) - 1)"))).filter(F.bit_count(F.col("node").bitwiseXOR(F.col("other"))) <= budget)
+    pair = F.xxhash64("tree", F.least("node", "other"), F.greatest("node", "other"))
+    side = F.when(F.col("node") == F.col("other"), -1).otherwise((F.col("node") > F.col("other")).cast("int"))
+    return cold.unionByName(rows.select(pair.alias("tree"), "cls", "s0", "s1", side.alias("side")))
+
+
+def similar_classes(texts: DataFrame, k: int = SUBSTRING, similarity: float = SIMILARITY, tile: int = TILE) -> DataFrame:
     """(cls_a, cls_b, similarity), cls_a < cls_b: pairs of texts (cls, letters) whose sets of distinct substrings of k letters have a Jaccard similarity of at least `similarity`.
 
     cls must be unique. Texts with fewer than k letters have no partner.
     """
-    texts = texts.filter(F.length("letters") >= k)
-    if prefix_hashes is None:
-        prefix_hashes = 1 if texts.count() <= MANY else 2
-    tries = tries or {1: 16, 2: 40}[prefix_hashes]
-    prefixes, bits = _multipliers(tries * prefix_hashes), _multipliers(SKETCH_BITS, 13)
     budget = error_budget(similarity)
-
-    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            low, sketches = [], []
-            for t in b.column("letters"):
-                x, y = signature(substrings(t.as_py(), k), prefixes, bits)
-                low.append(x.reshape(tries, prefix_hashes)[:, 0] | (x.reshape(tries, prefix_hashes)[:, -1] << np.uint64(31)) if prefix_hashes > 1 else x)
-                sketches.append(y.tobytes())
-            flat = pa.array(np.concatenate(low).astype(np.int64) if low else np.empty(0, dtype=np.int64))
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(low) * tries + 1, tries, dtype=np.int32)), flat)
-            yield pa.RecordBatch.from_arrays([b.column("cls"), lists, pa.array(sketches, pa.binary())], ["cls", "low", "sketch"])
-
-    signed = checkpointed(texts.repartition(F.col("cls")).mapInArrow(sign, "cls long, low array<long>, sketch binary"))
-    leaves = signed.select("cls", "low", "sketch", F.posexplode("low").alias("trie", "prefix"))
-    tall = leaves.groupBy("trie", "prefix").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")  # a lone leaf has no partner
-    leaves = leaves.join(tall, ["trie", "prefix"])
-    # A subtrie of more leaves than one task should hold is cut into tiles, and each pair of tiles is joined on its own.
-    tiles = F.ceil(F.col("n") / TILE).cast("int")
-    leaves = leaves.withColumn("tiles", tiles).withColumn("tile", F.pmod(F.xxhash64("cls"), F.col("tiles")).cast("int"))
-    leaves = leaves.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-    leaves = leaves.withColumns({"ta": F.least("tile", "other"), "tb": F.greatest("tile", "other")})
-    tree = F.xxhash64("trie", "prefix", "ta", "tb")
-    side = F.when(F.col("ta") == F.col("tb"), -1).otherwise((F.col("tile") == F.col("tb")).cast("int"))
-    leaves = leaves.select("cls", "low", "sketch", "trie", tree.alias("tree"), side.alias("side"))
+    leaves = split_hot(trie_leaves(texts, k), budget, tile)
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # Rows come sorted by tree; whole trees are traversed together, up to a bounded number of leaves.
-        held: list[pd.DataFrame] = []
-        for pdf in _by_tree(batches, held):
-            sketch = np.frombuffer(b"".join(pdf["sketch"]), dtype=np.uint8).reshape(len(pdf), -1)
-            _, tree = np.unique(pdf["tree"].to_numpy(), return_inverse=True)
-            i, j = trie_pairs(sketch, tree, pdf["side"].to_numpy(), budget)
-            low = np.stack(pdf["low"].to_list())
-            trie = pdf["trie"].to_numpy()
-            earlier = np.arange(low.shape[1])[None, :] < trie[i][:, None]
-            new = ~((low[i] == low[j]) & earlier).any(axis=1)
-            cls = pdf["cls"].to_numpy()
-            a, b = cls[i[new]], cls[j[new]]
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["cls_a", "cls_b"])
+        for t in _by_tree(batches):
+            tree = t.column("tree").to_numpy()
+            fresh = np.r_[True, tree[1:] != tree[:-1]]
+            together = ~(fresh & np.r_[fresh[1:], True])  # a lone leaf has no partner
+            if not together.any():
+                continue
+            halves = np.stack([t.column(c).to_numpy()[together] for c in ("s0", "s1")], axis=1)
+            sketch = halves.view(np.uint64).astype(">u8").view(np.uint8).reshape(len(halves), -1)
+            i, j = trie_pairs(sketch, np.cumsum(fresh[together]), t.column("side").to_numpy()[together], budget)
+            cls = t.column("cls").to_numpy()[together]
+            a, b = np.minimum(cls[i], cls[j]), np.maximum(cls[i], cls[j])
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["cls_a", "cls_b"])
 
     near = leaves.repartition(F.col("tree")).sortWithinPartitions("tree").mapInArrow(join, "cls_a long, cls_b long")
-    near = near.filter("cls_a <> cls_b")
+    near = near.filter("cls_a <> cls_b").distinct()  # most pairs meet in several tries
     a = texts.select(F.col("cls").alias("cls_a"), F.col("letters").alias("text_a"))
     b = texts.select(F.col("cls").alias("cls_b"), F.col("letters").alias("text_b"))
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sets = functools.lru_cache(maxsize=8192)(lambda text: substrings(text, k))  # a text comes with each of its partners
         for batch in batches:
-            both = []
-            for x, y in zip(batch.column("text_a"), batch.column("text_b"), strict=True):
-                s, t = substrings(x.as_py(), k), substrings(y.as_py(), k)
-                common = len(np.intersect1d(s, t, assume_unique=True))
-                both.append(common / (len(s) + len(t) - common))
-            keep = pa.array(np.array(both) >= similarity, pa.bool_())
+            both = np.empty(batch.num_rows)
+            for row, (x, y) in enumerate(zip(batch.column("text_a").to_pylist(), batch.column("text_b").to_pylist(), strict=True)):
+                s, t = sets(x), sets(y)
+                common = np.count_nonzero(s[np.minimum(np.searchsorted(s, t), len(s) - 1)] == t)
+                both[row] = common / (len(s) + len(t) - common)
             out = pa.RecordBatch.from_arrays([batch.column("cls_a"), batch.column("cls_b"), pa.array(both, pa.float64())], ["cls_a", "cls_b", "similarity"])
-            yield out.filter(keep)
+            yield out.filter(pa.array(both >= similarity, pa.bool_()))
 
     return near.join(a, "cls_a").join(b, "cls_b").mapInArrow(verify, "cls_a long, cls_b long, similarity double")
 
 
-def _by_tree(batches: Iterator[pa.RecordBatch], held: list[pd.DataFrame], most: int = 16384) -> Iterator[pd.DataFrame]:
-    """The rows again, in frames of whole trees."""
-    n = 0
+def _by_tree(batches: Iterator[pa.RecordBatch], most: int = FRAME) -> Iterator[pa.Table]:
+    """The rows again, in tables of whole trees."""
+    held, n = [], 0
     for b in batches:
         if not b.num_rows:
             continue
-        held.append(b.to_pandas())
+        held.append(b)
         n += b.num_rows
         if n >= most:
-            pdf = pd.concat(held, ignore_index=True)
-            tree = pdf["tree"].to_numpy()
-            cut = int(np.flatnonzero(tree != tree[-1])[-1]) + 1 if (tree != tree[-1]).any() else 0
+            t = pa.Table.from_batches(held)
+            tree = t.column("tree").to_numpy()
+            cut = int(np.searchsorted(tree, tree[-1]))
             if cut:
-                yield pdf.iloc[:cut].reset_index(drop=True)
-            held[:] = [pdf.iloc[cut:]]
-            n = len(pdf) - cut
+                yield t.slice(0, cut)
+            held, n = t.slice(cut).to_batches(), t.num_rows - cut
     if held:
-        yield pd.concat(held, ignore_index=True)
+        yield pa.Table.from_batches(held)
 
 
 def near_pairs(records: DataFrame, key: str = "rec_ordinal", text: str = "sequence", k: int = SUBSTRING, similarity: float = SIMILARITY) -> DataFrame:

@@ -59,14 +59,23 @@ def test_pairs_equal_brute_force(spark):
         assert len(got) == len(set(got)) and set(got) == want
 
 
-def test_two_prefix_hashes_and_tiles(spark, monkeypatch):
+def test_hot_subtries_are_split(spark):
     rows = corpus(2)
     want = brute(rows)
-    monkeypatch.setattr(neardup, "TILE", 3)
-    texts, members = neardup.classes(frame(spark, rows), "rec_ordinal", "sequence")
-    for hashes in (1, 2):
-        got = {(r.cls_a, r.cls_b) for r in neardup.similar_classes(texts, prefix_hashes=hashes).collect()}
-        assert got == {(a, b) for a, b in want if a in {r.cls for r in texts.collect()} and b in {r.cls for r in texts.collect()}}
+    texts, _ = neardup.classes(frame(spark, rows), "rec_ordinal", "sequence")
+    cls = {r.cls for r in texts.collect()}
+    got = [(r.cls_a, r.cls_b) for r in neardup.similar_classes(texts, tile=2).collect()]
+    assert len(got) == len(set(got)) and set(got) == {(a, b) for a, b in want if {a, b} <= cls}
+    sides = {r.side for r in neardup.split_hot(neardup.trie_leaves(texts), 48, 2).select("side").distinct().collect()}
+    assert sides == {-1, 0, 1}
+
+
+def test_signatures_are_of_each_text_alone():
+    texts = [t for _, s in corpus(5) if len(t := letters(s)) >= 11] + ["ACGTACGTACG"]
+    trees, sketch = neardup.signatures(texts, 11)
+    for i in (0, 7, len(texts) - 1):
+        one, own = neardup.signatures([texts[i]], 11)
+        assert (one[0] == trees[i]).all() and (own[0] == sketch[i]).all()
 
 
 def test_trie_traversal_equals_all_pairs():
