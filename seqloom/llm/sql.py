@@ -64,6 +64,16 @@ with i as (select distinct * from ({_GRAMS.format(key='item_id', words=_WORDS.fo
 d as ({_GRAMS.format(key='doc_id', words=_WORDS.format('text'), tbl='documents')})
 select distinct doc_id, item_id from d join i using (g)"""
 
+_PLACED = """select {key}, i - 1 as pos, array_to_string(list_slice(w, i, i + 11), ' ') as g from (select {key}, {words} as w from {tbl} where text is not null),
+  lateral unnest(generate_series(1, len(w) - 11)) as t(i)"""
+P7_MATCHES = f"""
+with i as ({_PLACED.format(key='item_id', words=_WORDS.format('text'), tbl='eval_items')}),
+d as ({_PLACED.format(key='doc_id', words=_WORDS.format('text'), tbl='documents')}),
+m as (select distinct doc_id, item_id, d.pos - i.pos as diagonal, d.pos as pos from d join i using (g)),
+n as (select *, pos - row_number() over (partition by doc_id, item_id, diagonal order by pos) as island from m),
+spans as (select doc_id, item_id, count(*) + 11 as longest, min(pos) as at from n group by doc_id, item_id, diagonal, island)
+select doc_id, item_id, max(longest)::bigint as longest, arg_min(at, (-longest, at))::bigint as word_offset from spans group by 1, 2"""
+
 P7_CLEAN = f"select doc_id, source from documents where doc_id not in (select doc_id from ({P7_FOUND}))"
 
 P4_SHARES = f"""
@@ -74,4 +84,4 @@ sums as (select tbl, rec_key, sum(span_end - span_start)::bigint as covered from
 select tbl, rec_key, n_letters, coalesce(covered, 0)::bigint as covered, case when n_letters > 0 then coalesce(covered, 0) / n_letters else 0.0::double end as share
 from sizes left join sums using (tbl, rec_key)"""
 
-SQL = {"p1_found": P1_FOUND, "p2_found": P2_FOUND, "p2_collapsed": P2_COLLAPSED, "p3_sample": P3_SAMPLE, "p3_grown": P3_GROWN, "p4_found": P4_FOUND, "p4_shares": P4_SHARES, "p7_found": P7_FOUND, "p7_clean": P7_CLEAN}
+SQL = {"p1_found": P1_FOUND, "p2_found": P2_FOUND, "p2_collapsed": P2_COLLAPSED, "p3_sample": P3_SAMPLE, "p3_grown": P3_GROWN, "p4_found": P4_FOUND, "p4_shares": P4_SHARES, "p7_found": P7_FOUND, "p7_matches": P7_MATCHES, "p7_clean": P7_CLEAN}

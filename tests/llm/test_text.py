@@ -84,15 +84,29 @@ def test_leaks_equal_brute_force(spark):
                 want.setdefault((d, k), set()).add(best)
     texts = spark.createDataFrame([(*d, 5) for d in docs], "doc_id long, text string, item_id int")
     tests = spark.createDataFrame([(k, " ".join(i)) for k, i in enumerate(items)] + [(90, "too short"), (91, None), (None, " ".join(items[0]))], "item_id long, text string")
-    for block in (leakage.BLOCK_CHARS, 900):
-        got = leakage.leaks(texts, tests, block_chars=block).collect()
-        assert {(r.doc_id, r.item_id) for r in got} == set(want)
-        assert all(r.longest in want[r.doc_id, r.item_id] for r in got)
+    for hot in (leakage.HOT, 2):
+        got = leakage.leaks(texts, tests, hot=hot).collect()
+        assert len(got) == len(want) and {(r.doc_id, r.item_id) for r in got} == set(want)
+        assert all(r.longest == max(want[r.doc_id, r.item_id]) for r in got)
+        for r in got:  # the match stands where it is said to be
+            own, item = [words(t) for d, t in docs if d == r.doc_id and t], items[r.item_id]
+            cut = [w[r.word_offset : r.word_offset + r.longest] for w in own]
+            item = words(" ".join(item))
+            assert any(c == item[i : i + r.longest] for c in cut for i in range(len(item)))
     found = leakage.leaks(texts, tests)
     assert {r.doc_id for r in leakage.without_leaks(texts.filter("doc_id is not null"), found).collect()} == {d for d, _ in docs if d is not None} - {d for d, _ in want}
     assert leakage.leaks(texts.filter("false"), tests).count() == 0 and leakage.leaks(texts, tests.filter("false")).count() == 0
 
 
+def test_leaks_of_repeating_words(spark):
+    """Periodic texts match on many diagonals."""
+    docs = [(0, "a b " * 30), (1, "a " * 40), (2, "c " + "a b " * 6 + "d"), (3, "b a " * 6)]
+    items = [(0, "a b " * 10), (1, "a " * 20), (2, "a b " * 6 + "d e")]
+    texts = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {(r.doc_id, r.item_id): (r.longest, r.word_offset) for r in leakage.leaks(texts, spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got == {(0, 0): (20, 0), (0, 2): (12, 0), (1, 1): (20, 0), (2, 0): (12, 1), (2, 2): (13, 1), (3, 0): (12, 0)}
+
+
 def test_range_maximum():
     rng = random.Random(5)
     v = np.array([rng.randrange(4) for _ in range(200)])
