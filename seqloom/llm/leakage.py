@@ -21,11 +21,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from seqloom.common import materialized
+from seqloom.llm.filters import filter_words, may_hold
 from seqloom.llm.repeats import _ranges
 
 WORDS = 12
-#: Bits of the largest filter of the items' word runs, 32 MB.
-FILTER_BITS = 28
 #: Suffixes of one beginning in one shard; those of a more frequent one are spread over several.
 HOT = 50_000
 #: Bytes of text handled at once in a task.
@@ -118,7 +117,7 @@ def _tests(items: DataFrame, words: int) -> DataFrame:
 
 
 def _filter_words(tests: DataFrame, words: int) -> tuple[int, np.ndarray]:
-    """The bits of the filter of the tests' word runs, two a run, or-ed together by aggregation; at most 32 MB."""
+    """The filter of the tests' word runs."""
 
     def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -126,12 +125,7 @@ def _filter_words(tests: DataFrame, words: int) -> tuple[int, np.ndarray]:
                 yield pa.RecordBatch.from_arrays([pa.array(run_hashes(_Words(t.as_py().encode()).hash, words).view(np.int64))], ["h"])
 
     runs = tests.mapInArrow(hashes, "h long")
-    bits = min(FILTER_BITS, max(6, (16 * max(1, runs.count()) - 1).bit_length()))
-    places = F.array(F.shiftrightunsigned("h", 64 - bits), F.shiftrightunsigned(F.shiftleft("h", bits), 64 - bits))
-    found = runs.select(F.explode(places).alias("p")).groupBy(F.shiftright("p", 6).alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(p & 63 as int)))").alias("value")).toArrow()
-    out = np.zeros(1 << (bits - 6), dtype=np.int64)
-    out[found.column("word").to_numpy()] = found.column("value").to_numpy()
-    return bits, out
+    return filter_words(runs, runs.count())
 
 
 def _passages(documents: DataFrame, tests: DataFrame, words: int) -> DataFrame:
@@ -147,11 +141,7 @@ def _passages(documents: DataFrame, tests: DataFrame, words: int) -> DataFrame:
                 h = run_hashes(w.hash, words)
                 if not len(h):
                     continue
-                mask = held.value.view(np.uint64)
-                may = np.ones(len(h), dtype=bool)
-                for p in (h >> np.uint64(64 - bits), (h << np.uint64(bits)) >> np.uint64(64 - bits)):
-                    may &= (mask[p >> np.uint64(6)] >> (p & np.uint64(63))) & np.uint64(1) == 1
-                at = np.flatnonzero(may)
+                at = np.flatnonzero(may_hold(bits, held.value, h))
                 of = np.searchsorted(ends, w.start[at], "right")
                 inside = of == np.searchsorted(ends, w.start[at + words - 1], "right")
                 at, of = at[inside], of[inside]

@@ -71,8 +71,8 @@ with i as ({_PLACED.format(key='item_id', words=_WORDS.format('text'), tbl='eval
 d as ({_PLACED.format(key='doc_id', words=_WORDS.format('text'), tbl='documents')}),
 m as (select distinct doc_id, item_id, d.pos - i.pos as diagonal, d.pos as pos from d join i using (g)),
 n as (select *, pos - row_number() over (partition by doc_id, item_id, diagonal order by pos) as island from m),
-spans as (select doc_id, item_id, count(*) + 11 as longest, min(pos) as at from n group by doc_id, item_id, diagonal, island)
-select doc_id, item_id, max(longest)::bigint as longest, arg_min(at, (-longest, at))::bigint as word_offset from spans group by 1, 2"""
+spans as (select doc_id, item_id, count(*) + 11 as longest, min(pos) as place from n group by doc_id, item_id, diagonal, island)
+select doc_id, item_id, max(longest)::bigint as longest, arg_min(place, {{'l': -longest, 'p': place}})::bigint as word_offset from spans group by 1, 2"""
 
 P7_CLEAN = f"select doc_id, source from documents where doc_id not in (select doc_id from ({P7_FOUND}))"
 

@@ -111,18 +111,32 @@ def test_block_sample_sizes(spark, stored):
 
 
 def test_block_sample_is_uniform(spark, stored):
-    """Each of 1500 fragments, delivered once or twice, comes with the same chance: chi-square over 30 draws of 150."""
+    """Each of 1500 fragments, delivered once or twice, comes with the same chance: chi-square over 10 draws of 450."""
     seen = Counter()
-    for seed in range(30):
-        seen.update(r.ordinal for r in block_sample.block_sample(stored, design(spark, [("big", 150)]), seed=seed).collect())
-    assert sum(seen.values()) == 30 * 150
+    for seed in range(10):
+        seen.update(r.ordinal for r in block_sample.block_sample(stored, design(spark, [("big", 450)]), seed=seed).collect())
+    assert sum(seen.values()) == 10 * 450
     twice = sum(v for k, v in seen.items() if k < 300) / 225
     once = sum(v for k, v in seen.items() if k >= 300) / 1275
     assert abs(twice - 3) < 0.4 and abs(once - 3) < 0.2
-    chi = sum((seen[i] - 3) ** 2 / (3 * 0.9) for i in range(2000) if i % 4)
+    chi = sum((seen[i] - 3) ** 2 / (3 * 0.7) for i in range(2000) if i % 4)
     assert abs(chi - 1499) < 5 * math.sqrt(2 * 1499)
 
 
 def test_row_groups_cover_files(spark, data):
     t = table(spark, data, "fragments")
-    assert all(r.starts[0] == 0 for r in block_sample.row_groups(t).collect())
+    groups = block_sample.row_groups(t)
+    assert {r.start for r in groups.filter("group_no = 0").collect()} == {0}
+    n = {r.run_id: r["sum(n)"] for r in block_sample.run_blocks(groups, "run_id").groupBy("run_id").sum("n").collect()}
+    assert n == {r.run_id: r["count"] for r in t.filter("run_id is not null").groupBy("run_id").count().collect()}
+
+
+def test_block_sample_of_many_redeliveries(spark):
+    """A run whose rows are mostly redeliveries: fewer fragments than its capacity, or hardly more, in very many rows."""
+    path = tempfile.mkdtemp() + "/fragments.parquet"
+    rows = [(i % 50, "f", "a", 0) for i in range(3000)] + [(1000 + i % 60, "f", "b", 0) for i in range(3000)] + [(1000, "f", "a", 0)]
+    fragments(spark, rows).coalesce(1).write.option("parquet.block.row.count.limit", 100).parquet(path)
+    got = block_sample.block_sample(spark.read.parquet(path), design(spark, [("a", 100), ("b", 58)])).collect()
+    assert {r.ordinal for r in got if r.run_id == "a"} == set(range(50)) and all(r.draw is None for r in got if r.run_id == "a")
+    b = [r.ordinal for r in got if r.run_id == "b"]
+    assert len(b) == len(set(b)) == 58 and set(b) <= set(range(1000, 1060))
