@@ -2,14 +2,16 @@
 
 Method: a grouping genetic algorithm on islands. Items are dealt at random to neighbourhoods of bounded size, each
 with several islands; an island evolves a population of packings. Crossover injects whole well-filled containers of
-one parent into the other, drops the containers that hold an item twice and best-fits the displaced items; mutation
-empties the worst containers. Between rounds each island's elite migrates to the next island of its neighbourhood.
+one parent into the other, drops the containers that hold an item twice and best-fits the displaced items: first each
+takes the place of the smaller item of a kept container that leaves the least room there, then what is still loose goes
+where it fits most tightly. Mutation empties the worst containers. Between rounds each island's elite migrates to the next island of its neighbourhood.
 The best packing of any island is kept. Neighbourhoods are rows, so nothing but one of them is ever in one task's hands.
 """
 
 from __future__ import annotations
 
 import random
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import pandas as pd
@@ -20,7 +22,7 @@ from pyspark.sql import functions as F
 from seqloom.common import checkpointed
 from seqloom.llm.tokens import clean, encoder, vocabulary_path
 
-NEIGHBOURHOOD, ISLANDS, ROUNDS, POPULATION, GENERATIONS = 1500, 2, 2, 4, 6
+NEIGHBOURHOOD, ISLANDS, ROUNDS, POPULATION, GENERATIONS = 1500, 2, 2, 6, 20
 
 
 def token_counts(documents: DataFrame, vocabulary: str | None = None) -> DataFrame:
@@ -81,11 +83,33 @@ def _born(order: list[int], sizes: list[int], capacity: int) -> list[list[int]]:
     return b.bins
 
 
+def _exchanged(own: list[int], room: int, loose: list[int], keys: list[int], sizes: list[int]) -> int:
+    """Swap items of a container for larger loose ones (ascending, keys are their sizes) while that fills it better; the room left."""
+    while room and keys:
+        gain, place, taken = 0, 0, 0
+        for k, i in enumerate(own):
+            j = bisect_right(keys, sizes[i] + room) - 1
+            if j >= 0 and keys[j] - sizes[i] > gain:
+                gain, place, taken = keys[j] - sizes[i], k, j
+        if not gain:
+            break
+        keys.pop(taken)
+        own[place], back = loose.pop(taken), own[place]
+        at = bisect_left(keys, sizes[back])
+        keys.insert(at, sizes[back])
+        loose.insert(at, back)
+        room -= gain
+    return room
+
+
 def _repaired(kept: list[list[int]], displaced: list[int], sizes: list[int], capacity: int) -> list[list[int]]:
     b = _Bins(sizes, capacity)
-    for own in kept:
-        b.add_bin(list(own), sum(sizes[i] for i in own))
-    b.best_fit(sorted(displaced, key=lambda i: -sizes[i]))
+    loose = sorted(displaced, key=lambda i: sizes[i])
+    keys = [sizes[i] for i in loose]
+    for own in map(list, kept):
+        room = _exchanged(own, capacity - sum(sizes[i] for i in own), loose, keys, sizes)
+        b.add_bin(own, capacity - room)
+    b.best_fit(loose[::-1])
     return b.bins
 
 

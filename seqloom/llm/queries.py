@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqloom.common import checkpointed, table
+from seqloom.common import checkpointed, materialized, table
 from seqloom.llm import block_sample, collapse, leakage, ledger_sample, neardup, packing, repeats, splitting
 
 
@@ -91,6 +91,14 @@ def p5_sample(spark: SparkSession, d: str) -> DataFrame:
     return block_sample.block_sample(table(spark, d, "fragments"), table(spark, d, "sampling_design"))
 
 
+def p5_sizes(spark: SparkSession, d: str) -> DataFrame:
+    """What must hold of p5_sample, by run: its size, no fragment twice, none of another run."""
+    rows = materialized(p5_sample(spark, d))
+    own = table(spark, d, "fragments").filter("ordinal is not null").groupBy("ordinal").agg(F.min("run_id").alias("own"))
+    rows = rows.join(own, "ordinal", "left")
+    return rows.groupBy("run_id").agg(F.count(F.lit(1)).alias("sampled"), F.count_distinct("ordinal").alias("fragments"), F.count_if(F.coalesce(F.col("own") != F.col("run_id"), F.lit(True))).alias("strangers"))
+
+
 def _packed(spark: SparkSession, d: str, purpose: str) -> DataFrame:
     return packing.pack(packing.token_counts(table(spark, d, "documents")), _limit(spark, d, purpose)[0])
 
@@ -103,6 +111,16 @@ def p6_pack_small(spark: SparkSession, d: str) -> DataFrame:
     return _packed(spark, d, "pack_small")
 
 
+def p6_placed(spark: SparkSession, d: str) -> DataFrame:
+    """What must hold of p6_pack: each text is there once, without a gap, in containers none of which is overfull."""
+    limit = _limit(spark, d, "pack")[0]
+    packed = packing.pack(packing.token_counts(table(spark, d, "documents")), limit)
+    fill = packed.groupBy("container").agg(F.sum("n_tokens").alias("fill"))
+    rows = packed.join(fill, "container")
+    gap = F.sum(F.when(F.col("token_start") == F.col("piece_no") * limit, 0).otherwise(1)) + F.max("token_end") - F.sum("n_tokens")
+    return rows.groupBy("doc_id").agg(F.count_if(F.col("piece_no") == 0).alias("texts"), gap.alias("gaps"), F.count_if(F.col("fill") > limit).alias("overfull"))
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return leakage.leaks(table(spark, d, "documents"), table(spark, d, "eval_items")).select("doc_id", "item_id")
 
@@ -122,11 +140,20 @@ def p8_split(spark: SparkSession, d: str) -> DataFrame:
     return splitting.split_long(table(spark, d, "documents"), *_limit(spark, d, "split"))
 
 
+def p8_rejoined(spark: SparkSession, d: str) -> DataFrame:
+    """The digest of each text, of those that were split as the pieces of p8_split give it."""
+    documents = table(spark, d, "documents").filter("text is not null")
+    pieces = materialized(p8_split(spark, d))
+    whole = documents.join(pieces.select("doc_id"), "doc_id", "left_anti").select("doc_id", "text")
+    return splitting.rejoined(pieces).unionByName(whole).select("doc_id", F.sha2("text", 256).alias("digest"))
+
+
 def p8_split_wide(spark: SparkSession, d: str) -> DataFrame:
     return splitting.split_long(table(spark, d, "documents"), *_limit(spark, d, "split_wide"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f
-    for f in (p1_found, p1_groups, p2_found, p2_collapsed, p3_sample, p3_grown, p4_found, p4_shares, p5_sample, p6_pack, p6_pack_small, p7_found, p7_matches, p7_clean, p8_split, p8_split_wide)
-}
+_ALL = (
+    p1_found, p1_groups, p2_found, p2_collapsed, p3_sample, p3_grown, p4_found, p4_shares, p5_sample, p5_sizes,
+    p6_pack, p6_pack_small, p6_placed, p7_found, p7_matches, p7_clean, p8_split, p8_split_wide, p8_rejoined,
+)
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _ALL}

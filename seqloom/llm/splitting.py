@@ -13,6 +13,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from seqloom.llm.tokens import clean, encoder, token_lengths, vocabulary_path
 
@@ -97,17 +98,18 @@ def cuts(strength: np.ndarray, limit: int, overlap: int) -> list[tuple[int, int]
 
 
 def split_long(documents: DataFrame, limit: int, overlap: int, vocabulary: str | None = None) -> DataFrame:
-    """(doc_id, piece_no, token_start, token_end, n_tokens, text): the pieces of each text above `limit` tokens, in order.
+    """(doc_id, piece_no, token_start, token_end, n_tokens, char_start, char_end, text): the pieces of each text above `limit` tokens, in order.
 
     token_start and token_end are places in the tokenization of the whole text: the pieces cover it without a gap.
+    char_start and char_end are the same in its characters.
     Null, empty and short texts give no piece. Repeated doc_ids are split one by one.
     """
     path = vocabulary_path(vocabulary)
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, lengths = encoder(path), token_lengths(path)
-        names = ["doc_id", "piece_no", "token_start", "token_end", "n_tokens", "text"]
-        kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.string()]
+        names = ["doc_id", "piece_no", "token_start", "token_end", "n_tokens", "char_start", "char_end", "text"]
+        kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.string()]
         for batch in batches:
             cols: list[list] = [[] for _ in names]
             size = 0
@@ -120,10 +122,11 @@ def split_long(documents: DataFrame, limit: int, overlap: int, vocabulary: str |
                 if len(ids) <= limit:
                     continue
                 ends = np.cumsum(lengths[ids])
+                chars = np.cumsum((np.frombuffer(data, dtype=np.uint8) & 0xC0) != 0x80)[ends - 1]  # characters up to each token's end
                 for k, (a, b) in enumerate(cuts(boundary_strengths(data, ends), limit, overlap)):
                     piece = data[ends[a - 1] if a else 0 : ends[b - 1]].decode()
                     size += len(piece)
-                    for col, v in zip(cols, (doc, k, a, b, b - a, piece), strict=True):
+                    for col, v in zip(cols, (doc, k, a, b, b - a, int(chars[a - 1]) if a else 0, int(chars[b - 1]), piece), strict=True):
                         col.append(v)
                 if size > 8_000_000:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names)
@@ -131,4 +134,13 @@ def split_long(documents: DataFrame, limit: int, overlap: int, vocabulary: str |
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names)
 
     rows = documents.select("doc_id", "text").filter("text is not null")
-    return rows.mapInArrow(split, "doc_id long, piece_no int, token_start long, token_end long, n_tokens int, text string")
+    return rows.mapInArrow(split, "doc_id long, piece_no int, token_start long, token_end long, n_tokens int, char_start long, char_end long, text string")
+
+
+def rejoined(pieces: DataFrame) -> DataFrame:
+    """(doc_id, text): the pieces of each text put together again, without their overlaps. doc_id must be unique among the texts that were split."""
+    own = F.array_sort(F.collect_list(F.struct("piece_no", "char_start", "char_end", "text")))
+    new = lambda seen, p: F.substring(p.text, (seen.end - p.char_start + 1).cast("int"), F.length(p.text))
+    start = F.struct(F.lit(0).cast("long").alias("end"), F.array().cast("array<string>").alias("parts"))
+    step = lambda seen, p: F.struct(p.char_end.alias("end"), F.concat(seen.parts, F.array(new(seen, p))).alias("parts"))
+    return pieces.groupBy("doc_id").agg(own.alias("own")).select("doc_id", F.aggregate("own", start, step, lambda seen: F.array_join(seen.parts, "")).alias("text"))
