@@ -199,7 +199,8 @@ def pack(sized: DataFrame, capacity: int, neighbourhood: int = NEIGHBOURHOOD, is
     dealt = loose.withColumn("shard", F.pmod(F.xxhash64(F.lit(seed), "row", "piece_no"), F.lit(shards)).cast("int"))
     places = dealt.groupBy("shard").agg(F.array_sort(F.collect_list(F.struct("doc_id", "piece_no", "token_start", "token_end", "n_tokens"))).alias("items"))
     state = places.select("shard", "items", F.explode(F.sequence(F.lit(0), F.lit(islands - 1))).alias("island"), F.array().cast("array<array<int>>").alias("population"))
-    state = checkpointed(state.repartition(max(1, min(shards * islands, 4 * spark.sparkContext.defaultParallelism)), "shard", "island"))
+    tasks = max(1, min(shards * islands, max(4 * spark.sparkContext.defaultParallelism, shards * islands // 64)))
+    state = checkpointed(state.repartition(tasks, "shard", "island"))
     for r in range(rounds):
 
         def step(batches: Iterator[pd.DataFrame], r: int = r) -> Iterator[pd.DataFrame]:
@@ -217,7 +218,7 @@ def pack(sized: DataFrame, capacity: int, neighbourhood: int = NEIGHBOURHOOD, is
             ends = Window.partitionBy("shard").orderBy("island").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
             elite = F.coalesce(F.lag(F.col("population")[0]).over(ring), F.last(F.col("population")[0]).over(ends))
             state = state.withColumn("elite", elite).withColumn("population", F.concat(F.slice("population", 1, POPULATION - 1), F.array("elite"))).drop("elite")
-            state = checkpointed(state)
+            state = checkpointed(state.repartition(tasks, "shard", "island"))
     best = F.col("population")[0]
     bins = F.size(F.array_distinct(best))
     chosen = state.withColumn("labels", best).groupBy("shard").agg(F.min(F.struct(bins.alias("bins"), "island", "items", "labels")).alias("b"))
