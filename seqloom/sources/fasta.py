@@ -20,8 +20,10 @@ def read_fasta(spark: SparkSession, path: str) -> DataFrame:
     raw = spark.read.text(path, lineSep="\n>").select("value", F.col("_metadata.file_path").alias("source"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_at"))
     first = F.startswith("value", F.lit(">"))
     body = F.when(first, F.substring("value", F.lit(2), F.length("value"))).otherwise(F.col("value"))
-    # a later part of a file begins behind "\n>"; a file's own first part must begin with ">"
-    stray = (F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)) == 0) & (F.col("_block") == 0) & ~first
+    # a later part of a file begins behind "\n>"; a file's own first part, the first row of its first block, must begin with ">"
+    begins = raw.filter("_block = 0").groupBy(F.col("source").alias("_file")).agg(F.min("_at").alias("_first"))  # a row a file
+    raw = raw.join(begins, raw.source == begins._file)
+    stray = (F.col("_at") == F.col("_first")) & (F.col("_block") == 0) & ~first
     raw = raw.withColumn("_body", F.when(stray & F.col("value").rlike(r"\S"), F.raise_error(F.concat(F.lit("text before the first header in "), "source"))).otherwise(body)).filter(F.col("_body").rlike(r"\S"))
     header = F.substring_index(F.regexp_replace("_body", "\r", "\n"), "\n", 1)
     rest = F.substring(F.col("_body"), F.length(header) + 1, F.length("_body"))
