@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,10 +15,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the shared folder the cluster names in spark.checkpoint.dir; make an own one only where it is unset."""
+    """Use the shared folder the cluster names in spark.checkpoint.dir. Only a local session may do without: it gets a folder of its own."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-checkpoint-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not (sc.master == "local" or sc.master.startswith("local[")):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-checkpoint-"))
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
@@ -59,14 +63,29 @@ def bottom_k_per_group(df: DataFrame, group: list[str], hex_key: str, tie: str,
 
 def materialized(df: DataFrame) -> DataFrame:
     """df, written once as a compressed Parquet table in the shared checkpoint folder, and read from there."""
-    import uuid
-
     ensure_checkpoint_dir(df.sparkSession)
-    path = f"{df.sparkSession.sparkContext.getCheckpointDir()}/{uuid.uuid4().hex}"
+    sc = df.sparkSession.sparkContext
+    path = f"{sc.getCheckpointDir()}/{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    sc._seqloom_tables = [*getattr(sc, "_seqloom_tables", []), path]
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def hadoop_path(spark: SparkSession, text: str):
+    """A path as Hadoop's object, and its file system."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(text)
+    return path, path.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def drop_tables(spark: SparkSession) -> None:
+    """Delete the tables that materialized() wrote in this session: call it when the results built on them are written."""
+    sc = spark.sparkContext
+    for text in getattr(sc, "_seqloom_tables", []):
+        path, fs = hadoop_path(spark, text)
+        fs.delete(path, True)
+    sc._seqloom_tables = []
+
+
 def ship_package(spark: SparkSession) -> None:
     """Make this package importable in Python workers that were started elsewhere; once a context."""
     import zipfile

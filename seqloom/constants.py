@@ -1,5 +1,9 @@
 """Fixed values of the analysis: they must be these for results to agree."""
 
+import hashlib
+import json
+from enum import StrEnum
+
 # The IUPAC letters in code order, their complements, and the codes as hex digits.
 ALPHABET = "ACGTMRWSYKVHDBN"
 COMPLEMENT = "TGCAKYWSRMBDHVN"
@@ -26,3 +30,24 @@ TOP_ROWS = 20
 
 # Alignment scores (match, mismatch, gap opening, gap extension) and the least score of a hit.
 MATCH, MISMATCH, GAP_OPEN, GAP_EXTEND, MIN_SCORE = 2, -8, 12, 2, 40
+
+
+class RunMode(StrEnum):
+    """screen samples and then gates, full gates and then samples."""
+
+    SCREEN = "screen"
+    FULL = "full"
+
+
+class Precision(StrEnum):
+    """What a sample's size is made for: the least relative abundance that should be seen."""
+
+    FAST = "fast"
+    STANDARD = "standard"
+    SENSITIVE = "sensitive"
+
+
+def profile_digest() -> str:
+    """SHA-256 of all values above: what an index and a sampling key depend on besides the data."""
+    values = {k: v for k, v in globals().items() if k.isupper()}
+    return hashlib.sha256(json.dumps(values, sort_keys=True).encode()).hexdigest()

@@ -45,8 +45,6 @@ def _encoded(texts: pa.StringArray, k: int, canonical: bool, only: Callable[[np.
     """The text's number, the place and the code of each k-mer, some at a time; texts hold one byte a character."""
     offsets = np.frombuffer(texts.buffers()[1], dtype=np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
     raw = np.frombuffer(texts.buffers()[2], dtype=np.uint8)
-    forward, backward = _FORWARD[raw], _REVERSE[raw]
-    odd = np.concatenate([[0], np.cumsum(forward == ord("-"))])
     begin, count = offsets[:-1], np.diff(offsets) - k + 1
     ends = np.cumsum(count)
     for low in range(0, int(ends[-1]), _PORTION):
@@ -54,6 +52,10 @@ def _encoded(texts: pa.StringArray, k: int, canonical: bool, only: Callable[[np.
         of = np.searchsorted(ends, n, "right")
         pos = n - (ends[of] - count[of])
         at = begin[of] + pos
+        first = int(at[0])  # only the letters of these windows are looked at, so memory doesn't grow with the text
+        own = raw[first : int(at[-1]) + k]
+        forward, backward, at = _FORWARD[own], _REVERSE[own], at - first
+        odd = np.concatenate([[0], np.cumsum(forward == ord("-"))])
         good = odd[at + k] == odd[at]
         of, pos, at = of[good], pos[good], at[good]
         code = np.ascontiguousarray(sliding_window_view(forward, k)[at]).view(f"S{k}").ravel()

@@ -33,10 +33,6 @@ def sample_capacity(groups: int, precision: str, family_miss: float = FAMILY_MIS
     return n
 
 
-def _log_choose(n: int, k: int) -> float:
-    return math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1)
-
-
 def tail_reaches(population: int, marked: int, sample: int, seen: int, upper: bool, threshold: float, inclusive: bool) -> bool:
     """Whether P(X >= seen) (upper) or P(X <= seen) of the hypergeometric X exceeds (inclusive: reaches) the threshold.
 
@@ -96,13 +92,10 @@ def population_interval(population: int, sample: int, seen: int, alpha: float) -
 
 @F.pandas_udf(T.StructType([T.StructField("lower_count", T.LongType()), T.StructField("upper_count", T.LongType())]))
 def interval_udf(population: pd.Series, sample: pd.Series, seen: pd.Series, alpha: pd.Series) -> pd.DataFrame:
-    """population_interval over columns; null where an argument is null or the counts are impossible."""
+    """population_interval over columns; null where an argument is null. Impossible counts end the query with an error."""
     out = []
-    for p, n, x, a in zip(population, sample, seen, alpha, strict=True):
-        try:
-            out.append(population_interval(int(p), int(n), int(x), float(a)))
-        except (ValueError, TypeError):
-            out.append((None, None))
+    for args in zip(population, sample, seen, alpha, strict=True):
+        out.append((None, None) if any(pd.isna(x) for x in args) else population_interval(*map(int, args[:3]), float(args[3])))
     return pd.DataFrame(out, columns=["lower_count", "upper_count"]).astype("Int64")
 
 

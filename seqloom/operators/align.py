@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,6 +16,8 @@ from seqloom.operators import gate
 
 #: Diagonals to either side of a chain's that the alignment may visit.
 BAND = 12
+#: Letters from one contig tile to the next, at least.
+TILE = 4096
 #: Bits a contig k-mer below which a filter of bounded size would let nearly all through.
 FILTER_BITS = 4
 #: Letters of the longest period of a simple repeat, and the parts in which the places of such a k-mer are joined.
@@ -38,15 +41,20 @@ def _prefilter(contigs: DataFrame, refs: DataFrame, k: int) -> Callable[[np.ndar
     return gate.bloom_test(refs.select("kmer"), most) if most * FILTER_BITS <= gate.MOST_BITS else None
 
 
-def _seeds(ends: DataFrame, contigs: DataFrame, k: int) -> DataFrame:
+def contig_seeds(contigs: DataFrame, k: int = KMER) -> DataFrame:
+    """(name, at, kmer): every k-mer of the contigs' given strand and its place: what an index stores for the aligner."""
+    return with_kmers(contigs, ["name"], "sequence", k, canonical=False).select("name", F.col("pos").alias("at"), "kmer")
+
+
+def _seeds(ends: DataFrame, contigs: DataFrame, k: int, refs: DataFrame | None = None) -> DataFrame:
     """(ordinal, mate, strand, name, diagonal, pos): each k-mer of an oriented end that a contig holds, at each of its places there.
 
     Pairs of read and contig without a common k-mer never meet. Read k-mers that a Bloom filter of the contigs rules out
     are dropped in the task that makes them, before the shuffle.
     Low-complexity stretches give seeds like all others. The places of a simple repeat's k-mer are spread over PARTS
-    parts, and the reads' k-mer is sent to each, so that no task joins all of them.
+    parts, and the reads' k-mer is sent to each, so that no task joins all of them. refs: contig_seeds, if they are stored.
     """
-    refs = with_kmers(contigs, ["name"], "sequence", k, canonical=False).select("name", F.col("pos").alias("at"), "kmer")
+    refs = contig_seeds(contigs, k) if refs is None else refs
     only = _prefilter(contigs, refs, k)
     reads = with_kmers(both_strands(ends), ["ordinal", "mate", "strand"], "sequence", k, canonical=False, only=only)
     refs = refs.withColumn("part", F.when(_simple(k), F.pmod(F.hash("name", "at"), F.lit(PARTS))).otherwise(0))
@@ -67,7 +75,7 @@ def diagonal_chains(ends: DataFrame, contigs: DataFrame, k: int = KMER, min_hits
     return rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("seeds"), F.sum("new").alias("covered")).filter((F.col("seeds") >= min_hits) & (F.col("covered") >= min_covered))
 
 
-def band_chains(ends: DataFrame, contigs: DataFrame, k: int = KMER, min_hits: int = MIN_HITS, min_covered: int = MIN_COVERED) -> DataFrame:
+def band_chains(ends: DataFrame, contigs: DataFrame, k: int = KMER, min_hits: int = MIN_HITS, min_covered: int = MIN_COVERED, seeds: DataFrame | None = None) -> DataFrame:
     """(ordinal, mate, strand, name, diagonal, anchor): every place at which an alignment of an end with a contig must be tried.
 
     A place is a run of seeds on one diagonal, anchor the read place of its first seed. A run ends where the best
@@ -78,7 +86,7 @@ def band_chains(ends: DataFrame, contigs: DataFrame, k: int = KMER, min_hits: in
     keys = ["ordinal", "mate", "strand", "name"]
     by_place = Window.partitionBy(*keys, "diagonal").orderBy("pos")
     gap = F.col("pos") - F.lag("pos").over(by_place)
-    rows = _seeds(ends, contigs, k).withColumn("gap", gap)
+    rows = _seeds(ends, contigs, k, seeds).withColumn("gap", gap)
     rows = rows.withColumn("run", F.sum(F.when(F.col("gap") <= k + k * MATCH // -MISMATCH, 0).otherwise(1)).over(by_place)).withColumn("new", F.least(F.lit(k), F.coalesce("gap", F.lit(k))))
     runs = rows.groupBy(*keys, "diagonal", "run").agg(F.min("pos").alias("anchor"), F.max("pos").alias("last"), F.count(F.lit(1)).alias("seeds"), F.sum("new").alias("covered"))
     runs = runs.groupBy(*keys).agg(F.collect_list(F.struct("diagonal", "anchor", "last", "seeds", "covered")).alias("runs"))
@@ -164,18 +172,40 @@ def banded_local(reads: list[str], refs: list[str], diagonals: np.ndarray, band:
     return np.stack([best[:, 0], q_start, q_end + 1, base + q_start + t_start, base + q_end + t_end + 1], axis=1)
 
 
-def align(ends: DataFrame, contigs: DataFrame, min_score: int = MIN_SCORE) -> DataFrame:
+def contig_tiles(contigs: DataFrame, reach: int, stride: int) -> DataFrame:
+    """(name, tile, ref, role, target_group_ordinal): pieces of the contigs, one every `stride` letters, that go `reach` letters into the next."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(b.num_rows):
+                text = b.column("sequence")[i].as_py() or ""
+                starts = range(0, max(len(text), 1), stride)
+                for j in range(0, len(starts), 1024):
+                    some = starts[j : j + 1024]
+                    same = [b.column(c).take(pa.array([i] * len(some))) for c in ("name", "role", "target_group_ordinal")]
+                    refs = pa.array([text[a : a + stride + reach] for a in some], pa.string())
+                    yield pa.RecordBatch.from_arrays([same[0], pa.array([a // stride for a in some], pa.int64()), refs, *same[1:]], ["name", "tile", "ref", "role", "target_group_ordinal"])
+
+    rows = contigs.select("name", "role", F.col("target_group_ordinal").cast("long").alias("target_group_ordinal"), "sequence")
+    return rows.mapInArrow(cut, "name string, tile long, ref string, role string, target_group_ordinal long")
+
+
+def align(ends: DataFrame, contigs: DataFrame, min_score: int = MIN_SCORE, seeds: DataFrame | None = None) -> DataFrame:
     """Hits (ordinal, mate, role, target_group_ordinal, alignment_score, query_length, query_start, query_end, target_start, target_end, supplementary).
 
     Each end meets host and target contigs alike, by all of its seeds. Every chain of an
     end and contig (band_chains) is aligned through its anchor; alignments of the same read and contig ranges are one hit.
     A hit is supplementary if it overlaps the end's best hit by less than half of its own read range.
+    Contigs come in tiles that hold all that the band of a chain can reach, so that a host chromosome is neither one key
+    nor one row of the join. seeds: contig_seeds of the contigs, if an index has them stored.
     """
-    places = band_chains(ends, contigs)
-    rows = places.join(both_strands(ends), ["ordinal", "mate", "strand"]).join(contigs.select("name", "role", "target_group_ordinal", F.col("sequence").alias("ref")), "name")
-    # only the stretch of the contig that the band can reach travels to the task
+    longest = ends.agg(F.max(F.length("sequence"))).first()[0] or 0
+    reach = longest + 2 * BAND + 1
+    stride = max(TILE, reach)
     start = F.greatest(F.col("diagonal") - BAND, F.lit(0))
-    rows = rows.withColumn("ref", F.substring("ref", start + 1, F.length("sequence") + 2 * BAND + 1)).withColumn("base", start)
+    places = band_chains(ends, contigs, seeds=seeds).withColumn("base", start).withColumn("tile", F.floor(F.col("base") / stride))
+    rows = places.join(both_strands(ends), ["ordinal", "mate", "strand"]).join(contig_tiles(contigs, reach, stride), ["name", "tile"])
+    rows = rows.withColumn("ref", F.substring("ref", (F.col("base") - F.col("tile") * stride + 1).cast("int"), F.length("sequence") + 2 * BAND + 1))
 
     def extend(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for whole in batches:

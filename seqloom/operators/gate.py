@@ -25,6 +25,19 @@ def panel_kmers(records: DataFrame, k: int = KMER) -> DataFrame:
     return with_kmers(records.filter("not is_host"), [], "sequence", k).select("kmer").distinct()
 
 
+def kmer_classes(panel: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(kmer, cls) of the panel's k-mers (rec_ordinal, id, kmer), and (cls, rec_ordinal, id): k-mers that the same records hold are one class.
+
+    Records of a family share most k-mers; what is counted by class meets each record once, not once a k-mer. A class is
+    named by digests of its records that don't depend on their order, so that no list of records is ever built.
+    """
+    once = checkpointed(panel.distinct())
+    parts = [F.bit_xor(F.xxhash64(F.lit(i), "rec_ordinal")) for i in range(2)]
+    classes = once.groupBy("kmer").agg(F.hex(F.count(F.lit(1))).alias("a"), *[F.hex(p).alias(f"b{i}") for i, p in enumerate(parts)])
+    classes = checkpointed(classes.select("kmer", F.concat_ws("-", "a", "b0", "b1").alias("cls")))
+    return classes, once.join(classes, "kmer").select("cls", "rec_ordinal", "id").distinct()
+
+
 def fragments_once(fragments: DataFrame) -> DataFrame:
     """(ordinal, run_id, r1, r2): a redelivered fragment counts once. Rows with a null ordinal are left out."""
     return fragments.filter("ordinal is not null").groupBy("ordinal").agg(F.min("run_id").alias("run_id"), F.min("r1").alias("r1"), F.min("r2").alias("r2"))
@@ -36,15 +49,16 @@ def read_ends(fragments: DataFrame) -> DataFrame:
     return fragments.select("ordinal", F.inline(ends)).filter("sequence is not null")
 
 
-def kmer_hits(ends: DataFrame, kmers: DataFrame, k: int = KMER) -> DataFrame:
+def kmer_hits(ends: DataFrame, kmers: DataFrame, k: int = KMER, words: DataFrame | None = None) -> DataFrame:
     """(ordinal, mate, pos): places of the ends' k-mers that are in the panel (left semi-join).
 
     The Bloom filter of the panel drops most k-mers of the reads inside the task that makes them, so that about the true
     hits are shuffled to the exact join. Each panel k-mer is one row there, so no read k-mer multiplies; one that very
-    many reads hold makes a skewed partition of the reads' side, which adaptive execution splits.
+    many reads hold makes a skewed partition of the reads' side, which adaptive execution splits. words: the filter of
+    kmers, where an index has it stored; kmers must be a table then.
     """
-    kmers = checkpointed(kmers.select("kmer"))
-    reads = with_kmers(ends, ["ordinal", "mate"], "sequence", k, only=bloom_test(kmers))
+    kmers = checkpointed(kmers.select("kmer")) if words is None else kmers.select("kmer")
+    reads = with_kmers(ends, ["ordinal", "mate"], "sequence", k, only=bloom_test(kmers, words=words))
     return reads.join(kmers, "kmer", "left_semi").select("ordinal", "mate", "pos")
 
 
@@ -83,10 +97,10 @@ def gate_verdicts(fragments: DataFrame, states: DataFrame) -> DataFrame:
     return fragments.select("ordinal").join(per, "ordinal", "left").select("ordinal", verdict.alias("verdict"))
 
 
-def gate(fragments: DataFrame, kmers: DataFrame, masked: bool = True) -> DataFrame:
-    """Verdicts of fragments (ordinal, r1, r2) against the panel's k-mers."""
+def gate(fragments: DataFrame, kmers: DataFrame, masked: bool = True, words: DataFrame | None = None) -> DataFrame:
+    """Verdicts of fragments (ordinal, r1, r2) against the panel's k-mers; words as in kmer_hits."""
     ends = read_ends(fragments)
-    return gate_verdicts(fragments, gate_states(ends, kmer_hits(ends, kmers), masked))
+    return gate_verdicts(fragments, gate_states(ends, kmer_hits(ends, kmers, words=words), masked))
 
 
 # ---- the probabilistic filter, for a bounded first look
@@ -128,28 +142,29 @@ def bloom_words(kmers: DataFrame, bits: int) -> DataFrame:
     return kmers.select("kmer").mapInPandas(places, "word long, value long").groupBy("word").agg(F.bit_or("value").alias("value"))
 
 
-def bloom_summary(kmers: DataFrame) -> DataFrame:
-    """(inserted, bits, hashes, fill, false_positive_rate) of the filter of kmers."""
+def bloom_summary(kmers: DataFrame, words: DataFrame | None = None) -> DataFrame:
+    """(inserted, bits, hashes, fill, false_positive_rate) of the filter of kmers; words: its words, if they are stored."""
     n = kmers.count()
     bits = bloom_bits(n)
     fill = F.coalesce(F.sum(F.bit_count("value")), F.lit(0)) / F.lit(float(bits))
-    rows = bloom_words(kmers, bits).agg(fill.alias("fill"))
+    rows = (bloom_words(kmers, bits) if words is None else words).agg(fill.alias("fill"))
     return rows.select(F.lit(n).cast("long").alias("inserted"), F.lit(bits).cast("long").alias("bits"), F.lit(HASHES).alias("hashes"), "fill", F.pow("fill", F.lit(float(HASHES))).alias("false_positive_rate"))
 
 
-def bloom_test(kmers: DataFrame, count: int | None = None) -> Callable[[np.ndarray], np.ndarray]:
+def bloom_test(kmers: DataFrame, count: int | None = None, words: DataFrame | None = None) -> Callable[[np.ndarray], np.ndarray]:
     """Whether each of an array of codes may be in kmers (all of one length): no true one is missed.
 
-    count: the number of kmers or more, where it is known; else they are counted.
+    count: the number of kmers or more, where it is known; else they are counted. words: bloom_words of kmers, of as many
+    bits as their number asks for, where they are stored.
 
     The broadcast filter is at most 32 MB. A panel of so many k-mers that this many bits fill up lets more through,
     never less. An empty panel lets nothing through.
     """
     bits = bloom_bits(kmers.count() if count is None else count)
-    words = np.zeros(bits // 64, dtype=np.int64)
-    found = bloom_words(kmers, bits).toArrow()
-    words[found.column("word").to_numpy()] = found.column("value").to_numpy()
-    held = kmers.sparkSession.sparkContext.broadcast(words)
+    filled = np.zeros(bits // 64, dtype=np.int64)
+    found = (bloom_words(kmers, bits) if words is None else words).toArrow()
+    filled[found.column("word").to_numpy()] = found.column("value").to_numpy()
+    held = kmers.sparkSession.sparkContext.broadcast(filled)
 
     def test(codes: np.ndarray) -> np.ndarray:
         p = bloom_places(codes, bits)

@@ -63,10 +63,12 @@ def contigs(records: DataFrame, groups: DataFrame) -> DataFrame:
     """(name, role, target_group_ordinal, sequence): host records in order, then a contig a group with its representative's own strand.
 
     Where several records bear the representative's id, the one of the smallest record ordinal that belongs to the group counts.
+    A group whose representative isn't among the records ends the query with an error.
     """
     host = dense_ordinals(records.filter("is_host").select("rec_ordinal", "sequence"), ["rec_ordinal"], "n")
     host = host.select(F.concat(F.lit("host_"), "n").alias("name"), F.lit("HOST").alias("role"), F.lit(None).cast("long").alias("target_group_ordinal"), "sequence")
     own = records.filter("not is_host").select(F.col("id").alias("representative_id"), F.concat(F.lit("sha256:"), F.sha2(canonical_strand("sequence"), 256)).alias("target_group_id"), "rec_ordinal", "sequence")
     firsts = own.groupBy("representative_id", "target_group_id").agg(F.min(F.struct("rec_ordinal", "sequence")).alias("x"))
-    target = groups.join(firsts, ["representative_id", "target_group_id"]).select(F.col("contig_name").alias("name"), F.lit("TARGET").alias("role"), F.col("group_ordinal").alias("target_group_ordinal"), "x.sequence")
+    sequence = F.when(F.col("x").isNull(), F.raise_error(F.concat(F.lit("no record bears the representative id "), "representative_id"))).otherwise(F.col("x.sequence"))
+    target = groups.join(firsts, ["representative_id", "target_group_id"], "left").select(F.col("contig_name").alias("name"), F.lit("TARGET").alias("role"), F.col("group_ordinal").alias("target_group_ordinal"), sequence.alias("sequence"))
     return host.unionByName(target)

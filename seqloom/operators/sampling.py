@@ -22,16 +22,16 @@ def priority_key(fragment_id: Column | str, ordinal: Column | str, index: str =
     return F.substring(F.sha2(text, 256), 1, 32)
 
 
-def keyed(fragments: DataFrame) -> DataFrame:
-    """(ordinal, run_id, id, key): each fragment once, under its smallest normalised id."""
+def keyed(fragments: DataFrame, index: str = "") -> DataFrame:
+    """(ordinal, run_id, id, key): each fragment once, under its smallest normalised id; index as in priority_key."""
     rows = fragments.filter("ordinal is not null").groupBy("ordinal").agg(F.min("run_id").alias("run_id"), F.min(F.coalesce(normalized_read_id("id"), F.lit(""))).alias("id"))
-    return rows.withColumn("key", priority_key("id", "ordinal"))
+    return rows.withColumn("key", priority_key("id", "ordinal", index))
 
 
-def keyed_reads(fragments: DataFrame) -> DataFrame:
+def keyed_reads(fragments: DataFrame, index: str = "") -> DataFrame:
     """(ordinal, run_id, r1, r2, id, key): keyed() and the fragment's reads, in one shuffle."""
     once = [F.min("run_id").alias("run_id"), F.min("r1").alias("r1"), F.min("r2").alias("r2"), F.min(F.coalesce(normalized_read_id("id"), F.lit(""))).alias("id")]
-    return fragments.filter("ordinal is not null").groupBy("ordinal").agg(*once).withColumn("key", priority_key("id", "ordinal"))
+    return fragments.filter("ordinal is not null").groupBy("ordinal").agg(*once).withColumn("key", priority_key("id", "ordinal", index))
 
 
 def bottom_k(rows: DataFrame, k: int, key: str = "key", tie: str = "ordinal") -> DataFrame:

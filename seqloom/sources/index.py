@@ -4,17 +4,19 @@ from __future__ import annotations
 
 import hashlib
 import json
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from seqloom.constants import KMER
-from seqloom.operators import gate, grouping
+from seqloom.common import hadoop_path
+from seqloom.constants import KMER, profile_digest
+from seqloom.operators import align, gate, grouping
 
 LEDGER_SCHEMA = "group_ordinal long, target_group_id string, representative_id string, member_ordinal int, member_id string, representative_length long"
-_TABLES = ("groups", "contigs", "kmers")
-_FIELDS = {"contract", "kmer_length", "groups", "contigs", "kmers", "reference_set_digest"}
-CONTRACT = "seqloom-index-v1"
+_TABLES = ("groups", "contigs", "kmers", "seeds", "words")
+_FIELDS = {"contract", "profile_digest", "kmer_length", *_TABLES, "bloom", "host_fasta_sha256", "target_fasta_sha256", "reference_set_digest"}
+CONTRACT = "seqloom-index-v2"
 
 
 def table_digest(df: DataFrame) -> str:
@@ -25,21 +27,37 @@ def table_digest(df: DataFrame) -> str:
     return hashlib.sha256(repr(tuple(str(x) for x in r)).encode()).hexdigest()
 
 
-def build_index(records: DataFrame, path: str, k: int = KMER) -> dict:
-    """Write groups, contigs and k-mers of records (see panel_records) to `path`, which must not exist; return the manifest.
+def build_index(records: DataFrame, path: str, k: int = KMER, sources: tuple[str, str] = ("", "")) -> dict:
+    """Write groups, contigs, k-mers, the aligner's seeds and the gate's filter of records (see panel_records) to the new folder `path`; return the manifest.
 
-    The manifest is written last: a folder without one is no index.
+    sources: digests of the host's and the panel's files. All is written beside `path` and renamed at last; a failure
+    leaves nothing.
     """
     spark = records.sparkSession
-    panel = records.filter("not is_host")
-    grouping.reference_groups(panel).write.mode("errorifexists").parquet(f"{path}/groups")
-    groups = spark.read.parquet(f"{path}/groups")
-    grouping.contigs(records, groups).write.parquet(f"{path}/contigs")
-    gate.target_kmers(records, k).write.parquet(f"{path}/kmers")
-    tables = {t: spark.read.parquet(f"{path}/{t}") for t in _TABLES}
-    manifest = {"contract": CONTRACT, "kmer_length": k, **{t: table_digest(df) for t, df in tables.items()}}
-    manifest["reference_set_digest"] = hashlib.sha256("|".join(manifest[t] for t in _TABLES).encode()).hexdigest()
-    spark.createDataFrame([(json.dumps(manifest, sort_keys=True),)], "value string").coalesce(1).write.text(f"{path}/manifest")
+    target, fs = hadoop_path(spark, path)
+    if fs.exists(target):
+        raise FileExistsError(path)
+    part = f"{path.rstrip('/')}.part.{uuid.uuid4().hex}"
+
+    def written(name: str, df: DataFrame) -> DataFrame:
+        df.write.parquet(f"{part}/{name}")
+        return spark.read.parquet(f"{part}/{name}")
+
+    try:
+        groups = written("groups", grouping.reference_groups(records.filter("not is_host")))
+        contigs = written("contigs", grouping.contigs(records, groups))
+        kmers = written("kmers", gate.target_kmers(records, k))
+        n = kmers.count()
+        tables = {"groups": groups, "contigs": contigs, "kmers": kmers, "seeds": written("seeds", align.contig_seeds(contigs, k)), "words": written("words", gate.bloom_words(kmers, gate.bloom_bits(n)))}
+        manifest = {"contract": CONTRACT, "profile_digest": profile_digest(), "kmer_length": k, **{t: table_digest(df) for t, df in tables.items()}}
+        manifest |= {"bloom": gate.bloom_summary(kmers, tables["words"]).first().asDict(), "host_fasta_sha256": sources[0], "target_fasta_sha256": sources[1]}
+        manifest["reference_set_digest"] = hashlib.sha256("|".join([*sources, *(manifest[t] for t in _TABLES)]).encode()).hexdigest()
+        spark.createDataFrame([(json.dumps(manifest, sort_keys=True),)], "value string").coalesce(1).write.text(f"{part}/manifest")
+        if not fs.rename(hadoop_path(spark, part)[0], target):
+            raise OSError(f"cannot rename {part} to {path}")
+    except Exception:
+        fs.delete(hadoop_path(spark, part)[0], True)
+        raise
     return manifest
 
 
@@ -50,13 +68,14 @@ def index_digest(manifest: dict) -> str:
 
 def load_index(spark: SparkSession, path: str, verify: bool = True) -> tuple[dict, dict[str, DataFrame]]:
     """The manifest and the tables; a wrong contract, missing or unknown fields, other contents, or contigs that don't match the groups are errors that ask for a rebuild."""
-    rows = spark.read.text(f"{path}/manifest").collect() if _exists(spark, f"{path}/manifest") else []
+    there, fs = hadoop_path(spark, f"{path}/manifest")
+    rows = spark.read.text(f"{path}/manifest").collect() if fs.exists(there) else []
     try:
         manifest = json.loads(rows[0].value) if len(rows) == 1 else {}
     except ValueError:
         manifest = {}
-    if set(manifest) != _FIELDS or manifest["contract"] != CONTRACT:
-        raise ValueError("not an index of this contract; rebuild it")
+    if set(manifest) != _FIELDS or manifest["contract"] != CONTRACT or manifest["profile_digest"] != profile_digest():
+        raise ValueError("not an index of this contract and profile; rebuild it")
     tables = {t: spark.read.parquet(f"{path}/{t}") for t in _TABLES}
     if verify:
         for t, df in tables.items():
@@ -70,11 +89,6 @@ def load_index(spark: SparkSession, path: str, verify: bool = True) -> tuple[dic
     return manifest, tables
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
-
-
 def validate_groups(groups: DataFrame) -> None:
     """Ordinals must be dense from 0 and group ids strictly ascending with them; members strictly ascending."""
     r = groups.agg(F.count(F.lit(1)).alias("n"), F.min("group_ordinal").alias("lo"), F.max("group_ordinal").alias("hi"), F.count_distinct("group_ordinal").alias("d")).first()
