@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seqloom.common import checkpointed, ensure_checkpoint_dir, table
-from seqloom.constants import TOP_ROWS
+from seqloom.constants import MATCH, MIN_COVERED, TOP_ROWS
 from seqloom.functions import seq
 from seqloom.functions.dust import dust_udf
 from seqloom.operators import adjudicate, align, evidence, gate, grouping, sampling
@@ -68,10 +68,11 @@ def kmer_semi_join(spark: SparkSession, d: str) -> DataFrame:
 @query
 def panel_hit_rank(spark: SparkSession, d: str) -> DataFrame:
     """Panel records ranked by the fragments that share a k-mer with them."""
-    kmers = checkpointed(gate.panel_kmers(_records(spark, d)))
-    reads = seq.with_kmers(gate.read_ends(_fragments(spark, d)), ["ordinal"], "sequence", only=gate.bloom_test(kmers)).select("ordinal", "kmer").distinct()
-    panel = seq.with_kmers(_records(spark, d).filter("not is_host"), ["rec_ordinal", "id"], "sequence").select("rec_ordinal", "id", "kmer").distinct()
-    hits = panel.join(reads, "kmer").groupBy("rec_ordinal", "id").agg(F.count_distinct("ordinal").alias("fragments"), F.count(F.lit(1)).alias("kmer_hits"))
+    panel = seq.with_kmers(_records(spark, d).filter("not is_host"), ["rec_ordinal", "id"], "sequence").select("rec_ordinal", "id", "kmer")
+    classes, members = gate.kmer_classes(panel)
+    reads = seq.with_kmers(gate.read_ends(_fragments(spark, d)), ["ordinal"], "sequence", only=gate.bloom_test(classes)).select("ordinal", "kmer").distinct()
+    found = reads.join(classes, "kmer").groupBy("ordinal", "cls").agg(F.count(F.lit(1)).alias("n"))
+    hits = found.join(members, "cls").groupBy("rec_ordinal", "id").agg(F.count_distinct("ordinal").alias("fragments"), F.sum("n").alias("kmer_hits"))
     down = hits.withColumns({"_f": -F.col("fragments"), "_k": -F.col("kmer_hits")})
     rows = grouping.dense_ordinals(down, ["_f", "_k", "id", "rec_ordinal"], "n")
     return rows.select(*hits.columns, (F.col("n") + 1).cast("int").alias("place"))
@@ -91,6 +92,12 @@ def bloom_probe(spark: SparkSession, d: str) -> DataFrame:
     return rows.groupBy("ordinal").agg(F.count(F.lit(1)).alias("passed"), F.count("held").alias("held"))
 
 
+@query
+def bloom_held(spark: SparkSession, d: str) -> DataFrame:
+    """bloom_probe's fragments with panel k-mers, and how many: none that the panel holds is lost to the filter."""
+    return bloom_probe(spark, d).filter("held > 0").select("ordinal", "held")
+
+
 @query
 def dust_intervals(spark: SparkSession, d: str) -> DataFrame:
     return gate.read_ends(_fragments(spark, d)).select("ordinal", "mate", F.inline(dust_udf("sequence")))
@@ -187,7 +194,10 @@ def bottom_k_sample(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def screen_sample(spark: SparkSession, d: str) -> DataFrame:
-    return sampling.screen(_keyed(spark, d), table(spark, d, "sampling_design"), _verdicts(spark, d))
+    """Sample, then gate the sample alone."""
+    sampled = checkpointed(sampling.bottom_k_by_run(_keyed(spark, d), table(spark, d, "sampling_design")))
+    reads = checkpointed(_fragments(spark, d).join(sampled.select("ordinal"), "ordinal", "left_semi"))
+    return sampled.join(gate.gate(reads, gate.panel_kmers(_records(spark, d)), masked=False), "ordinal")
 
 
 @query
@@ -364,6 +374,19 @@ def aligned_hits(spark: SparkSession, d: str) -> DataFrame:
     return align.align(gate.read_ends(_fragments(spark, d)), checkpointed(grouping.contigs(records, groups)))
 
 
+@query
+def aligned_exact(spark: SparkSession, d: str) -> DataFrame:
+    """The aligned hits that match their whole read: what a plain search for the reads' letters finds too."""
+    whole = aligned_hits(spark, d).filter((F.col("alignment_score") == MATCH * F.col("query_length")) & (F.col("query_length") >= MIN_COVERED))
+    return whole.select("ordinal", "mate", "role", "target_group_ordinal", "target_start", "target_end").distinct()
+
+
+@query
+def report_targets(spark: SparkSession, d: str) -> DataFrame:
+    """The target records of each run's short list, 26 text fields."""
+    return report.top_targets(report.target_rows(_estimates(spark, d)))
+
+
 def _run(spark: SparkSession, d: str, mode: str | None) -> DataFrame:
     rows = run.analyse(table(spark, d, "fasta"), table(spark, d, "fragments"), table(spark, d, "sampling_design"), mode)
     return rows.withColumn("member_ids", F.array_join("member_ids", ";"))
@@ -418,4 +441,5 @@ def stream_bottom_k(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def stream_window_counts(spark: SparkSession, d: str) -> DataFrame:
-    return streaming.stream_window_counts(streaming.stream_table(spark, d, "fragments"))
+    rows = streaming.stream_window_counts(streaming.stream_table(spark, d, "fragments"))
+    return rows.withColumn("window_start", F.date_format("window_start", "yyyy-MM-dd HH:mm:ss"))

@@ -26,11 +26,13 @@ def estimates(counted: DataFrame, scalars: DataFrame, groups: DataFrame) -> Data
     counted: group_evidence by run_id; scalars: design_scalars. The interval's error is shared by all groups of the panel.
     """
     many = groups.count()
-    rows = evidence.ranked(counted, groups, ["run_id"]).join(groups.select("group_ordinal", "member_ids", "representative_description"), "group_ordinal").join(scalars, "run_id")
+    rows = evidence.ranked(counted, groups, ["run_id"]).join(groups.select("group_ordinal", "target_group_id", "member_ids", "representative_description"), "group_ordinal").join(scalars, "run_id")
     p = library_fraction(F.col("supporting_selected_fragments"), F.col("selected"), F.col("population"), F.col("input_fragments"))
     rows = rows.withColumn("fraction", p).withColumn("estimated_fragments", F.col("fraction") * F.col("input_fragments"))
     rows = rows.withColumn("sampling_target_score", target_score(F.col("fraction"), delta_of("precision")))
-    bounds = interval_udf("population", "selected", "supporting_selected_fragments", F.lit(FAMILY_INTERVAL / max(1, many)))
+    alpha = FAMILY_INTERVAL / max(1, many)
+    bounds = interval_udf("population", "selected", "supporting_selected_fragments", F.lit(alpha))
+    rows = evidence.labelled(rows, groups).withColumn("interval_level", F.lit(1.0 - alpha))
     return rows.withColumn("_b", bounds).select("*", "_b.*").drop("_b")
 
 
@@ -42,26 +44,32 @@ def analyse(fasta: DataFrame, fragments: DataFrame, design: DataFrame, mode: str
     return analyse_indexed(groups, contigs, gate.panel_kmers(records), fragments, design, mode, masked)[0]
 
 
-def analyse_indexed(groups: DataFrame, contigs: DataFrame, kmers: DataFrame, fragments: DataFrame, design: DataFrame, mode: str | None = None, masked: bool = True) -> tuple[DataFrame, DataFrame]:
+def analyse_indexed(
+    groups: DataFrame, contigs: DataFrame, kmers: DataFrame, fragments: DataFrame, design: DataFrame, mode: str | None = None, masked: bool = True,
+    index: str = "", seeds: DataFrame | None = None, words: DataFrame | None = None,
+) -> tuple[DataFrame, DataFrame]:
     """The same from an index's tables; and the runs' figures (design_scalars with passed, aligned_fragments and input_mode).
 
+    index: the digest of profile and index, which goes into the sampling keys. seeds and words: the contigs' seeds and the
+    gate's filter, where the index has them stored.
+
     screen samples and then gates, full gates and then samples: the two differ in what the sample stands for. So the gate
     sees the sample alone in screen mode and all fragments of a run in full mode; passed and not_evaluable count over these.
     """
-    reads = checkpointed(sampling.keyed_reads(fragments))
+    reads = checkpointed(sampling.keyed_reads(fragments, index))
     keyed = reads.select("ordinal", "run_id", "id", "key")
     design = design.withColumn("mode", F.lower(F.lit(mode) if mode else F.col("mode")))
     by_full = design.filter("mode = 'full' and run_id is not null").select("run_id").distinct()
     screened = sampling.bottom_k_by_run(keyed, design.filter("mode = 'screen'")).select("ordinal", "run_id")
     screened = checkpointed(screened.join(by_full, "run_id", "left_anti"))
     gated = reads.join(screened.select("ordinal"), "ordinal", "left_semi").unionByName(reads.join(by_full, "run_id", "left_semi").select(reads.columns))
-    verdicts = checkpointed(gate.gate(gated, kmers, masked))
+    verdicts = checkpointed(gate.gate(gated, kmers, masked, words))
     passing = keyed.join(verdicts.filter("verdict = 'Pass'").select("ordinal"), "ordinal", "left_semi")
     drawn = sampling.bottom_k_by_run(passing, design.filter("mode = 'full'"))
     sampled = screened.select("ordinal").unionByName(drawn.select("ordinal"))
     sampled = sampled.join(verdicts.filter("verdict = 'Pass'").select("ordinal"), "ordinal", "left_semi")
     selected = checkpointed(reads.join(sampled, "ordinal", "left_semi"))
-    hits = checkpointed(align(gate.read_ends(selected), contigs))
+    hits = checkpointed(align(gate.read_ends(selected), contigs, seeds=seeds))
     kinds = reads.groupBy("run_id").agg(F.when(F.count("r2") == 0, "SE").when(F.count("r2") == F.count(F.lit(1)), "PE").otherwise("MIXED").alias("input_mode"))
     passed = verdicts.join(keyed.select("ordinal", "run_id"), "ordinal").groupBy("run_id").agg(F.count_if(F.col("verdict") == "Pass").alias("passed"), F.count_if(F.col("verdict") == "NotEvaluable").alias("not_evaluable"))
     found = evidence.run_counters(adjudicate.fragment_evidence(hits).join(reads.select("ordinal", "run_id"), "ordinal"), ["run_id"])

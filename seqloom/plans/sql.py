@@ -39,6 +39,9 @@ grouped as (select 'sha256:' || digest as target_group_id, list(id order by id)
   max(n)::bigint as representative_length from members group by digest),
 numbered as (select *, row_number() over (order by target_group_id) - 1 as group_ordinal from grouped)"""
 
+_CONTIGS = f"""contigs_ as (select 'HOST' as role, null::bigint as target_group_ordinal, sequence from rec where is_host
+union all select 'TARGET', group_ordinal, arg_min(sequence, rec_ordinal) from numbered n join rec r on not is_host and r.id = n.representative_id and 'sha256:' || sha256({_CANON}) = n.target_group_id group by group_ordinal)"""
+
 _READ_ID = "regexp_replace(regexp_extract(id, '^\\s*(\\S+)', 1), '/[12]$', '')"
 _KEYED = f"""keyed as (select ordinal, run_id, id, substr(sha256('seqloom-fragment-v1||' || length(id) || '|' || id || '|' || ordinal), 1, 32) as key
   from (select ordinal, min(run_id) as run_id, min(coalesce({_READ_ID}, '')) as id from fragments where ordinal is not null group by ordinal))"""
@@ -97,6 +100,15 @@ select *, row_number() over (order by fragments desc, kmer_hits desc, id, rec_or
     "gate_state_unmasked": f"{_GATE} select * from states",
     "gate_verdict_unmasked": f"{_GATE} select * from verdicts",
     "gate_counts": f"{_GATE} select run_id, verdict, count(*) as fragments from verdicts join once using (ordinal) group by 1, 2",
+    "bloom_held": f"with {_REC}, {_ONCE}, {_ENDS}, {_TK}, {_EK}, {_HITS} select ordinal, count(*) as held from h group by ordinal",
+    "aligned_exact": f"""with {_REC}, {_GROUPS}, {_ONCE}, {_ENDS}, {_CONTIGS},
+both_ as (select ordinal, mate, upper(sequence) as s from ends union all select ordinal, mate, {_RC.format('upper(sequence)')} from ends),
+firsts as (select ordinal, mate, s, substr(s, 1, {KMER}) as w from both_ where length(s) >= {MIN_COVERED} and not regexp_matches(s, '[^ACGT]')),
+places as (select role, target_group_ordinal, sequence, i - 1 as at, substr(sequence, i::bigint, {KMER}) as w from contigs_, lateral unnest(generate_series(1, length(sequence) - {KMER - 1})) as t(i))
+select distinct ordinal, mate, role, target_group_ordinal::int as target_group_ordinal, at::bigint as target_start, (at + length(s))::bigint as target_end
+from firsts join places using (w) where substr(sequence, (at + 1)::bigint, length(s)) = s""",
+    "stream_window_counts": """with once_ as (select ordinal, arrived_at, min(run_id) as run_id, bool_or(r2 is not null) as paired from fragments where arrived_at is not null group by 1, 2)
+select run_id, strftime(time_bucket(interval '6 hours', arrived_at::timestamp), '%Y-%m-%d %H:%M:%S') as window_start, count(*) as fragments, sum(case when paired then 2 else 1 end)::bigint as reads from once_ group by 1, 2""",
     "revcomp": f"with {_REC} select rec_ordinal, {_RC.format('sequence')} as reverse_complement, sha256({_CANON}) as digest from rec",
     "reference_groups": f"with {_REC}, {_GROUPS} select group_ordinal, target_group_id, representative_id, representative_description, array_to_string(ids, ';') as member_ids, representative_length, 'target_' || group_ordinal as contig_name from numbered",
     "group_ledger": f"with {_REC}, {_GROUPS} select group_ordinal, target_group_id, representative_id, (unnest(generate_series(1, len(ids))) - 1)::int as member_ordinal, unnest(ids) as member_id, representative_length from numbered",

@@ -5,6 +5,7 @@ import gzip
 import io
 import json
 import os
+import random
 import tempfile
 
 import pytest
@@ -51,6 +52,13 @@ def test_fasta_reading(spark, home):
     for text, word in ((">x\nACGE\n", "IUPAC"), (">\nACGT\n", "without an id"), (">x\n\n>y\nA\n", "empty sequence"), ("ACGT\n>x\nA\n", "before the first header")):
         with pytest.raises(Exception, match=word):
             fasta.read_fasta(spark, put(f"{home}/bad.fa", text)).collect()
+    folder = tempfile.mkdtemp(dir=home)  # many small files in one task: each is looked at from its start
+    for i in range(13):
+        put(f"{folder}/{i:02d}.fa", f">x{i}\nACGT\n>y{i}\nGG\n")
+    assert fasta.read_fasta(spark, folder).count() == 26
+    put(f"{folder}/07.fa", "ACGT\n>x7\nACGT\n")
+    with pytest.raises(Exception, match="before the first header"):
+        fasta.read_fasta(spark, folder).collect()
     with pytest.raises(ValueError, match="repeats"):
         fasta.check_fasta(fasta.read_fasta(spark, put(f"{home}/twice.fa", ">x\nA\n>x\nC\n")))
     with pytest.raises(ValueError, match="no FASTA"):
@@ -82,7 +90,36 @@ def test_pairs(spark, home):
     with pytest.raises(Exception, match="do not match"):
         fastq.read_fragments(spark, a, put(f"{home}/p4.fq", fq(["TT", "CC"]).replace("read1", "other"))).collect()
     plain, packed = put(f"{home}/d.fq", fq(["AC"])), put(f"{home}/d.fq.gz", fq(["AC"]))
-    assert fastq.input_digest(plain) == fastq.input_digest(packed) != fastq.input_digest(plain, packed)
+    assert fastq.input_digest(spark, plain) == fastq.input_digest(spark, packed) != fastq.input_digest(spark, plain, packed)
+    # several files an end follow each other, and each file goes with its own mate's
+    c, e = put(f"{home}/p5.fq", fq(["AA", "CC", "GG"], "/1")), put(f"{home}/p6.fq", fq(["TA", "TC", "TG"], "/2"))
+    rows = [(r.ordinal, r.r1, r.r2) for r in fastq.read_fragments(spark, f"{a},{c}", f"{b},{e}").orderBy("ordinal").collect()]
+    assert rows == [(0, "AC", "TT"), (1, "GT", "CC"), (2, "AA", "TA"), (3, "CC", "TC"), (4, "GG", "TG")]
+    assert fastq.read_fragments(spark, f"{a},{c}").count() == 5
+    with pytest.raises(ValueError, match="numbers of files"):
+        fastq.read_fragments(spark, f"{a},{c}", b)
+
+
+def test_split_fastq(spark, home, monkeypatch):
+    """Parts of any size give the records of the whole file, in order, with qualities that look like headers."""
+    rng = random.Random(5)
+    reads = ["".join(rng.choice("ACGTN") for _ in range(rng.choice([0, 1, 7, 60, 150]))) for _ in range(700)]
+    text = "".join(f"@r{i} x\r\n{r}\r\n+{rng.choice(['', '@'])}\r\n{''.join(rng.choice('@+I#') for _ in r)}\r\n" for i, r in enumerate(reads))
+    path = put(f"{home}/long.fq", text)
+    for size in (997, 4096, 1 << 20):
+        rows = fastq.read_fastq(spark, path, part_bytes=size).orderBy("ordinal").collect()
+        assert [(r.ordinal, r.id, r.sequence) for r in rows] == [(i, f"r{i} x", r) for i, r in enumerate(reads)]
+    monkeypatch.setattr(fastq, "LINK_BYTES", 1000)
+    packed = put(f"{home}/long.fq.gz", text)
+    digests = fastq.content_digests(spark, [path, packed])
+    assert digests[path] == digests[packed]
+    folder = tempfile.mkdtemp(dir=home)
+    for i in range(2):
+        put(f"{folder}/part{i}.fq", fq(reads[i * 100 : i * 100 + 100]))
+    put(f"{folder}/_SUCCESS", "")
+    assert fastq.read_fastq(spark, folder).count() == 200
+    with pytest.raises(Exception, match="truncated"):
+        fastq.read_fastq(spark, put(f"{home}/long2.fq", text[:-200]), part_bytes=4096).collect()
 
 
 def test_index_round_trip_and_damage(spark, panel, home):
@@ -94,11 +131,17 @@ def test_index_round_trip_and_damage(spark, panel, home):
     assert index.read_ledger(spark, f"{home}/ledger").count() == 3
     for damage in ({"unknown": 1}, {"groups": "0" * 64}, {"contract": "x"}):
         path = tempfile.mkdtemp(dir=home)
-        for t in ("groups", "contigs", "kmers"):
+        for t in index._TABLES:
             spark.read.parquet(f"{panel}/{t}").write.parquet(f"{path}/{t}")
         spark.createDataFrame([(json.dumps(manifest | damage),)], "v string").coalesce(1).write.text(f"{path}/manifest")
         with pytest.raises(ValueError, match="rebuild"):
             index.load_index(spark, path)
+    assert manifest["bloom"]["inserted"] == tables["kmers"].count() and len(manifest["host_fasta_sha256"]) == 64
+    with pytest.raises(FileExistsError):
+        cli.build(spark, f"{home}/host.fa", f"{home}/target.fa", panel)
+    with pytest.raises(Exception):  # noqa: B017
+        cli.build(spark, f"{home}/host.fa", put(f"{home}/worse.fa", ">x\nACGE\n"), f"{home}/never")
+    assert not [f for f in os.listdir(home) if f.startswith("never")]
     with pytest.raises(ValueError, match="rebuild"):
         index.load_index(spark, f"{home}/nothing")
     with pytest.raises(ValueError, match="dense"):
@@ -124,9 +167,12 @@ def test_single_ends(spark, panel, home, mode):
     assert row["sample_id"] == f"se_{mode}" and row["input_mode"] == "SE" and float(row["sampling_target_score"]) > 0.99
     assert row["reference_id"] == "alpha" and row["reference_member_ids"] == "alpha;alpha-copy" and row["covered_bp"] == "139"
     with open(f"{out}/report.html") as f:
-        assert "data:text/csv" in f.read()
+        page = f.read()
+    assert "data:text/csv" in page and all(f'data-field="{n}"' in page for n in [*report.COLUMNS, *report.RUN_FIELDS, *report.TARGET_FIELDS])
+    assert len(report.RUN_FIELDS) == len(report.TARGET_FIELDS) == 26 and "CONFORMANT_COMPLETE" in page and "RESOLVED" not in page and "AMBIGUOUS_WITHIN_GROUP" in page
     with open(f"{out}/perf.json") as f:
-        assert json.load(f)["status"] == "SUCCESS"
+        perf = json.load(f)
+    assert list(perf) == report.PERF_FIELDS and len(perf) == 20 and perf["status"] == "SUCCESS" and perf["selected_fragments"] == 20 and perf["wall_time_ms"] > 0
     with pytest.raises(FileExistsError):
         cli.run(spark, r1, None, panel, out, mode)
 
@@ -148,19 +194,26 @@ def test_nothing_found_and_failure(spark, panel, home):
     cli.run(spark, short, None, panel, f"{home}/out_none")
     (row,) = rows_of(f"{home}/out_none")
     assert row["sample_id"] == "short" and row["input_fragments"] == "100" and row["reference_id"] == ""
-    with open(f"{home}/out_none/perf.json") as f:
-        assert json.load(f)["reason_codes"] == "TARGET_KMER_NOT_EVALUABLE_INPUT_FRAGMENTS=100"
+    with open(f"{home}/out_none/report.html") as f:
+        page = f.read()
+    assert "TARGET_KMER_NOT_EVALUABLE_INPUT_FRAGMENTS=100" in page and "CONFORMANT_WITH_LIMITATIONS" in page and "No selected fragment passed the gate." in page
     # full mode gates all fragments: it counts those it can't evaluate although none is sampled
     cli.run(spark, put(f"{home}/some.fq", fq([TARGET[:20]] * 5 + [TARGET[:120]] * 3)), None, panel, f"{home}/out_some", "full")
     with open(f"{home}/out_some/perf.json") as f:
         figures = json.load(f)
-    assert figures["reason_codes"] == "TARGET_KMER_NOT_EVALUABLE_INPUT_FRAGMENTS=5" and figures["passed"] == figures["selected"] == 3
+    with open(f"{home}/out_some/report.html") as f:
+        assert "TARGET_KMER_NOT_EVALUABLE_INPUT_FRAGMENTS=5" in f.read()
+    assert figures["prescreen_passed_fragments"] == figures["selected_fragments"] == 3
     with pytest.raises(Exception):  # noqa: B017
         cli.run(spark, put(f"{home}/cut.fq", "@a\nAC\n"), None, panel, f"{home}/out_bad")
     assert os.listdir(f"{home}/out_bad") == ["perf.json"]
     assert cli.main(["run", "--r1", f"{home}/cut.fq", "--index", panel, "--out", f"{home}/out_bad2"]) == 1
-    with pytest.raises(SystemExit):
-        cli.main(["run", "--r1", "x", "--index", "y", "--out", "z", "--precision", "0.1"])
+    with open(f"{home}/out_bad/perf.json") as f:
+        perf = json.load(f)
+    assert perf["status"] == "ERROR" and "truncated" in perf["sample_errors"][0] and list(perf) == report.PERF_FIELDS
+    for more in (["--precision", "0.1"], ["--r1", "again"], ["--mode", "full", "--mode", "full"]):
+        with pytest.raises(SystemExit):
+            cli.main(["run", "--r1", "x", "--index", "y", "--out", "z", *more])
 
 
 def test_stream_equals_batch(spark, data):
@@ -173,6 +226,22 @@ def test_stream_equals_batch(spark, data):
         assert {(r.ordinal, r.key) for r in streaming.stream_bottom_k(stream, design).collect()} == batch
 
 
+def test_streams_resume(spark, data):
+    """Started again with its folder, a stream goes on behind the batches that are done."""
+    design, rows = table(spark, data, "sampling_design"), table(spark, data, "fragments")
+    home = tempfile.mkdtemp()
+    rows.filter("ordinal % 2 = 0").repartition(3).write.parquet(f"{home}/fragments.parquet")
+    stream = lambda: streaming.stream_table(spark, home, "fragments", files_per_batch=1)
+    streaming.stream_bottom_k(stream(), design, folder=f"{home}/state")
+    streaming.stream_window_counts(stream(), folder=f"{home}/counts")
+    rows.filter("ordinal % 2 = 1").repartition(2).write.mode("append").parquet(f"{home}/fragments.parquet")
+    want = {(r.ordinal, r.key) for r in sampling.bottom_k_by_run(sampling.keyed(rows), design).collect()}
+    assert {(r.ordinal, r.key) for r in streaming.stream_bottom_k(stream(), design, folder=f"{home}/state").collect()} == want
+    assert len(streaming._written(spark, f"{home}/state/state")) == 5
+    whole = {tuple(r) for r in streaming.stream_window_counts(streaming.stream_table(spark, data, "fragments")).collect()}
+    assert {tuple(r) for r in streaming.stream_window_counts(stream(), folder=f"{home}/counts").collect()} == whole
+
+
 def test_window_counts_are_whole(spark, data):
     """Seven unordered files in batches of two, and one file: the same as a plain group-by over all rows."""
     folder = tempfile.mkdtemp() + "/fragments.parquet"
