@@ -104,9 +104,9 @@ select *, row_number() over (order by fragments desc, kmer_hits desc, id, rec_or
     "aligned_exact": f"""with {_REC}, {_GROUPS}, {_ONCE}, {_ENDS}, {_CONTIGS},
 both_ as (select ordinal, mate, upper(sequence) as s from ends union all select ordinal, mate, {_RC.format('upper(sequence)')} from ends),
 firsts as (select ordinal, mate, s, substr(s, 1, {KMER}) as w from both_ where length(s) >= {MIN_COVERED} and not regexp_matches(s, '[^ACGT]')),
-places as (select role, target_group_ordinal, sequence, i - 1 as at, substr(sequence, i::bigint, {KMER}) as w from contigs_, lateral unnest(generate_series(1, length(sequence) - {KMER - 1})) as t(i))
-select distinct ordinal, mate, role, target_group_ordinal::int as target_group_ordinal, at::bigint as target_start, (at + length(s))::bigint as target_end
-from firsts join places using (w) where substr(sequence, (at + 1)::bigint, length(s)) = s""",
+places as (select role, target_group_ordinal, sequence, i - 1 as place, substr(sequence, i::bigint, {KMER}) as w from contigs_, lateral unnest(generate_series(1, length(sequence) - {KMER - 1})) as t(i))
+select distinct ordinal, mate, role, target_group_ordinal::int as target_group_ordinal, place::bigint as target_start, (place + length(s))::bigint as target_end
+from firsts join places using (w) where substr(sequence, (place + 1)::bigint, length(s)) = s""",
     "stream_window_counts": """with once_ as (select ordinal, arrived_at, min(run_id) as run_id, bool_or(r2 is not null) as paired from fragments where arrived_at is not null group by 1, 2)
 select run_id, strftime(time_bucket(interval '6 hours', arrived_at::timestamp), '%Y-%m-%d %H:%M:%S') as window_start, count(*) as fragments, sum(case when paired then 2 else 1 end)::bigint as reads from once_ group by 1, 2""",
     "revcomp": f"with {_REC} select rec_ordinal, {_RC.format('sequence')} as reverse_complement, sha256({_CANON}) as digest from rec",
