@@ -24,10 +24,31 @@ FILTER_BITS = 4
 PERIOD, PARTS = 6, 16
 
 
+def _unpacked_end() -> list[Column]:
+    """ordinal, mate and strand of the column end, an oriented end as one number, which keeps the many rows of seeds narrow."""
+    mate = (F.shiftright("end", 1).bitwiseAND(F.lit(1)) + 1).cast("int")
+    strand = F.when(F.col("end").bitwiseAND(F.lit(1)) == 1, "-").otherwise("+")
+    return [F.shiftright("end", 2).alias("ordinal"), mate.alias("mate"), strand.alias("strand")]
+
+
 def both_strands(ends: DataFrame) -> DataFrame:
-    """ends (ordinal, mate, sequence) as read (strand +) and reverse-complemented (strand -), upper-case."""
+    """(end, sequence): ends (ordinal, mate 1 or 2, sequence) as read and reverse-complemented, upper-case. Ordinals are below 2**61."""
     up = F.upper("sequence")
-    return ends.select("ordinal", "mate", F.inline(F.array(F.struct(F.lit("+").alias("strand"), up.alias("sequence")), F.struct(F.lit("-").alias("strand"), reverse_complement(up).alias("sequence")))))
+    end = F.shiftleft(F.col("ordinal").cast("long"), 2).bitwiseOR((F.col("mate").cast("long") - 1) * 2)
+    return ends.select(F.inline(F.array(F.struct(end.alias("end"), up.alias("sequence")), F.struct((end + 1).alias("end"), reverse_complement(up).alias("sequence")))))
+
+
+def contig_id(name: Column | str = "name") -> Column:
+    """A contig's number in the rows of seeds: a digest of its name, distinct for the contigs of one reference (see numbered)."""
+    return F.xxhash64(name)
+
+
+def numbered(contigs: DataFrame) -> DataFrame:
+    """contigs with their contig_id as cid; two names of one number end the query with an error."""
+    twice = contigs.select("name", contig_id().alias("cid")).distinct().groupBy("cid").count().filter("count > 1")
+    if not twice.isEmpty():
+        raise ValueError("two contig names have one digest; rename one of them")
+    return contigs.withColumn("cid", contig_id())
 
 
 def _simple(k: int) -> Column:
@@ -42,24 +63,26 @@ def _prefilter(contigs: DataFrame, refs: DataFrame, k: int) -> Callable[[np.ndar
 
 
 def contig_seeds(contigs: DataFrame, k: int = KMER) -> DataFrame:
-    """(name, at, kmer): every k-mer of the contigs' given strand and its place: what an index stores for the aligner."""
-    return with_kmers(contigs, ["name"], "sequence", k, canonical=False).select("name", F.col("pos").alias("at"), "kmer")
+    """(cid, at, kmer): every k-mer of the contigs' given strand and its place: what an index stores for the aligner."""
+    return with_kmers(contigs.select(contig_id().alias("cid"), "sequence"), ["cid"], "sequence", k, canonical=False).select("cid", F.col("pos").alias("at"), "kmer")
 
 
 def _seeds(ends: DataFrame, contigs: DataFrame, k: int, refs: DataFrame | None = None) -> DataFrame:
-    """(ordinal, mate, strand, name, diagonal, pos): each k-mer of an oriented end that a contig holds, at each of its places there.
+    """(end, cid, diagonal, pos): each k-mer of an oriented end that a contig holds, at each of its places there.
 
     Pairs of read and contig without a common k-mer never meet. Read k-mers that a Bloom filter of the contigs rules out
     are dropped in the task that makes them, before the shuffle.
     Low-complexity stretches give seeds like all others. The places of a simple repeat's k-mer are spread over PARTS
-    parts, and the reads' k-mer is sent to each, so that no task joins all of them. refs: contig_seeds, if they are stored.
+    parts, and the reads' k-mer is sent to each, so that no task joins all of them; of other frequent k-mers adaptive
+    execution splits the skewed partitions. refs: contig_seeds, if they are stored.
+    The rows come partitioned by end and contig, as all that follows needs them.
     """
     refs = contig_seeds(contigs, k) if refs is None else refs
     only = _prefilter(contigs, refs, k)
-    reads = with_kmers(both_strands(ends), ["ordinal", "mate", "strand"], "sequence", k, canonical=False, only=only)
-    refs = refs.withColumn("part", F.when(_simple(k), F.pmod(F.hash("name", "at"), F.lit(PARTS))).otherwise(0))
+    reads = with_kmers(both_strands(ends), ["end"], "sequence", k, canonical=False, only=only)
+    refs = refs.withColumn("part", F.when(_simple(k), F.pmod(F.hash("cid", "at"), F.lit(PARTS))).otherwise(0))
     reads = reads.withColumn("part", F.explode(F.when(_simple(k), F.array(*map(F.lit, range(PARTS)))).otherwise(F.array(F.lit(0)))))
-    return reads.join(refs, ["kmer", "part"]).select("ordinal", "mate", "strand", "name", (F.col("at") - F.col("pos")).alias("diagonal"), "pos")
+    return reads.join(refs, ["kmer", "part"]).select("end", "cid", (F.col("at") - F.col("pos")).alias("diagonal"), "pos").repartition("end", "cid")
 
 
 def diagonal_chains(ends: DataFrame, contigs: DataFrame, k: int = KMER, min_hits: int = MIN_HITS, min_covered: int = MIN_COVERED) -> DataFrame:
@@ -68,22 +91,22 @@ def diagonal_chains(ends: DataFrame, contigs: DataFrame, k: int = KMER, min_hits
     A seed is a k-mer of the oriented read at the same distance (diagonal = contig place - read place) in the contig;
     covered is the union length of the seeds on the read.
     """
-    seeds = _seeds(ends, contigs, k)
-    keys = ["ordinal", "mate", "strand", "name", "diagonal"]
+    keys = ["end", "cid", "diagonal"]
     before = F.lag("pos").over(Window.partitionBy(*keys).orderBy("pos"))
-    rows = seeds.withColumn("new", F.least(F.lit(k), F.coalesce(F.col("pos") - before, F.lit(k))))
-    return rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("seeds"), F.sum("new").alias("covered")).filter((F.col("seeds") >= min_hits) & (F.col("covered") >= min_covered))
+    rows = _seeds(ends, contigs, k).withColumn("new", F.least(F.lit(k), F.coalesce(F.col("pos") - before, F.lit(k))))
+    chains = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("seeds"), F.sum("new").alias("covered")).filter((F.col("seeds") >= min_hits) & (F.col("covered") >= min_covered))
+    return chains.join(numbered(contigs).select("cid", "name"), "cid").select(*_unpacked_end(), "name", "diagonal", "seeds", "covered")
 
 
 def band_chains(ends: DataFrame, contigs: DataFrame, k: int = KMER, min_hits: int = MIN_HITS, min_covered: int = MIN_COVERED, seeds: DataFrame | None = None) -> DataFrame:
-    """(ordinal, mate, strand, name, diagonal, anchor): every place at which an alignment of an end with a contig must be tried.
+    """(end, cid, diagonal, anchor): every place at which an alignment of an oriented end with a contig must be tried.
 
     A place is a run of seeds on one diagonal, anchor the read place of its first seed. A run ends where the best
     alignment through it might, too: k * MATCH outweighs that many mismatches, so seeds less far apart are always joined.
     It stands if its seeds are enough, alone or together with those of another run in the same order on read and
     contig, whose diagonal is at most BAND away: the two sides of an insertion or a deletion.
     """
-    keys = ["ordinal", "mate", "strand", "name"]
+    keys = ["end", "cid"]
     by_place = Window.partitionBy(*keys, "diagonal").orderBy("pos")
     gap = F.col("pos") - F.lag("pos").over(by_place)
     rows = _seeds(ends, contigs, k, seeds).withColumn("gap", gap)
@@ -173,7 +196,7 @@ def banded_local(reads: list[str], refs: list[str], diagonals: np.ndarray, band:
 
 
 def contig_tiles(contigs: DataFrame, reach: int, stride: int) -> DataFrame:
-    """(name, tile, ref, role, target_group_ordinal): pieces of the contigs, one every `stride` letters, that go `reach` letters into the next."""
+    """(cid, tile, ref, role, target_group_ordinal): pieces of the contigs, one every `stride` letters, that go `reach` letters into the next."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -182,12 +205,12 @@ def contig_tiles(contigs: DataFrame, reach: int, stride: int) -> DataFrame:
                 starts = range(0, max(len(text), 1), stride)
                 for j in range(0, len(starts), 1024):
                     some = starts[j : j + 1024]
-                    same = [b.column(c).take(pa.array([i] * len(some))) for c in ("name", "role", "target_group_ordinal")]
+                    same = [b.column(c).take(pa.array([i] * len(some))) for c in ("cid", "role", "target_group_ordinal")]
                     refs = pa.array([text[a : a + stride + reach] for a in some], pa.string())
-                    yield pa.RecordBatch.from_arrays([same[0], pa.array([a // stride for a in some], pa.int64()), refs, *same[1:]], ["name", "tile", "ref", "role", "target_group_ordinal"])
+                    yield pa.RecordBatch.from_arrays([same[0], pa.array([a // stride for a in some], pa.int64()), refs, *same[1:]], ["cid", "tile", "ref", "role", "target_group_ordinal"])
 
-    rows = contigs.select("name", "role", F.col("target_group_ordinal").cast("long").alias("target_group_ordinal"), "sequence")
-    return rows.mapInArrow(cut, "name string, tile long, ref string, role string, target_group_ordinal long")
+    rows = numbered(contigs).select("cid", "role", F.col("target_group_ordinal").cast("long").alias("target_group_ordinal"), "sequence")
+    return rows.mapInArrow(cut, "cid long, tile long, ref string, role string, target_group_ordinal long")
 
 
 def align(ends: DataFrame, contigs: DataFrame, min_score: int = MIN_SCORE, seeds: DataFrame | None = None) -> DataFrame:
@@ -204,7 +227,7 @@ def align(ends: DataFrame, contigs: DataFrame, min_score: int = MIN_SCORE, seeds
     stride = max(TILE, reach)
     start = F.greatest(F.col("diagonal") - BAND, F.lit(0))
     places = band_chains(ends, contigs, seeds=seeds).withColumn("base", start).withColumn("tile", F.floor(F.col("base") / stride))
-    rows = places.join(both_strands(ends), ["ordinal", "mate", "strand"]).join(contig_tiles(contigs, reach, stride), ["name", "tile"])
+    rows = places.join(both_strands(ends), "end").join(contig_tiles(contigs, reach, stride), ["cid", "tile"])
     rows = rows.withColumn("ref", F.substring("ref", (F.col("base") - F.col("tile") * stride + 1).cast("int"), F.length("sequence") + 2 * BAND + 1))
 
     def extend(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -213,17 +236,18 @@ def align(ends: DataFrame, contigs: DataFrame, min_score: int = MIN_SCORE, seeds
                 pdf = whole.iloc[i : i + 1000]
                 a = banded_local(list(pdf["sequence"]), list(pdf["ref"]), (pdf["diagonal"] - pdf["base"]).to_numpy(), anchors=pdf["anchor"].to_numpy())
                 size = pdf["sequence"].str.len().to_numpy()
-                minus = (pdf["strand"] == "-").to_numpy()
-                out = pdf[["ordinal", "mate", "strand", "name", "role", "target_group_ordinal"]].copy()
+                minus = (pdf["end"] & 1 == 1).to_numpy()
+                out = pdf[["end", "cid", "role", "target_group_ordinal"]].copy()
                 out["alignment_score"], out["query_length"] = a[:, 0], size
                 out["query_start"], out["query_end"] = np.where(minus, size - a[:, 2], a[:, 1]), np.where(minus, size - a[:, 1], a[:, 2])
                 out["target_start"], out["target_end"] = a[:, 3] + pdf["base"].to_numpy(), a[:, 4] + pdf["base"].to_numpy()
                 yield out[out["alignment_score"] >= min_score]
 
-    schema = "ordinal long, mate int, strand string, name string, role string, target_group_ordinal long, alignment_score int, query_length int, query_start int, query_end int, target_start long, target_end long"
+    schema = "end long, cid long, role string, target_group_ordinal long, alignment_score int, query_length int, query_start int, query_end int, target_start long, target_end long"
     # by end, as the window below needs them too; of anchors of one alignment the hit is the same
-    ranges = ["ordinal", "mate", "strand", "name", "query_start", "query_end", "target_start", "target_end"]
-    hits = rows.mapInPandas(extend, schema).repartition("ordinal", "mate").groupBy(*ranges).agg(*[F.max(c).alias(c) for c in ("role", "target_group_ordinal", "alignment_score", "query_length")])
+    ranges = ["ordinal", "mate", "end", "cid", "query_start", "query_end", "target_start", "target_end"]
+    found = rows.mapInPandas(extend, schema).select("*", *_unpacked_end()[:2])
+    hits = found.repartition("ordinal", "mate").groupBy(*ranges).agg(*[F.max(c).alias(c) for c in ("role", "target_group_ordinal", "alignment_score", "query_length")])
     hits = hits.select("ordinal", "mate", "role", "target_group_ordinal", "alignment_score", "query_length", "query_start", "query_end", "target_start", "target_end")
     order = Window.partitionBy("ordinal", "mate").orderBy(F.desc("alignment_score"), "role", "target_group_ordinal", "target_start", "query_start")
     hits = hits.withColumn("_first", F.first(F.struct("query_start", "query_end")).over(order))
