@@ -35,6 +35,17 @@ def letters(col: Column | str) -> Column:
     return F.regexp_replace(F.upper(F.col(col) if isinstance(col, str) else col), "[^A-Z]", "")
 
 
+def spread(df: DataFrame, text: str, least: int = 1 << 18, most: int = 1 << 24) -> DataFrame:
+    """df, dealt out so that a task has `least` to `most` letters of the column `text`: for steps that make a row of each letter.
+
+    Such rows are hundreds of times larger than the compressed file they come from, by whose size Spark cuts its tasks.
+    """
+    letters_in = df.agg(F.coalesce(F.sum(F.length(text).cast("long")), F.lit(0))).first()[0]
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    parts = max(letters_in // most, min(cores, letters_in // least)) + 1
+    return df.repartition(int(parts))
+
+
 def bottom_k_per_group(df: DataFrame, group: list[str], hex_key: str, tie: str, quota: str, digits: int = 3) -> DataFrame:
     """Rows of df that are among the first `quota` of their group by (hex_key, tie), exactly.
 

@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from seqloom.common import spread
 from seqloom.constants import GAP_EXTEND, GAP_OPEN, KMER, MATCH, MIN_COVERED, MIN_HITS, MIN_SCORE, MISMATCH
 from seqloom.functions.seq import reverse_complement, with_kmers
 from seqloom.operators import gate
@@ -20,8 +21,8 @@ BAND = 12
 TILE = 4096
 #: Bits a contig k-mer below which a filter of bounded size would let nearly all through.
 FILTER_BITS = 4
-#: Letters of the longest period of a simple repeat, and the parts in which the places of such a k-mer are joined.
-PERIOD, PARTS = 6, 16
+#: Parts in which the places of a simple repeat's k-mer are joined.
+PARTS = 16
 
 
 def _unpacked_end() -> list[Column]:
@@ -51,20 +52,16 @@ def numbered(contigs: DataFrame) -> DataFrame:
     return contigs.withColumn("cid", contig_id())
 
 
-def _simple(k: int) -> Column:
-    """Whether the column kmer repeats with a period of up to PERIOD letters: such k-mers meet themselves at very many places."""
-    return F.greatest(F.lit(False), F.lit(False), *[F.substring("kmer", 1, k - p) == F.substring("kmer", 1 + p, k - p) for p in range(1, min(PERIOD + 1, k))])
-
-
 def _prefilter(contigs: DataFrame, refs: DataFrame, k: int) -> Callable[[np.ndarray], np.ndarray] | None:
     """A test that drops most k-mers no contig holds; none where the contigs are too long for a bounded filter to tell."""
     most = contigs.agg(F.coalesce(F.sum(F.greatest(F.length("sequence") - (k - 1), F.lit(0)).cast("long")), F.lit(0))).first()[0]
-    return gate.bloom_test(refs.select("kmer"), most) if most * FILTER_BITS <= gate.MOST_BITS else None
+    return gate.bloom_test(refs.select("kmer"), most, hashes=2) if most * FILTER_BITS <= gate.MOST_BITS else None
 
 
 def contig_seeds(contigs: DataFrame, k: int = KMER) -> DataFrame:
-    """(cid, at, kmer): every k-mer of the contigs' given strand and its place: what an index stores for the aligner."""
-    return with_kmers(contigs.select(contig_id().alias("cid"), "sequence"), ["cid"], "sequence", k, canonical=False).select("cid", F.col("pos").alias("at"), "kmer")
+    """(cid, at, kmer, simple): every k-mer of the contigs' given strand and its place: what an index stores for the aligner."""
+    rows = spread(contigs.select(contig_id().alias("cid"), "sequence"), "sequence")
+    return with_kmers(rows, ["cid"], "sequence", k, canonical=False, simple=True).withColumnRenamed("pos", "at")
 
 
 def _seeds(ends: DataFrame, contigs: DataFrame, k: int, refs: DataFrame | None = None) -> DataFrame:
@@ -79,10 +76,11 @@ def _seeds(ends: DataFrame, contigs: DataFrame, k: int, refs: DataFrame | None =
     """
     refs = contig_seeds(contigs, k) if refs is None else refs
     only = _prefilter(contigs, refs, k)
-    reads = with_kmers(both_strands(ends), ["end"], "sequence", k, canonical=False, only=only)
-    refs = refs.withColumn("part", F.when(_simple(k), F.pmod(F.hash("cid", "at"), F.lit(PARTS))).otherwise(0))
-    reads = reads.withColumn("part", F.explode(F.when(_simple(k), F.array(*map(F.lit, range(PARTS)))).otherwise(F.array(F.lit(0)))))
-    return reads.join(refs, ["kmer", "part"]).select("end", "cid", (F.col("at") - F.col("pos")).alias("diagonal"), "pos").repartition("end", "cid")
+    reads = with_kmers(both_strands(ends), ["end"], "sequence", k, canonical=False, only=only, simple=True)
+    refs = refs.select("cid", "at", "kmer", F.when(F.col("simple"), F.pmod(F.hash("cid", "at"), F.lit(PARTS))).otherwise(0).alias("part"))
+    reads = reads.select("end", "pos", "kmer", F.explode(F.when(F.col("simple"), F.array(*map(F.lit, range(PARTS)))).otherwise(F.array(F.lit(0)))).alias("part"))
+    # Spark takes the seeds for as small as the contigs' file: without the hint it would broadcast them
+    return reads.join(refs.hint("merge"), ["kmer", "part"]).select("end", "cid", (F.col("at") - F.col("pos")).alias("diagonal"), "pos").repartition("end", "cid")
 
 
 def diagonal_chains(ends: DataFrame, contigs: DataFrame, k: int = KMER, min_hits: int = MIN_HITS, min_covered: int = MIN_COVERED) -> DataFrame:
@@ -132,13 +130,8 @@ for _i, _c in enumerate(b"ACGT"):
     _CODE[_c] = _i
 
 
-def banded_local(reads: list[str], refs: list[str], diagonals: np.ndarray, band: int = BAND, anchors: np.ndarray | None = None) -> np.ndarray:
-    """Best local alignments, all pairs at once: a row each of score, read start and end, reference start and end.
-
-    Affine gaps; only cells within `band` of the given diagonal are visited. Letters other than ACGT never match.
-    anchors: read places, one a pair; the best alignment that goes through this place of the given diagonal, so that a
-    better one nearby doesn't hide it.
-    """
+def _encoded(reads: list[str], refs: list[str], diagonals: np.ndarray, band: int) -> tuple[np.ndarray, np.ndarray]:
+    """The reads' letters as codes, and those of the contigs from `band` before each diagonal on; padding never matches."""
     n, longest, width = len(reads), max(map(len, reads)), 2 * band + 1
     query = np.full((n, longest), 8, dtype=np.uint8)
     target = np.full((n, longest + width), 7, dtype=np.uint8)
@@ -149,6 +142,39 @@ def banded_local(reads: list[str], refs: list[str], diagonals: np.ndarray, band:
         piece = refs[r][max(0, lo) : max(0, lo + longest + width)]
         at = max(0, -lo)
         target[r, at : at + len(piece)] = _CODE[np.frombuffer(piece.encode("ascii", "replace"), dtype=np.uint8)]
+    return query, target
+
+
+def ungapped(reads: list[str], refs: list[str], diagonals: np.ndarray, anchors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The rows of banded_local for alignments on their own diagonal, and for which pairs they are its rows.
+
+    They are where the score is so high that any gap would cost more than the letters that are left to gain: nearly all
+    reads with one difference or none.
+    """
+    query, target = _encoded(reads, refs, diagonals, 0)
+    gain = np.where(query == target[:, : query.shape[1]], MATCH, MISMATCH)
+    n, length = len(reads), np.array([len(r) for r in reads])
+    run, begin = np.zeros(n, dtype=np.int64), np.zeros(n, dtype=np.int64)
+    best, first, last = np.zeros(n, dtype=np.int64), np.zeros(n, dtype=np.int64), np.zeros(n, dtype=np.int64)
+    for i in range(query.shape[1]):
+        fresh = (run <= 0) & (i <= anchors)
+        begin = np.where(fresh, i, begin)
+        run = np.where(fresh, 0, run) + gain[:, i]
+        up = (run > best) & (i >= anchors)
+        best, first, last = np.where(up, run, best), np.where(up, begin, first), np.where(up, i + 1, last)
+    rows = np.stack([best, first, last, diagonals + first, diagonals + last], axis=1)
+    return rows, best > MATCH * length - GAP_OPEN - GAP_EXTEND
+
+
+def banded_local(reads: list[str], refs: list[str], diagonals: np.ndarray, band: int = BAND, anchors: np.ndarray | None = None) -> np.ndarray:
+    """Best local alignments, all pairs at once: a row each of score, read start and end, reference start and end.
+
+    Affine gaps; only cells within `band` of the given diagonal are visited. Letters other than ACGT never match.
+    anchors: read places, one a pair; the best alignment that goes through this place of the given diagonal, so that a
+    better one nearby doesn't hide it.
+    """
+    n, longest, width = len(reads), max(map(len, reads)), 2 * band + 1
+    query, target = _encoded(reads, refs, diagonals, band)
     offset = np.arange(width, dtype=np.int32)
     low = np.int32(-(1 << 20))
     h = np.zeros((n, width), dtype=np.int32)
@@ -234,7 +260,11 @@ def align(ends: DataFrame, contigs: DataFrame, min_score: int = MIN_SCORE, seeds
         for whole in batches:
             for i in range(0, len(whole), 1000):
                 pdf = whole.iloc[i : i + 1000]
-                a = banded_local(list(pdf["sequence"]), list(pdf["ref"]), (pdf["diagonal"] - pdf["base"]).to_numpy(), anchors=pdf["anchor"].to_numpy())
+                reads, refs, diagonals, anchors = list(pdf["sequence"]), list(pdf["ref"]), (pdf["diagonal"] - pdf["base"]).to_numpy().astype(np.int64), pdf["anchor"].to_numpy()
+                a, settled = ungapped(reads, refs, diagonals, anchors)
+                rest = np.flatnonzero(~settled)
+                if len(rest):
+                    a[rest] = banded_local([reads[i] for i in rest], [refs[i] for i in rest], diagonals[rest], anchors=anchors[rest])
                 size = pdf["sequence"].str.len().to_numpy()
                 minus = (pdf["end"] & 1 == 1).to_numpy()
                 out = pdf[["end", "cid", "role", "target_group_ordinal"]].copy()

@@ -5,11 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from seqloom.common import checkpointed
+from seqloom.common import checkpointed, spread
 from seqloom.constants import ALPHABET, KMER, MIN_COVERED, MIN_HITS
 from seqloom.functions.dust import dust_udf
 from seqloom.functions.seq import with_kmers
@@ -17,12 +17,12 @@ from seqloom.functions.seq import with_kmers
 
 def target_kmers(records: DataFrame, k: int = KMER) -> DataFrame:
     """(kmer, records): the distinct canonical k-mers of the panel's records, and how many records hold each."""
-    return with_kmers(records.filter("not is_host"), ["rec_ordinal"], "sequence", k).select("rec_ordinal", "kmer").distinct().groupBy("kmer").agg(F.count(F.lit(1)).alias("records"))
+    return with_kmers(spread(records.filter("not is_host"), "sequence"), ["rec_ordinal"], "sequence", k).select("rec_ordinal", "kmer").distinct().groupBy("kmer").agg(F.count(F.lit(1)).alias("records"))
 
 
 def panel_kmers(records: DataFrame, k: int = KMER) -> DataFrame:
     """(kmer): the distinct k-mers alone, in one shuffle; all that the gate needs."""
-    return with_kmers(records.filter("not is_host"), [], "sequence", k).select("kmer").distinct()
+    return with_kmers(spread(records.filter("not is_host"), "sequence"), [], "sequence", k).select("kmer").distinct()
 
 
 def kmer_classes(panel: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -117,29 +117,32 @@ def bloom_bits(kmers: int) -> int:
     return min(MOST_BITS, max(64, 1 << (16 * max(1, kmers) - 1).bit_length()))
 
 
-def bloom_places(codes: np.ndarray, bits: int) -> np.ndarray:
-    """The HASHES bit places of each k-mer code (fixed-length bytes), by double hashing; a row a k-mer."""
+def bloom_places(codes: np.ndarray, bits: int, hashes: int = HASHES) -> np.ndarray:
+    """The bit places of each k-mer code (fixed-length bytes), by double hashing; a row a k-mer."""
     letters = np.ascontiguousarray(codes).view(np.uint8).reshape(len(codes), -1)
     h = letters.astype(np.uint64) @ _MULTIPLIERS[: letters.shape[1]]
     h = (h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
     h ^= h >> np.uint64(29)
     h2 = (h ^ _GOLDEN) * np.uint64(0xD6E8FEB86659FD93)
     h2 = (h2 ^ (h2 >> np.uint64(32))) | np.uint64(1)
-    return (h[:, None] + np.arange(HASHES, dtype=np.uint64)[None, :] * h2[:, None]) & np.uint64(bits - 1)
+    return (h[:, None] + np.arange(hashes, dtype=np.uint64)[None, :] * h2[:, None]) & np.uint64(bits - 1)
 
 
-def bloom_words(kmers: DataFrame, bits: int) -> DataFrame:
+def bloom_words(kmers: DataFrame, bits: int, hashes: int = HASHES) -> DataFrame:
     """(word, value): the non-zero 64-bit words of the filter of kmers (kmer), or-ed together by aggregation."""
 
-    def places(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            if len(pdf):
-                p = np.unique(bloom_places(np.array(pdf["kmer"], dtype="S"), bits).ravel())
+    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                texts = b.column(0)
+                ends = np.frombuffer(texts.buffers()[1], dtype=np.int32)[texts.offset : texts.offset + len(texts) + 1]
+                raw = np.frombuffer(texts.buffers()[2], dtype=np.uint8)[ends[0] : ends[-1]]  # all of one length
+                p = np.unique(bloom_places(raw.reshape(len(texts), -1), bits, hashes).ravel())
                 word, first = np.unique(p >> np.uint64(6), return_index=True)
                 value = np.bitwise_or.reduceat(np.uint64(1) << (p & np.uint64(63)), first)
-                yield pd.DataFrame({"word": word.astype(np.int64), "value": value.view(np.int64)})
+                yield pa.RecordBatch.from_arrays([pa.array(word.astype(np.int64)), pa.array(value.view(np.int64))], ["word", "value"])
 
-    return kmers.select("kmer").mapInPandas(places, "word long, value long").groupBy("word").agg(F.bit_or("value").alias("value"))
+    return kmers.select("kmer").mapInArrow(places, "word long, value long").groupBy("word").agg(F.bit_or("value").alias("value"))
 
 
 def bloom_summary(kmers: DataFrame, words: DataFrame | None = None) -> DataFrame:
@@ -151,23 +154,23 @@ def bloom_summary(kmers: DataFrame, words: DataFrame | None = None) -> DataFrame
     return rows.select(F.lit(n).cast("long").alias("inserted"), F.lit(bits).cast("long").alias("bits"), F.lit(HASHES).alias("hashes"), "fill", F.pow("fill", F.lit(float(HASHES))).alias("false_positive_rate"))
 
 
-def bloom_test(kmers: DataFrame, count: int | None = None, words: DataFrame | None = None) -> Callable[[np.ndarray], np.ndarray]:
+def bloom_test(kmers: DataFrame, count: int | None = None, words: DataFrame | None = None, hashes: int = HASHES) -> Callable[[np.ndarray], np.ndarray]:
     """Whether each of an array of codes may be in kmers (all of one length): no true one is missed.
 
     count: the number of kmers or more, where it is known; else they are counted. words: bloom_words of kmers, of as many
-    bits as their number asks for, where they are stored.
+    bits as their number asks for, where they are stored. Fewer hashes are cheaper to make and let some more through.
 
     The broadcast filter is at most 32 MB. A panel of so many k-mers that this many bits fill up lets more through,
     never less. An empty panel lets nothing through.
     """
     bits = bloom_bits(kmers.count() if count is None else count)
     filled = np.zeros(bits // 64, dtype=np.int64)
-    found = (bloom_words(kmers, bits) if words is None else words).toArrow()
+    found = (bloom_words(kmers, bits, hashes) if words is None else words).toArrow()
     filled[found.column("word").to_numpy()] = found.column("value").to_numpy()
     held = kmers.sparkSession.sparkContext.broadcast(filled)
 
     def test(codes: np.ndarray) -> np.ndarray:
-        p = bloom_places(codes, bits)
+        p = bloom_places(codes, bits, hashes)
         w = held.value.view(np.uint64)[(p >> np.uint64(6)).astype(np.int64)]
         return ((w >> (p & np.uint64(63))) & np.uint64(1)).all(axis=1)
 

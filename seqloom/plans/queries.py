@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqloom.common import checkpointed, ensure_checkpoint_dir, table
+from seqloom.common import checkpointed, ensure_checkpoint_dir, spread, table
 from seqloom.constants import MATCH, MIN_COVERED, TOP_ROWS
 from seqloom.functions import seq
 from seqloom.functions.dust import dust_udf
@@ -52,7 +52,7 @@ def _scratch(spark: SparkSession) -> str:
 
 @query
 def kmer_canonical(spark: SparkSession, d: str) -> DataFrame:
-    return seq.with_kmers(_records(spark, d), ["rec_ordinal"], "sequence")
+    return seq.with_kmers(spread(_records(spark, d), "sequence"), ["rec_ordinal"], "sequence")
 
 
 @query
@@ -68,7 +68,7 @@ def kmer_semi_join(spark: SparkSession, d: str) -> DataFrame:
 @query
 def panel_hit_rank(spark: SparkSession, d: str) -> DataFrame:
     """Panel records ranked by the fragments that share a k-mer with them."""
-    panel = seq.with_kmers(_records(spark, d).filter("not is_host"), ["rec_ordinal", "id"], "sequence").select("rec_ordinal", "id", "kmer")
+    panel = seq.with_kmers(spread(_records(spark, d).filter("not is_host"), "sequence"), ["rec_ordinal", "id"], "sequence").select("rec_ordinal", "id", "kmer")
     classes, members = gate.kmer_classes(panel)
     reads = seq.with_kmers(gate.read_ends(_fragments(spark, d)), ["ordinal"], "sequence", only=gate.bloom_test(classes)).select("ordinal", "kmer").distinct()
     found = reads.join(classes, "kmer").groupBy("ordinal", "cls").agg(F.count(F.lit(1)).alias("n"))

@@ -226,3 +226,26 @@ def test_low_complexity_is_aligned(spark):
     got = aligned(spark, [a + short * 12 + b, a + "AC" * 40 + b], [short * 9, "AC" * 30])
     assert {(0, 180, 0, 90, 50 + 10 * i, 140 + 10 * i) for i in range(4)} <= set(got[0])
     assert {(1, 120, 0, 60, 50 + 2 * i, 110 + 2 * i) for i in range(11)} <= set(got[1])
+
+
+def test_ungapped_rows_are_those_of_the_banded_alignment():
+    """Wherever an alignment without gaps is settled it is the one that the banded search finds, ties and clipped ends included."""
+    rng = np.random.default_rng(12)
+    reads, refs, diagonals, anchors = [], [], [], []
+    for _ in range(600):
+        n, at = int(rng.integers(25, 90)), int(rng.integers(0, 40))
+        ref = "".join(rng.choice(list("ACGT" if rng.random() < 0.8 else "AC"), n + 80))
+        read = list(ref[at : at + n])
+        for _ in range(int(rng.integers(0, 4))):
+            i = int(rng.choice([rng.integers(0, n), rng.integers(0, 6), n - 1 - rng.integers(0, 6)]))
+            read[i] = rng.choice(list("ACGTN"))
+        if rng.random() < 0.2:
+            i = int(rng.integers(5, n - 5))
+            read[i : i + int(rng.integers(0, 2))] = list(rng.choice(["", "A", "CC"]))
+        same = [i for i in range(len(read) - 21) if "".join(read[i : i + 21]) == ref[at + i : at + i + 21]]
+        if same:
+            reads.append("".join(read)), refs.append(ref), diagonals.append(at), anchors.append(same[0])
+    args = reads, refs, np.array(diagonals), np.array(anchors)
+    rows, settled = align.ungapped(*args)
+    assert settled.mean() > 0.4 and (~settled).any()
+    assert (rows[settled] == align.banded_local(*args[:3], anchors=args[3])[settled]).all()
