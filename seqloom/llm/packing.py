@@ -20,17 +20,17 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from seqloom.common import checkpointed
-from seqloom.llm.tokens import clean, encoder, vocabulary_path
+from seqloom.llm.tokens import clean, encoder, shipped
 
 NEIGHBOURHOOD, ISLANDS, ROUNDS, POPULATION, GENERATIONS = 1500, 2, 2, 6, 20
 
 
 def token_counts(documents: DataFrame, vocabulary: str | None = None) -> DataFrame:
     """(doc_id, n_tokens): the size of each text; null and empty texts have none."""
-    path = vocabulary_path(vocabulary)
+    path = shipped(documents.sparkSession, vocabulary)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(path)
+        enc = encoder(path())
         for b in batches:
             sizes = [len(enc.encode_ordinary(clean(t.as_py()))) if t.is_valid else 0 for t in b.column("text")]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(sizes, pa.int64())], ["doc_id", "n_tokens"])

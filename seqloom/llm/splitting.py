@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seqloom.llm.tokens import clean, encoder, token_lengths, vocabulary_path
+from seqloom.llm.tokens import clean, encoder, shipped, token_lengths
 
 CELL, PARAGRAPH, LINE, SENTENCE, BLANK, CHARACTER = 6, 5, 4, 3, 2, 1
 #: Where a cell begins in the three layouts; the closing fence ends one.
@@ -104,10 +104,10 @@ def split_long(documents: DataFrame, limit: int, overlap: int, vocabulary: str |
     char_start and char_end are the same in its characters.
     Null, empty and short texts give no piece. Repeated doc_ids are split one by one.
     """
-    path = vocabulary_path(vocabulary)
+    path = shipped(documents.sparkSession, vocabulary)
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, lengths = encoder(path), token_lengths(path)
+        enc, lengths = encoder(path()), token_lengths(path())
         names = ["doc_id", "piece_no", "token_start", "token_end", "n_tokens", "char_start", "char_end", "text"]
         kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.string()]
         for batch in batches:

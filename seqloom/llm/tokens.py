@@ -6,6 +6,10 @@ import base64
 import functools
 import importlib.util
 import os
+from collections.abc import Callable
+
+from pyspark import SparkFiles
+from pyspark.sql import SparkSession
 
 DEFAULT_VOCABULARY = "byte_bpe_50k.tiktoken"
 #: The byte-level BPE's published pre-tokenization pattern (a fixed value).
@@ -13,13 +17,22 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 
 
 def vocabulary_path(path: str | None = None) -> str:
-    """The given path, else $SEQLOOM_TOKENIZER, else the installed package of public tokenizers."""
+    """The given path, else $SEQLOOM_TOKENIZER, else the vocabulary of the installed public_tokenizers package; without any of them an error."""
     path = path or os.environ.get("SEQLOOM_TOKENIZER")
     if path:
         return path
     spec = importlib.util.find_spec("public_tokenizers")
-    folder = os.path.dirname(spec.origin) if spec and spec.origin else "/opt/tokenizers"
-    return os.path.join(folder, DEFAULT_VOCABULARY)
+    if spec is None or not spec.origin:
+        raise FileNotFoundError("give the vocabulary's path or set SEQLOOM_TOKENIZER")
+    return os.path.join(os.path.dirname(spec.origin), DEFAULT_VOCABULARY)
+
+
+def shipped(spark: SparkSession, path: str | None = None) -> Callable[[], str]:
+    """Send the vocabulary, which only the driver needs to have, to all executors; what is returned finds it in a task."""
+    path = vocabulary_path(path)
+    spark.sparkContext.addFile(path)
+    name = os.path.basename(path)
+    return lambda: SparkFiles.get(name)
 
 
 @functools.cache
