@@ -83,6 +83,12 @@ def bloom_summary(spark: SparkSession, d: str) -> DataFrame:
     return gate.bloom_summary(gate.panel_kmers(_records(spark, d)))
 
 
+@query
+def bloom_size(spark: SparkSession, d: str) -> DataFrame:
+    """How many k-mers the filter holds, and its bits: what bloom_summary has besides the bits set."""
+    return bloom_summary(spark, d).select("inserted", "bits")
+
+
 @query
 def bloom_probe(spark: SparkSession, d: str) -> DataFrame:
     """Fragments with a k-mer that the filter lets pass, and how many of these k-mers are truly in the panel."""
@@ -367,6 +373,13 @@ def diagonal_chain(spark: SparkSession, d: str) -> DataFrame:
     return align.diagonal_chains(gate.read_ends(_fragments(spark, d)), contigs)
 
 
+@query
+def seed_table(spark: SparkSession, d: str) -> DataFrame:
+    """The aligner's seeds as an index stores them, by contig name."""
+    contigs = align.numbered(checkpointed(grouping.contigs(_records(spark, d), checkpointed(_groups(spark, d)))))
+    return align.contig_seeds(contigs).join(contigs.select("cid", "name"), "cid").select("name", "at", "kmer")
+
+
 @query
 def aligned_hits(spark: SparkSession, d: str) -> DataFrame:
     records = _records(spark, d)
@@ -420,9 +433,26 @@ def fastq_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     path = _scratch(spark)
     rows = _fragments(spark, d).select(F.concat(F.lit("fragment-"), "ordinal").alias("id"), "r1").filter("r1 is not null")
     fastq_source.write_fastq(rows, "r1", path)
-    files = spark.read.text(path).select("_metadata.file_path").distinct()
-    paths = ",".join(sorted(r.file_path.removeprefix("file://").replace("file:", "") for r in files.collect()))
-    return fastq_source.read_fastq(spark, paths).select("id", "sequence")
+    return fastq_source.read_fastq(spark, path).select("id", "sequence")
+
+
+@query
+def fastq_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """Both ends of the pairs written as gzip FASTQ, a file a partition and end, and read again as pairs with dense ordinals."""
+    paths = [_scratch(spark) for _ in range(2)]
+    rows = _fragments(spark, d).filter("r1 is not null and r2 is not null").repartitionByRange("ordinal").sortWithinPartitions("ordinal")
+    rows = checkpointed(rows.select(F.concat(F.lit("fragment-"), "ordinal").alias("id"), "r1", "r2"))
+    for mate, (read, path) in enumerate(zip(("r1", "r2"), paths, strict=True), 1):
+        fastq_source.write_fastq(rows.withColumn("id", F.concat("id", F.lit(f"/{mate} some comment"))), read, path, "gzip")
+    return fastq_source.read_fragments(spark, *paths)
+
+
+@query
+def ledger_roundtrip(spark: SparkSession, d: str) -> DataFrame:
+    """The panel's ledger written as tab-separated text, and read again with its checks."""
+    path = _scratch(spark)
+    index_source.write_ledger(_groups(spark, d), path)
+    return index_source.read_ledger(spark, path)
 
 
 @query

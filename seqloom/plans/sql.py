@@ -1,6 +1,6 @@
 """DuckDB SQL for the queries that SQL can express, over the same tables."""
 
-from seqloom.constants import ALPHABET, COMPLEMENT, FORWARD_CODE, KMER, MIN_COVERED, MIN_HITS, REVERSE_CODE, TOP_ROWS
+from seqloom.constants import ALPHABET, COMPLEMENT, DUST_THRESHOLD, DUST_WINDOW, FORWARD_CODE, KMER, MIN_COVERED, MIN_HITS, REVERSE_CODE, TOP_ROWS
 
 _LETTERS = "regexp_replace(upper({}), '[^A-Z]', '', 'g')"
 _RC = f"translate(reverse({{}}), '{ALPHABET}', '{COMPLEMENT}')"
@@ -32,6 +32,24 @@ states as (select e.ordinal, e.mate, coalesce(hits, 0)::bigint as hits, coalesce
   from ends e left join per using (ordinal, mate) left join seen s on s.ordinal = e.ordinal and s.mate = e.mate)"""
 _VERDICTS = """verdicts as (select o.ordinal, case when bool_or(present) and bool_or(chain_ok) then 'Pass' when coalesce(bool_or(evaluable), false) then 'Negative' else 'NotEvaluable' end as verdict
   from once o left join states using (ordinal) group by o.ordinal)"""
+# The low-complexity mask by its definition. A perfect interval ends with a triplet that occurs in it before, so those are
+# the ends looked at; reads in which no triplet comes five times within the window have none.
+_DUST = f"""tri0 as (select ordinal, mate, i as pos, substr(upper(sequence), i::bigint, 3) as t from ends, lateral unnest(generate_series(1, length(sequence) - 2)) as s(i)),
+tri1 as (select *, regexp_matches(t, '^[ACGT]{{3}}$') as good, count(*) filter (not regexp_matches(t, '^[ACGT]{{3}}$')) over (partition by ordinal, mate order by pos) as brk from tri0),
+tri as (select ordinal, mate, pos, t, brk, min(pos) over (partition by ordinal, mate, brk) as head from tri1 where good),
+many as (select distinct ordinal, mate from (select ordinal, mate, pos - lag(pos, 4) over (partition by ordinal, mate, t order by pos) as d from tri) where d < {DUST_WINDOW - 2}),
+pairs as (select a.ordinal, a.mate, a.pos as a, b.pos as b, a.head from tri a join many using (ordinal, mate) join tri b on a.ordinal = b.ordinal and a.mate = b.mate and a.t = b.t and a.brk = b.brk and a.pos < b.pos and b.pos - a.pos < {DUST_WINDOW - 2}),
+per_end as (select ordinal, mate, i, b, count(*) as c from pairs, lateral unnest(generate_series(greatest(head, b - {DUST_WINDOW - 3}), a)) as s(i) group by 1, 2, 3, 4),
+scored as (select ordinal, mate, i, b, sum(c) over (partition by ordinal, mate, i order by b) / (b - i) as score from per_end),
+high as (select * from scored where score > {DUST_THRESHOLD / 10}),
+perfect as (select ordinal, mate, i - 1 as s, b + 2 as e from high h where not exists (select 1 from high x where x.ordinal = h.ordinal and x.mate = h.mate and x.i >= h.i and x.b <= h.b and x.score > h.score)),
+begun as (select *, case when s <= max(e) over (partition by ordinal, mate order by s, e rows between unbounded preceding and 1 preceding) then 0 else 1 end as fresh from perfect),
+pieces as (select *, sum(fresh) over (partition by ordinal, mate order by s, e) as piece from begun),
+mask as (select ordinal, mate, min(s)::int as s, max(e)::int as e from pieces group by ordinal, mate, piece)"""
+_OPEN = "not exists (select 1 from mask m where m.ordinal = {0}.ordinal and m.mate = {0}.mate and m.s <= {0}.pos and {0}.pos < m.e)"
+_MASKED = _STATES.replace("seen as (select distinct ordinal, mate from ek)", f"seen as (select distinct ordinal, mate from ek where {_OPEN.format('ek')}),\nshown as (select distinct ordinal, mate from h where {_OPEN.format('h')})").replace(
+    "hits is not null as present", "exists (select 1 from shown x where x.ordinal = e.ordinal and x.mate = e.mate) as present")
+_MASKED_GATE = f"with {_REC}, {_ONCE}, {_ENDS}, {_TK}, {_EK}, {_HITS}, {_DUST}, {_MASKED}, {_VERDICTS}"
 _GATE = f"with {_REC}, {_ONCE}, {_ENDS}, {_TK}, {_EK}, {_HITS}, {_STATES}, {_VERDICTS}"
 
 _GROUPS = f"""members as (select sha256({_CANON}) as digest, id, min(description) as description, max(length(sequence)) as n from rec where not is_host group by 1, 2),
@@ -39,8 +57,8 @@ grouped as (select 'sha256:' || digest as target_group_id, list(id order by id)
   max(n)::bigint as representative_length from members group by digest),
 numbered as (select *, row_number() over (order by target_group_id) - 1 as group_ordinal from grouped)"""
 
-_CONTIGS = f"""contigs_ as (select 'HOST' as role, null::bigint as target_group_ordinal, sequence from rec where is_host
-union all select 'TARGET', group_ordinal, arg_min(sequence, rec_ordinal) from numbered n join rec r on not is_host and r.id = n.representative_id and 'sha256:' || sha256({_CANON}) = n.target_group_id group by group_ordinal)"""
+_CONTIGS = f"""contigs_ as (select 'host_' || (row_number() over (order by rec_ordinal) - 1) as name, 'HOST' as role, null::bigint as target_group_ordinal, sequence from rec where is_host
+union all select 'target_' || group_ordinal, 'TARGET', group_ordinal, arg_min(sequence, rec_ordinal) from numbered n join rec r on not is_host and r.id = n.representative_id and 'sha256:' || sha256({_CANON}) = n.target_group_id group by group_ordinal)"""
 
 _READ_ID = "regexp_replace(regexp_extract(id, '^\\s*(\\S+)', 1), '/[12]$', '')"
 _KEYED = f"""keyed as (select ordinal, run_id, id, substr(sha256('seqloom-fragment-v1||' || length(id) || '|' || id || '|' || ordinal), 1, 32) as key
@@ -99,6 +117,17 @@ hit as (select rec_ordinal, id, count(distinct ordinal) as fragments, count(*) a
 select *, row_number() over (order by fragments desc, kmer_hits desc, id, rec_ordinal)::int as place from hit""",
     "gate_state_unmasked": f"{_GATE} select * from states",
     "gate_verdict_unmasked": f"{_GATE} select * from verdicts",
+    "dust_intervals": f"with {_ONCE}, {_ENDS}, {_DUST} select ordinal, mate, s as start, e as \"end\" from mask",
+    "gate_verdict": f"{_MASKED_GATE} select * from verdicts",
+    "sampled_abundance_score": f"""{_MASKED_GATE}, {_KEYED}, {_SCALARS}, {_DESIGN}, {_SCREEN}, {_FULL},
+drawn as (select ordinal from screen join sampling_design using (run_id) join verdicts using (ordinal) where lower(mode) = 'screen' and verdict = 'Pass' union select ordinal from full_ join sampling_design using (run_id) where lower(mode) = 'full'),
+sampled_hits as (select * from hits where ordinal in (select ordinal from drawn)), {_ALL.replace("from hits where", "from sampled_hits where")}, {_RANKED},
+p as (select r.run_id, group_ordinal, case when selected > 0 and input_fragments > 0 then {_FRACTION} end as fraction, input_fragments, delta from ranked r join scalars using (run_id))
+select run_id, group_ordinal, fraction, fraction * input_fragments as estimated_fragments, (fraction - delta) / (fraction + delta) as sampling_target_score from p""",
+    "bloom_size": f"with {_REC}, {_TK} select count(*) as inserted, greatest(64, pow(2, ceil(log2(16 * greatest(count(*), 1)))))::bigint as bits from tk",
+    "seed_table": f"with {_REC}, {_GROUPS}, {_CONTIGS} select name, pos as at, kmer from {_kmers('name', 'contigs_', False)}",
+    "fastq_pairs": f"with {_ONCE} select row_number() over (order by ordinal) - 1 as ordinal, 'fragment-' || ordinal as id, r1, r2 from once where r1 is not null and r2 is not null",
+    "ledger_roundtrip": f"with {_REC}, {_GROUPS} select group_ordinal, target_group_id, representative_id, (unnest(generate_series(1, len(ids))) - 1)::int as member_ordinal, unnest(ids) as member_id, representative_length from numbered",
     "gate_counts": f"{_GATE} select run_id, verdict, count(*) as fragments from verdicts join once using (ordinal) group by 1, 2",
     "bloom_held": f"with {_REC}, {_ONCE}, {_ENDS}, {_TK}, {_EK}, {_HITS} select ordinal, count(*) as held from h group by ordinal",
     "aligned_exact": f"""with {_REC}, {_GROUPS}, {_ONCE}, {_ENDS}, {_CONTIGS},

@@ -230,10 +230,10 @@ def read_fragments(spark: SparkSession, r1: str, r2: str | None = None) -> DataF
     return left.select((F.col("_before") + F.col("ordinal")).alias("ordinal"), "id", "r1", "r2")
 
 
-def write_fastq(rows: DataFrame, read: str, path: str) -> None:
-    """Rows (id and the column `read`) as FASTQ text in the folder `path`, with the best quality throughout."""
+def write_fastq(rows: DataFrame, read: str, path: str, compression: str = "none") -> None:
+    """Rows (id and the column `read`) as FASTQ text in the folder `path`, with the best quality throughout; compression: none or gzip."""
     text = F.concat(F.lit("@"), "id", F.lit("\n"), read, F.lit("\n+\n"), F.regexp_replace(read, ".", "I"))
-    rows.filter(F.col(read).isNotNull()).select(text.alias("value")).write.text(path)
+    rows.filter(F.col(read).isNotNull()).select(text.alias("value")).write.option("compression", compression).text(path)
 
 
 def content_digests(spark: SparkSession, files: list[str]) -> dict[str, str]:
