@@ -15,7 +15,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqloom.common import bottom_k_per_group, ensure_checkpoint_dir, materialized
+from seqloom.common import bottom_k_per_group, ensure_checkpoint_dir, hadoop_path, materialized
 
 GROWTH_RATE = 0.125
 SEED = "seqloom-ledger-1"
@@ -71,11 +71,6 @@ def selected(fragments: DataFrame, ledger: DataFrame) -> DataFrame:
     return once.join(ledger, "ordinal").select("ordinal", "run_id", "piece_no", "origin", F.col("key").alias("priority"))
 
 
-def _path(spark: SparkSession, text: str):
-    path = spark._jvm.org.apache.hadoop.fs.Path(text)
-    return path, path.getFileSystem(spark._jsc.hadoopConfiguration())
-
-
 def ledger_folder(spark: SparkSession) -> str:
     """The folder that spark.conf names for the editions (seqloom.ledger.dir), else a new one in the shared checkpoint folder."""
     named = spark.conf.get(LEDGER_DIR, None)
@@ -85,23 +80,22 @@ def ledger_folder(spark: SparkSession) -> str:
     return f"{spark.sparkContext.getCheckpointDir()}/ledger-{uuid.uuid4().hex}"
 
 
-def latest_edition(spark: SparkSession, folder: str) -> int:
-    """The number of the newest edition that was written whole; 0 if there is none."""
-    path, fs = _path(spark, folder)
-    if not fs.exists(path):
-        return 0
-    names = [s.getPath().getName() for s in fs.listStatus(path)]
-    whole = [int(n.removeprefix("edition=")) for n in names if n.startswith("edition=") and fs.exists(_path(spark, f"{folder}/{n}/_SUCCESS")[0])]
-    return max(whole, default=0)
+def editions(spark: SparkSession, folder: str) -> tuple[int, int]:
+    """The number of the newest edition that was written whole, and of the newest one of all; 0 if there is none."""
+    path, fs = hadoop_path(spark, folder)
+    names = [s.getPath().getName() for s in fs.listStatus(path)] if fs.exists(path) else []
+    numbers = {int(n.removeprefix("edition=")): n for n in names if n.startswith("edition=")}
+    whole = [k for k, n in numbers.items() if fs.exists(hadoop_path(spark, f"{folder}/{n}/_SUCCESS")[0])]
+    return max(whole, default=0), max(numbers, default=0)
 
 
 def draw(fragments: DataFrame, first: DataFrame, folder: str, rate: float = GROWTH_RATE, seed: str = SEED) -> DataFrame:
-    """Extend the newest edition in `folder` (or `first`, where there is none) by what `fragments` need, and return the sample.
+    """Extend the newest whole edition in `folder` (or `first`, where there is none) by what `fragments` need, and return the sample.
 
-    The edition is written before the sample is read from it. One draw at a time may use a folder: two at once would
-    write the same edition, and the later one fails.
+    The edition is written before the sample is read from it; one that a lost draw left unfinished is passed over. One draw
+    at a time may use a folder: two at once would write the same edition, and the later one fails.
     """
     spark = fragments.sparkSession
-    n = latest_edition(spark, folder)
-    ledger = spark.read.parquet(f"{folder}/edition={n}") if n else first
-    return selected(fragments, extend_ledger(fragments, ledger, f"{folder}/edition={n + 1}", rate, seed))
+    whole, last = editions(spark, folder)
+    ledger = spark.read.parquet(f"{folder}/edition={whole}") if whole else first
+    return selected(fragments, extend_ledger(fragments, ledger, f"{folder}/edition={last + 1}", rate, seed))

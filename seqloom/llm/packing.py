@@ -5,7 +5,8 @@ with several islands; an island evolves a population of packings. Crossover inje
 one parent into the other, drops the containers that hold an item twice and best-fits the displaced items: first each
 takes the place of the smaller item of a kept container that leaves the least room there, then what is still loose goes
 where it fits most tightly. Mutation empties the worst containers. Between rounds each island's elite migrates to the next island of its neighbourhood.
-The best packing of any island is kept. Neighbourhoods are rows, so nothing but one of them is ever in one task's hands.
+The best packing of any island is kept; items of containers that still have much room are dealt to new neighbourhoods
+and evolved once more. Neighbourhoods are rows, so nothing but one of them is ever in one task's hands.
 """
 
 from __future__ import annotations
@@ -19,10 +20,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from seqloom.common import checkpointed
+from seqloom.common import checkpointed, materialized
 from seqloom.llm.tokens import clean, encoder, shipped
 
 NEIGHBOURHOOD, ISLANDS, ROUNDS, POPULATION, GENERATIONS = 1500, 2, 2, 6, 20
+#: Containers filled less than this are opened again at the end, and their items dealt anew.
+OPEN = 0.97
 
 
 def token_counts(documents: DataFrame, vocabulary: str | None = None) -> DataFrame:
@@ -178,28 +181,14 @@ def _bins_of(labels: list[int]) -> list[list[int]]:
     return [bins[k] for k in sorted(bins)]
 
 
-def pack(sized: DataFrame, capacity: int, neighbourhood: int = NEIGHBOURHOOD, islands: int = ISLANDS, rounds: int = ROUNDS, generations: int = GENERATIONS, seed: int = 7) -> DataFrame:
-    """(doc_id, piece_no, token_start, token_end, n_tokens, container): every text of sized (doc_id, n_tokens) in a container.
-
-    Only a text above the capacity is cut: into full containers of its own and a rest that is packed like any item.
-    A text of no tokens takes no room but has a container all the same. Repeated doc_ids are items of their own.
-    Null sizes count as 0. No rows in, no rows out.
-    """
-    spark = sized.sparkSession
-    sized = checkpointed(sized.select("doc_id", F.coalesce("n_tokens", F.lit(0)).cast("long").alias("size")))
-    sized = sized.withColumn("row", F.monotonically_increasing_id())  # tells repeated rows apart; fixed by the checkpoint
-    pieces = F.explode(F.sequence(F.lit(0), F.expr(f"cast(greatest(size - 1, 0) div {capacity} as int)")))
-    start = F.col("piece_no").cast("long") * capacity
-    items = sized.select("*", pieces.alias("piece_no")).withColumns({"token_start": start, "token_end": F.least(start + capacity, "size")})
-    items = items.withColumn("n_tokens", F.col("token_end") - F.col("token_start"))
-    full = items.filter(F.col("n_tokens") == capacity).withColumn("container", F.concat_ws("-", F.lit("full"), "row", "piece_no"))
-    loose = items.filter(F.col("n_tokens") < capacity)
-
+def _packed(loose: DataFrame, capacity: int, neighbourhood: int, islands: int, rounds: int, generations: int, seed: int, name: str) -> DataFrame:
+    """(doc_id, piece_no, token_start, token_end, n_tokens, container) of loose, which also has the column deal, by which items are dealt to neighbourhoods."""
+    cores = loose.sparkSession.sparkContext.defaultParallelism
     shards = -(-loose.count() // neighbourhood) or 1
-    dealt = loose.withColumn("shard", F.pmod(F.xxhash64(F.lit(seed), "row", "piece_no"), F.lit(shards)).cast("int"))
+    dealt = loose.withColumn("shard", F.pmod("deal", F.lit(shards)).cast("int"))
     places = dealt.groupBy("shard").agg(F.array_sort(F.collect_list(F.struct("doc_id", "piece_no", "token_start", "token_end", "n_tokens"))).alias("items"))
     state = places.select("shard", "items", F.explode(F.sequence(F.lit(0), F.lit(islands - 1))).alias("island"), F.array().cast("array<array<int>>").alias("population"))
-    tasks = max(1, min(shards * islands, max(4 * spark.sparkContext.defaultParallelism, shards * islands // 64)))
+    tasks = max(1, min(shards * islands, max(4 * cores, shards * islands // 64)))
     state = checkpointed(state.repartition(tasks, "shard", "island"))
     for r in range(rounds):
 
@@ -223,5 +212,29 @@ def pack(sized: DataFrame, capacity: int, neighbourhood: int = NEIGHBOURHOOD, is
     bins = F.size(F.array_distinct(best))
     chosen = state.withColumn("labels", best).groupBy("shard").agg(F.min(F.struct(bins.alias("bins"), "island", "items", "labels")).alias("b"))
     rows = chosen.select("shard", F.explode(F.arrays_zip(F.col("b.items").alias("items"), F.col("b.labels").alias("labels"))).alias("x"))
-    packed = rows.select("x.items.*", F.concat_ws("-", F.lit("bin"), "shard", "x.labels").alias("container"))
-    return full.select(packed.columns).unionByName(packed)
+    return rows.select("x.items.*", F.concat_ws("-", F.lit(name), "shard", "x.labels").alias("container"))
+
+
+def pack(sized: DataFrame, capacity: int, neighbourhood: int = NEIGHBOURHOOD, islands: int = ISLANDS, rounds: int = ROUNDS, generations: int = GENERATIONS, seed: int = 7) -> DataFrame:
+    """(doc_id, piece_no, token_start, token_end, n_tokens, container): every text of sized (doc_id, n_tokens) in a container.
+
+    Only a text above the capacity is cut: into full containers of its own and a rest that is packed like any item.
+    A text of no tokens takes no room but has a container all the same. Repeated doc_ids are items of their own.
+    Null sizes count as 0. No rows in, no rows out. Each neighbourhood leaves a container or so with much room; the items
+    of all these are dealt to new neighbourhoods and packed once more.
+    """
+    sized = checkpointed(sized.select("doc_id", F.coalesce("n_tokens", F.lit(0)).cast("long").alias("size")))
+    sized = sized.withColumn("row", F.monotonically_increasing_id())  # tells repeated rows apart; fixed by the checkpoint
+    pieces = F.explode(F.sequence(F.lit(0), F.expr(f"cast(greatest(size - 1, 0) div {capacity} as int)")))
+    start = F.col("piece_no").cast("long") * capacity
+    items = sized.select("*", pieces.alias("piece_no")).withColumns({"token_start": start, "token_end": F.least(start + capacity, "size")})
+    items = items.withColumn("n_tokens", F.col("token_end") - F.col("token_start"))
+    full = items.filter(F.col("n_tokens") == capacity).withColumn("container", F.concat_ws("-", F.lit("full"), "row", "piece_no"))
+    loose = items.filter(F.col("n_tokens") < capacity).withColumn("deal", F.xxhash64(F.lit(seed), "row", "piece_no"))
+    settings = capacity, neighbourhood, islands, rounds, generations, seed
+    packed = materialized(_packed(loose, *settings, "bin"))
+    roomy = packed.groupBy("container").agg(F.sum("n_tokens").alias("fill")).filter(F.col("fill") < OPEN * capacity).select("container")
+    roomy = materialized(roomy)
+    rest = packed.join(roomy, "container").withColumn("deal", F.xxhash64(F.lit(seed), "container"))
+    kept = packed.join(roomy, "container", "left_anti")
+    return full.select(packed.columns).unionByName(kept.select(packed.columns)).unionByName(_packed(rest, *settings, "rest"))
