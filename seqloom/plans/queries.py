@@ -363,6 +363,14 @@ def report_text(spark: SparkSession, d: str) -> DataFrame:
     return report.report_rows(_estimates(spark, d))
 
 
+@query
+def report_counts(spark: SparkSession, d: str) -> DataFrame:
+    """The report's columns that are counts and names, as numbers."""
+    same = ("total_target_support_fragments", "supported_reference_groups", "discordant_fragments", "input_mode", "input_fragments", "occupied_windows", "support_rank", "run_id")
+    renamed = {"representative_id": "reference_id", "supporting_selected_fragments": "support_fragments", "covered_bases": "covered_bp", "representative_length": "reference_length_bp", "split_events": "split_support_fragments", "selected": "selected_fragments"}
+    return _estimates(spark, d).select(*same, *[F.col(a).alias(b) for a, b in renamed.items()])
+
+
 # ---- alignment and whole runs
 
 

@@ -105,6 +105,10 @@ _RANKED = """ranked as (select run_id, group_ordinal, representative_id, row_num
   supporting_selected_fragments * 100.0::double / (sum(supporting_selected_fragments) over (partition by run_id))::bigint as target_support_share_pct
   from ev join reference_groups using (group_ordinal) where supporting_selected_fragments > 0)"""
 
+_SAMPLED = f"""{_MASKED_GATE}, {_KEYED}, {_SCALARS}, {_DESIGN}, {_SCREEN}, {_FULL},
+drawn as (select ordinal from screen join sampling_design using (run_id) join verdicts using (ordinal) where lower(mode) = 'screen' and verdict = 'Pass' union select ordinal from full_ join sampling_design using (run_id) where lower(mode) = 'full'),
+sampled_hits as (select * from hits where ordinal in (select ordinal from drawn)), {_ALL.replace("from hits where", "from sampled_hits where")}, {_RANKED}"""
+
 _FRACTION = "supporting_selected_fragments / selected * population / input_fragments"
 
 SQL = {
@@ -119,11 +123,14 @@ select *, row_number() over (order by fragments desc, kmer_hits desc, id, rec_or
     "gate_verdict_unmasked": f"{_GATE} select * from verdicts",
     "dust_intervals": f"with {_ONCE}, {_ENDS}, {_DUST} select ordinal, mate, s as start, e as \"end\" from mask",
     "gate_verdict": f"{_MASKED_GATE} select * from verdicts",
-    "sampled_abundance_score": f"""{_MASKED_GATE}, {_KEYED}, {_SCALARS}, {_DESIGN}, {_SCREEN}, {_FULL},
-drawn as (select ordinal from screen join sampling_design using (run_id) join verdicts using (ordinal) where lower(mode) = 'screen' and verdict = 'Pass' union select ordinal from full_ join sampling_design using (run_id) where lower(mode) = 'full'),
-sampled_hits as (select * from hits where ordinal in (select ordinal from drawn)), {_ALL.replace("from hits where", "from sampled_hits where")}, {_RANKED},
+    "sampled_abundance_score": f"""{_SAMPLED},
 p as (select r.run_id, group_ordinal, case when selected > 0 and input_fragments > 0 then {_FRACTION} end as fraction, input_fragments, delta from ranked r join scalars using (run_id))
 select run_id, group_ordinal, fraction, fraction * input_fragments as estimated_fragments, (fraction - delta) / (fraction + delta) as sampling_target_score from p""",
+    "report_counts": f"""{_SAMPLED},
+census as (select run_id, case when count(r2) = 0 then 'SE' when count(r2) = count(*) then 'PE' else 'MIXED' end as input_mode from once group by run_id)
+select r.run_id, r.representative_id as reference_id, support_rank, r.supporting_selected_fragments as support_fragments, covered_bases as covered_bp, representative_length as reference_length_bp,
+  occupied_windows, split_events as split_support_fragments, discordant_fragments, input_mode, input_fragments, selected as selected_fragments, total_target_support_fragments, supported_reference_groups
+from ranked r join ev e on e.run_id = r.run_id and e.group_ordinal = r.group_ordinal join reference_groups g on g.group_ordinal = r.group_ordinal join scalars s on s.run_id = r.run_id left join census c on c.run_id = r.run_id""",
     "bloom_size": f"with {_REC}, {_TK} select count(*) as inserted, greatest(64, pow(2, ceil(log2(16 * greatest(count(*), 1)))))::bigint as bits from tk",
     "seed_table": f"with {_REC}, {_GROUPS}, {_CONTIGS} select name, pos as at, kmer from {_kmers('name', 'contigs_', False)}",
     "fastq_pairs": f"with {_ONCE} select row_number() over (order by ordinal) - 1 as ordinal, 'fragment-' || ordinal as id, r1, r2 from once where r1 is not null and r2 is not null",
