@@ -107,6 +107,133 @@ def with_kmers(df: DataFrame, keep: list[str], text: str, k: int = KMER, canonic
     return df.mapInArrow(explode, T.StructType(fields))
 
 
+#: Letters that a k-mer has besides its word: two segments' letters beside a word of k - SPAN letters fit in one number.
+SPAN = 6
+_DIGIT = np.full(256, 16, dtype=np.uint8)
+_DIGIT[np.frombuffer(ALPHABET.encode(), dtype=np.uint8)] = [int(c, 16) for c in FORWARD_CODE]
+_MIX = np.uint64(0x9E3779B97F4A7C15)
+
+
+def _span(k: int) -> int:
+    if not 1 < k <= 21:
+        raise ValueError("segments are made for k-mers of 2 to 21 letters")
+    return min(SPAN, k - 1)
+
+
+def _segments(texts: pa.StringArray, k: int, only: Callable[[np.ndarray], np.ndarray] | None) -> Iterator[tuple[np.ndarray, ...]]:
+    """The text's number, word place, word, letters beside it (see with_segments) and the simple words of each segment, some at a time."""
+    span = _span(k)
+    m = k - span
+    offsets = np.frombuffer(texts.buffers()[1], dtype=np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
+    raw = np.frombuffer(texts.buffers()[2], dtype=np.uint8)
+    begin, count = offsets[:-1], np.diff(offsets) - k + 1
+    ends = np.cumsum(count)
+    four = np.uint64(4)
+    for low in range(0, int(ends[-1]), _PORTION):
+        n = np.arange(low, min(low + _PORTION, int(ends[-1])))
+        of = np.searchsorted(ends, n, "right")
+        pos = n - (ends[of] - count[of])
+        at = begin[of] + pos
+        first = int(at[0])
+        digit = _DIGIT[raw[first : int(at[-1]) + k]]
+        at = at - first
+        odd = np.concatenate([[0], np.cumsum(digit == 16)])
+        good = odd[at + k] == odd[at]
+        of, pos, at = of[good], pos[good], at[good]
+        if not len(at):
+            continue
+        wide = (digit & 15).astype(np.uint64)
+        words = np.zeros(len(wide) - m + 1, dtype=np.uint64)
+        for j in range(m):
+            words = (words << four) | wide[j : j + len(words)]
+        order = words * _MIX
+        order ^= order >> np.uint64(32)
+        windows = len(words) - span
+        least, place = order[:windows].copy(), np.arange(windows)
+        for j in range(1, span + 1):  # the first of the least words of each window
+            other = order[j : j + windows]
+            less = other < least
+            place[less] = np.flatnonzero(less) + j
+            np.minimum(least, other, out=least)
+        place = place[at]
+        new = np.ones(len(at), dtype=bool)
+        new[1:] = (of[1:] != of[:-1]) | (place[1:] != place[:-1]) | (at[1:] != at[:-1] + 1)
+        start = np.flatnonzero(new)
+        stop = np.append(start[1:], len(at)) - 1
+        word = words[place[start]]
+        if only is not None:
+            kept = only(word)
+            start, stop, word = start[kept], stop[kept], word[kept]
+        w = place[start]
+        before, after = w - at[start], at[stop] + span - w
+        beside = np.zeros(len(w), dtype=np.uint64)
+        for j in range(span):
+            left = np.where(j < before, wide[np.maximum(w - 1 - j, 0)], np.uint64(0))
+            right = np.where(j < after, wide[np.minimum(w + m + j, len(wide) - 1)], np.uint64(0))
+            beside |= (left << np.uint64(4 * j)) | (right << np.uint64(4 * (SPAN + j)))
+        beside |= (before.astype(np.uint64) << np.uint64(8 * SPAN)) | (after.astype(np.uint64) << np.uint64(8 * SPAN + 4))
+        simple = np.zeros(len(w), dtype=bool)
+        for p in range(1, min(PERIOD + 1, m)):
+            simple |= (word >> np.uint64(4 * p)) == (word & np.uint64((1 << (4 * (m - p))) - 1))
+        yield of[start], pos[start] + before, word.view(np.int64), beside.view(np.int64), simple
+
+
+def with_segments(df: DataFrame, keep: list[str], text: str, k: int = KMER, only: Callable[[np.ndarray], np.ndarray] | None = None) -> DataFrame:
+    """keep columns, pos, word, beside and simple: the k-mers of the given strand (see with_kmers), neighbours with one word in one row.
+
+    A k-mer's word is the one of its k - SPAN letter substrings that a fixed mixing puts first, so that equal k-mers have
+    equal words at equal places: whoever joins rows by word meets each pair of equal k-mers exactly once, in some seven
+    times fewer pairs of rows. pos is the word's place in the text, word its letters, four bits a letter. beside holds
+    the letters of the segment before the word (the nearest in the lowest bits), those after it, and how many of
+    either: shared_kmers compares them. simple: words that repeat with a period of up to PERIOD letters. `only` picks,
+    from an array of words, those to keep. k is at most 21.
+    """
+    df = df.select(*keep, F.regexp_replace(F.upper(text), f"[^{ALPHABET}]", "-").alias("_t")).filter(F.length("_t") >= k)
+
+    def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            for of, *columns in _segments(batch.column(batch.num_columns - 1), k, only):
+                rows = pa.array(of)
+                kept = [batch.column(i).take(rows) for i in range(batch.num_columns - 1)]
+                pos, *rest = columns
+                yield pa.RecordBatch.from_arrays([*kept, pa.array(pos.astype(np.int32)), *map(pa.array, rest)], [f.name for f in fields])
+
+    _span(k)
+    fields = [df.schema[c] for c in keep] + [T.StructField("pos", T.IntegerType()), T.StructField("word", T.LongType())]
+    fields += [T.StructField("beside", T.LongType()), T.StructField("simple", T.BooleanType())]
+    return df.mapInArrow(explode, T.StructType(fields))
+
+
+def _part(beside: Column, low: int, bits: int) -> Column:
+    return F.shiftright(beside, low).bitwiseAND(F.lit((1 << bits) - 1))
+
+
+def shared_kmers(a: Column | str, b: Column | str, k: int = KMER) -> tuple[Column, Column]:
+    """Of two segments with one word (columns beside): how many letters before it are shared, and how many k-mers, below 1 if none."""
+    a, b = _col(a), _col(b)
+    other = a.bitwiseXOR(b)
+
+    def common(i: int) -> Column:
+        x = _part(other, 4 * SPAN * i, 4 * SPAN)
+        equal = F.shiftright(F.bit_count(x.bitwiseAND(-x) - 1), 2)  # zero bits below the first that differs, in letters
+        return F.least(equal, *[_part(s, 8 * SPAN + 4 * i, 4).cast("int") for s in (a, b)])
+
+    return common(0), common(0) + common(1) - (_span(k) - 1)
+
+
+def segment_kmers(df: DataFrame, keep: list[str], k: int = KMER) -> DataFrame:
+    """keep columns, pos and kmer: the k-mers of the rows of with_segments, as with_kmers has them for the given strand."""
+    before, after = _part(F.col("beside"), 8 * SPAN, 4).cast("int"), _part(F.col("beside"), 8 * SPAN + 4, 4).cast("int")
+    digits = lambda c, n: F.lpad(F.lower(F.hex(c)), n, "0")
+    left, right = digits(_part(F.col("beside"), 0, 4 * SPAN), F.lit(SPAN)), digits(_part(F.col("beside"), 4 * SPAN, 4 * SPAN), F.lit(SPAN))
+    spelled = F.concat(F.right(left, before), digits(F.col("word"), F.lit(k - _span(k))), F.reverse(F.right(right, after)))
+    rows = df.select(*keep, (F.col("pos") - before).alias("_at"), spelled.alias("_s"))
+    rows = rows.select("*", F.explode(F.sequence(F.lit(0), F.length("_s") - k)).alias("_i"))
+    return rows.select(*keep, (F.col("_at") + F.col("_i")).alias("pos"), F.substring("_s", F.col("_i") + 1, F.lit(k)).alias("kmer"))
+
+
 def normalized_read_id(c: Column | str) -> Column:
     """The first word of a read's name without one trailing /1, else /2; null if there is none."""
     word = F.regexp_extract(_col(c), r"^\s*(\S+)", 1)

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from seqloom.common import spread
 from seqloom.constants import GAP_EXTEND, GAP_OPEN, KMER, MATCH, MIN_COVERED, MIN_HITS, MIN_SCORE, MISMATCH
-from seqloom.functions.seq import reverse_complement, with_kmers
+from seqloom.functions.seq import reverse_complement, segment_kmers, shared_kmers, with_segments
 from seqloom.operators import gate
 
 #: Diagonals to either side of a chain's that the alignment may visit.
@@ -53,34 +53,44 @@ def numbered(contigs: DataFrame) -> DataFrame:
 
 
 def _prefilter(contigs: DataFrame, refs: DataFrame, k: int) -> Callable[[np.ndarray], np.ndarray] | None:
-    """A test that drops most k-mers no contig holds; none where the contigs are too long for a bounded filter to tell."""
+    """A test that drops most words no contig holds; none where the contigs are too long for a bounded filter to tell."""
     most = contigs.agg(F.coalesce(F.sum(F.greatest(F.length("sequence") - (k - 1), F.lit(0)).cast("long")), F.lit(0))).first()[0]
-    return gate.bloom_test(refs.select("kmer"), most, hashes=2) if most * FILTER_BITS <= gate.MOST_BITS else None
+    return gate.bloom_test(refs.select(F.col("word").alias("kmer")), most, hashes=2) if most * FILTER_BITS <= gate.MOST_BITS else None
 
 
-def contig_seeds(contigs: DataFrame, k: int = KMER) -> DataFrame:
-    """(cid, at, kmer, simple): every k-mer of the contigs' given strand and its place: what an index stores for the aligner."""
+def contig_segments(contigs: DataFrame, k: int = KMER) -> DataFrame:
+    """(cid, at, word, beside, simple): the k-mers of the contigs' given strand in segments of one word each (see with_segments): what an index stores for the aligner."""
     rows = spread(contigs.select(contig_id().alias("cid"), "sequence"), "sequence")
-    return with_kmers(rows, ["cid"], "sequence", k, canonical=False, simple=True).withColumnRenamed("pos", "at")
+    return with_segments(rows, ["cid"], "sequence", k).withColumnRenamed("pos", "at")
 
 
-def _seeds(ends: DataFrame, contigs: DataFrame, k: int, refs: DataFrame | None = None) -> DataFrame:
-    """(end, cid, diagonal, pos): each k-mer of an oriented end that a contig holds, at each of its places there.
+def contig_seeds(contigs: DataFrame, k: int = KMER) -> DataFrame:
+    """(cid, at, kmer): every k-mer of the contigs' given strand and its place, spelled out from the segments."""
+    return segment_kmers(contig_segments(contigs, k).withColumnRenamed("at", "pos"), ["cid"], k).withColumnRenamed("pos", "at")
 
-    Pairs of read and contig without a common k-mer never meet. Read k-mers that a Bloom filter of the contigs rules out
-    are dropped in the task that makes them, before the shuffle.
-    Low-complexity stretches give seeds like all others. The places of a simple repeat's k-mer are spread over PARTS
-    parts, and the reads' k-mer is sent to each, so that no task joins all of them; of other frequent k-mers adaptive
-    execution splits the skewed partitions. refs: contig_seeds, if they are stored.
+
+def _seeds(ends: DataFrame, contigs: DataFrame, k: int, refs: DataFrame | None = None) -> DataFrame:
+    """(end, cid, diagonal, pos, n): n successive k-mers from pos on of an oriented end, which a contig holds on a diagonal; each of its places is in one row.
+
+    Reads and contigs meet by the words of their segments, as numbers; what else two segments share is in the numbers
+    beside the words. Pairs of read and contig without a common k-mer never leave the join. Segments of reads whose word
+    a Bloom filter of the contigs rules out are dropped in the task that makes them, before the shuffle.
+    Low-complexity stretches give seeds like all others. The places of a simple repeat's word are spread over PARTS
+    parts, and the reads' word is sent to each, so that no task joins all of them; of other frequent words adaptive
+    execution splits the skewed partitions. refs: contig_segments, if they are stored.
     The rows come partitioned by end and contig, as all that follows needs them.
     """
-    refs = contig_seeds(contigs, k) if refs is None else refs
+    refs = contig_segments(contigs, k) if refs is None else refs
     only = _prefilter(contigs, refs, k)
-    reads = with_kmers(both_strands(ends), ["end"], "sequence", k, canonical=False, only=only, simple=True)
-    refs = refs.select("cid", "at", "kmer", F.when(F.col("simple"), F.pmod(F.hash("cid", "at"), F.lit(PARTS))).otherwise(0).alias("part"))
-    reads = reads.select("end", "pos", "kmer", F.explode(F.when(F.col("simple"), F.array(*map(F.lit, range(PARTS)))).otherwise(F.array(F.lit(0)))).alias("part"))
+    reads = with_segments(both_strands(ends), ["end"], "sequence", k, only=only)
+    refs = refs.select("cid", "at", "word", F.col("beside").alias("ref_beside"), F.when(F.col("simple"), F.pmod(F.hash("cid", "at"), F.lit(PARTS))).otherwise(0).alias("part"))
+    parts = F.when(F.col("simple"), F.array(*map(F.lit, range(PARTS)))).otherwise(F.array(F.lit(0)))
+    reads = reads.select("end", "pos", "word", "beside", F.explode(parts).alias("part"))
+    before, shared = shared_kmers("beside", "ref_beside", k)
     # Spark takes the seeds for as small as the contigs' file: without the hint it would broadcast them
-    return reads.join(refs.hint("merge"), ["kmer", "part"]).select("end", "cid", (F.col("at") - F.col("pos")).alias("diagonal"), "pos").repartition("end", "cid")
+    met = reads.join(refs.hint("merge"), ["word", "part"]).filter(shared > 0)
+    rows = met.select("end", "cid", (F.col("at") - F.col("pos")).alias("diagonal"), (F.col("pos") - before).alias("pos"), shared.cast("int").alias("n"))
+    return rows.repartition("end", "cid")
 
 
 def diagonal_chains(ends: DataFrame, contigs: DataFrame, k: int = KMER, min_hits: int = MIN_HITS, min_covered: int = MIN_COVERED) -> DataFrame:
@@ -90,9 +100,9 @@ def diagonal_chains(ends: DataFrame, contigs: DataFrame, k: int = KMER, min_hits
     covered is the union length of the seeds on the read.
     """
     keys = ["end", "cid", "diagonal"]
-    before = F.lag("pos").over(Window.partitionBy(*keys).orderBy("pos"))
-    rows = _seeds(ends, contigs, k).withColumn("new", F.least(F.lit(k), F.coalesce(F.col("pos") - before, F.lit(k))))
-    chains = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("seeds"), F.sum("new").alias("covered")).filter((F.col("seeds") >= min_hits) & (F.col("covered") >= min_covered))
+    before = F.lag(F.col("pos") + F.col("n") - 1).over(Window.partitionBy(*keys).orderBy("pos"))
+    rows = _seeds(ends, contigs, k).withColumn("new", F.least(F.lit(k), F.coalesce(F.col("pos") - before, F.lit(k))) + F.col("n") - 1)
+    chains = rows.groupBy(*keys).agg(F.sum("n").alias("seeds"), F.sum("new").alias("covered")).filter((F.col("seeds") >= min_hits) & (F.col("covered") >= min_covered))
     return chains.join(numbered(contigs).select("cid", "name"), "cid").select(*_unpacked_end(), "name", "diagonal", "seeds", "covered")
 
 
@@ -106,10 +116,10 @@ def band_chains(ends: DataFrame, contigs: DataFrame, k: int = KMER, min_hits: in
     """
     keys = ["end", "cid"]
     by_place = Window.partitionBy(*keys, "diagonal").orderBy("pos")
-    gap = F.col("pos") - F.lag("pos").over(by_place)
+    gap = F.col("pos") - F.lag(F.col("pos") + F.col("n") - 1).over(by_place)
     rows = _seeds(ends, contigs, k, seeds).withColumn("gap", gap)
-    rows = rows.withColumn("run", F.sum(F.when(F.col("gap") <= k + k * MATCH // -MISMATCH, 0).otherwise(1)).over(by_place)).withColumn("new", F.least(F.lit(k), F.coalesce("gap", F.lit(k))))
-    runs = rows.groupBy(*keys, "diagonal", "run").agg(F.min("pos").alias("anchor"), F.max("pos").alias("last"), F.count(F.lit(1)).alias("seeds"), F.sum("new").alias("covered"))
+    rows = rows.withColumn("run", F.sum(F.when(F.col("gap") <= k + k * MATCH // -MISMATCH, 0).otherwise(1)).over(by_place)).withColumn("new", F.least(F.lit(k), F.coalesce("gap", F.lit(k))) + F.col("n") - 1)
+    runs = rows.groupBy(*keys, "diagonal", "run").agg(F.min("pos").alias("anchor"), F.max(F.col("pos") + F.col("n") - 1).alias("last"), F.sum("n").alias("seeds"), F.sum("new").alias("covered"))
     runs = runs.groupBy(*keys).agg(F.collect_list(F.struct("diagonal", "anchor", "last", "seeds", "covered")).alias("runs"))
 
     def stands(x: Column) -> Column:
@@ -246,7 +256,7 @@ def align(ends: DataFrame, contigs: DataFrame, min_score: int = MIN_SCORE, seeds
     end and contig (band_chains) is aligned through its anchor; alignments of the same read and contig ranges are one hit.
     A hit is supplementary if it overlaps the end's best hit by less than half of its own read range.
     Contigs come in tiles that hold all that the band of a chain can reach, so that a host chromosome is neither one key
-    nor one row of the join. seeds: contig_seeds of the contigs, if an index has them stored.
+    nor one row of the join. seeds: contig_segments of the contigs, if an index has them stored.
     """
     longest = ends.agg(F.max(F.length("sequence"))).first()[0] or 0
     reach = longest + 2 * BAND + 1

@@ -118,7 +118,7 @@ def bloom_bits(kmers: int) -> int:
 
 
 def bloom_places(codes: np.ndarray, bits: int, hashes: int = HASHES) -> np.ndarray:
-    """The bit places of each k-mer code (fixed-length bytes), by double hashing; a row a k-mer."""
+    """The bit places of each k-mer code (fixed-length bytes or 64-bit numbers), by double hashing; a row a k-mer."""
     letters = np.ascontiguousarray(codes).view(np.uint8).reshape(len(codes), -1)
     h = letters.astype(np.uint64) @ _MULTIPLIERS[: letters.shape[1]]
     h = (h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -134,10 +134,13 @@ def bloom_words(kmers: DataFrame, bits: int, hashes: int = HASHES) -> DataFrame:
     def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
-                texts = b.column(0)
-                ends = np.frombuffer(texts.buffers()[1], dtype=np.int32)[texts.offset : texts.offset + len(texts) + 1]
-                raw = np.frombuffer(texts.buffers()[2], dtype=np.uint8)[ends[0] : ends[-1]]  # all of one length
-                p = np.unique(bloom_places(raw.reshape(len(texts), -1), bits, hashes).ravel())
+                codes = b.column(0)
+                if pa.types.is_integer(codes.type):
+                    raw = codes.to_numpy()
+                else:
+                    ends = np.frombuffer(codes.buffers()[1], dtype=np.int32)[codes.offset : codes.offset + len(codes) + 1]
+                    raw = np.frombuffer(codes.buffers()[2], dtype=np.uint8)[ends[0] : ends[-1]].reshape(len(codes), -1)  # all of one length
+                p = np.unique(bloom_places(raw, bits, hashes).ravel())
                 word, first = np.unique(p >> np.uint64(6), return_index=True)
                 value = np.bitwise_or.reduceat(np.uint64(1) << (p & np.uint64(63)), first)
                 yield pa.RecordBatch.from_arrays([pa.array(word.astype(np.int64)), pa.array(value.view(np.int64))], ["word", "value"])

@@ -383,7 +383,7 @@ def diagonal_chain(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def seed_table(spark: SparkSession, d: str) -> DataFrame:
-    """The aligner's seeds as an index stores them, by contig name."""
+    """The aligner's seeds by contig name, spelled out from the segments that an index stores."""
     contigs = align.numbered(checkpointed(grouping.contigs(_records(spark, d), checkpointed(_groups(spark, d)))))
     return align.contig_seeds(contigs).join(contigs.select("cid", "name"), "cid").select("name", "at", "kmer")
 

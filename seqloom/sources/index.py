@@ -16,7 +16,7 @@ from seqloom.operators import align, gate, grouping
 LEDGER_SCHEMA = "group_ordinal long, target_group_id string, representative_id string, member_ordinal int, member_id string, representative_length long"
 _TABLES = ("groups", "contigs", "kmers", "seeds", "words")
 _FIELDS = {"contract", "profile_digest", "kmer_length", *_TABLES, "bloom", "host_fasta_sha256", "target_fasta_sha256", "reference_set_digest"}
-CONTRACT = "seqloom-index-v2"
+CONTRACT = "seqloom-index-v3"
 
 
 def table_digest(df: DataFrame) -> str:
@@ -48,7 +48,7 @@ def build_index(records: DataFrame, path: str, k: int = KMER, sources: tuple[str
         contigs = written("contigs", grouping.contigs(records, groups))
         kmers = written("kmers", gate.target_kmers(records, k))
         n = kmers.count()
-        tables = {"groups": groups, "contigs": contigs, "kmers": kmers, "seeds": written("seeds", align.contig_seeds(contigs, k)), "words": written("words", gate.bloom_words(kmers, gate.bloom_bits(n)))}
+        tables = {"groups": groups, "contigs": contigs, "kmers": kmers, "seeds": written("seeds", align.contig_segments(contigs, k)), "words": written("words", gate.bloom_words(kmers, gate.bloom_bits(n)))}
         manifest = {"contract": CONTRACT, "profile_digest": profile_digest(), "kmer_length": k, **{t: table_digest(df) for t, df in tables.items()}}
         manifest |= {"bloom": gate.bloom_summary(kmers, tables["words"]).first().asDict(), "host_fasta_sha256": sources[0], "target_fasta_sha256": sources[1]}
         manifest["reference_set_digest"] = hashlib.sha256("|".join([*sources, *(manifest[t] for t in _TABLES)]).encode()).hexdigest()
