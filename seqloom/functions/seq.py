@@ -69,26 +69,13 @@ def _encoded(texts: pa.StringArray, k: int, canonical: bool, only: Callable[[np.
         yield of, pos, pa.Array.from_buffers(pa.string(), len(code), [None, pa.py_buffer(places), pa.py_buffer(np.ascontiguousarray(code))])
 
 
-#: Letters of the longest period of a simple repeat.
-PERIOD = 6
-
-
-def simple_repeats(kmers: pa.Array, k: int) -> pa.Array:
-    """Whether each k-mer repeats with a period of up to PERIOD letters: such k-mers meet themselves at very many places."""
-    letters = np.frombuffer(kmers.buffers()[2], dtype=np.uint8).reshape(-1, k)
-    out = np.zeros(len(kmers), dtype=bool)
-    for p in range(1, min(PERIOD + 1, k)):
-        out |= (letters[:, p:] == letters[:, :-p]).all(axis=1)
-    return pa.array(out)
-
-
-def with_kmers(df: DataFrame, keep: list[str], text: str, k: int = KMER, canonical: bool = True, only: Callable[[np.ndarray], np.ndarray] | None = None, simple: bool = False) -> DataFrame:
+def with_kmers(df: DataFrame, keep: list[str], text: str, k: int = KMER, canonical: bool = True, only: Callable[[np.ndarray], np.ndarray] | None = None) -> DataFrame:
     """keep columns, pos (0-based) and kmer: every canonical k-mer of IUPAC letters in `text`, any case.
 
     Not canonical: the k-mers of the given strand only, in the same code.
     Another character ends all k-mers that would hold it. Null texts and texts shorter than k give no row.
     Arrow batches are encoded as arrays, some 0.2 million k-mers at a time, however long a text is. `only` picks, from an
-    array of codes, those to keep, before they become rows. simple: with a column of that name, see simple_repeats.
+    array of codes, those to keep, before they become rows.
     """
     df = df.select(*keep, F.regexp_replace(F.upper(text), f"[^{ALPHABET}]", "-").alias("_t")).filter(F.length("_t") >= k)
 
@@ -99,14 +86,14 @@ def with_kmers(df: DataFrame, keep: list[str], text: str, k: int = KMER, canonic
             for of, pos, kmer in _encoded(batch.column(batch.num_columns - 1), k, canonical, only):
                 rows = pa.array(of)
                 kept = [batch.column(i).take(rows) for i in range(batch.num_columns - 1)]
-                more = [simple_repeats(kmer, k)] if simple else []
-                yield pa.RecordBatch.from_arrays([*kept, pa.array(pos.astype(np.int32)), kmer, *more], [f.name for f in fields])
+                yield pa.RecordBatch.from_arrays([*kept, pa.array(pos.astype(np.int32)), kmer], [f.name for f in fields])
 
     fields = [df.schema[c] for c in keep] + [T.StructField("pos", T.IntegerType()), T.StructField("kmer", T.StringType())]
-    fields += [T.StructField("simple", T.BooleanType())] if simple else []
     return df.mapInArrow(explode, T.StructType(fields))
 
 
+#: Letters of the longest period of a simple repeat: words of one meet themselves at very many places.
+PERIOD = 6
 #: Letters that a k-mer has besides its word: two segments' letters beside a word of k - SPAN letters fit in one number.
 SPAN = 6
 _DIGIT = np.full(256, 16, dtype=np.uint8)

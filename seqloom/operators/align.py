@@ -155,6 +155,12 @@ def _encoded(reads: list[str], refs: list[str], diagonals: np.ndarray, band: int
     return query, target
 
 
+def _through(equal: np.ndarray, anchors: np.ndarray) -> np.ndarray:
+    """The first place from each anchor on whose letters match: a seed may begin with ambiguous letters, which never do."""
+    later = equal & (np.arange(equal.shape[1]) >= np.asarray(anchors)[:, None])
+    return np.where(later.any(axis=1), later.argmax(axis=1), anchors).astype(np.int64)
+
+
 def ungapped(reads: list[str], refs: list[str], diagonals: np.ndarray, anchors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The rows of banded_local for alignments on their own diagonal, and for which pairs they are its rows.
 
@@ -162,7 +168,8 @@ def ungapped(reads: list[str], refs: list[str], diagonals: np.ndarray, anchors:
     reads with one difference or none.
     """
     query, target = _encoded(reads, refs, diagonals, 0)
-    gain = np.where(query == target[:, : query.shape[1]], MATCH, MISMATCH)
+    equal = query == target[:, : query.shape[1]]
+    anchors, gain = _through(equal, anchors), np.where(equal, MATCH, MISMATCH)
     n, length = len(reads), np.array([len(r) for r in reads])
     run, begin = np.zeros(n, dtype=np.int64), np.zeros(n, dtype=np.int64)
     best, first, last = np.zeros(n, dtype=np.int64), np.zeros(n, dtype=np.int64), np.zeros(n, dtype=np.int64)
@@ -176,6 +183,36 @@ def ungapped(reads: list[str], refs: list[str], diagonals: np.ndarray, anchors:
     return rows, best > MATCH * length - GAP_OPEN - GAP_EXTEND
 
 
+def gaps_lose(reads: list[str], refs: list[str], diagonals: np.ndarray, anchors: np.ndarray, scores: np.ndarray, band: int = BAND) -> np.ndarray:
+    """For which pairs every alignment with a gap scores below `scores`, those of ungapped: then its row is banded_local's.
+
+    A gap costs least with one letter. Where no stretch of another diagonal in the band gains as much as that, a path that
+    ends or begins off the anchor's diagonal loses; one that leaves it and comes back pays for a gap more than it has
+    stretches. So the best score with any parts of the diagonal skipped at that price bounds all of them.
+    """
+    query, target = _encoded(reads, refs, diagonals, band)
+    anchors = _through(query == target[:, band : band + query.shape[1]], anchors)
+    n, width, gap = len(reads), 2 * band + 1, GAP_OPEN + GAP_EXTEND
+    run, top = np.zeros((n, width), dtype=np.int32), np.zeros((n, width), dtype=np.int32)
+    gains = np.empty((n, query.shape[1]), dtype=np.int32)
+    for i in range(query.shape[1]):
+        gain = (query[:, i : i + 1] == target[:, i : i + width]) * np.int32(MATCH - MISMATCH) + np.int32(MISMATCH)
+        gains[:, i] = gain[:, band]
+        np.maximum(run, 0, out=run)
+        run += gain
+        np.maximum(top, run, out=top)
+    top[:, band] = 0
+    off = top.max(axis=1)
+    price = 2 * gap - off
+    on, skipped, bound = np.zeros(n, dtype=np.int64), np.full(n, -(1 << 20), dtype=np.int64), np.zeros(n, dtype=np.int64)
+    for i in range(query.shape[1]):
+        on = np.maximum(on, skipped)
+        on = np.where(i <= anchors, np.maximum(on, 0), on) + gains[:, i]
+        bound = np.where(i >= anchors, np.maximum(bound, on), bound)
+        skipped = np.where(i == anchors, on - price, np.maximum(skipped, on - price))
+    return (off < gap) & (bound == scores)
+
+
 def banded_local(reads: list[str], refs: list[str], diagonals: np.ndarray, band: int = BAND, anchors: np.ndarray | None = None) -> np.ndarray:
     """Best local alignments, all pairs at once: a row each of score, read start and end, reference start and end.
 
@@ -193,7 +230,7 @@ def banded_local(reads: list[str], refs: list[str], diagonals: np.ndarray, band:
     f_begin = begin.copy()
     best = np.zeros((n, 3), dtype=np.int64)  # score, end cell, begin
     stay = np.full((n, 1), low, dtype=np.int32)
-    anchor = None if anchors is None else np.asarray(anchors, dtype=np.int64)[:, None]
+    anchor = None if anchors is None else _through(query == target[:, band : band + longest], anchors)[:, None]
     for i in range(longest):
         match = np.where(query[:, i : i + 1] == target[:, i : i + width], MATCH, MISMATCH).astype(np.int32)
         # a gap in the reference: the previous row, one cell to the right
@@ -273,6 +310,8 @@ def align(ends: DataFrame, contigs: DataFrame, min_score: int = MIN_SCORE, seeds
                 reads, refs, diagonals, anchors = list(pdf["sequence"]), list(pdf["ref"]), (pdf["diagonal"] - pdf["base"]).to_numpy().astype(np.int64), pdf["anchor"].to_numpy()
                 a, settled = ungapped(reads, refs, diagonals, anchors)
                 rest = np.flatnonzero(~settled)
+                if len(rest):
+                    rest = rest[~gaps_lose([reads[i] for i in rest], [refs[i] for i in rest], diagonals[rest], anchors[rest], a[rest, 0])]
                 if len(rest):
                     a[rest] = banded_local([reads[i] for i in rest], [refs[i] for i in rest], diagonals[rest], anchors=anchors[rest])
                 size = pdf["sequence"].str.len().to_numpy()

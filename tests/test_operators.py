@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from seqloom.common import bottom_k_per_group
+from seqloom.functions import seq
 from seqloom.operators import adjudicate, align, evidence, gate, grouping, sampling
 
 HITS = "ordinal long, mate int, role string, target_group_ordinal int, alignment_score int, query_length int, query_start int, query_end int, target_start long, target_end long, supplementary boolean"
@@ -248,4 +249,38 @@ def test_ungapped_rows_are_those_of_the_banded_alignment():
     args = reads, refs, np.array(diagonals), np.array(anchors)
     rows, settled = align.ungapped(*args)
     assert settled.mean() > 0.4 and (~settled).any()
-    assert (rows[settled] == align.banded_local(*args[:3], anchors=args[3])[settled]).all()
+    whole = align.banded_local(*args[:3], anchors=args[3])
+    assert (rows[settled] == whole[settled]).all()
+    lose = align.gaps_lose(*args, rows[:, 0])
+    assert lose[~settled].any() and not lose.all()
+    assert (rows[lose] == whole[lose]).all()
+
+
+def test_alignment_begins_after_ambiguous_letters():
+    """A seed's first letters may be ambiguous: they match nothing, and the alignment's range leaves them out."""
+    text = "NR" + xorshift(11, 60)
+    args = [text], [text], np.array([0]), np.array([0])
+    row, _ = align.ungapped(*args)
+    assert row.tolist() == align.banded_local(*args[:3], anchors=args[3]).tolist() == [[120, 2, 62, 2, 62]]
+
+
+def test_segments_hold_every_kmer_once_and_meet_as_kmers_do(spark):
+    """Segments spelled out are the k-mers of the given strand; joined by word they share just the k-mers that are equal, for several k, with ambiguous letters and repeats."""
+    rng = np.random.default_rng(5)
+    core = xorshift(9, 120)
+    texts = [core, core[30:] + "N" + core[:40], core[:50] + "R" + core[51:], "A" * 60, "CACA" * 20 + core[:25], "acgu-" * 9, "", None, "ACG"]
+    texts += ["".join(rng.choice(list("ACGTN"), 70, p=[0.3, 0.3, 0.2, 0.19, 0.01])) for _ in range(5)]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, t string")
+    for k in (2, 7, 21):
+        kmers = seq.with_kmers(df, ["id"], "t", k, canonical=False)
+        segments = seq.with_segments(df, ["id"], "t", k).cache()
+        plain = sorted(map(tuple, kmers.select("id", "pos", "kmer").collect()))
+        assert plain and sorted(map(tuple, seq.segment_kmers(segments, ["id"], k).collect())) == plain
+        before, shared = seq.shared_kmers("beside", "b2", k)
+        other = segments.select("word", segments.id.alias("id2"), segments.pos.alias("pos2"), segments.beside.alias("b2"))
+        met = segments.join(other, "word").select("id", "id2", (F.col("pos") - before).alias("a"), (F.col("pos2") - before).alias("b"), shared.alias("n")).filter("n > 0").collect()
+        got = sorted((r.id, r.id2, r.a + i, r.b + i) for r in met for i in range(r.n))
+        two = kmers.select("kmer", kmers.id.alias("id2"), kmers.pos.alias("pos2"))
+        assert got == sorted(map(tuple, kmers.join(two, "kmer").select("id", "id2", "pos", "pos2").collect()))
+    with pytest.raises(ValueError):
+        seq.with_segments(df, ["id"], "t", 22)
