@@ -131,7 +131,7 @@ def gate_verdict(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def gate_counts(spark: SparkSession, d: str) -> DataFrame:
-    rows = gate.gate_verdicts(_fragments(spark, d), _states(spark, d, False)).join(_fragments(spark, d).select("ordinal", "run_id"), "ordinal")
+    rows = gate.gate_verdicts(_fragments(spark, d), _states(spark, d, True)).join(_fragments(spark, d).select("ordinal", "run_id"), "ordinal")
     return rows.groupBy("run_id", "verdict").agg(F.count(F.lit(1)).alias("fragments"))
 
 
@@ -190,7 +190,7 @@ def _keyed(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _verdicts(spark: SparkSession, d: str) -> DataFrame:
-    return checkpointed(gate_verdict_unmasked(spark, d))
+    return checkpointed(gate_verdict(spark, d))
 
 
 @query
@@ -203,7 +203,7 @@ def screen_sample(spark: SparkSession, d: str) -> DataFrame:
     """Sample, then gate the sample alone."""
     sampled = checkpointed(sampling.bottom_k_by_run(_keyed(spark, d), table(spark, d, "sampling_design")))
     reads = checkpointed(_fragments(spark, d).join(sampled.select("ordinal"), "ordinal", "left_semi"))
-    return sampled.join(gate.gate(reads, gate.panel_kmers(_records(spark, d)), masked=False), "ordinal")
+    return sampled.join(gate.gate(reads, gate.panel_kmers(_records(spark, d))), "ordinal")
 
 
 @query
@@ -319,7 +319,7 @@ def given_evidence(spark: SparkSession, d: str) -> DataFrame:
 
 def _estimates(spark: SparkSession, d: str) -> DataFrame:
     """Estimates of each run from the given hits of its drawn sample alone, with the run's input_mode."""
-    verdicts, keyed, design = checkpointed(gate_verdict(spark, d)), _keyed(spark, d), table(spark, d, "sampling_design")
+    verdicts, keyed, design = _verdicts(spark, d), _keyed(spark, d), table(spark, d, "sampling_design")
     scalars = checkpointed(sampling.design_scalars(design, keyed, verdicts).join(input_census(spark, d).select("run_id", "input_mode"), "run_id", "left"))
     hits = table(spark, d, "hits").join(checkpointed(run.drawn(keyed, design, verdicts)), "ordinal", "left_semi")
     groups = table(spark, d, "reference_groups")

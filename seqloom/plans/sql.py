@@ -135,7 +135,7 @@ from ranked r join ev e on e.run_id = r.run_id and e.group_ordinal = r.group_ord
     "seed_table": f"with {_REC}, {_GROUPS}, {_CONTIGS} select name, pos as at, kmer from {_kmers('name', 'contigs_', False)}",
     "fastq_pairs": f"with {_ONCE} select row_number() over (order by ordinal) - 1 as ordinal, 'fragment-' || ordinal as id, r1, r2 from once where r1 is not null and r2 is not null",
     "ledger_roundtrip": f"with {_REC}, {_GROUPS} select group_ordinal, target_group_id, representative_id, (unnest(generate_series(1, len(ids))) - 1)::int as member_ordinal, unnest(ids) as member_id, representative_length from numbered",
-    "gate_counts": f"{_GATE} select run_id, verdict, count(*) as fragments from verdicts join once using (ordinal) group by 1, 2",
+    "gate_counts": f"{_MASKED_GATE} select run_id, verdict, count(*) as fragments from verdicts join once using (ordinal) group by 1, 2",
     "bloom_held": f"with {_REC}, {_ONCE}, {_ENDS}, {_TK}, {_EK}, {_HITS} select ordinal, count(*) as held from h group by ordinal",
     "aligned_exact": f"""with {_REC}, {_GROUPS}, {_ONCE}, {_ENDS}, {_CONTIGS},
 both_ as (select ordinal, mate, upper(sequence) as s from ends union all select ordinal, mate, {_RC.format('upper(sequence)')} from ends),
@@ -155,10 +155,10 @@ union all select 'target_' || group_ordinal, 'TARGET', group_ordinal, arg_min(se
     "duplicate_ids": f"with {_REC} select source, id, count(*) as records from rec group by 1, 2 having count(*) > 1",
     "input_census": f"with {_ONCE} select run_id, count(*) as fragments, count(r2) as paired, case when count(r2) = 0 then 'SE' when count(r2) = count(*) then 'PE' else 'MIXED' end as input_mode from once group by run_id",
     "bottom_k_sample": f"with {_KEYED} select * from keyed order by key, ordinal limit 2048",
-    "screen_sample": f"{_GATE}, {_KEYED}, {_DESIGN}, {_SCREEN} select ordinal, run_id, id, key, verdict from screen join verdicts using (ordinal)",
-    "full_sample": f"{_GATE}, {_KEYED}, {_DESIGN}, {_FULL} select ordinal, run_id, id, key, 'Pass' as verdict from full_",
-    "mode_containment": f"{_GATE}, {_KEYED}, {_DESIGN}, {_SCREEN}, {_FULL} select s.run_id, count(*) as screen_passed, count(full_.ordinal) as in_full from screen s join verdicts using (ordinal) left join full_ using (ordinal) where verdict = 'Pass' group by s.run_id",
-    "sampling_design": f"""{_GATE}, {_KEYED}, {_SCALARS} select run_id, mode, precision, input_fragments, population, selected, case when population > 0 then selected / population else 0.0::double end as selection_probability,
+    "screen_sample": f"{_MASKED_GATE}, {_KEYED}, {_DESIGN}, {_SCREEN} select ordinal, run_id, id, key, verdict from screen join verdicts using (ordinal)",
+    "full_sample": f"{_MASKED_GATE}, {_KEYED}, {_DESIGN}, {_FULL} select ordinal, run_id, id, key, 'Pass' as verdict from full_",
+    "mode_containment": f"{_MASKED_GATE}, {_KEYED}, {_DESIGN}, {_SCREEN}, {_FULL} select s.run_id, count(*) as screen_passed, count(full_.ordinal) as in_full from screen s join verdicts using (ordinal) left join full_ using (ordinal) where verdict = 'Pass' group by s.run_id",
+    "sampling_design": f"""{_MASKED_GATE}, {_KEYED}, {_SCALARS} select run_id, mode, precision, input_fragments, population, selected, case when population > 0 then selected / population else 0.0::double end as selection_probability,
 case when selected > 0 then selected * delta * input_fragments / population end as expected_support from scalars""",
     "usable_hits": f"with {_USABLE} select ordinal, mate, role, target_group_ordinal, alignment_score, query_length, supplementary, ratio from u",
     "best_hits": f"with {_USABLE}, {_BEST} select * from b",
@@ -181,7 +181,7 @@ from ev left join reference_groups using (group_ordinal)""",
     "given_evidence": """select group_ordinal, count(distinct run_id) as runs, coalesce(sum(supporting_selected_fragments), 0)::bigint as supporting_selected_fragments, coalesce(sum(host_confounded_fragments), 0)::bigint as host_confounded_fragments,
 coalesce(sum(cross_group_ambiguous_fragments), 0)::bigint as cross_group_ambiguous_fragments, coalesce(sum(split_events), 0)::bigint as split_events, coalesce(sum(discordant_fragments), 0)::bigint as discordant_fragments
 from (select distinct * from group_evidence) group by group_ordinal""",
-    "abundance_score": f"""{_GATE}, {_KEYED}, {_SCALARS}, {_ALL}, {_RANKED}, p as (select r.run_id, group_ordinal, case when selected > 0 and input_fragments > 0 then {_FRACTION} end as fraction, input_fragments, delta from ranked r join scalars using (run_id))
+    "abundance_score": f"""{_MASKED_GATE}, {_KEYED}, {_SCALARS}, {_ALL}, {_RANKED}, p as (select r.run_id, group_ordinal, case when selected > 0 and input_fragments > 0 then {_FRACTION} end as fraction, input_fragments, delta from ranked r join scalars using (run_id))
 select run_id, group_ordinal, fraction, fraction * input_fragments as estimated_fragments, (fraction - delta) / (fraction + delta) as sampling_target_score from p""",
     "ranked_report_numeric": f"with {_ALL}, {_RANKED} select * from ranked",
     "top_rows": f"with {_ALL}, {_RANKED} select run_id, support_rank, group_ordinal from ranked where support_rank <= {TOP_ROWS}",
