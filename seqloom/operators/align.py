@@ -300,7 +300,10 @@ def align(ends: DataFrame, contigs: DataFrame, min_score: int = MIN_SCORE, seeds
     stride = max(TILE, reach)
     start = F.greatest(F.col("diagonal") - BAND, F.lit(0))
     places = band_chains(ends, contigs, seeds=seeds).withColumn("base", start).withColumn("tile", F.floor(F.col("base") / stride))
-    rows = places.join(both_strands(ends), "end").join(contig_tiles(contigs, reach, stride), ["cid", "tile"])
+    # each end is shuffled once as read, and turned where its chain is on the other strand
+    whole = ends.select((F.shiftleft(F.col("ordinal").cast("long"), 1) + F.col("mate") - 1).alias("whole"), F.upper("sequence").alias("sequence"))
+    turned = F.when(F.col("end").bitwiseAND(F.lit(1)) == 1, reverse_complement("sequence")).otherwise(F.col("sequence"))
+    rows = places.withColumn("whole", F.shiftright("end", 1)).join(whole, "whole").drop("whole").withColumn("sequence", turned).join(contig_tiles(contigs, reach, stride), ["cid", "tile"])
     rows = rows.withColumn("ref", F.substring("ref", (F.col("base") - F.col("tile") * stride + 1).cast("int"), F.length("sequence") + 2 * BAND + 1))
 
     def extend(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
