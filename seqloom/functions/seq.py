@@ -210,6 +210,78 @@ def shared_kmers(a: Column | str, b: Column | str, k: int = KMER) -> tuple[Colum
     return common(0), common(0) + common(1) - (_span(k) - 1)
 
 
+def _squeezed(x: np.ndarray) -> np.ndarray:
+    """The two low bits of each of sixteen four-bit digits, side by side."""
+    for shift, mask in ((2, 0x0F0F0F0F0F0F0F0F), (4, 0x00FF00FF00FF00FF), (8, 0x0000FFFF0000FFFF), (16, 0x00000000FFFFFFFF)):
+        x = (x | (x >> np.uint64(shift))) & np.uint64(mask)
+    return x
+
+
+_NOT_PLAIN = np.uint64(0xCCCCCCCCCCCCCCCC)
+
+
+def narrow(word: np.ndarray, beside: np.ndarray, k: int = KMER) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Segments (see with_segments) as rows of two numbers, a and b, and the segment of each row.
+
+    The k-mers of A, C, G and T alone are in a, with b = 0. A segment with another letter has a row for all its k-mers
+    besides, the word as a negative number and beside: a k-mer with such a letter only equals others with it.
+    """
+    span, word, beside = np.uint64(_span(k)), word.view(np.uint64), beside.view(np.uint64)
+    letters = beside & np.uint64((1 << (8 * SPAN)) - 1)
+    before, after = (beside >> np.uint64(8 * SPAN)) & np.uint64(15), beside >> np.uint64(8 * SPAN + 4)
+    odd = np.flatnonzero((word | letters) & _NOT_PLAIN)
+    cut = letters[odd]
+    for j in range(SPAN - 1, -1, -1):  # of these, the letters up to the first odd one to either side are left
+        for side, low in ((before, 4 * j), (after, 4 * (SPAN + j))):
+            there = odd[(cut >> np.uint64(low)) & np.uint64(12) != 0]
+            side[there] = np.minimum(side[there], np.uint64(j))
+    for j in range(SPAN):
+        for side, low in ((before, 4 * j), (after, 4 * (SPAN + j))):
+            there = odd[side[odd] <= j]
+            letters[there] &= ~np.uint64(15 << low)
+    plain = np.flatnonzero((word & _NOT_PLAIN == 0) & (before + after >= span))
+    code = (_squeezed(word[plain]) << np.uint64(30)) | (_squeezed(letters[plain]) << np.uint64(6)) | (before[plain] << np.uint64(3)) | after[plain]
+    a = np.concatenate([code.view(np.int64), ~word[odd].view(np.int64)])
+    return np.concatenate([plain, odd]), a, np.concatenate([np.zeros(len(plain), dtype=np.int64), beside[odd].view(np.int64)])
+
+
+def with_narrow_segments(df: DataFrame, keep: list[str], text: str, k: int = KMER, only: Callable[[np.ndarray], np.ndarray] | None = None) -> DataFrame:
+    """keep columns, pos, a and b: the rows of with_segments as narrow() has them; equal k-mers are in rows of one narrow_word, see narrow_shared."""
+    df = df.select(*keep, F.regexp_replace(F.upper(text), f"[^{ALPHABET}]", "-").alias("_t")).filter(F.length("_t") >= k)
+
+    def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            for of, pos, word, beside, _ in _segments(batch.column(batch.num_columns - 1), k, only):
+                at, a, b = narrow(word, beside, k)
+                rows = pa.array(of[at])
+                kept = [batch.column(i).take(rows) for i in range(batch.num_columns - 1)]
+                yield pa.RecordBatch.from_arrays([*kept, pa.array(pos[at].astype(np.int32)), pa.array(a), pa.array(b)], [f.name for f in fields])
+
+    _span(k)
+    fields = [df.schema[c] for c in keep] + [T.StructField("pos", T.IntegerType()), T.StructField("a", T.LongType()), T.StructField("b", T.LongType())]
+    return df.mapInArrow(explode, T.StructType(fields))
+
+
+def narrow_word(a: Column | str) -> Column:
+    """What rows of narrow segments must have in common to share a k-mer."""
+    return F.when(_col(a) >= 0, F.shiftright(a, 30)).otherwise(_col(a))
+
+
+def narrow_shared(a1: str, b1: str, a2: str, b2: str, k: int = KMER) -> tuple[Column, Column]:
+    """shared_kmers of two rows of narrow segments (columns a and b of each) with one narrow_word."""
+    other = F.col(a1).bitwiseXOR(F.col(a2))
+
+    def common(i: int) -> Column:
+        x = _part(other, 6 + 2 * SPAN * i, 2 * SPAN)
+        equal = F.shiftright(F.bit_count(x.bitwiseAND(-x) - 1), 1)
+        return F.least(equal, *[_part(F.col(s), 3 - 3 * i, 3).cast("int") for s in (a1, a2)])
+
+    plain = (common(0), common(0) + common(1) - (_span(k) - 1))
+    return tuple(F.when(F.col(a1) >= 0, x).otherwise(y) for x, y in zip(plain, shared_kmers(b1, b2, k), strict=True))
+
+
 def segment_kmers(df: DataFrame, keep: list[str], k: int = KMER) -> DataFrame:
     """keep columns, pos and kmer: the k-mers of the rows of with_segments, as with_kmers has them for the given strand."""
     before, after = _part(F.col("beside"), 8 * SPAN, 4).cast("int"), _part(F.col("beside"), 8 * SPAN + 4, 4).cast("int")

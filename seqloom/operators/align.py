@@ -32,13 +32,6 @@ def _unpacked_end() -> list[Column]:
     return [F.shiftright("end", 2).alias("ordinal"), mate.alias("mate"), strand.alias("strand")]
 
 
-def both_strands(ends: DataFrame) -> DataFrame:
-    """(end, sequence): ends (ordinal, mate 1 or 2, sequence) as read and reverse-complemented, upper-case. Ordinals are below 2**61."""
-    up = F.upper("sequence")
-    end = F.shiftleft(F.col("ordinal").cast("long"), 2).bitwiseOR((F.col("mate").cast("long") - 1) * 2)
-    return ends.select(F.inline(F.array(F.struct(end.alias("end"), up.alias("sequence")), F.struct((end + 1).alias("end"), reverse_complement(up).alias("sequence")))))
-
-
 def contig_id(name: Column | str = "name") -> Column:
     """A contig's number in the rows of seeds: a digest of its name, distinct for the contigs of one reference (see numbered)."""
     return F.xxhash64(name)
@@ -82,7 +75,7 @@ def _seeds(ends: DataFrame, contigs: DataFrame, k: int, refs: DataFrame | None =
     """
     refs = contig_segments(contigs, k) if refs is None else refs
     only = _prefilter(contigs, refs, k)
-    reads = with_segments(both_strands(ends), ["end"], "sequence", k, only=only)
+    reads = with_segments(gate.both_strands(ends), ["end"], "sequence", k, only=only)
     refs = refs.select("cid", "at", "word", F.col("beside").alias("ref_beside"), F.when(F.col("simple"), F.pmod(F.hash("cid", "at"), F.lit(PARTS))).otherwise(0).alias("part"))
     parts = F.when(F.col("simple"), F.array(*map(F.lit, range(PARTS)))).otherwise(F.array(F.lit(0)))
     reads = reads.select("end", "pos", "word", "beside", F.explode(parts).alias("part"))

@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+import uuid
+import zlib
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from seqloom.common import checkpointed, spread
+from seqloom.common import checkpointed, materialized, spread
 from seqloom.constants import ALPHABET, KMER, MIN_COVERED, MIN_HITS
 from seqloom.functions.dust import dust_udf
-from seqloom.functions.seq import with_kmers
+from seqloom.functions.seq import narrow_shared, narrow_word, reverse_complement, with_kmers, with_narrow_segments, with_segments
 
 
 def target_kmers(records: DataFrame, k: int = KMER) -> DataFrame:
@@ -49,40 +52,103 @@ def read_ends(fragments: DataFrame) -> DataFrame:
     return fragments.select("ordinal", F.inline(ends)).filter("sequence is not null")
 
 
+def both_strands(ends: DataFrame) -> DataFrame:
+    """(end, sequence): ends (ordinal, mate 1 or 2, sequence) as read and reverse-complemented, upper-case. Ordinals are below 2**61."""
+    up = F.upper("sequence")
+    end = F.shiftleft(F.col("ordinal").cast("long"), 2).bitwiseOR((F.col("mate").cast("long") - 1) * 2)
+    return ends.select(F.inline(F.array(F.struct(end.alias("end"), up.alias("sequence")), F.struct((end + 1).alias("end"), reverse_complement(up).alias("sequence")))))
+
+
+def hit_runs(ends: DataFrame, records: DataFrame, k: int = KMER) -> DataFrame:
+    """(ordinal, mate, runs): for each end with k-mers of the panel's records, the sorted runs of their places (see _run).
+
+    Reads of both strands and the panel meet by the words of their segments, one row for some four k-mers, and what else
+    they share is in the numbers beside the words. Segments whose word a Bloom filter of the panel rules out are dropped
+    in the task that makes them.
+    """
+    records = records.filter("not is_host").select("sequence")
+    letters = records.agg(F.coalesce(F.sum(F.length("sequence").cast("long")), F.lit(0))).first()[0]
+    records = spread(records, "sequence")
+    # there is a word in some four letters; more words make the filter let more through, never less
+    only = bloom_test(with_segments(records, [], "sequence", k).select(F.col("word").alias("kmer")), letters // 4, hashes=2)
+    oriented = both_strands(ends).withColumn("letters", F.length("sequence"))
+    reads = with_narrow_segments(oriented, ["end", "letters"], "sequence", k, only=only)
+    # a strand's places are counted from the end's beginning: of the reverse strand, base + before is the last k-mer's place
+    base = F.when(F.col("end").bitwiseAND(F.lit(1)) == 1, F.col("letters") - k - F.col("pos")).otherwise(F.col("pos"))
+    reads = reads.select("end", base.alias("base"), "a", "b")
+    before, shared = narrow_shared("a", "b", "pa", "pb", k)
+    panel = with_narrow_segments(records, [], "sequence", k).select(F.col("a").alias("pa"), F.col("b").alias("pb"))
+    met = reads.join(panel.hint("merge"), narrow_word("a") == narrow_word("pa")).select("end", "base", before.alias("before"), shared.alias("n")).filter("n > 0")
+    first = F.when(F.col("end").bitwiseAND(F.lit(1)) == 1, F.col("base") + F.col("before") - F.col("n") + 1).otherwise(F.col("base") - F.col("before"))
+    runs = met.select(F.shiftright("end", 1).alias("end"), _run(first, F.col("n")).alias("run")).groupBy("end").agg(F.array_sort(F.collect_set("run")).alias("runs"))
+    return runs.select(F.shiftright("end", 1).alias("ordinal"), (F.col("end").bitwiseAND(F.lit(1)) + 1).cast("int").alias("mate"), "runs")
+
+
+def _run(first: Column, n: Column) -> Column:
+    """A run of n (up to 7) places from first on, as one number; in their order runs are sorted by their first place."""
+    return F.shiftleft(first.cast("long"), 3).bitwiseOR(n.cast("long"))
+
+
+def _first(run: Column) -> Column:
+    return F.shiftright(run, 3)
+
+
+def _after(run: Column) -> Column:
+    return F.shiftright(run, 3) + run.bitwiseAND(F.lit(7))
+
+
+def _union(runs: str, more: int = 0) -> Column:
+    """How many places lie in the sorted runs, each prolonged by `more`."""
+    start = F.struct(F.lit(0).cast("long").alias("end"), F.lit(0).cast("long").alias("sum"))
+
+    def add(acc: Column, run: Column) -> Column:
+        after = _after(run) + more
+        return F.struct(F.greatest(acc.end, after).alias("end"), (acc.sum + F.greatest(F.lit(0).cast("long"), after - F.greatest(acc.end, _first(run)))).alias("sum"))
+
+    return F.aggregate(runs, start, add, lambda acc: acc.sum)
+
+
+def _places(runs: str) -> Column:
+    """The distinct places of runs."""
+    return F.array_distinct(F.flatten(F.transform(runs, lambda r: F.sequence(_first(r), _after(r) - 1)))).cast("array<int>")
+
+
 def kmer_hits(ends: DataFrame, kmers: DataFrame, k: int = KMER, words: DataFrame | None = None) -> DataFrame:
-    """(ordinal, mate, pos): places of the ends' k-mers that are in the panel (left semi-join).
+    """(ordinal, mate, pos): places of the ends' k-mers that are in the panel (left semi-join); kmers: the panel's records, or a table of its k-mers.
 
-    The Bloom filter of the panel drops most k-mers of the reads inside the task that makes them, so that about the true
+    Records are searched by hit_runs. Of a table, the Bloom filter drops most k-mers of the reads inside the task that makes them, so that about the true
     hits are shuffled to the exact join. Each panel k-mer is one row there, so no read k-mer multiplies; one that very
     many reads hold makes a skewed partition of the reads' side, which adaptive execution splits. words: the filter of
     kmers, where an index has it stored; kmers must be a table then.
     """
-    kmers = checkpointed(kmers.select("kmer")) if words is None else kmers.select("kmer")
+    if "kmer" not in kmers.columns:
+        return hit_runs(ends, kmers, k).select("ordinal", "mate", F.explode(_places("runs")).alias("pos"))
+    kmers = materialized(kmers.select("kmer")) if words is None else kmers.select("kmer")
     reads = with_kmers(ends, ["ordinal", "mate"], "sequence", k, only=bloom_test(kmers, words=words))
     return reads.join(kmers, "kmer", "left_semi").select("ordinal", "mate", "pos")
 
 
 def gate_states(ends: DataFrame, hits: DataFrame, masked: bool, k: int = KMER) -> DataFrame:
-    """(ordinal, mate, hits, covered, present, evaluable, chain_ok) of every end.
+    """(ordinal, mate, hits, covered, present, evaluable, chain_ok) of every end; hits: kmer_hits or hit_runs.
 
     hits counts all places, masked ones too; covered is the union length of their windows; present and evaluable look
     at unmasked places only. Without a mask every valid k-mer is unmasked.
     """
-    before = F.lag("pos").over(Window.partitionBy("ordinal", "mate").orderBy("pos"))
-    rows = hits.withColumn("new", F.least(F.lit(k), F.coalesce(F.col("pos") - before, F.lit(k))))
+    if "runs" not in hits.columns:
+        hits = hits.groupBy("ordinal", "mate").agg(F.array_sort(F.collect_set(_run(F.col("pos"), F.lit(1)))).alias("runs"))
     # an end is evaluable if it has a k-mer of IUPAC letters; only masked ends need a look at each of them
     has_kmer = F.upper("sequence").rlike(f"[{ALPHABET}]{{{k}}}")
     whole = ends.select("ordinal", "mate", has_kmer.alias("evaluable"))
+    present = F.lit(True)
     if masked:
         masks = checkpointed(ends.filter(has_kmer).select("ordinal", "mate", "sequence", dust_udf("sequence").alias("mask")).filter(F.size("mask") > 0))
-        inside = F.coalesce(F.exists("mask", lambda m: (m.start <= F.col("pos")) & (F.col("pos") < m.end)), F.lit(False))
-        rows = rows.join(masks.drop("sequence"), ["ordinal", "mate"], "left").withColumn("open", ~inside)
-        open_ = with_kmers(masks, ["ordinal", "mate", "mask"], "sequence", k).filter(~inside).groupBy("ordinal", "mate").agg(F.lit(True).alias("open_kmer"))
+        inside = lambda pos: F.coalesce(F.exists("mask", lambda m: (m.start <= pos) & (pos < m.end)), F.lit(False))
+        hits = hits.join(masks.drop("sequence"), ["ordinal", "mate"], "left")
+        present = F.col("mask").isNull() | F.exists(_places("runs"), lambda pos: ~inside(pos))
+        open_ = with_kmers(masks, ["ordinal", "mate", "mask"], "sequence", k).filter(~inside(F.col("pos"))).groupBy("ordinal", "mate").agg(F.lit(True).alias("open_kmer"))
         seen = masks.select("ordinal", "mate", F.lit(True).alias("masked")).join(open_, ["ordinal", "mate"], "left")
         whole = whole.join(seen, ["ordinal", "mate"], "left").select("ordinal", "mate", F.when(F.col("masked"), F.coalesce("open_kmer", F.lit(False))).otherwise(F.col("evaluable")).alias("evaluable"))
-    else:
-        rows = rows.withColumn("open", F.lit(True))
-    per = rows.groupBy("ordinal", "mate").agg(F.count(F.lit(1)).alias("hits"), F.sum("new").alias("covered"), F.bool_or("open").alias("present"))
+    per = hits.select("ordinal", "mate", _union("runs").alias("hits"), _union("runs", k - 1).alias("covered"), present.alias("present"))
     out = whole.join(per, ["ordinal", "mate"], "left")
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
     no = lambda c: F.coalesce(c, F.lit(False)).alias(c)
@@ -98,9 +164,10 @@ def gate_verdicts(fragments: DataFrame, states: DataFrame) -> DataFrame:
 
 
 def gate(fragments: DataFrame, kmers: DataFrame, masked: bool = True, words: DataFrame | None = None) -> DataFrame:
-    """Verdicts of fragments (ordinal, r1, r2) against the panel's k-mers; words as in kmer_hits."""
+    """Verdicts of fragments (ordinal, r1, r2) against the panel's k-mers; kmers and words as in kmer_hits."""
     ends = read_ends(fragments)
-    return gate_verdicts(fragments, gate_states(ends, kmer_hits(ends, kmers, words=words), masked))
+    hits = kmer_hits(ends, kmers, words=words) if "kmer" in kmers.columns else hit_runs(ends, kmers)
+    return gate_verdicts(fragments, gate_states(ends, hits, masked))
 
 
 # ---- the probabilistic filter, for a bounded first look
@@ -128,26 +195,82 @@ def bloom_places(codes: np.ndarray, bits: int, hashes: int = HASHES) -> np.ndarr
     return (h[:, None] + np.arange(hashes, dtype=np.uint64)[None, :] * h2[:, None]) & np.uint64(bits - 1)
 
 
+def _word_values(codes: pa.Array, bits: int, hashes: int) -> tuple[np.ndarray, np.ndarray]:
+    """The words of the filter that the codes touch, and their bits in them."""
+    if pa.types.is_integer(codes.type):
+        raw = codes.to_numpy()
+    else:
+        ends = np.frombuffer(codes.buffers()[1], dtype=np.int32)[codes.offset : codes.offset + len(codes) + 1]
+        raw = np.frombuffer(codes.buffers()[2], dtype=np.uint8)[ends[0] : ends[-1]].reshape(len(codes), -1)  # all of one length
+    p = np.unique(bloom_places(raw, bits, hashes).ravel())
+    word, first = np.unique(p >> np.uint64(6), return_index=True)
+    return word.astype(np.int64), np.bitwise_or.reduceat(np.uint64(1) << (p & np.uint64(63)), first).view(np.int64)
+
+
 def bloom_words(kmers: DataFrame, bits: int, hashes: int = HASHES) -> DataFrame:
     """(word, value): the non-zero 64-bit words of the filter of kmers (kmer), or-ed together by aggregation."""
 
     def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
-                codes = b.column(0)
-                if pa.types.is_integer(codes.type):
-                    raw = codes.to_numpy()
-                else:
-                    ends = np.frombuffer(codes.buffers()[1], dtype=np.int32)[codes.offset : codes.offset + len(codes) + 1]
-                    raw = np.frombuffer(codes.buffers()[2], dtype=np.uint8)[ends[0] : ends[-1]].reshape(len(codes), -1)  # all of one length
-                p = np.unique(bloom_places(raw, bits, hashes).ravel())
-                word, first = np.unique(p >> np.uint64(6), return_index=True)
-                value = np.bitwise_or.reduceat(np.uint64(1) << (p & np.uint64(63)), first)
-                yield pa.RecordBatch.from_arrays([pa.array(word.astype(np.int64)), pa.array(value.view(np.int64))], ["word", "value"])
+                yield pa.RecordBatch.from_arrays(list(map(pa.array, _word_values(b.column(0), bits, hashes))), ["word", "value"])
 
     return kmers.select("kmer").mapInArrow(places, "word long, value long").groupBy("word").agg(F.bit_or("value").alias("value"))
 
 
+#: 64-bit words of a block of the filter.
+BLOCK = 1 << 15
+_BLOCK_ROWS = "block int, data binary"
+
+
+def _packed(pieces: Iterable[tuple[int, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+    """A batch a block that isn't empty, its words compressed."""
+    for n, piece in pieces:
+        if piece.any():
+            yield pa.RecordBatch.from_arrays([pa.array([n], pa.int32()), pa.array([zlib.compress(piece.tobytes(), 1)], pa.binary())], ["block", "data"])
+
+
+def filter_blocks(kmers: DataFrame, bits: int, hashes: int = HASHES) -> DataFrame:
+    """(block, data): the filter of kmers (kmer) in compressed blocks of BLOCK words, each once; kmers may repeat.
+
+    A task sets its k-mers' bits in a filter of its own, so that it sends each block once, however many k-mers it has,
+    and no word travels as a row.
+    """
+
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = np.zeros(bits // 64, dtype=np.int64)
+        for b in batches:
+            if b.num_rows:
+                word, value = _word_values(b.column(0), bits, hashes)
+                own[word] |= value
+        yield from _packed((n, own[n * BLOCK :][:BLOCK]) for n in range(-(-len(own) // BLOCK)))
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own: dict[int, np.ndarray] = {}
+        for b in batches:
+            for n, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                piece = np.frombuffer(zlib.decompress(data), dtype=np.int64)
+                own[n] = own[n] | piece if n in own else piece
+        yield from _packed(own.items())
+
+    return kmers.select("kmer").mapInArrow(build, _BLOCK_ROWS).repartition("block").mapInArrow(merge, _BLOCK_ROWS)
+
+
+def stored_blocks(words: DataFrame) -> DataFrame:
+    """(block, data) of stored words (word, value), as filter_blocks has them; the last block may be longer than the filter."""
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own: dict[int, np.ndarray] = {}
+        for b in batches:
+            word, value = b.column(0).to_numpy(), b.column(1).to_numpy()
+            for n in np.unique(word // BLOCK).tolist():
+                here = word // BLOCK == n
+                own.setdefault(n, np.zeros(BLOCK, dtype=np.int64))[word[here] % BLOCK] |= value[here]
+        yield from _packed(own.items())
+
+    return words.repartition(F.expr(f"word div {BLOCK}")).select("word", "value").mapInArrow(gather, _BLOCK_ROWS)
+
+
 def bloom_summary(kmers: DataFrame, words: DataFrame | None = None) -> DataFrame:
     """(inserted, bits, hashes, fill, false_positive_rate) of the filter of kmers; words: its words, if they are stored."""
     n = kmers.count()
@@ -157,24 +280,39 @@ def bloom_summary(kmers: DataFrame, words: DataFrame | None = None) -> DataFrame
     return rows.select(F.lit(n).cast("long").alias("inserted"), F.lit(bits).cast("long").alias("bits"), F.lit(HASHES).alias("hashes"), "fill", F.pow("fill", F.lit(float(HASHES))).alias("false_positive_rate"))
 
 
+#: Filters that this process has inflated, the last ones.
+_INFLATED: dict[str, np.ndarray] = {}
+
+
+def _inflated(name: str, held: Broadcast, bits: int) -> np.ndarray:
+    """The words of a filter that was broadcast in compressed blocks; inflated once in each worker process, never on the driver."""
+    if name not in _INFLATED:
+        while len(_INFLATED) > 1:
+            _INFLATED.pop(next(iter(_INFLATED)))
+        filled = np.zeros(bits // 64, dtype=np.int64)
+        for n, data in held.value:
+            here = filled[n * BLOCK :][:BLOCK]
+            here[:] = np.frombuffer(zlib.decompress(data), dtype=np.int64)[: len(here)]
+        _INFLATED[name] = filled
+    return _INFLATED[name]
+
+
 def bloom_test(kmers: DataFrame, count: int | None = None, words: DataFrame | None = None, hashes: int = HASHES) -> Callable[[np.ndarray], np.ndarray]:
     """Whether each of an array of codes may be in kmers (all of one length): no true one is missed.
 
     count: the number of kmers or more, where it is known; else they are counted. words: bloom_words of kmers, of as many
     bits as their number asks for, where they are stored. Fewer hashes are cheaper to make and let some more through.
 
-    The broadcast filter is at most 32 MB. A panel of so many k-mers that this many bits fill up lets more through,
+    The filter is at most 32 MB. It passes the driver in compressed blocks, one partition of them at a time. A panel of so many k-mers that this many bits fill up lets more through,
     never less. An empty panel lets nothing through.
     """
     bits = bloom_bits(kmers.count() if count is None else count)
-    filled = np.zeros(bits // 64, dtype=np.int64)
-    found = (bloom_words(kmers, bits, hashes) if words is None else words).toArrow()
-    filled[found.column("word").to_numpy()] = found.column("value").to_numpy()
-    held = kmers.sparkSession.sparkContext.broadcast(filled)
+    found = filter_blocks(kmers, bits, hashes) if words is None else stored_blocks(words)
+    held, name = kmers.sparkSession.sparkContext.broadcast([(r.block, bytes(r.data)) for r in found.toLocalIterator()]), uuid.uuid4().hex
 
     def test(codes: np.ndarray) -> np.ndarray:
         p = bloom_places(codes, bits, hashes)
-        w = held.value.view(np.uint64)[(p >> np.uint64(6)).astype(np.int64)]
+        w = _inflated(name, held, bits).view(np.uint64)[(p >> np.uint64(6)).astype(np.int64)]
         return ((w >> (p & np.uint64(63))) & np.uint64(1)).all(axis=1)
 
     return test

@@ -62,7 +62,7 @@ def target_kmer_set(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def kmer_semi_join(spark: SparkSession, d: str) -> DataFrame:
-    return gate.kmer_hits(gate.read_ends(_fragments(spark, d)), gate.panel_kmers(_records(spark, d)))
+    return gate.kmer_hits(gate.read_ends(_fragments(spark, d)), _records(spark, d))
 
 
 @query

@@ -1,6 +1,7 @@
 """Operators against small known answers and plain Python."""
 
 import random
+import zlib
 
 import numpy as np
 import pytest
@@ -284,3 +285,44 @@ def test_segments_hold_every_kmer_once_and_meet_as_kmers_do(spark):
         assert got == sorted(map(tuple, kmers.join(two, "kmer").select("id", "id2", "pos", "pos2").collect()))
     with pytest.raises(ValueError):
         seq.with_segments(df, ["id"], "t", 22)
+
+
+def test_filter_comes_in_blocks_of_each_task_once(spark):
+    """The driver is sent compressed blocks, never a row a word; they hold the bits of bloom_words, of stored words too."""
+    rng = random.Random(5)
+    panel = spark.createDataFrame([("".join(rng.choice("0123") for _ in range(21)),) for _ in range(3000)], "kmer string").repartition(3)
+    for bits in (1 << 16, 1 << 24):
+        words = gate.bloom_words(panel, bits)
+        want = {r.word: r.value for r in words.collect()}
+        for blocks in (gate.filter_blocks(panel.union(panel), bits), gate.stored_blocks(words)):
+            rows = blocks.collect()
+            got = {r.block * gate.BLOCK + i: v for r in rows for i, v in enumerate(np.frombuffer(zlib.decompress(r.data), dtype=np.int64).tolist()) if v}
+            assert got == want and len({r.block for r in rows}) == len(rows) <= -(-bits // 64 // gate.BLOCK)
+    assert gate.bloom_test(panel, words=gate.bloom_words(panel, gate.bloom_bits(3000)))(np.array([r.kmer for r in panel.collect()], dtype="S21")).all()
+
+
+def test_panel_segments_gate_as_kmers_do(spark):
+    """Both strands, repeats, letters beside A, C, G and T in and beside the words, ends of reads: the same places and states as by k-mers."""
+    rng = random.Random(11)
+    genome = ["".join(rng.choice("ACGT" if i % 3 else "ACGTNRYSWKM") for _ in range(300)) for i in range(6)] + ["A" * 60, "ACAC" * 20, "N" * 50, "AAAAAAAAAACTGCATGC" * 5]
+    # a record with a repeat, and with a rare letter beside words that another has without it
+    genome.append(genome[1][:150] + "N" + genome[1][100:150])
+    records = spark.createDataFrame([(i, t, i == 5) for i, t in enumerate(genome)], "rec_ordinal long, sequence string, is_host boolean")
+    flip = str.maketrans("ACGTMRWSYKVHDBN", "TGCAKYWSRMBDHVN")
+    texts = []
+    for _ in range(300):
+        t = rng.choice(genome)
+        at = rng.randrange(max(1, len(t) - 40))
+        t = list(t[at : at + rng.randrange(15, 90)])
+        for _ in range(rng.randrange(3)):
+            t[rng.randrange(len(t))] = rng.choice("ACGTNRXx-")
+        t = "".join(t)
+        texts.append(t.lower() if rng.random() < 0.2 else t[::-1].translate(flip) if rng.random() < 0.5 else t)
+    ends = spark.createDataFrame([(i // 2, i % 2 + 1, t) for i, t in enumerate(texts)], "ordinal long, mate int, sequence string")
+    kmers = gate.target_kmers(records)
+    want = sorted(map(tuple, gate.kmer_hits(ends, kmers).collect()))
+    assert len(want) > 2000 and sorted(map(tuple, gate.kmer_hits(ends, records).collect())) == want
+    assert gate.kmer_hits(ends, records.filter("false")).count() == 0
+    for masked in (False, True):
+        a, b = (sorted(map(tuple, gate.gate_states(ends, h, masked).collect())) for h in (gate.kmer_hits(ends, kmers), gate.hit_runs(ends, records)))
+        assert len(a) == 300 and a == b
