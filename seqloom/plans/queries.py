@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqloom.common import checkpointed, ensure_checkpoint_dir, spread, table
+from seqloom.common import checkpointed, ensure_checkpoint_dir, materialized, spread, table
 from seqloom.constants import MATCH, MIN_COVERED, TOP_ROWS
 from seqloom.functions import seq
 from seqloom.functions.dust import dust_udf
@@ -109,9 +109,14 @@ def dust_intervals(spark: SparkSession, d: str) -> DataFrame:
     return gate.read_ends(_fragments(spark, d)).select("ordinal", "mate", F.inline(dust_udf("sequence")))
 
 
-def _states(spark: SparkSession, d: str, masked: bool) -> DataFrame:
-    ends = gate.read_ends(_fragments(spark, d))
-    return gate.gate_states(ends, gate.kmer_hits(ends, gate.panel_kmers(_records(spark, d))), masked)
+def _states(spark: SparkSession, d: str, masked: bool, fragments: DataFrame | None = None) -> DataFrame:
+    ends = gate.read_ends(materialized(_fragments(spark, d)) if fragments is None else fragments)
+    return gate.gate_states(ends, gate.hit_runs(ends, _records(spark, d)), masked)
+
+
+def _gated(spark: SparkSession, d: str, masked: bool, fragments: DataFrame | None = None) -> DataFrame:
+    fragments = materialized(_fragments(spark, d)) if fragments is None else fragments
+    return gate.gate_verdicts(fragments, _states(spark, d, masked, fragments))
 
 
 @query
@@ -121,17 +126,18 @@ def gate_state_unmasked(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def gate_verdict_unmasked(spark: SparkSession, d: str) -> DataFrame:
-    return gate.gate_verdicts(_fragments(spark, d), _states(spark, d, False))
+    return _gated(spark, d, False)
 
 
 @query
 def gate_verdict(spark: SparkSession, d: str) -> DataFrame:
-    return gate.gate_verdicts(_fragments(spark, d), _states(spark, d, True))
+    return _gated(spark, d, True)
 
 
 @query
 def gate_counts(spark: SparkSession, d: str) -> DataFrame:
-    rows = gate.gate_verdicts(_fragments(spark, d), _states(spark, d, True)).join(_fragments(spark, d).select("ordinal", "run_id"), "ordinal")
+    fragments = materialized(_fragments(spark, d))
+    rows = _gated(spark, d, True, fragments).join(fragments.select("ordinal", "run_id"), "ordinal")
     return rows.groupBy("run_id", "verdict").agg(F.count(F.lit(1)).alias("fragments"))
 
 
