@@ -280,15 +280,14 @@ def bloom_summary(kmers: DataFrame, words: DataFrame | None = None) -> DataFrame
     return rows.select(F.lit(n).cast("long").alias("inserted"), F.lit(bits).cast("long").alias("bits"), F.lit(HASHES).alias("hashes"), "fill", F.pow("fill", F.lit(float(HASHES))).alias("false_positive_rate"))
 
 
-#: Filters that this process has inflated, the last ones.
+#: The filter that this process has inflated last, by its name.
 _INFLATED: dict[str, np.ndarray] = {}
 
 
 def _inflated(name: str, held: Broadcast, bits: int) -> np.ndarray:
     """The words of a filter that was broadcast in compressed blocks; inflated once in each worker process, never on the driver."""
     if name not in _INFLATED:
-        while len(_INFLATED) > 1:
-            _INFLATED.pop(next(iter(_INFLATED)))
+        _INFLATED.clear()  # a stage uses one; executors' memory is short
         filled = np.zeros(bits // 64, dtype=np.int64)
         for n, data in held.value:
             here = filled[n * BLOCK :][:BLOCK]

@@ -209,7 +209,7 @@ def screen_sample(spark: SparkSession, d: str) -> DataFrame:
     """Sample, then gate the sample alone."""
     sampled = checkpointed(sampling.bottom_k_by_run(_keyed(spark, d), table(spark, d, "sampling_design")))
     reads = checkpointed(_fragments(spark, d).join(sampled.select("ordinal"), "ordinal", "left_semi"))
-    return sampled.join(gate.gate(reads, gate.panel_kmers(_records(spark, d))), "ordinal")
+    return sampled.join(gate.gate(reads, _records(spark, d)), "ordinal")
 
 
 @query

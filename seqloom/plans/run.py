@@ -41,7 +41,7 @@ def analyse(fasta: DataFrame, fragments: DataFrame, design: DataFrame, mode: str
     records = grouping.panel_records(fasta)
     groups = checkpointed(grouping.reference_groups(records.filter("not is_host")))
     contigs = checkpointed(grouping.contigs(records, groups))
-    return analyse_indexed(groups, contigs, gate.panel_kmers(records), fragments, design, mode, masked)[0]
+    return analyse_indexed(groups, contigs, records, fragments, design, mode, masked)[0]
 
 
 def analyse_indexed(
