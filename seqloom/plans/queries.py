@@ -92,7 +92,7 @@ def bloom_size(spark: SparkSession, d: str) -> DataFrame:
 @query
 def bloom_probe(spark: SparkSession, d: str) -> DataFrame:
     """Fragments with a k-mer that the filter lets pass, and how many of these k-mers are truly in the panel."""
-    kmers = checkpointed(gate.panel_kmers(_records(spark, d)))
+    kmers = materialized(gate.panel_kmers(_records(spark, d)))
     ends = seq.with_kmers(gate.read_ends(_fragments(spark, d)), ["ordinal"], "sequence", only=gate.bloom_test(kmers)).select("ordinal", "kmer")
     rows = ends.join(kmers.select("kmer", F.lit(1).alias("held")), "kmer", "left")
     return rows.groupBy("ordinal").agg(F.count(F.lit(1)).alias("passed"), F.count("held").alias("held"))
