@@ -37,8 +37,8 @@ def canonical_kmer(c: Column | str) -> Column:
 _FORWARD, _REVERSE = np.full(256, ord("-"), dtype=np.uint8), np.full(256, ord("-"), dtype=np.uint8)
 for _table, _digits in ((_FORWARD, FORWARD_CODE), (_REVERSE, REVERSE_CODE)):
     _table[np.frombuffer(ALPHABET.encode(), dtype=np.uint8)] = np.frombuffer(_digits.encode(), dtype=np.uint8)
-#: Windows encoded at once in a task.
-_PORTION = 1 << 18
+#: Windows encoded at once in a task: a worker's arrays of them, and the batches it sends, take some 10 MB.
+_PORTION = 1 << 16
 
 
 def _encoded(texts: pa.StringArray, k: int, canonical: bool, only: Callable[[np.ndarray], np.ndarray] | None = None) -> Iterator[tuple[np.ndarray, np.ndarray, pa.Array]]:
@@ -74,7 +74,7 @@ def with_kmers(df: DataFrame, keep: list[str], text: str, k: int = KMER, canonic
 
     Not canonical: the k-mers of the given strand only, in the same code.
     Another character ends all k-mers that would hold it. Null texts and texts shorter than k give no row.
-    Arrow batches are encoded as arrays, some 0.2 million k-mers at a time, however long a text is. `only` picks, from an
+    Arrow batches are encoded as arrays, some 65 thousand k-mers at a time, however long a text is. `only` picks, from an
     array of codes, those to keep, before they become rows.
     """
     df = df.select(*keep, F.regexp_replace(F.upper(text), f"[^{ALPHABET}]", "-").alias("_t")).filter(F.length("_t") >= k)
@@ -193,6 +193,17 @@ def with_segments(df: DataFrame, keep: list[str], text: str, k: int = KMER, only
     return df.mapInArrow(explode, T.StructType(fields))
 
 
+def map_words(df: DataFrame, text: str, make: Callable[[Iterator[np.ndarray]], Iterator[pa.RecordBatch]], schema: str, k: int = KMER) -> DataFrame:
+    """What `make` gives for each task's words of with_segments, an array of some of them at a time: no word becomes a row, and one worker does both."""
+    df = df.select(F.regexp_replace(F.upper(text), f"[^{ALPHABET}]", "-").alias("_t")).filter(F.length("_t") >= k)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from make(word for batch in batches if batch.num_rows for _, _, word, *_ in _segments(batch.column(0), k, None))
+
+    _span(k)
+    return df.mapInArrow(run, schema)
+
+
 def _part(beside: Column, low: int, bits: int) -> Column:
     return F.shiftright(beside, low).bitwiseAND(F.lit((1 << bits) - 1))
 

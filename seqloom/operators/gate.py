@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from seqloom.common import checkpointed, materialized, spread
 from seqloom.constants import ALPHABET, KMER, MIN_COVERED, MIN_HITS
 from seqloom.functions.dust import dust_udf
-from seqloom.functions.seq import narrow_shared, narrow_word, reverse_complement, with_kmers, with_narrow_segments, with_segments
+from seqloom.functions.seq import map_words, narrow_shared, narrow_word, reverse_complement, with_kmers, with_narrow_segments
 
 
 def target_kmers(records: DataFrame, k: int = KMER) -> DataFrame:
@@ -70,7 +70,7 @@ def hit_runs(ends: DataFrame, records: DataFrame, k: int = KMER) -> DataFrame:
     letters = records.agg(F.coalesce(F.sum(F.length("sequence").cast("long")), F.lit(0))).first()[0]
     records = spread(records, "sequence")
     # there is a word in some four letters; more words make the filter let more through, never less
-    only = bloom_test(with_segments(records, [], "sequence", k).select(F.col("word").alias("kmer")), letters // 4, hashes=2)
+    only = word_test(records, letters // 4, k)
     oriented = both_strands(ends).withColumn("letters", F.length("sequence"))
     reads = with_narrow_segments(oriented, ["end", "letters"], "sequence", k, only=only)
     # a strand's places are counted from the end's beginning: of the reverse strand, base + before is the last k-mer's place
@@ -238,12 +238,27 @@ def filter_blocks(kmers: DataFrame, bits: int, hashes: int = HASHES) -> DataFram
     """
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = np.zeros(bits // 64, dtype=np.int64)
-        for b in batches:
-            if b.num_rows:
-                word, value = _word_values(b.column(0), bits, hashes)
-                own[word] |= value
-        yield from _packed((n, own[n * BLOCK :][:BLOCK]) for n in range(-(-len(own) // BLOCK)))
+        return _own_blocks((b.column(0) for b in batches if b.num_rows), bits, hashes)
+
+    return _merged_blocks(kmers.select("kmer").mapInArrow(build, _BLOCK_ROWS))
+
+
+def word_blocks(records: DataFrame, bits: int, hashes: int, k: int = KMER) -> DataFrame:
+    """filter_blocks of the words of the records' segments; the worker that makes a task's words sets their bits."""
+    return _merged_blocks(map_words(records, "sequence", lambda words: _own_blocks(map(pa.array, words), bits, hashes), _BLOCK_ROWS, k))
+
+
+def _own_blocks(codes: Iterable[pa.Array], bits: int, hashes: int) -> Iterator[pa.RecordBatch]:
+    """The packed blocks of a task's own filter."""
+    own = np.zeros(bits // 64, dtype=np.int64)
+    for c in codes:
+        word, value = _word_values(c, bits, hashes)
+        own[word] |= value
+    yield from _packed((n, own[n * BLOCK :][:BLOCK]) for n in range(-(-len(own) // BLOCK)))
+
+
+def _merged_blocks(blocks: DataFrame) -> DataFrame:
+    """The tasks' blocks, or-ed together."""
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own: dict[int, np.ndarray] = {}
@@ -253,7 +268,7 @@ def filter_blocks(kmers: DataFrame, bits: int, hashes: int = HASHES) -> DataFram
                 own[n] = own[n] | piece if n in own else piece
         yield from _packed(own.items())
 
-    return kmers.select("kmer").mapInArrow(build, _BLOCK_ROWS).repartition("block").mapInArrow(merge, _BLOCK_ROWS)
+    return blocks.repartition("block").mapInArrow(merge, _BLOCK_ROWS)
 
 
 def stored_blocks(words: DataFrame) -> DataFrame:
@@ -306,8 +321,18 @@ def bloom_test(kmers: DataFrame, count: int | None = None, words: DataFrame | No
     never less. An empty panel lets nothing through.
     """
     bits = bloom_bits(kmers.count() if count is None else count)
-    found = filter_blocks(kmers, bits, hashes) if words is None else stored_blocks(words)
-    held, name = kmers.sparkSession.sparkContext.broadcast([(r.block, bytes(r.data)) for r in found.toLocalIterator()]), uuid.uuid4().hex
+    return _blocks_test(filter_blocks(kmers, bits, hashes) if words is None else stored_blocks(words), bits, hashes)
+
+
+def word_test(records: DataFrame, count: int, k: int = KMER, hashes: int = 2) -> Callable[[np.ndarray], np.ndarray]:
+    """bloom_test of the words of the records' segments, about `count`."""
+    bits = bloom_bits(count)
+    return _blocks_test(word_blocks(records, bits, hashes, k), bits, hashes)
+
+
+def _blocks_test(found: DataFrame, bits: int, hashes: int) -> Callable[[np.ndarray], np.ndarray]:
+    """bloom_test by the filter's blocks."""
+    held, name = found.sparkSession.sparkContext.broadcast([(r.block, bytes(r.data)) for r in found.toLocalIterator()]), uuid.uuid4().hex
 
     def test(codes: np.ndarray) -> np.ndarray:
         p = bloom_places(codes, bits, hashes)

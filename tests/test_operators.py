@@ -4,6 +4,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -326,3 +327,28 @@ def test_panel_segments_gate_as_kmers_do(spark):
     for masked in (False, True):
         a, b = (sorted(map(tuple, gate.gate_states(ends, h, masked).collect())) for h in (gate.kmer_hits(ends, kmers), gate.hit_runs(ends, records)))
         assert len(a) == 300 and a == b
+
+
+def test_word_filter_is_made_by_one_worker_a_task(spark):
+    """The panel's words go into the filter where they are made: the bits of filter_blocks of with_segments, and one Python step before the blocks are merged."""
+    texts = [(xorshift(i, 90 + 40 * i),) for i in range(1, 9)] + [("ACGN" * 20,), ("",), (None,)]
+    records = spark.createDataFrame(texts, "sequence string").repartition(3)
+    blocks, words = gate.word_blocks(records, 1 << 16, 2), seq.with_segments(records, [], "sequence").select(F.col("word").alias("kmer"))
+    spelled = lambda df: {r.block: zlib.decompress(r.data) for r in df.collect()}
+    assert spelled(blocks) == spelled(gate.filter_blocks(words, 1 << 16, 2)) != {}
+    assert blocks._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 2  # build and merge
+    held = np.array([r.kmer for r in words.collect()], dtype=np.uint64)
+    assert gate.word_test(records, 400)(held).all() and not gate.word_test(records.filter("false"), 0)(held).any()
+
+
+def test_memory_of_encoding_does_not_grow_with_the_text():
+    """A worker's arrays are of some 65 thousand windows: a text of a million letters takes no more than 40 MB."""
+    import tracemalloc
+
+    texts = pa.array([xorshift(3, 1 << 10) * (1 << 10)])
+    for make in (lambda: seq._segments(texts, 21, None), lambda: seq._encoded(texts, 21, True)):
+        tracemalloc.start()
+        assert sum(len(x[0]) for x in make()) > 100_000
+        most = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert most < 40 << 20
