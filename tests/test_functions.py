@@ -4,6 +4,7 @@ import itertools
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -73,6 +74,21 @@ def test_dust_known_answers_and_symmetry():
         assert a == dust.dust_intervals(read)
 
 
+def test_dust_searches_suspects_alone(monkeypatch):
+    """Texts without a stretch above the limit never reach the search, and none with one is lost."""
+    rng, searched, perfect = random.Random(8), [], dust._perfect
+    plain = ["".join(rng.choice("ACGT") for _ in range(100)) for _ in range(500)]
+    low = [t[:40] + "".join(rng.choice(u) for u in (list("ACA"), list("A"), list("AG")) for _ in range(rng.randrange(3, 12))) + t[40:] for t in plain[:50]]
+    texts = plain + low + [None, "N" * 90]
+    want = []
+    for t in texts:  # each text searched on its own
+        codes = dust._CODE[np.frombuffer((t or "").encode() + b"\n\n\n", dtype=np.uint8)]
+        want.append({i for a, b in zip(*perfect(codes, 62, 2.0), strict=True) for i in range(a, b)})
+    monkeypatch.setattr(dust, "_perfect", lambda codes, *a: searched.append(len(codes)) or perfect(codes, *a))
+    assert [{i for a, b in x for i in range(a, b)} for x in dust.dust_batch(texts)] == want and sum(map(bool, want)) > 20
+    assert sum(searched) < 0.4 * sum(len(t or "") for t in texts)
+
+
 def _dust_by_definition(read, widest=62):
     t = [read[i : i + 3] for i in range(len(read) - 2)]
 
