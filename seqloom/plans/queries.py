@@ -184,7 +184,11 @@ def duplicate_ids(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def input_census(spark: SparkSession, d: str) -> DataFrame:
-    rows = _fragments(spark, d).groupBy("run_id").agg(F.count(F.lit(1)).alias("fragments"), F.count("r2").alias("paired"))
+    return _census(_fragments(spark, d))
+
+
+def _census(fragments: DataFrame) -> DataFrame:
+    rows = fragments.groupBy("run_id").agg(F.count(F.lit(1)).alias("fragments"), F.count("r2").alias("paired"))
     return rows.withColumn("input_mode", F.when(F.col("paired") == 0, "SE").when(F.col("paired") == F.col("fragments"), "PE").otherwise("MIXED"))
 
 
@@ -220,7 +224,7 @@ def full_sample(spark: SparkSession, d: str) -> DataFrame:
 @query
 def mode_containment(spark: SparkSession, d: str) -> DataFrame:
     """Per run: passing fragments of the screen sample, and how many of these the full sample holds: all."""
-    keyed, design, verdicts = _keyed(spark, d), table(spark, d, "sampling_design"), _verdicts(spark, d)
+    keyed, design, verdicts = materialized(_keyed(spark, d)), table(spark, d, "sampling_design"), _verdicts(spark, d)
     screened = sampling.screen(keyed, design, verdicts).filter("verdict = 'Pass'").select("ordinal", "run_id")
     held = sampling.full(keyed, design, verdicts).select("ordinal", F.lit(1).alias("held"))
     return screened.join(held, "ordinal", "left").groupBy("run_id").agg(F.count(F.lit(1)).alias("screen_passed"), F.count("held").alias("in_full"))
@@ -324,12 +328,16 @@ def given_evidence(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _estimates(spark: SparkSession, d: str) -> DataFrame:
-    """Estimates of each run from the given hits of its drawn sample alone, with the run's input_mode."""
-    verdicts, keyed, design = _verdicts(spark, d), _keyed(spark, d), table(spark, d, "sampling_design")
-    scalars = checkpointed(sampling.design_scalars(design, keyed, verdicts).join(input_census(spark, d).select("run_id", "input_mode"), "run_id", "left"))
-    hits = table(spark, d, "hits").join(checkpointed(run.drawn(keyed, design, verdicts)), "ordinal", "left_semi")
+    """Estimates of each run from the given hits of its drawn sample alone, with the run's input_mode.
+
+    Each step is stored: one plan of all would be planned anew on the driver as often as one of its many stages ends.
+    """
+    fragments, design = materialized(_fragments(spark, d)), table(spark, d, "sampling_design")
+    verdicts, keyed = checkpointed(_gated(spark, d, True, fragments)), materialized(_keyed(spark, d))
+    scalars = checkpointed(sampling.design_scalars(design, keyed, verdicts).join(_census(fragments).select("run_id", "input_mode"), "run_id", "left"))
+    hits = materialized(table(spark, d, "hits").join(checkpointed(run.drawn(keyed, design, verdicts)), "ordinal", "left_semi"))
     groups = table(spark, d, "reference_groups")
-    return run.estimates(run.evidence_by_run(hits, table(spark, d, "fragments"), groups), scalars, groups)
+    return checkpointed(run.estimates(checkpointed(run.evidence_by_run(hits, fragments, groups)), scalars, groups))
 
 
 SCORE = ("run_id", "group_ordinal", "fraction", "estimated_fragments", "sampling_target_score")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seqloom.common import checkpointed
+from seqloom.common import checkpointed, materialized
 from seqloom.constants import FAMILY_INTERVAL, PRECISIONS
 from seqloom.functions.stats import interval_udf, library_fraction, target_score
 from seqloom.operators import adjudicate, evidence, gate, grouping, sampling
@@ -89,5 +89,5 @@ def evidence_by_run(hits: DataFrame, fragments: DataFrame, groups: DataFrame) ->
     """group_evidence of hits by the run of their fragment."""
     run = fragments.filter("ordinal is not null").groupBy("ordinal").agg(F.min("run_id").alias("run_id"))
     found = checkpointed(adjudicate.fragment_evidence(hits).join(run, "ordinal"))
-    intervals = adjudicate.supporting_intervals(hits, found, groups).join(run, "ordinal")
+    intervals = materialized(adjudicate.supporting_intervals(hits, found, groups).join(run, "ordinal"))
     return evidence.group_evidence(found, intervals, groups, ["run_id"])

@@ -276,3 +276,9 @@ def test_estimates_are_of_the_sample(spark, data):
         assert r.supporting_selected_fragments <= r.selected and r.supporting_selected_fragments <= r.lower_count <= r.upper_count <= r.population
     modes = {r.run_id: r.input_mode for r in queries.input_census(spark, data).collect()}
     assert {(r.sample_id, r.input_mode) for r in queries.report_text(spark, data).collect()} == {(r.run_id, modes[r.run_id]) for r in rows}
+
+
+def test_estimates_are_stored_step_by_step(spark, data):
+    """Reports start from stored estimates: the driver never plans the gate, the sample, the evidence and the report as one."""
+    plan = queries.QUERIES["report_counts"](spark, data)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "Aggregate" not in plan and "Relation" not in plan
