@@ -28,19 +28,6 @@ def panel_kmers(records: DataFrame, k: int = KMER) -> DataFrame:
     return with_kmers(spread(records.filter("not is_host"), "sequence"), [], "sequence", k).select("kmer").distinct()
 
 
-def kmer_classes(panel: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(kmer, cls) of the panel's k-mers (rec_ordinal, id, kmer), and (cls, rec_ordinal, id): k-mers that the same records hold are one class.
-
-    Records of a family share most k-mers; what is counted by class meets each record once, not once a k-mer. A class is
-    named by digests of its records that don't depend on their order, so that no list of records is ever built.
-    """
-    once = checkpointed(panel.distinct())
-    parts = [F.bit_xor(F.xxhash64(F.lit(i), "rec_ordinal")) for i in range(2)]
-    classes = once.groupBy("kmer").agg(F.hex(F.count(F.lit(1))).alias("a"), *[F.hex(p).alias(f"b{i}") for i, p in enumerate(parts)])
-    classes = checkpointed(classes.select("kmer", F.concat_ws("-", "a", "b0", "b1").alias("cls")))
-    return classes, once.join(classes, "kmer").select("cls", "rec_ordinal", "id").distinct()
-
-
 def fragments_once(fragments: DataFrame) -> DataFrame:
     """(ordinal, run_id, r1, r2): a redelivered fragment counts once. Rows with a null ordinal are left out."""
     return fragments.filter("ordinal is not null").groupBy("ordinal").agg(F.min("run_id").alias("run_id"), F.min("r1").alias("r1"), F.min("r2").alias("r2"))

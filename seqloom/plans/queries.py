@@ -12,7 +12,7 @@ from seqloom.common import checkpointed, ensure_checkpoint_dir, materialized, sp
 from seqloom.constants import MATCH, MIN_COVERED, TOP_ROWS
 from seqloom.functions import seq
 from seqloom.functions.dust import dust_udf
-from seqloom.operators import adjudicate, align, evidence, gate, grouping, sampling
+from seqloom.operators import adjudicate, align, evidence, gate, grouping, rank, sampling
 from seqloom.plans import run
 from seqloom.sources import fasta as fasta_source
 from seqloom.sources import fastq as fastq_source
@@ -68,11 +68,11 @@ def kmer_semi_join(spark: SparkSession, d: str) -> DataFrame:
 @query
 def panel_hit_rank(spark: SparkSession, d: str) -> DataFrame:
     """Panel records ranked by the fragments that share a k-mer with them."""
-    panel = seq.with_kmers(spread(_records(spark, d).filter("not is_host"), "sequence"), ["rec_ordinal", "id"], "sequence").select("rec_ordinal", "id", "kmer")
-    classes, members = gate.kmer_classes(panel)
-    reads = seq.with_kmers(gate.read_ends(_fragments(spark, d)), ["ordinal"], "sequence", only=gate.bloom_test(classes)).select("ordinal", "kmer").distinct()
-    found = reads.join(classes, "kmer").groupBy("ordinal", "cls").agg(F.count(F.lit(1)).alias("n"))
-    hits = found.join(members, "cls").groupBy("rec_ordinal", "id").agg(F.count_distinct("ordinal").alias("fragments"), F.sum("n").alias("kmer_hits"))
+    records = _records(spark, d).filter("not is_host").select("rec_ordinal", "id", "sequence")
+    keys = materialized(grouping.dense_ordinals(records.select("rec_ordinal", "id").distinct(), ["rec_ordinal", "id"], "number"))
+    same = records["rec_ordinal"].eqNullSafe(keys["rec_ordinal"]) & (records["id"] == keys["id"])
+    found = rank.shared(materialized(records.join(keys, same).select("number", "sequence")), _fragments(spark, d))
+    hits = found.join(keys, "number").select("rec_ordinal", "id", "fragments", "kmer_hits")
     down = hits.withColumns({"_f": -F.col("fragments"), "_k": -F.col("kmer_hits")})
     rows = grouping.dense_ordinals(down, ["_f", "_k", "id", "rec_ordinal"], "n")
     return rows.select(*hits.columns, (F.col("n") + 1).cast("int").alias("place"))

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from seqloom.common import bottom_k_per_group
 from seqloom.functions import seq
-from seqloom.operators import adjudicate, align, evidence, gate, grouping, sampling
+from seqloom.operators import adjudicate, align, evidence, gate, grouping, rank, sampling
+from seqloom.plans import queries
 
 HITS = "ordinal long, mate int, role string, target_group_ordinal int, alignment_score int, query_length int, query_start int, query_end int, target_start long, target_end long, supplementary boolean"
 
@@ -352,3 +353,56 @@ def test_memory_of_encoding_does_not_grow_with_the_text():
         most = tracemalloc.get_traced_memory()[1]
         tracemalloc.stop()
         assert most < 40 << 20
+
+
+def test_shared_kmers_of_packed_pieces(spark, monkeypatch):
+    """panel_hit_rank's counts by brute force: both strands, repeats within records and reads, rare letters, palindromes, one record in several rows; no k-mer becomes a row."""
+    monkeypatch.setattr(rank, "_PACK", 200)
+    rng = random.Random(23)
+    flip = lambda t: t[::-1].translate(str.maketrans("ACGTMRWSYKVHDBN", "TGCAKYWSRMBDHVN"))
+    core = ["".join(rng.choice("ACGT") for _ in range(200)) for _ in range(3)]
+    texts = [core[0], core[0][:90] + "R" + core[0][91:], core[1] + flip(core[1][40:100]) + core[1][:60], core[2], "A" * 90, "ACG" * 40, "N" * 60, core[2][:80] + "NNWSN" + core[2][80:], "ACGTACG", core[0][50:150]]
+    numbers = [0, 1, 2, 3, 4, 5, 6, 7, 8, 3]  # the last row is of record 3, too
+    records = spark.createDataFrame(list(zip(numbers, texts, strict=True)), "number long, sequence string").repartition(3)
+    reads = []
+    for i in range(150):
+        t = rng.choice(texts)
+        at = rng.randrange(max(1, len(t) - 60))
+        r1 = t[at : at + rng.randrange(18, 90)]
+        if rng.random() < 0.3:
+            r1 = r1[:30] + rng.choice("XN-T") + r1[31:]
+        r2 = rng.choice([None, "", flip(r1), r1[5:] + r1, flip(rng.choice(core)[20:70])])
+        reads.append((i - 75, rng.choice([r1, r1.lower(), None]) if i % 5 == 0 else r1, r2))
+    fragments = spark.createDataFrame(reads, "ordinal long, r1 string, r2 string").repartition(2)
+
+    def kmers(t):
+        windows = [t.upper()[i : i + 21] for i in range(len(t or "") - 20)] if t else []
+        return {min(w, flip(w)) for w in windows if set(w) <= set(seq.ALPHABET)}
+
+    panel, found = {}, {}
+    for n, t in zip(numbers, texts, strict=True):
+        panel.setdefault(n, set()).update(kmers(t))
+    for _, r1, r2 in reads:
+        own = kmers(r1) | kmers(r2)
+        for n, held in panel.items():
+            if own & held:
+                f, h = found.get(n, (0, 0))
+                found[n] = (f + 1, h + len(own & held))
+    assert len(found) == 8
+    assert {r.number: (r.fragments, r.kmer_hits) for r in rank.shared(records, fragments).collect()} == found
+    assert rank.shared(records.filter("false"), fragments).count() == rank.shared(records, fragments.filter("false")).count() == 0
+    monkeypatch.undo()
+    long = spark.createDataFrame([(i, xorshift(i + 1, 3000)) for i in range(10)], "number long, sequence string").coalesce(1)
+    rows = rank.packed(long, "number", "sequence", 0, 8).collect()
+    assert len(rows) == 8 and sum(len(r.data) for r in rows) < 3 * seq.with_kmers(long, [], "sequence").count()
+
+
+def test_hit_rank_of_records_with_one_ordinal(spark, tmp_path):
+    """Records that share their ordinal, or have none, are told apart by their ids."""
+    a, b = xorshift(4, 100), xorshift(5, 100)
+    rows = [(5, "p.fa", "x", "", a), (5, "p.fa", "y", "", a), (7, "p.fa", "z", "", b), (7, "p.fa", "w", "", b), (None, "p.fa", "v", "", b[:60]), (7, "p.fa", "z", "", a[:40]), (8, "host.fa", "h", "", a)]
+    spark.createDataFrame(rows, "rec_ordinal long, source string, id string, description string, sequence string").write.parquet(str(tmp_path / "fasta.parquet"))
+    reads = [(1, "r", a[:50], a[20:60]), (1, "r", a[:50], None), (2, "r", b[30:90], None), (None, "r", a, b)]
+    spark.createDataFrame(reads, "ordinal long, run_id string, r1 string, r2 string").write.parquet(str(tmp_path / "fragments.parquet"))
+    got = [tuple(r) for r in queries.panel_hit_rank(spark, str(tmp_path)).orderBy("place").collect()]
+    assert got == [(7, "z", 2, 60, 1), (7, "w", 1, 40, 2), (5, "x", 1, 40, 3), (5, "y", 1, 40, 4), (None, "v", 1, 10, 5)]
