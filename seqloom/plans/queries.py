@@ -71,7 +71,7 @@ def panel_hit_rank(spark: SparkSession, d: str) -> DataFrame:
     records = _records(spark, d).filter("not is_host").select("rec_ordinal", "id", "sequence")
     keys = materialized(grouping.dense_ordinals(records.select("rec_ordinal", "id").distinct(), ["rec_ordinal", "id"], "number"))
     same = records["rec_ordinal"].eqNullSafe(keys["rec_ordinal"]) & (records["id"] == keys["id"])
-    found = rank.shared(materialized(records.join(keys, same).select("number", "sequence")), _fragments(spark, d))
+    found = rank.shared(records.join(keys, same).select("number", "sequence"), _fragments(spark, d))
     hits = found.join(keys, "number").select("rec_ordinal", "id", "fragments", "kmer_hits")
     down = hits.withColumns({"_f": -F.col("fragments"), "_k": -F.col("kmer_hits")})
     rows = grouping.dense_ordinals(down, ["_f", "_k", "id", "rec_ordinal"], "n")
