@@ -331,7 +331,7 @@ class _Task:
             yield _found(HITS, own, n=n)
         if self.fragments:
             cls, number = (np.concatenate(x) for x in zip(*self.fragments, strict=True))
-            order = np.lexsort((cls, number))
+            order = np.lexsort((number, cls))  # neighbours with one class are compressed well
             cls, number = cls[order], number[order]
             new = np.append(True, (cls[1:] != cls[:-1]) | (number[1:] != number[:-1]))[: len(cls)]
             names = np.array(list(self.numbers), dtype=np.int64).reshape(-1, 2)
@@ -415,7 +415,7 @@ def counted(rows: DataFrame) -> DataFrame:
         if waiting:
             yield from sets(some, True)[0]
 
-    return rows.repartition("number").sortWithinPartitions("kind", "number").mapInArrow(run, _FOUND)
+    return rows.repartition("number").sortWithinPartitions("number").mapInArrow(run, _FOUND)
 
 
 def covering(own: DataFrame, members: DataFrame, parts: int) -> DataFrame:
