@@ -40,6 +40,8 @@ _POS_BITS, _LENGTH_BITS = 31, 30
 _TWO_BITS = np.full(27, 255, dtype=np.uint8)
 _TWO_BITS[[1, 3, 7, 20]] = [0, 1, 2, 3]  # A, C, G, T
 _LETTERS = np.array([1, 3, 7, 20], dtype=np.uint8)
+_UPPER = np.zeros(256, dtype=np.uint8)
+_UPPER[65:91] = _UPPER[97:123] = np.arange(65, 91)
 
 
 def _coded(column: pa.StringArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -196,50 +198,124 @@ def _unpacked(n: np.ndarray, seg: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return codes, begin[:-1]
 
 
-def _letter_words(codes: np.ndarray, span: int) -> tuple[np.ndarray, list[int]]:
-    """Words of up to 12 letters at each place, and the offsets at which they make up a window: equal words, equal letters."""
-    wide = np.concatenate([codes, np.zeros(12, dtype=np.uint8)]).astype(np.uint64)
-    if span < 12:
-        return wide, list(range(span))
-    two = (wide[:-1] << np.uint64(5)) | wide[1:]
-    four = (two[:-2] << np.uint64(10)) | two[2:]
-    eight = (four[:-4] << np.uint64(20)) | four[4:]
-    return (eight[: len(codes)] << np.uint64(20)) | four[8 : 8 + len(codes)], sorted({*range(0, span - 11, 12), span - 12})
+def _letter_words(codes: np.ndarray, bits: int, width: int) -> np.ndarray:
+    """The `width` letters from each place on as one number of `bits` bits a letter; zeros follow the last letter."""
+    wide = np.concatenate([codes, np.zeros(width, dtype=np.uint8)]).astype(np.uint64)
+    out, done = np.zeros(len(codes), dtype=np.uint64), 0
+    power = 1  # letters in `wide`
+    while True:
+        if width & power:
+            out = (out << np.uint64(bits * power)) | wide[done : done + len(codes)]
+            done += power
+        if done == width:
+            return out
+        wide = (wide[:-power] << np.uint64(bits * power)) | wide[power:]
+        power *= 2
+
+
+def _two_bit_words(data: np.ndarray, at: np.ndarray, width: int) -> np.ndarray:
+    """The `width` (at most 32) letters from each place of `at` on, two bits each; data: four letters a byte, 8 bytes more than those."""
+    eight = np.ndarray((len(data) - 8,), ">u8", data, strides=(1,))
+    byte, bit = at >> 2, (at.view(np.uint64) & np.uint64(3)) << np.uint64(1)
+    word = eight[byte].astype(np.uint64)
+    word <<= bit
+    word |= data[byte + 8] >> (np.uint64(8) - bit)
+    word >>= np.uint64(64 - 2 * width)
+    return word
+
+
+def _same_windows(word: Callable[[int, np.ndarray | None], np.ndarray], offsets: list[int], rows: int) -> tuple[np.ndarray, np.ndarray]:
+    """An order of `rows` windows that brings equal ones together, and where each lot of equal ones begins in it.
+
+    word(o, some): the letters from o on of some windows (None: all) as numbers; over all offsets they make up the
+    window. Windows are sorted by a hash of all their letters, and compared by the letters themselves; where a hash
+    holds different windows, those are sorted by their letters.
+    """
+    if len(offsets) <= 4:  # few numbers a window are kept
+        held = {o: word(o, None) for o in offsets}
+        word = lambda o, some: held[o] if some is None else held[o][some]
+    h = np.zeros(rows, dtype=np.uint64)
+    for o in offsets:
+        h = mix(h + word(o, None) + np.uint64(1))
+    bits = np.uint64(max(1, rows.bit_length()))
+    number = np.arange(rows, dtype=np.uint64)
+    h = np.sort((h >> bits << bits) | number)  # of numbers, several times as fast as argsort
+    order = (h & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
+    h >>= bits
+
+    def others() -> np.ndarray:
+        out = np.zeros(rows, dtype=bool)
+        out[:1] = True
+        for o in offsets:
+            w = word(o, order)
+            out[1:] |= w[1:] != w[:-1]
+        return out
+
+    other = others()
+    new = np.ones(rows, dtype=bool)
+    new[1:] = h[1:] != h[:-1]
+    if (other & ~new).any():
+        lot = np.cumsum(new) - 1
+        mixed = np.flatnonzero(np.bincount(lot[other & ~new], minlength=lot[-1] + 1)[lot] > 0)
+        some = order[mixed]
+        order[mixed] = some[np.lexsort([*(word(o, some) for o in offsets), lot[mixed]])]
+        other = others()
+    return order, np.flatnonzero(other)
+
 
+def _offsets(span: int, width: int) -> list[int]:
+    return sorted({*range(0, span - width + 1, width), span - width})
 
-def shared_windows(key: np.ndarray, n: np.ndarray, seg: pa.Array, low: np.ndarray, high: np.ndarray, span: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+
+def shared_windows(n: np.ndarray, seg: pa.Array, low: np.ndarray, high: np.ndarray, span: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Of each window of the segments: its segment, its place there, and the least and largest row of the base that holds it.
 
-    low and high: the same of each segment; low > high where no row of the base has it. Windows are brought together by
-    fingerprint, and compared by all their letters; should a fingerprint hold two different windows, all are sorted by
-    their letters instead.
+    low and high: the same of each segment; low > high where no row of the base has it. Windows that hold A, C, G and T
+    alone are compared in two bits a letter, straight from the packed segments; the others meet only each other.
     """
-    codes, begin = _unpacked(n, seg)
     windows = np.abs(n).astype(np.int64) - span + 1
-    at = _ranges(begin, windows)
-    of = np.repeat(np.arange(len(n)), windows)
-    h = mix(Fingerprints(codes).windows(span)[at] + key[of])
-    words, offsets = _letter_words(codes, span)
-    order = np.argsort(h)
-
-    def other_letters(order: np.ndarray) -> np.ndarray:
-        x, out = at[order], np.zeros(len(order) - 1, dtype=bool)
-        for o in offsets:
-            w = words[x + o]
-            out |= w[1:] != w[:-1]
-        return out
+    total = np.concatenate([[0], np.cumsum(windows)])
+    of, place = np.repeat(np.arange(len(n)), windows), _ranges(np.zeros(len(n), dtype=np.int64), windows)
+    out_low, out_high = np.empty(len(of), dtype=np.int64), np.empty(len(of), dtype=np.int64)
+
+    def fill(rows: np.ndarray | slice, word: Callable[[int, np.ndarray | None], np.ndarray], offsets: list[int]) -> None:
+        owner = of[rows]
+        if not len(owner):
+            return
+        order, head = _same_windows(word, offsets, len(owner))
+        size, owner = np.diff(np.append(head, len(owner))), owner[order]
+        least, most = np.empty_like(order), np.empty_like(order)
+        least[order] = np.repeat(np.minimum.reduceat(low[owner], head), size)
+        most[order] = np.repeat(np.maximum.reduceat(high[owner], head), size)
+        out_low[rows], out_high[rows] = least, most
 
-    new = h[order][1:] != h[order][:-1]
-    other = other_letters(order)
-    if (other & ~new).any():
-        order = np.lexsort([words[at + o] for o in offsets])
-        other = other_letters(order)
-    head = np.flatnonzero(np.concatenate([[True], other]))
-    size = np.diff(np.append(head, len(h)))
-    least, most = np.minimum.reduceat(low[of[order]], head), np.maximum.reduceat(high[of[order]], head)
-    out_low, out_high = np.empty_like(h, dtype=np.int64), np.empty_like(h, dtype=np.int64)
-    out_low[order], out_high[order] = np.repeat(least, size), np.repeat(most, size)
-    return of, at - begin[of], out_low, out_high
+    seg = seg.combine_chunks() if isinstance(seg, pa.ChunkedArray) else seg
+    offsets = np.frombuffer(seg.buffers()[1], dtype=np.int32)[seg.offset : seg.offset + len(seg) + 1].astype(np.int64)
+    data = np.frombuffer(seg.buffers()[2], dtype=np.uint8)[offsets[0] : offsets[-1]]
+    begin = 4 * (offsets[:-1] - offsets[0])
+    plain: np.ndarray | slice = slice(None)
+    odd = np.flatnonzero(n < 0)
+    if len(odd):  # a byte a letter: their windows without other letters join the plain ones, four letters a byte
+        codes, first = _unpacked(n[odd], seg.take(pa.array(odd)))
+        two = _TWO_BITS[codes]
+        others = np.concatenate([[0], np.cumsum(two == 255)])
+        at = _ranges(first, windows[odd])
+        rows = _ranges(total[odd], windows[odd])
+        strange = others[at + span] > others[at]
+        width = min(12, span)
+        five, at_odd = _letter_words(codes, 5, width), at[strange]
+        fill(rows[strange], lambda o, some: five[(at_odd if some is None else at_odd[some]) + o], _offsets(span, width))
+        is_plain = np.ones(len(of), dtype=bool)
+        is_plain[rows[strange]] = False
+        plain = np.flatnonzero(is_plain)
+        _, packed = _packed(np.where(two == 255, 1, codes), np.zeros(1, dtype=np.int64), np.array([len(codes)]))
+        begin[odd] = 4 * len(data) + first
+        data = np.concatenate([data, np.frombuffer(packed.buffers()[2], dtype=np.uint8)])
+    data = np.concatenate([data, np.zeros(9, dtype=np.uint8)])
+    at_plain = (begin[of] + place)[plain]
+    width = min(32, span)
+    fill(plain, lambda o, some: _two_bit_words(data, (at_plain if some is None else at_plain[some]) + o, width), _offsets(span, width))
+    return of, place, out_low, out_high
 
 
 _NONE_LOW, _NONE_HIGH = np.iinfo(np.int64).max, np.iinfo(np.int64).min
@@ -256,6 +332,13 @@ def _spans(of: np.ndarray, place: np.ndarray, covered: np.ndarray, span: int) ->
     return of[head], place[head], place[np.append(head[1:], len(of)) - 1] + span
 
 
+def _kinds(n: np.ndarray, seg: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """The number of each segment's letters among the distinct ones, and a segment of each: what is equal is searched once."""
+    letters = seg.combine_chunks().dictionary_encode().indices.to_numpy().astype(np.int64)
+    _, first, kind = np.unique(letters * 8 + (np.abs(n) & 3) * 2 + (n < 0), return_index=True, return_inverse=True)
+    return kind, first
+
+
 def _portions(batches: Iterator[pa.RecordBatch], span: int, portion: int) -> Iterator[tuple[np.ndarray, pa.Array, int]]:
     """Record numbers, texts and the place of the first letter, portion letters or so at a time.
 
@@ -279,9 +362,29 @@ def _portions(batches: Iterator[pa.RecordBatch], span: int, portion: int) -> Ite
                 start = stop
 
 
-def _lettered(records: DataFrame, rec: str, text: str, span: int) -> DataFrame:
-    """(rec, letters) of the records with at least `span` letters."""
-    return records.select(F.col(rec).cast("long").alias("rec"), letters(text).alias("letters")).filter((F.length("letters") >= span) & F.col("rec").isNotNull())
+def _texts(records: DataFrame, rec: str, text: str) -> DataFrame:
+    """(rec, text) for _lettered: ASCII as it is, other texts as their letters, since Python's upper case isn't Spark's."""
+    text_ = F.col(text)
+    text_ = F.when(F.octet_length(text_) == F.length(text_), text_).otherwise(letters(text_))
+    return records.filter(F.col(rec).cast("long").isNotNull() & F.col(text).isNotNull()).select(F.col(rec).cast("long").alias("rec"), text_.alias("text"))
+
+
+def _lettered(batches: Iterator[pa.RecordBatch], span: int) -> Iterator[pa.RecordBatch]:
+    """(rec, letters) of the _texts with at least `span` letters: what common.letters gives, for a tenth of its time."""
+    for batch in batches:
+        column = batch.column("text")
+        if not len(column):
+            continue
+        offsets = np.frombuffer(column.buffers()[1], dtype=np.int32)[column.offset : column.offset + len(column) + 1]
+        raw = np.frombuffer(column.buffers()[2] or b"", dtype=np.uint8)[offsets[0] : offsets[-1]]
+        offsets, upper = offsets - offsets[0], _UPPER[raw]
+        is_letter = upper > 0
+        if not is_letter.all():
+            offsets = np.concatenate([[0], np.cumsum(is_letter)])[offsets].astype(np.int32)
+            upper = upper[is_letter]
+        column = pa.StringArray.from_buffers(len(column), pa.py_buffer(offsets), pa.py_buffer(upper))
+        long_enough = pa.array(np.diff(offsets) >= span)
+        yield pa.RecordBatch.from_arrays([batch.column("rec").filter(long_enough), column.filter(long_enough)], ["rec", "letters"])
 
 
 def name_rounds(base: DataFrame, rec: str, text: str, span: int, rounds: int = ROUNDS, most: int = NAMES, portion: int = PORTION) -> Names:
@@ -290,13 +393,13 @@ def name_rounds(base: DataFrame, rec: str, text: str, span: int, rounds: int = R
     Only what occurs in the base needs a name, as every span that counts lies in a base record too. Each round names the
     `most` most frequent runs or pairs.
     """
-    rows = _lettered(base, rec, text, span)
+    rows = _texts(base, rec, text)
     names = Names()
     for _ in range(rounds + 1):
         held = base.sparkSession.sparkContext.broadcast(names)
 
         def count(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
-            for _, column, _ in _portions(batches, span, portion):
+            for _, column, _ in _portions(_lettered(batches, span), span, portion):
                 code, n = counted(_coded(column)[0], held.value)
                 yield pa.RecordBatch.from_arrays([pa.array(code.view(np.int64)), pa.array(n, pa.int64())], ["code", "n"])
 
@@ -334,7 +437,7 @@ def record_segments(records: DataFrame, tbl: int, rec: str, text: str, span: int
     held = records.sparkSession.sparkContext.broadcast(names)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rec, column, first in _portions(batches, span, portion):
+        for rec, column, first in _portions(_lettered(batches, span), span, portion):
             codes, begin, length = _coded(column)
             key, at, windows = segments(codes, begin, length, span, held.value)
             key = (key >> np.uint64(32)).astype(np.uint32).view(np.int32)
@@ -345,7 +448,7 @@ def record_segments(records: DataFrame, tbl: int, rec: str, text: str, span: int
             n, seg = _packed(codes, at, windows + span - 1)
             yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(rec[of]), pa.array(_place(tbl, at - begin[of] + first, n)), seg], ["key", "rec", "place", "seg"])
 
-    return _lettered(records, rec, text, span).mapInArrow(cut, _SEGMENT)
+    return _texts(records, rec, text).mapInArrow(cut, _SEGMENT)
 
 
 def shared_spans(base: tuple[DataFrame, str, str], others: tuple[DataFrame, str, str] | None, span: int, rounds: int = ROUNDS, most: int = NAMES, portion: int = PORTION, hot: int = HOT) -> DataFrame:
@@ -380,6 +483,42 @@ def _frames(batches: Iterator[pa.RecordBatch], most: int = 150_000) -> Iterator[
         yield pa.Table.from_batches(held)
 
 
+def key_spans(batches: Iterator[pa.RecordBatch], span: int) -> Iterator[pa.RecordBatch]:
+    """(tbl, rec, a, b): the covered stretches of each segment; batches: segments sorted by key, all of a key together."""
+    for t in _frames(batches):
+        key, rec = t.column("key").to_numpy(), t.column("rec").to_numpy()
+        tbl, pos, n = _placed(t.column("place").to_numpy())
+        is_base = tbl == 0
+        # keys without a base row, or with a single row in all, cover nothing
+        head = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        size = np.diff(np.append(head, len(key)))
+        live = np.repeat((np.add.reduceat(is_base.astype(np.int64), head) > 0) & (size > 1), size)
+        if not live.any():
+            continue
+        key, is_base, rec, pos, tbl = key[live], is_base[live], rec[live], pos[live], tbl[live]
+        n, seg = n[live], t.column("seg").filter(pa.array(live))
+        kind, first = _kinds(n, seg)
+        low, high = np.full(len(first), _NONE_LOW), np.full(len(first), _NONE_HIGH)
+        np.minimum.at(low, kind[is_base], rec[is_base])
+        np.maximum.at(high, kind[is_base], rec[is_base])
+        of, place, low, high = shared_windows(n[first], seg.take(pa.array(first)), low, high, span)
+        found = []
+        for own, covered in ((is_base, low < high), (~is_base, low <= high)):
+            seg_of, start, end = _spans(of, place, covered, span)
+            rows = np.flatnonzero(own)
+            count = np.bincount(seg_of, minlength=len(first))
+            size = count[kind[rows]]
+            span_of, rows = _ranges((np.cumsum(count) - count)[kind[rows]], size), np.repeat(rows, size)
+            found.append((tbl[rows], rec[rows], pos[rows] + start[span_of], pos[rows] + end[span_of]))
+        tbl, rec, start, end = (np.concatenate(x) for x in zip(*found, strict=True))
+        # a record delivered again has all its segments here, at the same keys: one of each goes on
+        order = np.lexsort((end, start, rec, tbl))
+        tbl, rec, start, end = tbl[order], rec[order], start[order], end[order]
+        new = np.ones(len(rec), dtype=bool)
+        new[1:] = (rec[1:] != rec[:-1]) | (start[1:] != start[:-1]) | (end[1:] != end[:-1]) | (tbl[1:] != tbl[:-1])
+        yield pa.RecordBatch.from_arrays([pa.array(tbl[new].astype(np.int8)), pa.array(rec[new]), pa.array(start[new]), pa.array(end[new])], ["tbl", "rec", "a", "b"])
+
+
 def covered_spans(all_rows: DataFrame, span: int, hot: int = HOT) -> DataFrame:
     """(tbl, rec, span_start, span_end): the maximal covered stretches of each record.
 
@@ -406,31 +545,7 @@ def covered_spans(all_rows: DataFrame, span: int, hot: int = HOT) -> DataFrame:
     else:
         cold, warm = all_rows.join(often, "key", "left_anti"), all_rows.join(often, "key", "left_semi")
 
-    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in _frames(batches):
-            key, rec = t.column("key").to_numpy(), t.column("rec").to_numpy()
-            tbl, pos, n = _placed(t.column("place").to_numpy())
-            is_base = tbl == 0
-            # keys without a base row, or with a single row in all, cover nothing
-            head = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-            size = np.diff(np.append(head, len(key)))
-            live = np.repeat((np.add.reduceat(is_base.astype(np.int64), head) > 0) & (size > 1), size)
-            if not live.any():
-                continue
-            key, is_base, rec, pos, tbl = key[live], is_base[live], rec[live], pos[live], tbl[live]
-            n, seg = n[live], t.column("seg").filter(pa.array(live))
-            low, high = np.where(is_base, rec, _NONE_LOW), np.where(is_base, rec, _NONE_HIGH)
-            of, place, low, high = shared_windows(key.astype(np.int64).view(np.uint64), n, seg, low, high, span)
-            seg_of, start, end = _spans(of, place, np.where(is_base[of], low < high, low <= high), span)
-            tbl, rec, start, end = tbl[seg_of], rec[seg_of], pos[seg_of] + start, pos[seg_of] + end
-            # a record delivered again has all its segments here, at the same keys: one of each goes on
-            order = np.lexsort((end, start, rec, tbl))
-            tbl, rec, start, end = tbl[order], rec[order], start[order], end[order]
-            new = np.ones(len(rec), dtype=bool)
-            new[1:] = (rec[1:] != rec[:-1]) | (start[1:] != start[:-1]) | (end[1:] != end[:-1]) | (tbl[1:] != tbl[:-1])
-            yield pa.RecordBatch.from_arrays([pa.array(tbl[new].astype(np.int8)), pa.array(rec[new]), pa.array(start[new]), pa.array(end[new])], ["tbl", "rec", "a", "b"])
-
-    found = cold.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(find, "tbl byte, rec long, a long, b long")
+    found = cold.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(lambda batches: key_spans(batches, span), "tbl byte, rec long, a long, b long")
     if warm is not None:
         found = found.unionByName(_hot_spans(_placed_columns(warm), span))
     return _merged(found, parts)
